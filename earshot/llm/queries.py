@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from earshot.llm import exact_dedup
+from earshot.llm import exact_dedup, packing, token_files
 from earshot.session import table
 
 
@@ -10,8 +10,18 @@ def op2_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_token_files(spark, sf_dir):
+    return token_files.token_files(table(spark, sf_dir, "documents"))
+
+
+def op7_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_token_files": op3_token_files,
+    "op7_packing": op7_packing,
 }
 ORACLE_SQL = {
     "op2_exact_dedup": exact_dedup.ORACLE_SQL,
