@@ -25,10 +25,10 @@ def n_blocks(rows: int, bits_per_row: int = BITS_PER_ROW, max_bits: int = MAX_BI
     return max(1, min(max_bits, rows * bits_per_row) // BLOCK)
 
 
-def repeated_bits(hashes: DataFrame, h: str, blocks: int) -> DataFrame:
-    """(block, bits): per block, a bitmap of the bits that two or more rows hit."""
+def repeated_bits(hashes: DataFrame, h: str, blocks: int, least: int = 2) -> DataFrame:
+    """(block, bits): per block, a bitmap of the bits that `least` or more rows hit."""
     hits = hashes.select(F.pmod(F.col(h), F.lit(blocks)).alias("block"), F.explode(F.array_distinct(F.array(*_bits(F.col(h))))).alias("bit"))
-    twice = hits.groupBy("block", "bit").count().filter("count > 1")
+    twice = hits.groupBy("block", "bit").count().filter(F.col("count") >= least)
     return twice.groupBy("block").agg(F.expr("bitmap_construct_agg(bit)").alias("bits"))
 
 
@@ -41,3 +41,11 @@ def flag_repeated(df: DataFrame, h: str, bitmaps: DataFrame, blocks: int, flag:
         byte = F.conv(F.hex(F.expr("_bits").substr(F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
         hit = hit & (F.expr("1").bitwiseAND(F.call_function("shiftright", byte, F.pmod(bit, F.lit(8)).cast("int"))) == 1)
     return out.withColumn(flag, F.coalesce(hit, F.lit(False))).drop("_block", "_bits")
+
+
+def drop_rows(df: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """df without the rows whose key is in gone (column `key`). Only rows that may be in it are shuffled; null keys stay."""
+    blocks = n_blocks(df.count())
+    marks = repeated_bits(gone.select(F.xxhash64(key).alias("_h")), "_h", blocks, least=1)
+    rows = flag_repeated(df.withColumn("_h", F.xxhash64(key)), "_h", marks, blocks, "_maybe").drop("_h")
+    return rows.filter("not _maybe").unionByName(rows.filter("_maybe").join(gone.select(key).distinct(), key, "left_anti").select(*rows.columns)).drop("_maybe")
