@@ -4,7 +4,7 @@
    by rarity, then hash, in one 64-bit value, so that rare ones come first in every document alike.
 2. Equal sets become one representative. Each set's prefix, which every linked set must meet, is shuffled by
    element; sets that share one are candidates, and the components of candidates are blocks.
-3. Each block's sets meet once and are linked by tries (trie.py). A block over CHUNK elements is dealt into
+3. Each block's texts (smaller than their sets) meet once and are linked by tries (trie.py). A block over CHUNK elements is dealt into
    chunks that all hold the block's few pivots; documents that do not end up with the block's main component
    are then compared with every chunk. No pair list is made anywhere, and no task holds more than a chunk and
    those documents.
@@ -19,59 +19,77 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from earshot.llm import blooms, tokens, trie
-from earshot.operators.components import connected_components
+from earshot.llm import blooms, trie
+from earshot.operators.components import connected_components, forest
 from earshot.session import stored
 
 CELLS = 1 << 19
 SLICE = 1 << 14
 SALTS = 4
-MAX_WORDS = 300_000
+SEGMENT = 1 << 20
 CHUNK = 2_000_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """A-Z lower-cased, cut at ASCII white space."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+_SPACE = np.zeros(256, bool)
+_SPACE[[*range(9, 14), 32]] = True
+_VALUE = np.random.default_rng(20240229).integers(0, 1 << 64, 256, np.uint64)
+_VALUE[65:91] = _VALUE[97:123]  # A-Z count as a-z
+_BASE = 0x9E3779B97F4A7C15
+_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
-class Words:
-    """Hashes and rarity levels of this task's words."""
+def _power(kind: str, n: int) -> np.ndarray:
+    """Powers 0 to n - 1 of the base, or of its inverse, modulo 2**64."""
+    if len(_powers[kind]) < n:
+        x = np.full(max(n, 1 << 16), _BASE if kind == "up" else pow(_BASE, -1, 1 << 64), np.uint64)
+        x[0] = 1
+        _powers[kind] = np.cumprod(x)
+    return _powers[kind][:n]
 
-    def __init__(self, levels: np.ndarray | None):
-        self.levels = levels
-        self.clear()
 
-    def clear(self) -> None:
-        self.known, self.size = {}, 0
-        self.hashes, self.rarity = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.uint64)
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words (cut at ASCII white space, A-Z lower-cased) of the texts in turn, and word counts.
 
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        if self.size > MAX_WORDS:
-            self.clear()
-        known = self.known
-        new = list(set(words).difference(known))
-        if new:
-            h = np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new))
-            known.update(zip(new, range(self.size, self.size + len(new)), strict=True))
-            while self.size + len(new) > len(self.hashes):
-                self.hashes, self.rarity = np.concatenate([self.hashes, 0 * self.hashes]), np.concatenate([self.rarity, 0 * self.rarity])
-            self.hashes[self.size : self.size + len(new)] = h
-            if self.levels is not None:
-                self.rarity[self.size : self.size + len(new)] = self.levels[h % np.uint64(CELLS)]
-            self.size += len(new)
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-
-
-def shingle_sets(words: Words, texts: list[str | None], n: int) -> list[np.ndarray]:
+    A polynomial hash over random byte values, from differences of one running sum per SEGMENT of bytes.
+    """
+    parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    data = np.frombuffer(b" ".join([b"", *parts, b""]), np.uint8)
+    space = _SPACE[data]
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    begin, end = edge[0::2], edge[1::2]
+    out = np.empty(len(begin), np.uint64)
+    at = 0
+    while at < len(begin):
+        first = begin[at]
+        upto = max(at + 1, int(np.searchsorted(end, first + SEGMENT, "right")))
+        own = data[first : end[upto - 1]]
+        sums = np.zeros(len(own) + 1, np.uint64)
+        np.cumsum(_VALUE[own] * _power("up", len(own)), out=sums[1:])
+        x, y = begin[at:upto] - first, end[at:upto] - first
+        h = (sums[y] - sums[x]) * _power("down", len(own))[x]
+        h ^= h >> np.uint64(32)
+        out[at:upto] = h * MIX
+        at = upto
+    starts = np.cumsum([1, *(len(p) + 1 for p in parts)])
+    return out, np.diff(np.searchsorted(begin, starts))
+
+
+def text_slices(batches, text_at: int = 1):
+    """(rows, their texts) in slices of about SEGMENT characters."""
+    for batch in batches:
+        texts, at, held = batch.column(text_at).to_pylist(), 0, 0
+        for i, t in enumerate(texts):
+            held += len(t or "")
+            if held >= SEGMENT or i == len(texts) - 1:
+                yield batch.slice(at, i + 1 - at), texts[at : i + 1]
+                at, held = i + 1, 0
+
+
+def shingle_sets(levels: np.ndarray, texts: list[str | None], n: int) -> list[np.ndarray]:
     """The sorted shingle values of each text: 8 bits of rarity over 56 bits of hash."""
-    found = [words_of(t) for t in texts]
-    sizes = [len(w) for w in found]
-    ids = words.ids([w for ws in found for w in ws])
-    if not len(ids):
-        return [np.zeros(0, np.uint64) for _ in texts]
-    h, level = words.hashes[ids], words.rarity[ids]
+    h, sizes = word_hashes(texts)
+    level = levels[h % np.uint64(CELLS)].astype(np.uint64)
 
     def rolled(h: np.ndarray, level: np.ndarray, k: int) -> np.ndarray:
         size = len(h) - k + 1
@@ -85,7 +103,7 @@ def shingle_sets(words: Words, texts: list[str | None], n: int) -> list[np.ndarr
 
     every = rolled(h, level, n) if len(h) >= n else None
     out, at = [], 0
-    for size in sizes:
+    for size in sizes.tolist():
         if size >= n:
             out.append(np.unique(every[at : at + size - n + 1]))
         elif size:
@@ -100,11 +118,9 @@ def rarity_levels(docs: DataFrame, text: str) -> np.ndarray:
     """log2 of the number of occurrences of all words in a cell, for each cell; over all rows."""
 
     def count(batches):
-        words, total, cells = Words(None), np.zeros(CELLS, np.int64), np.zeros(0, np.int64)
-        for _, texts in tokens.text_batches(batches, text_at=0):
-            ids = words.ids([w for t in texts for w in words_of(t)])
-            cells = (words.hashes[: words.size] % np.uint64(CELLS)).astype(np.int64)
-            np.add.at(total, cells, np.bincount(ids, minlength=words.size))
+        total = np.zeros(CELLS, np.int64)
+        for _, texts in text_slices(batches, text_at=0):
+            total += np.bincount((word_hashes(texts)[0] % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
         for k in np.flatnonzero(total.reshape(-1, SLICE).any(axis=1)):
             yield pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int32()), "salt": pa.array([int(total.sum()) % SALTS], pa.int32()), "counts": pa.array([total[k * SLICE : (k + 1) * SLICE].tobytes()], pa.binary())})
 
@@ -124,25 +140,12 @@ def rarity_levels(docs: DataFrame, text: str) -> np.ndarray:
     return np.floor(np.log2(total + 1)).astype(np.uint8)
 
 
-def _sets(docs: DataFrame, levels: np.ndarray, n: int) -> DataFrame:
-    """(doc_id, key, elements) of each row of docs (doc_id, text)."""
-
-    def run(batches):
-        words = Words(levels)
-        for part, texts in tokens.text_batches(batches):
-            sets = shingle_sets(words, texts, n)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "key", "elements"])
-
-    return docs.mapInArrow(run, "doc_id long, key binary, elements binary")
-
-
 def _signatures(docs: DataFrame, levels: np.ndarray, n: int, num: int, den: int) -> DataFrame:
     """(doc_id, n_shingles, key, prefix) of each row of docs (doc_id, text)."""
 
     def run(batches):
-        words = Words(levels)
-        for part, texts in tokens.text_batches(batches):
-            sets = shingle_sets(words, texts, n)
+        for part, texts in text_slices(batches):
+            sets = shingle_sets(levels, texts, n)
             prefixes = [s[: trie.prefix_size(len(s), num, den)] if len(s) else s for s in sets]
             flat = np.concatenate(prefixes).view(np.int64) if prefixes else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)), pa.array(flat))
@@ -151,25 +154,6 @@ def _signatures(docs: DataFrame, levels: np.ndarray, n: int, num: int, den: int)
     return docs.mapInArrow(run, "doc_id long, n_shingles long, key binary, prefix array<long>")
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(node, least node of its component) for the nodes of edges a-b that are not the least themselves."""
-    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = ends[: len(a)], ends[len(a) :]
-    label = np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[x], label[y])
-        new = label.copy()
-        np.minimum.at(new, label[x], low)
-        np.minimum.at(new, label[y], low)
-        while (new[new] != new).any():
-            new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    other = np.flatnonzero(label != np.arange(len(nodes)))
-    return nodes[other], nodes[label[other]]
-
-
 def _candidates(reps: DataFrame) -> DataFrame:
     """(a, b): edges that join all representatives with a common prefix element; a forest for each task."""
 
@@ -206,30 +190,36 @@ def _candidates(reps: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _linked(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): links that join the components inside each (block, chunk) of rows (block, chunk, rep, label, elements)."""
+def _linked(rows: DataFrame, levels: np.ndarray, n: int, num: int, den: int) -> DataFrame:
+    """(a, b): links that join the components inside each (block, chunk) of rows (block, chunk, rep, label, text)."""
 
     def solve(group):
-        ids, labels, sets = zip(*group, strict=True)
-        own = trie.components([np.frombuffer(s, np.uint64) for s in sets], num, den, None if labels[0] is None else list(labels))
+        ids, labels, texts = zip(*group, strict=True)
+        sets, at, held = [], 0, 0
+        for i, t in enumerate(texts):
+            held += len(t or "")
+            if held >= SEGMENT or i == len(texts) - 1:
+                sets += shingle_sets(levels, list(texts[at : i + 1]), n)
+                at, held = i + 1, 0
+        own = trie.components(sets, num, den, None if labels[0] is None else list(labels))
         return [(ids[i], ids[r]) for i, r in enumerate(own) if ids[i] != ids[r]]
 
     def run(batches):
-        at, group = None, []
-
-        def links():
-            out = solve(group) if len(group) > 1 else []
-            return [pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])] if out else []
-
+        at, group, found = None, [], []
         for batch in batches:
-            for block, chunk, rep, label, elements in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for block, chunk, rep, label, text in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if (block, chunk) != at:
-                    yield from links()
+                    found += solve(group) if len(group) > 1 else []
                     at, group = (block, chunk), []
-                group.append((rep, label, elements))
-        yield from links()
-
-    ordered = rows.select("block", "chunk", "rep", "label", "elements").repartition("block", "chunk").sortWithinPartitions("block", "chunk")
+                group.append((rep, label, text))
+            if len(found) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
+                found = []
+        found += solve(group) if len(group) > 1 else []
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
+
+    ordered = rows.select("block", "chunk", "rep", "label", "text").repartition("block", "chunk").sortWithinPartitions("block", "chunk")
     return ordered.mapInArrow(run, "a long, b long")
 
 
@@ -240,7 +230,7 @@ def _chunk(rep: Column, chunks: Column) -> Column:
 def _in_chunks(rows: DataFrame, everywhere: Column, label: Column) -> DataFrame:
     """Each row in its own chunk, and rows that are `everywhere` in all chunks of their block."""
     own = _chunk(F.col("rep"), F.col("chunks"))
-    return rows.select("block", F.explode(F.when(everywhere, F.sequence(F.lit(0), F.col("chunks").cast("int") - 1)).otherwise(F.array(own))).alias("chunk"), "rep", label.cast("long").alias("label"), "elements")
+    return rows.select("block", F.explode(F.when(everywhere, F.sequence(F.lit(0), F.col("chunks").cast("int") - 1)).otherwise(F.array(own))).alias("chunk"), "rep", label.cast("long").alias("label"), "text")
 
 
 def _repeats(signed: DataFrame, reps: DataFrame) -> DataFrame:
@@ -264,25 +254,24 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, k
     reps = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min(F.struct("doc_id", "n_shingles", "prefix")).alias("r"))
     reps = stored(reps.select("key", F.col("r.doc_id").alias("rep"), F.col("r.n_shingles").alias("size"), F.col("r.prefix").alias("prefix")), "reps")
     near = connected_components(_candidates(reps)).select(F.col("node").alias("rep"), F.col("component").alias("block"))
-    nodes = near.join(reps.select("rep", "key", "size"), "rep")
+    nodes = near.join(reps.select("rep", "size"), "rep")
     blocks = nodes.groupBy("block").agg(F.ceil(F.sum("size") / chunk).alias("chunks"), F.array(F.min("rep"), F.max("rep"), F.min_by("rep", F.xxhash64("rep")), F.max_by("rep", F.xxhash64("rep"))).alias("pivots"))
     large = F.broadcast(blocks.filter("chunks > 1"))  # at most a row for every `chunk` elements of the input
     nodes = stored(nodes.join(large, "block", "left").fillna({"chunks": 1}), "nodes")
     bits = blooms.n_blocks(docs.count())
     marks = blooms.repeated_bits(nodes.select(F.xxhash64("rep").alias("_h")), "_h", bits, least=1)
     some = blooms.flag_repeated(docs.withColumn("_h", F.xxhash64("doc_id")), "_h", marks, bits, "_some").filter("_some").select("doc_id", "text")
-    sets = _sets(some, levels, n).withColumnRenamed("doc_id", "rep").dropDuplicates(["rep", "key"])
-    placed = stored(nodes.join(sets, ["rep", "key"]), "sets")
+    placed = nodes.join(some.withColumnRenamed("doc_id", "rep"), "rep")
     none = F.lit(None)
-    links = _linked(placed.filter("chunks = 1").select("block", F.lit(0).alias("chunk"), "rep", none.cast("long").alias("label"), "elements"), num, den)
-    if placed.filter("chunks > 1").limit(1).count():
-        hot = placed.filter("chunks > 1")
-        first = stored(_linked(_in_chunks(hot, F.array_contains("pivots", F.col("rep")), none), num, den), "links")
+    links = _linked(placed.filter("chunks = 1").select("block", F.lit(0).alias("chunk"), "rep", none.cast("long").alias("label"), "text"), levels, n, num, den)
+    if nodes.filter("chunks > 1").limit(1).count():
+        hot = stored(placed.filter("chunks > 1"), "hot")
+        first = stored(_linked(_in_chunks(hot, F.array_contains("pivots", F.col("rep")), none), levels, n, num, den), "links")
         found = connected_components(first).select(F.col("node").alias("rep"), F.col("component").alias("_c"))
         hot = stored(hot.join(found, "rep", "left").withColumn("own", F.coalesce("_c", "rep")).drop("_c"), "labelled")
         main = hot.groupBy("block", "own").agg(F.count("*").alias("_n")).groupBy("block").agg(F.max_by("own", "_n").alias("main"))
         again = hot.join(F.broadcast(main), "block")  # a row for each large block
-        second = _linked(_in_chunks(again, F.col("own") != F.col("main"), F.col("own")), num, den)
+        second = _linked(_in_chunks(again, F.col("own") != F.col("main"), F.col("own")), levels, n, num, den)
         links = links.unionByName(first).unionByName(second)
     final = connected_components(links.unionByName(_repeats(signed, reps)))
     whole = reps.select("key", "rep").join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id"))

@@ -54,8 +54,8 @@ def corpus(seed, docs=120):
 def test_trie_components(seed, similar):
     n, num, den = similar
     rows = corpus(seed)
-    words = shingle_join.Words((np.arange(shingle_join.CELLS) % 7).astype(np.uint8))
-    sets = shingle_join.shingle_sets(words, [t for _, t in rows], n)
+    levels = (np.arange(shingle_join.CELLS) % 7).astype(np.uint8)
+    sets = shingle_join.shingle_sets(levels, [t for _, t in rows], n)
     seen, keys = {}, []
     for (k, _), s in zip(rows, sets, strict=True):
         if s.tobytes() not in seen:
@@ -71,6 +71,15 @@ def test_trie_components(seed, similar):
     assert {k: by_set[s.tobytes()] for (k, _), s in zip(rows, sets, strict=True)} == want
 
 
+def test_word_hashes_do_not_depend_on_the_batch(monkeypatch):
+    texts = ["The cat\tsat", None, "", "  the CAT ", "é É cat", "sat the"]
+    h, n = shingle_join.word_hashes(texts)
+    assert n.tolist() == [3, 0, 0, 2, 3, 2]
+    assert h[0] == h[3] == h[9] and h[1] == h[4] == h[7] and h[2] == h[8] and h[5] != h[6]
+    monkeypatch.setattr(shingle_join, "SEGMENT", 3)
+    assert (shingle_join.word_hashes(texts)[0] == h).all()
+
+
 def test_trie_labels_start_together():
     a, b, c = (np.array(x, np.uint64) for x in ([1, 2, 3], [7, 8, 9], [7, 8, 9, 10]))
     assert len(set(trie.components([a, b, c], 1, 2, [5, 5, 6]))) == 1
