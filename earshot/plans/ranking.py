@@ -24,12 +24,12 @@ def w02(spark, sf):
     return S.quantile_bands(segments(spark, sf), "region", "duration").select(*KEY, "band")
 
 
-@query("w03_timeline_spread", """WITH {seg}, r AS (SELECT *, row_number() OVER (PARTITION BY speaker ORDER BY file_id, seg_no) - 1 AS i, count(*) OVER (PARTITION BY speaker) AS n FROM seg),
+@query("w03_timeline_spread", """WITH {seg}, r AS (SELECT *, row_number() OVER (PARTITION BY speaker ORDER BY file_id, seg_no, snr_db, duration) - 1 AS i, count(*) OVER (PARTITION BY speaker) AS n FROM seg),
 s AS (SELECT *, CASE WHEN n <= 5 THEN i ELSE CASE WHEN i >= floor(4 * n / 5) THEN 4 WHEN i >= floor(3 * n / 5) THEN 3 WHEN i >= floor(2 * n / 5) THEN 2 WHEN i >= floor(n / 5) THEN 1 ELSE 0 END END AS slice FROM r),
-b AS (SELECT *, row_number() OVER (PARTITION BY speaker, slice ORDER BY (snr_db >= 15)::INT DESC, duration DESC, file_id, seg_no) AS k FROM s) SELECT speaker, slice::INT AS slice, file_id, seg_no FROM b WHERE k = 1""")
+b AS (SELECT *, row_number() OVER (PARTITION BY speaker, slice ORDER BY (snr_db >= 15)::INT DESC, duration DESC, file_id, seg_no, snr_db) AS k FROM s) SELECT speaker, slice::INT AS slice, file_id, seg_no FROM b WHERE k = 1""")
 def w03(spark, sf):
     best = [F.desc((F.col("snr_db") >= 15).cast("int")), F.desc("duration")]
-    return S.timeline_spread(segments(spark, sf), "speaker", 5, ["file_id", "seg_no"], best).select("speaker", "slice", *KEY)
+    return S.timeline_spread(segments(spark, sf), "speaker", 5, ["file_id", "seg_no", "snr_db", "duration"], best).select("speaker", "slice", *KEY)
 
 
 @query("w04_diverse_top", """WITH {seg}, f AS (SELECT *, (row_number() OVER (PARTITION BY speaker, file_id ORDER BY snr_db >= 15 DESC, duration DESC, seg_no) > 1)::INT AS again FROM seg),

@@ -23,7 +23,7 @@ def read_registry(spark: SparkSession, path: str, columns=COLUMNS, sep: str = "|
     header = [c.strip().strip('"') for c in first[0].split(sep)] if first else list(columns)
     body = lines.filter(F.col("value") != (first[0] if first else ""))
     schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-    rows = body.select(F.from_csv("value", schema.simpleString()[7:-1].replace(":", " "), {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}).alias("r")).select("r.*")
+    rows = body.select(F.from_csv("value", schema.simpleString()[7:-1].replace(":", " "), {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}).alias("r")).select("r.*")
     rows = rows.select(*[F.coalesce(F.trim(F.col(c)), F.lit("")).alias(c) for c in header])
     for c in columns:
         if c not in header:
