@@ -1,9 +1,10 @@
 """N-gram Jaccard join by prefix trees: components of documents with similar shingle sets, exactly.
 
-1. A count sketch of all words (2**19 cells, merged by Spark) gives every shingle a rarity; shingles are ordered
+1. A count-min sketch of all words (two rows of 2**20 cells, merged by Spark) gives every shingle the rarity of its rarest word; shingles are ordered
    by rarity, then hash, in one 64-bit value, so that rare ones come first in every document alike.
 2. Equal sets become one representative. Each set's prefix, which every linked set must meet, is shuffled by
-   element; sets that share one are candidates, and the components of candidates are blocks.
+   element; sets that share one and are linked by steps of fitting sizes are candidates, and the components of
+   candidates are blocks.
 3. Each block's texts (smaller than their sets) meet once and are linked by tries (trie.py). A block over CHUNK elements is dealt into
    chunks that all hold the block's few pivots; documents that do not end up with the block's main component
    are then compared with every chunk. No pair list is made anywhere, and no task holds more than a chunk and
@@ -23,11 +24,11 @@ from earshot.llm import blooms, trie
 from earshot.operators.components import connected_components, forest
 from earshot.session import stored
 
-CELLS = 1 << 19
+CELLS = 1 << 20
 SLICE = 1 << 14
 SALTS = 4
 SEGMENT = 1 << 20
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -89,17 +90,17 @@ def text_slices(batches, text_at: int = 1):
 def shingle_sets(levels: np.ndarray, texts: list[str | None], n: int) -> list[np.ndarray]:
     """The sorted shingle values of each text: 8 bits of rarity over 56 bits of hash."""
     h, sizes = word_hashes(texts)
-    level = levels[h % np.uint64(CELLS)].astype(np.uint64)
+    level = np.minimum(levels[_cell(h, 0)], levels[_cell(h, 1)]).astype(np.uint64)
 
     def rolled(h: np.ndarray, level: np.ndarray, k: int) -> np.ndarray:
         size = len(h) - k + 1
-        x, r = np.full(size, k, np.uint64), np.zeros(size, np.uint64)
+        x, r = np.full(size, k, np.uint64), np.full(size, 255, np.uint64)
         for i in range(k):
             x = (x ^ h[i : i + size]) * MIX
             x ^= x >> np.uint64(29)
-            r += level[i : i + size]
+            r = np.minimum(r, level[i : i + size])
         x *= MIX
-        return (np.minimum(r, np.uint64(255)) << np.uint64(56)) | (x >> np.uint64(8))
+        return (r << np.uint64(56)) | (x >> np.uint64(8))
 
     every = rolled(h, level, n) if len(h) >= n else None
     out, at = [], 0
@@ -114,13 +115,20 @@ def shingle_sets(levels: np.ndarray, texts: list[str | None], n: int) -> list[np
     return out
 
 
+def _cell(h: np.ndarray, row: int) -> np.ndarray:
+    """The cell of a word hash in one of the sketch's two rows."""
+    return (h % np.uint64(CELLS)).astype(np.int64) if row == 0 else ((h >> np.uint64(40)) % np.uint64(CELLS)).astype(np.int64) + CELLS
+
+
 def rarity_levels(docs: DataFrame, text: str) -> np.ndarray:
-    """log2 of the number of occurrences of all words in a cell, for each cell; over all rows."""
+    """8 * log2 of the number of occurrences of all words in a cell, for each cell of both rows; over all rows of docs."""
 
     def count(batches):
-        total = np.zeros(CELLS, np.int64)
+        total = np.zeros(2 * CELLS, np.int32)
         for _, texts in text_slices(batches, text_at=0):
-            total += np.bincount((word_hashes(texts)[0] % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
+            h = word_hashes(texts)[0]
+            for row in (0, 1):
+                total += np.bincount(_cell(h, row), minlength=2 * CELLS).astype(np.int32)
         for k in np.flatnonzero(total.reshape(-1, SLICE).any(axis=1)):
             yield pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int32()), "salt": pa.array([int(total.sum()) % SALTS], pa.int32()), "counts": pa.array([total[k * SLICE : (k + 1) * SLICE].tobytes()], pa.binary())})
 
@@ -128,16 +136,16 @@ def rarity_levels(docs: DataFrame, text: str) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for k, c in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
-                sums[k] = sums.get(k, 0) + np.frombuffer(c, np.int64)
+                sums[k] = sums.get(k, 0) + np.frombuffer(c, np.int32 if len(c) == 4 * SLICE else np.int64).astype(np.int64)
         for k, c in sums.items():
             yield pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int32()), "salt": pa.array([0], pa.int32()), "counts": pa.array([c.tobytes()], pa.binary())})
 
     schema = "slice int, salt int, counts binary"
     parts = docs.select(text).mapInArrow(count, schema).repartition(16, "slice", "salt").mapInArrow(add, schema)
-    total = np.zeros(CELLS, np.int64)
-    for r in parts.collect():  # at most CELLS / SLICE slices for each salt and partition
+    total = np.zeros(2 * CELLS, np.int64)
+    for r in parts.collect():  # at most 2 * CELLS / SLICE slices for each salt and partition
         total[r.slice * SLICE : (r.slice + 1) * SLICE] += np.frombuffer(r.counts, np.int64)
-    return np.floor(np.log2(total + 1)).astype(np.uint8)
+    return np.minimum(np.round(8 * np.log2(np.maximum(total, 1))), 255).astype(np.uint8)
 
 
 def _signatures(docs: DataFrame, levels: np.ndarray, n: int, num: int, den: int) -> DataFrame:
@@ -154,22 +162,25 @@ def _signatures(docs: DataFrame, levels: np.ndarray, n: int, num: int, den: int)
     return docs.mapInArrow(run, "doc_id long, n_shingles long, key binary, prefix array<long>")
 
 
-def _candidates(reps: DataFrame) -> DataFrame:
-    """(a, b): edges that join all representatives with a common prefix element; a forest for each task."""
+def _candidates(reps: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): edges that join representatives with a common prefix element; a forest for each task.
+
+    An element's sets come by size; no link crosses a step between sizes whose ratio is below num / den.
+    """
 
     def run(batches):
         a, b, held = [], [], 0
-        last = leader = None
+        last, size, leader = None, 0, None
         for batch in batches:
-            e, r = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            e, s, r = (batch.column(i).to_numpy() for i in range(3))
             if not len(e):
                 continue
-            new = np.concatenate([[e[0] != last], e[1:] != e[:-1]])
+            new = np.concatenate([[e[0] != last or size * den < num * s[0]], (e[1:] != e[:-1]) | (s[:-1] * den < num * s[1:])])
             if not new[0]:
                 lead = np.concatenate([[leader], r[new]])[np.cumsum(new)]
             else:
                 lead = r[new][np.cumsum(new) - 1]
-            last, leader = e[-1], lead[-1]
+            last, size, leader = e[-1], s[-1], lead[-1]
             some = lead != r
             if some.any():
                 pairs = np.unique(np.stack([r[some], lead[some]]), axis=1)
@@ -186,7 +197,7 @@ def _candidates(reps: DataFrame) -> DataFrame:
             x, y = forest(np.concatenate(a), np.concatenate(b))
             yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
 
-    rows = reps.select(F.explode("prefix").alias("element"), "rep").repartition("element").sortWithinPartitions("element", "rep")
+    rows = reps.select(F.explode("prefix").alias("element"), "size", "rep").repartition("element").sortWithinPartitions("element", "size", "rep")
     return rows.mapInArrow(run, "a long, b long")
 
 
@@ -233,6 +244,16 @@ def _in_chunks(rows: DataFrame, everywhere: Column, label: Column) -> DataFrame:
     return rows.select("block", F.explode(F.when(everywhere, F.sequence(F.lit(0), F.col("chunks").cast("int") - 1)).otherwise(F.array(own))).alias("chunk"), "rep", label.cast("long").alias("label"), "text")
 
 
+def _tiles(rows: DataFrame) -> DataFrame:
+    """Every chunk of a block with every part of the documents outside its main component, each pair in a task of its own."""
+    own, part = _chunk(F.col("rep"), F.col("chunks")), F.pmod(F.xxhash64("rep", F.lit("rest")), F.col("rests")).cast("int")
+    shown = ["block", "chunk", "rep", F.col("own").alias("label"), "text"]
+    base = rows.withColumn("_r", F.explode(F.sequence(F.lit(0), F.col("rests") - 1))).withColumn("chunk", own * F.col("rests") + F.col("_r")).select(*shown)
+    other = rows.filter("own <> main").withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("chunks").cast("int") - 1)))
+    other = other.filter(F.col("_i") != own).withColumn("chunk", F.col("_i") * F.col("rests") + part).select(*shown)
+    return base.unionByName(other)
+
+
 def _repeats(signed: DataFrame, reps: DataFrame) -> DataFrame:
     """(a, b): links of documents with several texts to each text's representative."""
     pairs = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "key").distinct()
@@ -253,7 +274,7 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, k
     signed = stored(_signatures(docs, levels, n, num, den), "signatures")
     reps = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min(F.struct("doc_id", "n_shingles", "prefix")).alias("r"))
     reps = stored(reps.select("key", F.col("r.doc_id").alias("rep"), F.col("r.n_shingles").alias("size"), F.col("r.prefix").alias("prefix")), "reps")
-    near = connected_components(_candidates(reps)).select(F.col("node").alias("rep"), F.col("component").alias("block"))
+    near = connected_components(_candidates(reps, num, den)).select(F.col("node").alias("rep"), F.col("component").alias("block"))
     nodes = near.join(reps.select("rep", "size"), "rep")
     blocks = nodes.groupBy("block").agg(F.ceil(F.sum("size") / chunk).alias("chunks"), F.array(F.min("rep"), F.max("rep"), F.min_by("rep", F.xxhash64("rep")), F.max_by("rep", F.xxhash64("rep"))).alias("pivots"))
     large = F.broadcast(blocks.filter("chunks > 1"))  # at most a row for every `chunk` elements of the input
@@ -269,9 +290,11 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, k
         first = stored(_linked(_in_chunks(hot, F.array_contains("pivots", F.col("rep")), none), levels, n, num, den), "links")
         found = connected_components(first).select(F.col("node").alias("rep"), F.col("component").alias("_c"))
         hot = stored(hot.join(found, "rep", "left").withColumn("own", F.coalesce("_c", "rep")).drop("_c"), "labelled")
-        main = hot.groupBy("block", "own").agg(F.count("*").alias("_n")).groupBy("block").agg(F.max_by("own", "_n").alias("main"))
-        again = hot.join(F.broadcast(main), "block")  # a row for each large block
-        second = _linked(_in_chunks(again, F.col("own") != F.col("main"), F.col("own")), levels, n, num, den)
+        n_own = hot.groupBy("block", "own").agg(F.count("*").alias("_n"), F.sum("size").alias("_m"))
+        best = n_own.groupBy("block").agg(F.max_by("own", "_n").alias("main"), (F.sum("_m") - F.max_by("_m", "_n")).alias("_rest"))
+        best = best.select("block", "main", F.greatest(F.ceil(F.col("_rest") / chunk), F.lit(1)).cast("int").alias("rests"))
+        again = hot.join(F.broadcast(best), "block")  # a row for each large block
+        second = _linked(_tiles(again), levels, n, num, den)
         links = links.unionByName(first).unionByName(second)
     final = connected_components(links.unionByName(_repeats(signed, reps)))
     whole = reps.select("key", "rep").join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id"))

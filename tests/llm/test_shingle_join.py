@@ -54,7 +54,7 @@ def corpus(seed, docs=120):
 def test_trie_components(seed, similar):
     n, num, den = similar
     rows = corpus(seed)
-    levels = (np.arange(shingle_join.CELLS) % 7).astype(np.uint8)
+    levels = (np.arange(2 * shingle_join.CELLS) % 7).astype(np.uint8)
     sets = shingle_join.shingle_sets(levels, [t for _, t in rows], n)
     seen, keys = {}, []
     for (k, _), s in zip(rows, sets, strict=True):
