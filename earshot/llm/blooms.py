@@ -34,18 +34,18 @@ def repeated_bits(hashes: DataFrame, h: str, blocks: int, least: int = 2) -> Dat
 
 def flag_repeated(df: DataFrame, h: str, bitmaps: DataFrame, blocks: int, flag: str) -> DataFrame:
     """df with a boolean column: may this row's hash occur twice? The bitmaps (at most MAX_BITS bits) are broadcast."""
-    marks = F.broadcast(bitmaps.select(F.col("block").alias("_block"), F.col("bits").alias("_bits")))
-    out = df.join(marks, F.pmod(F.col(h), F.lit(blocks)) == F.col("_block"), "left")
+    marks = F.broadcast(bitmaps.select(F.col("block").alias("_bloom_block"), F.col("bits").alias("_bloom_bits")))
+    out = df.join(marks, F.pmod(F.col(h), F.lit(blocks)) == F.col("_bloom_block"), "left")
     hit = F.lit(True)
     for bit in _bits(F.col(h)):
-        byte = F.conv(F.hex(F.expr("_bits").substr(F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        byte = F.conv(F.hex(F.col("_bloom_bits").substr(F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
         hit = hit & (F.expr("1").bitwiseAND(F.call_function("shiftright", byte, F.pmod(bit, F.lit(8)).cast("int"))) == 1)
-    return out.withColumn(flag, F.coalesce(hit, F.lit(False))).drop("_block", "_bits")
+    return out.withColumn(flag, F.coalesce(hit, F.lit(False))).drop("_bloom_block", "_bloom_bits")
 
 
 def drop_rows(df: DataFrame, key: str, gone: DataFrame) -> DataFrame:
     """df without the rows whose key is in gone (column `key`). Only rows that may be in it are shuffled; null keys stay."""
     blocks = n_blocks(df.count())
-    marks = repeated_bits(gone.select(F.xxhash64(key).alias("_h")), "_h", blocks, least=1)
-    rows = flag_repeated(df.withColumn("_h", F.xxhash64(key)), "_h", marks, blocks, "_maybe").drop("_h")
-    return rows.filter("not _maybe").unionByName(rows.filter("_maybe").join(gone.select(key).distinct(), key, "left_anti").select(*rows.columns)).drop("_maybe")
+    marks = repeated_bits(gone.select(F.xxhash64(key).alias("_bloom_h")), "_bloom_h", blocks, least=1)
+    rows = flag_repeated(df.withColumn("_bloom_h", F.xxhash64(key)), "_bloom_h", marks, blocks, "_bloom_maybe").drop("_bloom_h")
+    return rows.filter("not _bloom_maybe").unionByName(rows.filter("_bloom_maybe").join(gone.select(key).distinct(), key, "left_anti").select(*rows.columns)).drop("_bloom_maybe")

@@ -59,44 +59,50 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", every: in
     return gone.groupBy("_key").agg(F.collect_set(F.struct("no", "h")).alias("removed"))
 
 
-def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", every: int = EVERY, long: int = LONG, least_words: int = LEAST_WORDS) -> DataFrame:
-    """docs with `text` shortened, and n_chunks, removed_chunks, removed_lines added; all rows stay.
-
-    A chunk counts if it has least_words words and two lines, or `long` words. Null text stays null and has one
-    empty chunk. Rows with a null key keep their text; rows that repeat both key and text are cut alike. A text
-    of which every chunk goes becomes empty.
-    """
-    rows = docs.withColumn("_h", F.xxhash64(key))
-    gone = stored(repeated(docs, key, text, every, long, least_words), "removed")
+def _cut(docs: DataFrame, key: str, text: str, every: int, long: int, least_words: int) -> DataFrame:
+    """docs with `text` shortened, and _l_chunks, _l_gone and _l_lines."""
+    gone = stored(repeated(docs, key, text, every, long, least_words).select(F.col("_key").alias("_l_key"), F.col("removed").alias("_l_removed")), "removed")
     blocks = blooms.n_blocks(docs.count())
-    rows = blooms.flag_repeated(rows, "_h", blooms.repeated_bits(gone.withColumn("_h", F.xxhash64("_key")), "_h", blocks, least=1), blocks, "_some").drop("_h")
-    whole = rows.filter("not _some").withColumn("removed", F.lit(None).cast(gone.schema["removed"].dataType))
-    rest = rows.filter("_some").join(gone, F.col(key) == F.col("_key"), "left").drop("_key")
+    marks = blooms.repeated_bits(gone.select(F.xxhash64("_l_key").alias("h")), "h", blocks, least=1)
+    rows = blooms.flag_repeated(docs.withColumn("_l_h", F.xxhash64(key)), "_l_h", marks, blocks, "_l_some").drop("_l_h")
+    whole = rows.filter("not _l_some").withColumn("_l_removed", F.lit(None).cast(gone.schema["_l_removed"].dataType))
+    rest = rows.filter("_l_some").join(gone, F.col(key) == F.col("_l_key"), "left").drop("_l_key")
 
     def mark(c: Column) -> Column:
-        return F.array_contains(F.col("removed"), F.struct(c["no"].alias("no"), F.xxhash64(c["text"]).alias("h")))
+        return F.coalesce(F.array_contains(F.col("_l_removed"), F.struct(c["no"].alias("no"), F.xxhash64(c["text"]).alias("h"))), F.lit(False))
 
-    parts = chunks_of(F.col(text), every, long)
+    both = whole.unionByName(rest).withColumn("_l_c", chunks_of(F.col(text), every, long))
     cut = F.struct(
-        F.array_join(F.transform(F.filter(F.col("_c"), lambda c: ~F.coalesce(mark(c), F.lit(False))), lambda c: c["text"]), "\n").alias("text"),
-        F.aggregate(F.filter(F.col("_c"), lambda c: F.coalesce(mark(c), F.lit(False))), F.struct(F.lit(0).alias("n"), F.lit(0).alias("l")), lambda a, c: F.struct((a["n"] + 1).alias("n"), (a["l"] + c["lines"]).alias("l"))).alias("gone"),
+        F.array_join(F.transform(F.filter(F.col("_l_c"), lambda c: ~mark(c)), lambda c: c["text"]), "\n").alias("text"),
+        F.aggregate(F.filter(F.col("_l_c"), mark), F.struct(F.lit(0).alias("n"), F.lit(0).alias("l")), lambda a, c: F.struct((a["n"] + 1).alias("n"), (a["l"] + c["lines"]).alias("l"))).alias("gone"),
     )
-    both = whole.unionByName(rest).withColumn("_c", parts)
-    out = both.withColumn("_x", F.when(F.col("removed").isNotNull(), cut)).withColumns(
+    some = F.col("_l_removed").isNotNull()
+    out = both.withColumn("_l_x", F.when(some, cut)).withColumns(
         {
-            text: F.when(F.col("removed").isNotNull(), F.col("_x.text")).otherwise(F.col(text)),
-            "n_chunks": F.size("_c"),
-            "removed_chunks": F.coalesce(F.col("_x.gone.n"), F.lit(0)),
-            "removed_lines": F.coalesce(F.col("_x.gone.l"), F.lit(0)),
+            text: F.when(some, F.col("_l_x.text")).otherwise(F.col(text)),
+            "_l_chunks": F.size("_l_c"),
+            "_l_gone": F.coalesce(F.col("_l_x.gone.n"), F.lit(0)),
+            "_l_lines": F.coalesce(F.col("_l_x.gone.l"), F.lit(0)),
         }
     )
-    return out.drop("_some", "removed", "_c", "_x")
+    return out.drop("_l_some", "_l_removed", "_l_c", "_l_x")
+
+
+def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", every: int = EVERY, long: int = LONG, least_words: int = LEAST_WORDS) -> DataFrame:
+    """docs with `text` shortened, and n_chunks, removed_chunks, removed_lines (which replace columns of these names); all rows stay.
+
+    A chunk counts if it has least_words words and two lines, or `long` words. Null text stays null and has one
+    empty chunk. Rows with a null key keep their text; rows that repeat both key and text are cut alike. A text
+    of which every chunk goes becomes empty. An empty table gives no rows.
+    """
+    out = _cut(docs, key, text, every, long, least_words).drop("n_chunks", "removed_chunks", "removed_lines")
+    return out.withColumnsRenamed({"_l_chunks": "n_chunks", "_l_gone": "removed_chunks", "_l_lines": "removed_lines"})
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with repeated chunks cut, without the rows of which nothing is left; empty texts that had nothing to cut stay."""
-    out = line_dedup(docs, key, text)
-    return out.filter((F.col("removed_chunks") == 0) | (F.trim(F.col(text)) != "")).select(*docs.columns)
+    out = _cut(docs, key, text, EVERY, LONG, LEAST_WORDS)
+    return out.filter((F.col("_l_gone") == 0) | (F.trim(F.col(text)) != "")).select(*docs.columns)
 
 
 ORACLE_SQL = f"""
