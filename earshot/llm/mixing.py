@@ -21,7 +21,7 @@ WEIGHTS = (1, 2, 3)
 MOST = 3
 SEED = "mix"
 MAX_PATTERNS = 100_000
-BAND_ROWS = 20_000
+BAND_ROWS = 1_000
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -142,7 +142,7 @@ def _plan(narrow: DataFrame, weights, most: int) -> DataFrame:
     for r in sizes:
         f = min(most * r.n, round(taken[tuple(r.s)]))
         base = f // r.n if r.n else 0
-        plan.append((r["_m_p"], sum(by_source[s] for s in r.s), float(sum(target[s] for s in r.s)), base, f - base * r.n, max(1, min(1 << 20, r.rows // BAND_ROWS * 4))))
+        plan.append((r["_m_p"], sum(by_source[s] for s in r.s), float(sum(target[s] for s in r.s)), base, f - base * r.n, max(1, min(1 << 20, r.rows // BAND_ROWS))))
     schema = "_m_p string, _m_source_size long, _m_target double, _m_base long, _m_rest long, _m_bands long"
     return F.broadcast(narrow.sparkSession.createDataFrame(plan, schema))
 
