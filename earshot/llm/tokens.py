@@ -1,19 +1,20 @@
 """Whole-text token ids from the tokenizers library, looked up by white-space piece.
 
 A tokenizer that drops white space (such as word_bpe_49k) gives a text the ids of its pieces in turn, so
-each worker encodes a distinct piece once and looks the rest up. Pass piecewise=False for any other
-tokenizer. The cache is emptied at MAX_KNOWN pieces, and long pieces never enter it.
+each worker encodes a distinct piece once and looks the rest up; pieces of letters and marks share their parts. Pass piecewise=False for any other
+tokenizer. The caches are emptied at MAX_KNOWN pieces and MAX_CORES parts, and long pieces never enter them.
 """
 
 from __future__ import annotations
 
 import os
-
-import numpy as np
+from array import array
 
 WORD_BPE = "word_bpe_49k.json"
-MAX_KNOWN = 500_000
+MAX_KNOWN = 200_000
+MAX_CORES = 300_000
 LONG_PIECE = 64
+MARKS = "!\"#$%&()*+,-./:;=?@[\\]^_{}~"  # marks that no special token or contraction has
 _encoders: dict = {}
 
 
@@ -28,10 +29,30 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.piecewise, self.known = Tokenizer.from_file(path), piecewise, {"": b""}
+        self.tokenizer, self.piecewise = Tokenizer.from_file(path), piecewise
+        self.known, self.cores = {"": b""}, {}
+        self.folds = piecewise and self._ids(["Az"]) == self._ids(["az"])
+        self.parts = piecewise and self._ids(["az.,"]) == [b"".join(self._ids(["az", ".,"]))]
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        """Put new pieces into known. A run of letters and the marks after it are encoded apart, and once in any ASCII case."""
+        whole, split = [], []
+        for piece in new:
+            core = piece.rstrip(MARKS) if self.parts else piece
+            if core.isalpha():
+                split.append((piece, core.lower() if self.folds and core.isascii() else core, piece[len(core) :]))
+            else:
+                whole.append(piece)
+        cores = self.cores
+        if len(cores) > MAX_CORES:
+            cores.clear()
+        missing = list({x for _, a, b in split for x in (a, b) if x and x not in cores})
+        cores.update(zip(missing, self._ids(missing), strict=True))
+        self.known.update((piece, cores[a] + cores[b] if b else cores[a]) for piece, a, b in split)
+        self.known.update(zip(whole, self._ids(whole), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; None counts as empty."""
@@ -43,7 +64,7 @@ class Encoder:
         split = [t.replace("\n", " ").split(" ") for t in texts]
         known = self.known
         new = list(set().union(*split).difference(known)) if split else []
-        known.update(zip(new, self._ids(new), strict=True))
+        self._learn(new)
         out = [b"".join(map(known.__getitem__, pieces)) for pieces in split]
         for piece in new:
             if len(piece) > LONG_PIECE:
