@@ -2,7 +2,7 @@
 
 Training takes a bounded sample of labelled documents (PER_LABEL for each label, texts up to MAX_CHARS). A
 token of a toxic document is labelled toxic when one of its spelling features is far commoner in toxic
-documents than in others (see weak_labels). The field has two states, hashed spelling features and learned
+documents than in others (see weak_labels); of copies in the sample one votes. The field has two states, hashed spelling features and learned
 transitions. Scoring runs forward-backward over whole texts of any length inside Arrow batches; a document's
 score is a logistic function of its largest and its mean token marginal.
 """
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from earshot.llm import chain, samples, tokens
 
-PER_LABEL = 2000
+PER_LABEL = 1000
 MAX_CHARS = 20_000
 BUCKETS = 1 << 18
 ROUNDS = 40
@@ -33,15 +33,29 @@ SCORED = "doc_id long, held_out boolean, score double, predicted int, spans arra
 
 
 def spellings(token: str) -> list[str]:
-    """The features of a token: itself, its first three to six letters and its last three."""
+    """The features of a token: itself, its first four to nine letters and its last three."""
     w = token.lower()[:LONG]
-    return [f"w{w}", *(f"{n}{w[:n]}" for n in range(3, 7) if len(w) > n), f"s{w[-3:]}"]
+    return [f"w{w}", *(f"{n}{w[:n]}" for n in range(4, 10) if len(w) > n), f"s{w[-3:]}"]
 
 
 def hashed(token: str) -> list[int]:
     return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % BUCKETS for x in spellings(token)]
 
 
+def one_of_copies(documents: list[list[str]], hashes: int = 4, n: int = 3) -> np.ndarray:
+    """Places of documents that share no minimum hash of their n-word shingles with one before: copies must not vote again."""
+    seen, keep = set(), []
+    rng = np.random.default_rng(11)
+    a = rng.integers(1, 1 << 62, hashes).astype(np.uint64) | np.uint64(1)
+    for i, words in enumerate(documents):
+        x = np.array([zlib.crc32(" ".join(words[k : k + n]).lower().encode("utf-8", "surrogatepass")) for k in range(max(1, len(words) - n + 1))], np.uint64)
+        least = {(k, int((x * m).min())) for k, m in enumerate(a)}
+        if seen.isdisjoint(least):
+            keep.append(i)
+        seen |= least
+    return np.array(keep, np.int64)
+
+
 def weak_labels(documents: list[list[str]], toxic: np.ndarray, odds: float = 3.0) -> set[str]:
     """Tokens to be labelled toxic in toxic documents: the log odds of one of their features are over `odds`."""
     found = {True: Counter(), False: Counter()}
@@ -103,6 +117,10 @@ def train(rows: list[tuple[str, int]], rounds: int = ROUNDS) -> Model | None:
     if not toxic.any() or toxic.all():
         return None
     documents = [WORD.findall(t or "") for t, _ in rows]
+    keep = one_of_copies(documents)
+    rows, documents, toxic = [rows[i] for i in keep], [documents[i] for i in keep], toxic[keep]
+    if not toxic.any() or toxic.all():
+        return None
     marked = weak_labels(documents, toxic)
     vocabulary: dict[str, int] = {}
     ids = np.array([vocabulary.setdefault(w, len(vocabulary)) for ws in documents for w in ws], np.int64)
