@@ -72,7 +72,7 @@ def reviewed(df: DataFrame) -> DataFrame:
     return df.filter(truthy(F.col("verified_keep")) & ~truthy(F.col("is_excluded")))
 
 
-def controls(df: DataFrame, macro: str = "Non-Libyan", renames: dict | None = None, tiers=C.KEEP_TIERS) -> DataFrame:
+def controls(df: DataFrame, macro: str = "Control", renames: dict | None = None, tiers=C.KEEP_TIERS) -> DataFrame:
     return kept(df.filter(F.col("macro_class") == macro), tiers).withColumnsRenamed(renames or {})
 
 
@@ -86,7 +86,7 @@ def canonical(name: Column, aliases: dict[str, str], known: list[str], special:
 
 
 def macro_class(name: Column) -> Column:
-    return F.when(F.lower(F.regexp_replace(name, "[^A-Za-z]", "")).isin("nonlibyan", "controls", "control"), "Non-Libyan").otherwise("Libyan")
+    return F.when(F.lower(F.regexp_replace(name, "[^A-Za-z]", "")).isin("controls", "control", "nontarget"), "Control").otherwise("Target")
 
 
 def registry_rows(df: DataFrame, region: str | None = None, only_approved: bool = False) -> DataFrame:

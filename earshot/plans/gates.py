@@ -66,7 +66,7 @@ def p07(spark, sf):
 
 @query("p08_controls", """WITH {seg} SELECT file_id, seg_no, playlist AS final_dialect FROM seg WHERE region = 'ASIA' AND NOT is_excluded AND global_actor >= 0 AND tier IN ('Tier1', 'Tier2')""")
 def p08(spark, sf):
-    seg = segments(spark, sf).withColumn("macro_class", F.when(F.col("region") == "ASIA", "Non-Libyan").otherwise("Libyan"))
+    seg = segments(spark, sf).withColumn("macro_class", F.when(F.col("region") == "ASIA", "Control").otherwise("Target"))
     return G.controls(seg, renames={"playlist": "final_dialect"}).select(*KEY, "final_dialect")
 
 
@@ -77,9 +77,9 @@ def p09(spark, sf):
     return both.select("n_nationkey", G.canonical(F.col("r_name"), {"asia": "Far East"}, ["EUROPE"], {"middle east": "Levant"}).alias("canonical"))
 
 
-@query("p10_macro_class", "SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'Non-Libyan' ELSE 'Libyan' END AS macro FROM customer")
+@query("p10_macro_class", "SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'Control' ELSE 'Target' END AS macro FROM customer")
 def p10(spark, sf):
-    folder = F.when(F.col("c_mktsegment") == "BUILDING", "Non_Libyan").otherwise(F.col("c_mktsegment"))
+    folder = F.when(F.col("c_mktsegment") == "BUILDING", "Con_trols").otherwise(F.col("c_mktsegment"))
     return table(spark, sf, "customer").select("c_custkey", G.macro_class(folder).alias("macro"))
 
 

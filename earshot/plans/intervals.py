@@ -61,9 +61,9 @@ def i04(spark, sf):
     return shown(I.split_quietest(t, e))
 
 
-@query("i05_segment_rows", f"""WITH {DUCK} SELECT file_id, speaker_id, round(start, 3) AS start_time, round("end", 3) AS end_time, round("end" - start, 3) AS duration, 'Libyan' AS macro_class FROM turns""")
+@query("i05_segment_rows", f"""WITH {DUCK} SELECT file_id, speaker_id, round(start, 3) AS start_time, round("end", 3) AS end_time, round("end" - start, 3) AS duration, 'Target' AS macro_class FROM turns""")
 def i05(spark, sf):
-    return I.segment_rows(turns(spark, sf), macro_class="Libyan")
+    return I.segment_rows(turns(spark, sf), macro_class="Target")
 
 
 @query("i06_segment_files", f"""WITH {DUCK}, {ATOMS}, {MERGE.format(src='x', gap='1e-6', out='m1')}, {MERGE.format(src='m1', gap='0.5', out='m2').replace('b AS', 'b2 AS').replace('FROM b)', 'FROM b2)').replace('r AS', 'r2 AS').replace('FROM r ', 'FROM r2 ')}, {SPLIT.format(src='m2')}

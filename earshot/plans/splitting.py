@@ -74,9 +74,9 @@ def t07(spark, sf):
     return e.agg(F.count("*").alias("n"), F.min("serve_order").alias("first"), F.max("serve_order").alias("last")).crossJoin(again)
 
 
-@query("t08_capped_stratified", "WITH {seg}, c AS (SELECT DISTINCT region, tier FROM seg) SELECT region, tier, 23 AS n, true AS speaker_ok, true AS channel_ok FROM c")
+@query("t08_capped_stratified", "WITH {seg}, c AS (SELECT DISTINCT region, tier FROM seg) SELECT region, tier, 5 AS n, true AS speaker_ok, true AS channel_ok FROM c")
 def t08(spark, sf):
-    s = T.capped_stratified(keyed(spark, sf), ["region", "tier"], 23, {"speaker": 3, "playlist": 60}, "key")
+    s = T.capped_stratified(keyed(spark, sf), ["region", "tier"], 5, {"speaker": 3, "playlist": 60}, "key")
     ok = s.groupBy("speaker").count().agg((F.max("count") <= 3).alias("speaker_ok")).crossJoin(s.groupBy("playlist").count().agg((F.max("count") <= 60).alias("channel_ok")))
     return s.groupBy("region", "tier").agg(F.count("*").alias("n")).crossJoin(F.broadcast(ok))
 
