@@ -1,9 +1,15 @@
-"""Line dedup by content-defined chunks (DataFrame functions only).
+"""Line dedup by content-defined chunks and by runs of whole lines (DataFrame functions only).
 
 A rolling hash over the hashes of ROLL = 2 lines ends a chunk where it is 0 modulo EVERY; lines of LONG words
 or more stand alone. Boundaries so depend on nearby lines only and come back wherever a passage is repeated.
 A counting Bloom pass over chunk hashes picks the chunks that may repeat; only these are shuffled, grouped by
 their bytes. The first place of each (smallest key, then position) stays, the others are removed.
+
+Chunks miss passages whose neighbours differ, so runs are compared too: for every line the shortest run of whole
+lines from it, and the shortest run up to it, that has LONG words. A passage of LONG words or more that comes
+again in whole lines is covered by such runs on all its lines, and each of them comes again; so all lines of the
+later places go, whatever surrounds them. Runs are grouped by SHA-256 of their bytes. Runs that overlap the first
+place in its own document stay. Every line that goes has an equal line at an earlier place, and the first stays.
 """
 
 from __future__ import annotations
@@ -27,7 +33,7 @@ def _let(value: Column, body) -> Column:
 
 
 def chunks_of(text: Column, every: int = EVERY, long: int = LONG) -> Column:
-    """array<struct<no, text, lines, words>>: the chunks of a text in order; joined by newlines they give the text back."""
+    """array<struct<no, text, lines, words, first>>: the chunks of a text in order; joined by newlines they give the text back."""
 
     def line(x: Column) -> Column:
         return F.struct(F.conv(F.substring(F.md5(x.cast("binary")), 1, 8), 16, 10).cast("long").alias("h"), F.regexp_count(x, F.lit(WORDS)).alias("w"))
@@ -40,7 +46,7 @@ def chunks_of(text: Column, every: int = EVERY, long: int = LONG) -> Column:
     def chunk(lines: Column, m: Column, e: Column, k: Column, last: Column) -> Column:
         first = F.when(k == 0, F.lit(1)).otherwise(F.get(last, k - 1) + 1)
         words = F.aggregate(F.slice(m, first, e - first + 1), F.lit(0), lambda a, x: a + x["w"])
-        return F.struct(k.alias("no"), F.array_join(F.slice(lines, first, e - first + 1), "\n").alias("text"), (e - first + 1).alias("lines"), words.alias("words"))
+        return F.struct(k.alias("no"), F.array_join(F.slice(lines, first, e - first + 1), "\n").alias("text"), (e - first + 1).alias("lines"), words.alias("words"), first.alias("first"))
 
     def cut(lines: Column, m: Column) -> Column:
         return _let(F.filter(F.sequence(F.lit(1), F.size(m)), lambda i: ends(m, i)), lambda last: F.transform(last, lambda e, k: chunk(lines, m, e, k, last)))
@@ -48,6 +54,61 @@ def chunks_of(text: Column, every: int = EVERY, long: int = LONG) -> Column:
     return _let(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda lines: _let(F.transform(lines, line), lambda m: cut(lines, m)))
 
 
+def _lines(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
+
+
+def _run_hash(hashes: Column, start: Column, end: Column) -> Column:
+    return F.xxhash64(F.slice(hashes, start, end - start + 1))
+
+
+def runs_of(text: Column, long: int = LONG, digest: bool = False) -> Column:
+    """array<struct<start, end, h[, d]>>: the shortest runs of whole lines with `long` words, from each line and up to each line.
+
+    d is the SHA-256 of a run's bytes. Work is in proportion to words and runs: `at` has the line of every word.
+    """
+
+    def picked(at: Column) -> Column:
+        def ends(i: Column) -> Column:
+            j = i + long - 1
+            return ~F.get(at, i - 1).eqNullSafe(F.get(at, i)) | ~F.get(at, j + 1).eqNullSafe(F.get(at, j))
+
+        def code(i: Column) -> Column:
+            return F.get(at, i).cast("long") * (1 << 32) + F.get(at, i + long - 1)
+
+        found = F.transform(F.filter(F.sequence(F.lit(0), F.size(at) - long), ends), code)
+        return F.when(F.size(at) >= long, F.array_distinct(found)).otherwise(F.array().cast("array<bigint>"))
+
+    def run(lines: Column, hashes: Column, k: Column) -> Column:
+        start, end = F.floor(k / F.lit(1 << 32)).cast("int"), (k % (1 << 32)).cast("int")
+        parts = [start.alias("start"), end.alias("end"), _run_hash(hashes, start, end).alias("h")]
+        if digest:
+            parts.append(F.unhex(F.sha2(F.array_join(F.slice(lines, start, end - start + 1), "\n").cast("binary"), 256)).alias("d"))
+        return F.struct(*parts)
+
+    def cut(lines: Column) -> Column:
+        at = F.flatten(F.transform(lines, lambda x, i: F.array_repeat(i + 1, F.regexp_count(x, F.lit(WORDS)))))
+        return _let(F.transform(lines, lambda x: F.xxhash64(x)), lambda hashes: F.transform(_let(at, picked), lambda k: run(lines, hashes, k)))
+
+    return _let(_lines(text), cut)
+
+
+def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", long: int = LONG) -> DataFrame:
+    """(_key, runs array<struct<start, end, h>>): for each key, the runs that an earlier place holds."""
+
+    def each(digest: bool) -> DataFrame:
+        return docs.select(F.col(key).alias("_key"), F.explode(runs_of(F.col(text), long, digest)).alias("r")).select("_key", "r.*")
+
+    again = stored(each(False).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "again")
+    blocks = blooms.n_blocks(again.count())
+    maybe = stored(blooms.flag_repeated(each(True), "h", blooms.repeated_bits(again, "h", blocks, least=1), blocks, "_again").filter("_again").drop("_again"), "runs")
+    first = maybe.groupBy("d").agg(F.min(F.struct("_key")).alias("s")).select("d", F.col("s._key").alias("_key"), F.lit(True).alias("first"))
+    here = maybe.filter("_key IS NOT NULL").groupBy("d", "_key").agg(F.min("start").alias("s0"), F.collect_set(F.struct("start", "end", "h")).alias("at"))
+    beyond = F.filter("at", lambda x: x["start"] * 2 - x["end"] > F.col("s0"))
+    gone = here.join(first, ["d", "_key"], "left").select("_key", F.explode(F.when(F.col("first"), beyond).otherwise(F.col("at"))).alias("x"))
+    return gone.groupBy("_key").agg(F.collect_set("x").alias("runs"))
+
+
 def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", every: int = EVERY, long: int = LONG, least_words: int = LEAST_WORDS) -> DataFrame:
     """(key, removed array<struct<no, h>>): for each key that loses chunks, which ones."""
     each = docs.select(F.col(key).alias("_key"), F.explode(chunks_of(F.col(text), every, long)).alias("c")).select("_key", "c.*")
@@ -61,37 +122,46 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", every: in
 
 def _cut(docs: DataFrame, key: str, text: str, every: int, long: int, least_words: int) -> DataFrame:
     """docs with `text` shortened, and _l_chunks, _l_gone and _l_lines."""
-    gone = stored(repeated(docs, key, text, every, long, least_words).select(F.col("_key").alias("_l_key"), F.col("removed").alias("_l_removed")), "removed")
+    both = repeated(docs, key, text, every, long, least_words).join(repeated_runs(docs, key, text, long), "_key", "full")
+    gone = stored(both.select(F.col("_key").alias("_l_key"), F.col("removed").alias("_l_removed"), F.col("runs").alias("_l_runs")), "removed")
     blocks = blooms.n_blocks(docs.count())
     marks = blooms.repeated_bits(gone.select(F.xxhash64("_l_key").alias("h")), "h", blocks, least=1)
     rows = blooms.flag_repeated(docs.withColumn("_l_h", F.xxhash64(key)), "_l_h", marks, blocks, "_l_some").drop("_l_h")
-    whole = rows.filter("not _l_some").withColumn("_l_removed", F.lit(None).cast(gone.schema["_l_removed"].dataType))
+    whole = rows.filter("not _l_some").withColumns({c: F.lit(None).cast(gone.schema[c].dataType) for c in ("_l_removed", "_l_runs")})
     rest = rows.filter("_l_some").join(gone, F.col(key) == F.col("_l_key"), "left").drop("_l_key")
 
     def mark(c: Column) -> Column:
         return F.coalesce(F.array_contains(F.col("_l_removed"), F.struct(c["no"].alias("no"), F.xxhash64(c["text"]).alias("h"))), F.lit(False))
 
     both = whole.unionByName(rest).withColumn("_l_c", chunks_of(F.col(text), every, long))
+
+    def left(lines: Column, hashes: Column) -> Column:
+        runs = F.filter(F.coalesce(F.col("_l_runs"), F.array().cast(gone.schema["_l_runs"].dataType)), lambda r: (r["end"] <= F.size(lines)) & (_run_hash(hashes, r["start"], r["end"]) == r["h"]))
+        chunks = F.transform(F.filter(F.col("_l_c"), mark), lambda c: F.sequence(c["first"], c["first"] + c["lines"] - 1))
+        numbers = F.flatten(F.concat(chunks, F.transform(runs, lambda r: F.sequence(r["start"], r["end"]))))
+        return _let(F.array_except(F.sequence(F.lit(1), F.size(lines)), numbers), lambda kept: F.struct(F.array_join(F.transform(kept, lambda i: F.get(lines, i - 1)), "\n").alias("text"), (F.size(lines) - F.size(kept)).alias("l")))
+
     cut = F.struct(
-        F.array_join(F.transform(F.filter(F.col("_l_c"), lambda c: ~mark(c)), lambda c: c["text"]), "\n").alias("text"),
-        F.aggregate(F.filter(F.col("_l_c"), mark), F.struct(F.lit(0).alias("n"), F.lit(0).alias("l")), lambda a, c: F.struct((a["n"] + 1).alias("n"), (a["l"] + c["lines"]).alias("l"))).alias("gone"),
+        _let(_lines(F.col(text)), lambda lines: _let(F.transform(lines, lambda x: F.xxhash64(x)), lambda hashes: left(lines, hashes))).alias("left"),
+        F.size(F.filter(F.col("_l_c"), mark)).alias("n"),
     )
-    some = F.col("_l_removed").isNotNull()
+    some = F.col("_l_removed").isNotNull() | F.col("_l_runs").isNotNull()
     out = both.withColumn("_l_x", F.when(some, cut)).withColumns(
         {
-            text: F.when(some, F.col("_l_x.text")).otherwise(F.col(text)),
+            text: F.when(some, F.col("_l_x.left.text")).otherwise(F.col(text)),
             "_l_chunks": F.size("_l_c"),
-            "_l_gone": F.coalesce(F.col("_l_x.gone.n"), F.lit(0)),
-            "_l_lines": F.coalesce(F.col("_l_x.gone.l"), F.lit(0)),
+            "_l_gone": F.coalesce(F.col("_l_x.n"), F.lit(0)),
+            "_l_lines": F.coalesce(F.col("_l_x.left.l"), F.lit(0)),
         }
     )
-    return out.drop("_l_some", "_l_removed", "_l_c", "_l_x")
+    return out.drop("_l_some", "_l_removed", "_l_runs", "_l_c", "_l_x")
 
 
 def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", every: int = EVERY, long: int = LONG, least_words: int = LEAST_WORDS) -> DataFrame:
     """docs with `text` shortened, and n_chunks, removed_chunks, removed_lines (which replace columns of these names); all rows stay.
 
-    A chunk counts if it has least_words words and two lines, or `long` words. Null text stays null and has one
+    A chunk counts if it has least_words words and two lines, or `long` words; a run of whole lines if it has `long`
+    words. removed_chunks counts repeated chunks, removed_lines all lines that go, with repeated chunks or runs. Null text stays null and has one
     empty chunk. Rows with a null key keep their text; rows that repeat both key and text are cut alike. A text
     of which every chunk goes becomes empty. An empty table gives no rows.
     """
@@ -100,9 +170,9 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", every:
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with repeated chunks cut, without the rows of which nothing is left; empty texts that had nothing to cut stay."""
+    """docs with repeated chunks and runs cut, without the rows of which no words are left; texts that had nothing to cut stay."""
     out = _cut(docs, key, text, EVERY, LONG, LEAST_WORDS)
-    return out.filter((F.col("_l_gone") == 0) | (F.trim(F.col(text)) != "")).select(*docs.columns)
+    return out.filter((F.col("_l_lines") == 0) | (F.regexp_count(F.col(text), F.lit(WORDS)) > 0)).select(*docs.columns)
 
 
 ORACLE_SQL = f"""

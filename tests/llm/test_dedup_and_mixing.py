@@ -51,6 +51,42 @@ def test_line_dedup(spark):
     assert line_dedup.line_dedup(df.limit(0)).count() == 0
 
 
+def brute_runs(docs, long=50):
+    """{key: line numbers that are in a run of whole lines with `long` words which comes earlier, without overlap}."""
+    seen, gone = {}, defaultdict(set)
+    for k, t in sorted(docs):
+        lines = t.split("\n")
+        for a in range(len(lines)):
+            for b in range(a, len(lines)):
+                if sum(len(x.split()) for x in lines[a : b + 1]) >= long and lines[a].split() and lines[b].split():
+                    k0, a0 = seen.setdefault("\n".join(lines[a : b + 1]), (k, a))
+                    if (k0, a0) != (k, a) and (k0 != k or a0 + b - a < a):
+                        gone[k] |= set(range(a, b + 1))
+    return gone
+
+
+def test_runs_of_whole_lines_go_among_other_neighbours(spark):
+    def words(name, n):
+        return " ".join(f"{name}{i}" for i in range(n))
+
+    docs, k = [], 0
+    for lines, per in [(3, 18), (4, 15), (5, 11), (6, 10), (10, 6)]:
+        for r in range(8):
+            passage = "\n".join(words(f"p{lines}x{r}y{i}_", per) for i in range(lines))
+            for end in "ab":
+                docs.append((k := k + 1, f"{words(f'o{k}', 7)}\n{passage}\n{words(f'q{k}', 9)}\n\nlast {end} {k}"))
+    docs += [(k + 1, "\n".join(["again and again"] * 60)), (k + 2, "\n".join(["one", "", "two three"] * 40))]
+    got = {r.doc_id: r for r in line_dedup.line_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    gone = brute_runs(docs)
+    assert len(gone) == 42
+    for k, t in docs[:-2]:
+        assert got[k].text == "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[k])
+        assert got[k].removed_lines == len(gone[k])
+    for k, t in docs[-2:]:
+        assert gone[k] and not {x for i, x in enumerate(t.split("\n")) if i not in gone[k]} - set(got[k].text.split("\n"))
+        assert got[k].removed_lines >= len(gone[k])
+
+
 def test_chunks_join_to_the_text(spark):
     texts = ["", "\n", "a\n\nb", LINE, BLOCK + "\n" + LINE + "\n\n" + BLOCK]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.array_join(F.transform(line_dedup.chunks_of(F.col("t")), lambda c: c["text"]), "\n").alias("j"))
