@@ -209,12 +209,12 @@ def p28(spark, sf):
 
 @query("x01_sanitize", """SELECT page_id, trim(regexp_replace(translate(substr(html, 1, 400), '|' || chr(10) || chr(13) || chr(9), '/   '), '"{2,}', '"', 'g')) AS clean FROM pages""")
 def x01(spark, sf):
-    return table(spark, sf, "pages").select("page_id", T.sanitize(F.substring("html", 1, 400)).alias("clean"))
+    return table(spark, sf, "pages").select("page_id", T.sanitize(F.col("html")).alias("clean"))
 
 
 @query("x02_normalize_name", "SELECT doc_id, trim(regexp_replace(lower(substr(text, 1, 200)), '[^0-9a-z؀-ۿ]+', ' ', 'g')) AS name FROM documents")
 def x02(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.normalize_name(F.substring("text", 1, 200)).alias("name"))
+    return table(spark, sf, "documents").select("doc_id", T.normalize_name(F.col("text")).alias("name"))
 
 
 @query("x03_normalize_title", "SELECT page_id, trim(regexp_replace(lower(translate(url, '｜_|', '   ')), '\\s+', ' ', 'g')) AS title FROM pages")

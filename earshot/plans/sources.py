@@ -44,7 +44,7 @@ def s02(spark, sf):
 @query("s03_write_registry", """SELECT doc_id::VARCHAR AS doc_id, trim(translate(replace(substr(text, 1, 80), '"', ''), '|' || chr(10) || chr(13) || chr(9), '/   ')) AS title FROM documents""")
 def s03(spark, sf):
     path = place(spark, "written")
-    d = table(spark, sf, "documents").select("doc_id", F.regexp_replace(F.substring("text", 1, 80), '"', "").alias("title"))
+    d = table(spark, sf, "documents").select("doc_id", F.regexp_replace("text", '"', "").alias("title"))
     R.write_registry(d, path)
     return spark.read.option("header", True).option("sep", "|").schema("doc_id string, title string").csv(path).select("doc_id", F.coalesce("title", F.lit("")).alias("title"))
 
