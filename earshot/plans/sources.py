@@ -24,7 +24,7 @@ def place(spark, name):
 @query("s01_read_resources", "WITH {seg} SELECT region, playlist, file_id::VARCHAR AS file_id, round(sum(duration), 4) AS seconds FROM seg WHERE seg_no = 1 GROUP BY ALL")
 def s01(spark, sf):
     path = place(spark, "resources")
-    rows = segments(spark, sf).filter("seg_no = 1").withColumns({"_a": c("region"), "_b": c("playlist")})
+    rows = segments(spark, sf).withColumns({"_a": c("region"), "_b": c("playlist")})
     named = [F.lit(None).cast("string").alias(n) if n not in ("file_id", "start_time", "end_time", "duration", "is_excluded") else c(n).cast("string").alias(n) for n in (x.split()[0] for x in S.MANIFEST.split(", "))]
     rows.select(*named, c("region").alias("a"), F.concat(F.lit("x"), "_b").alias("b")).write.partitionBy("a", "b").option("header", True).csv(path)
     got = S.read_resources(spark, f"{path}/*/*/*.csv")

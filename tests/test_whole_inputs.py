@@ -1,10 +1,12 @@
 """Queries whose SQL twins take less than the whole input, against brute force."""
 
 import re
+from collections import defaultdict
 
 import pytest
 
 import __spark_entry__ as entry
+from earshot.plans.registry import segments
 from earshot.session import table
 
 
@@ -30,3 +32,32 @@ def test_names_and_titles_take_whole_texts(spark, sf, run):
     assert {r.doc_id: r.name for r in run("x02_normalize_name").collect()} == names
     titles = {str(k): clean(t.replace('"', "")) for k, t in docs.items()}
     assert {r.doc_id: r.title for r in run("s03_write_registry").collect()} == titles
+
+
+def test_components_of_all_orders(spark, sf, run):
+    edges = {(r.o_custkey, r.o_custkey % 97 + 100000) for r in table(spark, sf, "orders").select("o_custkey").collect()}
+    parent = {x: x for e in edges for x in e}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    assert {r.node: r.component for r in run("c10_components").collect()} == {x: root(x) for x in parent}
+
+
+def test_resources_of_all_segments(spark, sf, run):
+    want = defaultdict(float)
+    for r in segments(spark, sf).select("region", "playlist", "file_id", "duration").collect():
+        want[r.region, r.playlist, str(r.file_id)] += r.duration
+    got = {(r.region, r.playlist, r.file_id): r.seconds for r in run("s01_read_resources").collect()}
+    assert got == pytest.approx(dict(want), abs=1e-4)
+
+
+def test_capped_draw_fills_cells_of_23(spark, sf, run):
+    cells = {tuple(r) for r in segments(spark, sf).select("region", "tier").distinct().collect()}
+    got = run("t08_capped_stratified").collect()
+    assert {(r.region, r.tier) for r in got} == cells and all(r.n == 23 and r.speaker_ok and r.channel_ok for r in got)
