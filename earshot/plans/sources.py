@@ -61,20 +61,35 @@ def s05(spark, sf):
 @query("s06_read_sidecars", "SELECT p_name AS title, p_retailprice AS duration FROM part WHERE p_partkey <= 50")
 def s06(spark, sf):
     path = place(spark, "sidecars")
-    p = table(spark, sf, "part").filter("p_partkey <= 50").select(c("p_name").alias("title"), c("p_retailprice").alias("duration"), "p_partkey")
-    p.write.partitionBy("p_partkey").json(path)
+    p = table(spark, sf, "part").select(c("p_name").alias("title"), c("p_retailprice").alias("duration"), "p_brand")
+    p.write.partitionBy("p_brand").option("maxRecordsPerFile", 1).json(path)
     return S.read_sidecars(spark, path).select("title", "duration")
 
 
+def make_files(rows):
+    """Files of one byte at the paths of rows, on any file system that Arrow knows."""
+    from pyarrow.fs import FileSystem
+
+    for r in rows:
+        files, at = FileSystem.from_uri(r.path)
+        files.create_dir(at.rsplit("/", 1)[0])
+        with files.open_output_stream(at) as out:
+            out.write(b"x")
+
+
+def episode_tree(spark, sf):
+    """A folder for each brand, in it audio and turns for each part, and a sidecar where its key modulo 20 is below 10."""
+    path = place(spark, "tree")
+    p = table(spark, sf, "part").select(F.explode(F.array(F.lit("wav"), F.lit("rttm"), F.lit("json"))).alias("ext"), "p_brand", "p_partkey").filter("ext <> 'json' OR p_partkey % 20 < 10")
+    uri = path if ":" in path else f"file://{path}"
+    p.select(F.concat(F.lit(f"{uri}/"), F.replace("p_brand", F.lit("#"), F.lit("-")), F.lit("/"), c("p_partkey").cast("string"), F.lit("."), c("ext")).alias("path")).foreachPartition(make_files)
+    return path
+
+
 @query("s07_list_episodes", "SELECT o_custkey % 20 AS k, true AS has_turns, o_custkey % 20 < 10 AS has_sidecar FROM orders GROUP BY ALL")
 def s07(spark, sf):
-    path = place(spark, "tree")
-    k = table(spark, sf, "orders").select((c("o_custkey") % 20).alias("k")).distinct()
-    every = k.select(F.explode(F.array(F.lit("wav"), F.lit("rttm"), F.lit("json"))).alias("ext"), "k").filter("ext <> 'json' OR k < 10")
-    paths = every.select(F.concat(F.lit(f"{path}/"), c("k").cast("string"), F.lit("/ep."), c("ext")).alias("path"))
-    at = paths.select(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("folder"), F.regexp_extract("path", r"([^/]*)\.([^./]*)$", 1).alias("stem"), F.regexp_extract("path", r"\.([^./]*)$", 1).alias("ext"))
-    got = S.with_siblings(at)
-    return got.select(F.element_at(F.split("folder", "/"), -1).cast("long").alias("k"), "has_turns", "has_sidecar")
+    k = F.try_to_number("stem", F.lit("999999999999")).cast("long") % 20
+    return S.list_episodes(spark, episode_tree(spark, sf)).select(k.alias("k"), "has_turns", "has_sidecar").distinct()
 
 
 @query("s09_keyword_bank", "SELECT DISTINCT event_type AS region, 'k' || (user_id % 7) AS keyword FROM events")

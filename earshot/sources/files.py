@@ -36,9 +36,20 @@ def with_siblings(files: DataFrame, audio: str = "wav") -> DataFrame:
     return files.groupBy("folder", "stem").agg(F.bool_or(ext == audio).alias("audio"), F.bool_or(ext == "rttm").alias("has_turns"), F.bool_or(ext == "json").alias("has_sidecar")).filter("audio").drop("audio")
 
 
+def _listed(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+
+
+def list_harvest(spark: SparkSession, path: str, exts: tuple[str, ...] = ("wav",)) -> DataFrame:
+    """(macro, sub, playlist, file) of the files <macro>/<sub>/<playlist>/<file> under path with one of the extensions."""
+    parts = F.split("path", "/")
+    files = _listed(spark, path).filter(F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1)).isin(*exts))
+    return files.select(*[F.element_at(parts, k).alias(n) for k, n in ((-4, "macro"), (-3, "sub"), (-2, "playlist"), (-1, "file"))])
+
+
 def list_episodes(spark: SparkSession, path: str, audio: str = "wav") -> DataFrame:
-    """with_siblings() of a tree's files; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+    """with_siblings() of a tree's files; contents are not read. Spark lists no empty files."""
+    files = _listed(spark, path)
     return with_siblings(files.select(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("folder"), F.regexp_extract("path", r"([^/]*)\.([^./]*)$", 1).alias("stem"), F.regexp_extract("path", r"\.([^./]*)$", 1).alias("ext")), audio)
 
 

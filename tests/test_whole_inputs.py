@@ -1,13 +1,15 @@
 """Queries whose SQL twins take less than the whole input, against brute force."""
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 
 import __spark_entry__ as entry
 from earshot.plans.registry import segments
+from earshot.plans.sources import episode_tree
 from earshot.session import table
+from earshot.sources import files
 
 
 @pytest.fixture(scope="module")
@@ -61,3 +63,22 @@ def test_capped_draw_fills_cells_of_23(spark, sf, run):
     cells = {tuple(r) for r in segments(spark, sf).select("region", "tier").distinct().collect()}
     got = run("t08_capped_stratified").collect()
     assert {(r.region, r.tier) for r in got} == cells and all(r.n == 23 and r.speaker_ok and r.channel_ok for r in got)
+
+
+def test_sidecars_of_all_parts(spark, sf, run):
+    want = sorted((r.p_name, r.p_retailprice) for r in table(spark, sf, "part").collect())
+    assert len(want) > 50 and sorted(map(tuple, run("s06_read_sidecars").collect())) == want
+
+
+def test_episodes_of_all_parts_from_a_tree_on_disk(spark, sf, run, monkeypatch):
+    parts = table(spark, sf, "part").collect()
+    got = {(r.folder.rsplit("/", 1)[1], r.stem): (r.has_turns, r.has_sidecar) for r in files.list_episodes(spark, episode_tree(spark, sf)).collect()}
+    assert got == {(r.p_brand.replace("#", "-"), str(r.p_partkey)): (True, r.p_partkey % 20 < 10) for r in parts}
+    tree = episode_tree(spark, sf)
+    root, brands = tree.split("/")[-1], Counter(r.p_brand.replace("#", "-") for r in parts)
+    listed = files.list_harvest(spark, tree, ("rttm", "json")).collect()
+    assert {r.sub for r in listed} == {root} and all(r.file.endswith((".rttm", ".json")) for r in listed)
+    assert Counter(r.playlist for r in listed if r.file.endswith("rttm")) == brands
+    calls, real = [], files.list_episodes
+    monkeypatch.setattr(files, "list_episodes", lambda *a: calls.append(a) or real(*a))
+    assert len(run("s07_list_episodes").collect()) == 20 and calls
