@@ -13,9 +13,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from earshot.session import stored
+
 #: (verdict, host and path prefix)
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 TRAIN_ROWS = 20_000
+#: So many suffixes are broadcast at most; rarer ones are joined by a shuffle.
 SUFFIXES = 10_000
 TREES, DEPTH = 10, 3
 FEATURES = ["length", "host_length", "path_length", "depth", "labels", "digits", "host_digits", "hyphens", "entropy", "parameters", "fragment", "secure", "suffix1", "suffix2", "suffix3"]
@@ -68,9 +71,27 @@ def lexical(df: DataFrame) -> DataFrame:
 
 
 def _rates(labelled: DataFrame, n: int) -> DataFrame:
-    """Smoothed block rates of the commonest host suffixes of n labels, at most SUFFIXES rows."""
+    """Smoothed block rates of all host suffixes of n labels."""
     grouped = labelled.groupBy(_suffix(F.col("host"), n).alias(f"_s{n}")).agg(F.sum("label").alias("_b"), F.count("*").alias("_n"))
-    return grouped.orderBy(F.desc("_n"), f"_s{n}").limit(SUFFIXES).select(f"_s{n}", ((F.col("_b") + 1) / (F.col("_n") + 2)).alias(f"suffix{n}"))
+    return stored(grouped.select(f"_s{n}", "_n", ((F.col("_b") + 1) / (F.col("_n") + 2)).alias(f"suffix{n}")), "rates")
+
+
+def _parted(rates: DataFrame, n: int) -> tuple[DataFrame, DataFrame | None]:
+    """The commonest SUFFIXES rates, and the rarer ones if there are any."""
+    common = rates.orderBy(F.desc("_n"), f"_s{n}").limit(SUFFIXES)
+    rare = stored(rates.join(F.broadcast(common.select(f"_s{n}")), f"_s{n}", "left_anti").drop("_n"), "rare") if rates.count() > SUFFIXES else None
+    return common.drop("_n"), rare
+
+
+def _with_rate(df: DataFrame, n: int, common: DataFrame, rare: DataFrame | None) -> DataFrame:
+    df = df.withColumn(f"_s{n}", _suffix(F.col("host"), n)).join(F.broadcast(common), f"_s{n}", "left")
+    if rare is None:
+        return df
+    # rows that have their rate get keys that fit nothing, so that common suffixes do not meet in one task
+    spread = F.concat(F.lit("/"), F.xxhash64("url", "path").cast("string"))
+    df = df.withColumn("_rare", F.when(F.col(f"suffix{n}").isNull(), F.col(f"_s{n}")).otherwise(spread))
+    df = df.join(rare.select(F.col(f"_s{n}").alias("_rare"), F.col(f"suffix{n}").alias("_rate")), "_rare", "left")
+    return df.withColumn(f"suffix{n}", F.coalesce(f"suffix{n}", "_rate")).drop("_rare", "_rate")
 
 
 def judge(pages: DataFrame, rules=None, key: str = "page_id", url: str = "url") -> DataFrame:
@@ -88,12 +109,12 @@ def judge(pages: DataFrame, rules=None, key: str = "page_id", url: str = "url")
     labelled = rows.filter("rule IS NOT NULL").withColumn("label", F.col("rule").isin(blocks).cast("double"))
     decided, blocked = labelled.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     if 0 < blocked < decided:
-        rates = [_rates(labelled, n) for n in (1, 2, 3)]
+        rates = [_parted(_rates(labelled, n), n) for n in (1, 2, 3)]
 
         def ready(df: DataFrame) -> DataFrame:
             df = lexical(df)
             for n, r in enumerate(rates, 1):
-                df = df.withColumn(f"_s{n}", _suffix(F.col("host"), n)).join(F.broadcast(r), f"_s{n}", "left")
+                df = _with_rate(df, n, *r)
             return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(df.fillna(0.5, [f"suffix{n}" for n in (1, 2, 3)]))
 
         share = min(1.0, TRAIN_ROWS / decided)

@@ -115,6 +115,19 @@ def test_trees_learn_from_ruled_urls(spark):
     assert got[1000].rule is None and got[1000].verdict == "block" and got[1000].block_probability > 0.5
 
 
+def test_rare_suffixes_keep_their_rates(spark, monkeypatch):
+    rows = [(i, f"https://h{i % 7}.{'bad' if i % 2 else 'good'}{i % 5}.com/{'en' if i % 2 else 'en/7'}/{i}") for i in range(400)]
+    pages = spark.createDataFrame([(i, u.replace(".com/en/7", ".example.com/en/7")) for i, u in rows], "page_id long, url string")
+    want = sorted(map(tuple, url_filter.judge(pages).collect()))
+    labelled = pages.select(url_filter.host_of(F.col("url")).alias("host"), (F.col("page_id") % 2).cast("double").alias("label"))
+    monkeypatch.setattr(url_filter, "SUFFIXES", 2)
+    assert url_filter._rates(labelled, 3).count() > 2
+    common, rare = url_filter._parted(url_filter._rates(labelled, 3), 3)
+    got = url_filter._with_rate(labelled.withColumns({"url": F.col("host"), "path": F.lit("")}), 3, common, rare)
+    assert got.count() == 400 and not got.filter("suffix3 IS NULL OR (suffix3 > 0.5) <> (label = 1)").count()
+    assert sorted(map(tuple, url_filter.judge(pages).collect())) == want
+
+
 def test_water_fill():
     assert mixing.water_fill([100, 10, 1000], [1, 2, 3]) == pytest.approx([(1110 - 30) * 1 / 4, 30.0, (1110 - 30) * 3 / 4])
     assert mixing.water_fill([0, 10], [1, 2]) == [0.0, 10.0]
