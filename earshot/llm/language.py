@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from earshot.llm import samples, tokens
+from earshot.llm import samples, tokens, words
 
 PIECES = "piece_bpe_32k.model"
 PER_LANGUAGE = 400
@@ -211,7 +211,7 @@ def predict(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str
     """
 
     def run(batches):
-        for part, texts in tokens.text_batches(batches, text_at=2):
+        for part, texts in words.text_batches(batches, text_at=2):
             languages, s = model.predict(texts) if model else (["und"] * len(texts), np.zeros(len(texts)))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(languages, pa.string()), pa.array(s, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from earshot.llm import tokens
+from earshot.llm import tokens, words
 from earshot.session import stored
 
 WINDOW = 2048
@@ -163,7 +163,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, window:
         encoder, part = tokens.encoder(tokenizer, piecewise), TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
         seen = [0] * (window + 1)
-        for batch, texts in tokens.text_batches(batches):
+        for batch, texts in words.text_batches(batches):
             rows = []
             for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts), strict=True):
                 ids += end

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from earshot.llm import pfor, tokens
+from earshot.llm import pfor, tokens, words
 from earshot.session import shared_dir
 
 SHARD_TOKENS = 1 << 20
@@ -39,7 +39,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, text: str = "
             ids = np.frombuffer(b"".join(parts), "<u4")
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "shard": pa.array([shard], pa.int32()), "start": [at], "n_tokens": [len(ids)], "keys": pa.array([keys], pa.list_(pa.int64())), "lengths": pa.array([[len(p) // 4 for p in parts]], pa.list_(pa.int64())), "ids": pa.array([pfor.encode(ids)], pa.binary())})
 
-        for batch, texts in tokens.text_batches(batches):
+        for batch, texts in words.text_batches(batches):
             for k, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts), strict=True):
                 keys.append(k)
                 parts.append(ids + end)

@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from earshot.llm import chain, samples, tokens
+from earshot.llm import chain, samples
+from earshot.llm.words import text_batches
 
 PER_LABEL = 1000
 MAX_CHARS = 20_000
@@ -183,7 +184,7 @@ def score(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str =
     """
 
     def run(batches):
-        for part, texts in tokens.text_batches(batches, text_at=2):
+        for part, texts in text_batches(batches, text_at=2):
             p, s = model.tag(texts) if model else ([np.zeros(0)] * len(texts), np.zeros(len(texts)))
             spans = [spans_of(t, x) if len(x) and x.max() >= 0.5 else [] for t, x in zip(texts, p, strict=True)]
             yield pa.RecordBatch.from_arrays(
