@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 from earshot import config as C
 from earshot.functions.vectors import dot, mean_vectors, unit
 from earshot.operators.components import connected_components
+from earshot.operators.splits import numbered
 from earshot.session import stored
 
 
+MOST_CLASSES = 10_000
+
+
 def mad_outliers(df: DataFrame, keys: list[str], row: str, vec: str, mult: float = C.MAD_MULTIPLIER) -> DataFrame:
     """(keys, row, distance, inlier): distance from the group's coordinate-wise median direction, and whether its robust z is at most mult.
 
@@ -36,11 +40,12 @@ def audit_speakers(df: DataFrame, keys: list[str], row: str, vec: str, mult: flo
     return df.join(out, row, "left").withColumns({"exclude_reason": F.when(bad, "mad_outlier").otherwise(F.coalesce("exclude_reason", F.lit(""))), "is_excluded": F.col("is_excluded") | bad}).drop("_out")
 
 
-def similar_pairs(df: DataFrame, within: str | None, node: str, vec: str, least: float, block: int = 512) -> DataFrame:
+def similar_pairs(df: DataFrame, within: str | None, node: str, vec: str, least: float, block: int = 4096) -> DataFrame:
     """(within, a, b, sim), a < b: pairs of unit vectors with cosine of at least `least`, inside a key or over all rows.
 
     Rows are dealt to blocks by hash, each pair of blocks of a key meets in one task and is multiplied as matrices;
-    a task holds two blocks, whatever the size of a key. Only pairs over the threshold leave it.
+    a task holds two blocks, whatever the size of a key. Only pairs over the threshold leave it. The join is exact, so
+    every row meets every other one of its key, and is sent to as many tasks as its key has blocks.
     """
     key = F.lit(0) if within is None else F.col(within)
     n = df.groupBy(key.alias("_k")).agg(F.greatest(F.ceil(F.count("*") / block), F.lit(1)).cast("int").alias("_b"))
@@ -57,9 +62,13 @@ def similar_pairs(df: DataFrame, within: str | None, node: str, vec: str, least:
         ids, own = pdf["node"].to_numpy(), pdf["_own"].to_numpy()
         x, y = pdf["_x"].iloc[0], pdf["_y"].iloc[0]
         i, j = np.flatnonzero(own == x), np.flatnonzero(own == y)
-        s = v[i] @ v[j].T
-        r, t = np.nonzero(s >= least - 1e-12)
-        a, b, s = ids[i[r]], ids[j[t]], s[r, t]
+        found = []
+        for at in range(0, len(i), 512):
+            s = v[i[at : at + 512]] @ v[j].T
+            r, t = np.nonzero(s >= least - 1e-12)
+            found.append((i[r + at], j[t], s[r, t]))
+        a, b, s = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (i, i, np.zeros(0))
+        a, b = ids[a], ids[b]
         keep = a < b if x == y else a != b
         a, b, s = a[keep], b[keep], s[keep]
         return pd.DataFrame({"_k": [pdf["_k"].iloc[0]] * len(a), "a": np.minimum(a, b), "b": np.maximum(a, b), "sim": s})
@@ -68,16 +77,17 @@ def similar_pairs(df: DataFrame, within: str | None, node: str, vec: str, least:
     return out.drop("_k") if within is None else out.withColumnRenamed("_k", within)
 
 
-def average_linkage(df: DataFrame, within: str, node: str, vec: str, threshold: float = C.AHC_THRESHOLD, most_rounds: int = 60) -> DataFrame:
+def average_linkage(df: DataFrame, within: str, node: str, vec: str, threshold: float = C.AHC_THRESHOLD, block: int = 4096) -> DataFrame:
     """(within, node, cluster): average linkage by cosine distance, cut at the threshold; a cluster is named by its least node.
 
     For unit vectors the mean distance of two clusters follows from their sums and sizes. Average linkage is
-    reducible, so all mutual nearest neighbours merge in each round (ties: smallest name) and give the same tree.
+    reducible, so all mutual nearest neighbours merge in each round (ties: smallest name) and give the same tree. Each
+    round merges at least one pair of every key that is not done.
     """
     members = stored(df.select(within, F.col(node).alias("node"), F.col(node).alias("cluster")), "members")
     now = stored(df.select(within, F.col(node).alias("cluster"), unit(F.col(vec)).alias("sum"), F.lit(1).cast("long").alias("n")), "clusters")
-    for _ in range(most_rounds):
-        near = _nearest(now, within, threshold)
+    while True:
+        near = stored(_nearest(now, within, threshold, block), "near")
         both = near.alias("x").join(near.alias("y"), (F.col(f"x.{within}") == F.col(f"y.{within}")) & (F.col("x.cluster") == F.col("y.near")) & (F.col("x.near") == F.col("y.cluster")))
         merge = stored(both.filter("x.cluster > y.cluster").select(F.col(f"x.{within}").alias(within), F.col("x.cluster").alias("cluster"), F.col("y.cluster").alias("into")), "merge")
         if not merge.limit(1).count():
@@ -88,26 +98,37 @@ def average_linkage(df: DataFrame, within: str, node: str, vec: str, threshold:
         added = moved.groupBy(within, "cluster").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list("sum")).alias("s"))
         total = F.aggregate(F.slice("s", 2, 10), F.col("s")[0], lambda a, b: F.zip_with(a, b, lambda p, q: p + q))
         now = stored(added.select(within, "cluster", total.alias("sum"), "n"), "clusters")
-    raise RuntimeError("linkage did not settle")
 
 
-def _nearest(clusters: DataFrame, within: str, threshold: float) -> DataFrame:
-    """(within, cluster, near): each cluster's nearest other one within the threshold. Keys are playlists: their clusters meet in one task."""
+def _nearest(clusters: DataFrame, within: str, threshold: float, block: int) -> DataFrame:
+    """(within, cluster, near): each cluster's nearest other one within the threshold (ties: smallest name).
+
+    As in similar_pairs(), a task holds two blocks of a key's clusters; each gives its best partners, and the best of these counts.
+    """
+    n = clusters.groupBy(within).agg(F.greatest(F.ceil(F.count("*") / block), F.lit(1)).cast("int").alias("_b"))
+    rows = clusters.join(n, within).withColumn("_own", F.pmod(F.xxhash64("cluster"), F.col("_b")).cast("int")).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)))
+    rows = rows.select(within, F.least("_own", "_j").alias("_x"), F.greatest("_own", "_j").alias("_y"), "_own", "cluster", "sum", "n")
     kinds = dict(clusters.dtypes)
 
     def near(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("cluster")
-        s, n, ids = np.array(pdf["sum"].tolist(), np.float64), pdf["n"].to_numpy(), pdf["cluster"].to_numpy()
+        s, n, ids, own = np.array(pdf["sum"].tolist(), np.float64), pdf["n"].to_numpy(), pdf["cluster"].to_numpy(), pdf["_own"].to_numpy()
+        x, y = pdf["_x"].iloc[0], pdf["_y"].iloc[0]
         out = []
-        for at in range(0, len(ids), 1024):
-            d = np.round(1 - (s[at : at + 1024] @ s.T) / np.outer(n[at : at + 1024], n), 9)
-            d[np.arange(len(d)), at + np.arange(len(d))] = np.inf
-            best = d.argmin(axis=1)
-            good = d[np.arange(len(d)), best] <= threshold
-            out.append(pd.DataFrame({within: pdf[within].iloc[0], "cluster": ids[at : at + 1024][good], "near": ids[best[good]]}))
-        return pd.concat(out)
-
-    return clusters.groupBy(within).applyInPandas(near, f"`{within}` {kinds[within]}, cluster {kinds['cluster']}, near {kinds['cluster']}")
+        for a, b in {(x, y), (y, x)}:
+            i, j = np.flatnonzero(own == a), np.flatnonzero(own == b)
+            for at in range(0, len(i) if len(j) else 0, 512):
+                k = i[at : at + 512]
+                d = np.round(1 - (s[k] @ s[j].T) / np.outer(n[k], n[j]), 9)
+                d[k[:, None] == j] = np.inf
+                best = d.argmin(axis=1)
+                least = d[np.arange(len(k)), best]
+                good = least <= threshold
+                out.append(pd.DataFrame({within: pdf[within].iloc[0], "cluster": ids[k[good]], "near": ids[j[best[good]]], "d": least[good]}))
+        return pd.concat(out) if out else pd.DataFrame({within: [], "cluster": [], "near": [], "d": []})
+
+    found = rows.groupBy(within, "_x", "_y").applyInPandas(near, f"`{within}` {kinds[within]}, cluster {kinds['cluster']}, near {kinds['cluster']}, d double")
+    return found.groupBy(within, "cluster").agg(F.min(F.struct("d", "near"))["near"].alias("near"))
 
 
 def assign_actors(df: DataFrame, clusters: DataFrame, within: str, node: str) -> DataFrame:
@@ -154,7 +175,8 @@ def canonical_speakers(actors: DataFrame, links: DataFrame) -> DataFrame:
     """(actor, speaker_global, partners): groups of auto links numbered by minutes, most first (ties: least actor). actors: (actor, minutes)."""
     groups = connected_components(links.filter("link = 'auto'"), "a", "b").withColumnRenamed("node", "actor")
     g = actors.join(groups, "actor", "left").withColumn("root", F.coalesce("component", "actor"))
-    order = g.groupBy("root").agg(F.sum("minutes").alias("m")).withColumn("k", F.row_number().over(Window.orderBy(F.desc(F.round("m", 6)), "root")))
+    totals = g.groupBy("root").agg(F.round(F.sum("minutes"), 6).alias("m"))
+    order = numbered(totals, "k", F.desc("m"), F.col("root"))
     both = links.filter("link = 'auto'").select(F.explode(F.array(F.struct(F.col("a").alias("actor"), F.col("b").alias("other")), F.struct(F.col("b").alias("actor"), F.col("a").alias("other")))).alias("e")).select("e.*")
     partners = both.groupBy("actor").agg(F.concat_ws("; ", F.sort_array(F.collect_set(F.col("other").cast("string")))).alias("partners"))
     return g.join(order, "root").join(partners, "actor", "left").select("actor", F.format_string("spk_%05d", "k").alias("speaker_global"), F.coalesce("partners", F.lit("")).alias("partners"))
@@ -195,13 +217,23 @@ def prototype_matrix(df: DataFrame, by: str, vec: str) -> DataFrame:
 
 
 def silhouette(df: DataFrame, by: str, node: str, vec: str) -> DataFrame:
-    """(node, by, silhouette): exact cosine silhouettes from class sums of unit vectors; no pair is compared."""
+    """(node, by, silhouette): exact cosine silhouettes from class sums of unit vectors; no pair is compared.
+
+    The sums of all classes go to every task in one row, so there may be MOST_CLASSES of them at most.
+    """
     rows = df.select(F.col(by).alias("own"), F.col(node).alias("node"), unit(F.col(vec)).alias("v"))
     sums = mean_vectors(rows, ["own"], "v", normalise=False).select(F.col("own").alias("other"), "n", F.transform("centroid", lambda x: x * F.col("n")).alias("s"))
-    d = rows.join(F.broadcast(sums))
-    same = F.col("own") == F.col("other")
-    mean = F.when(same, F.when(F.col("n") > 1, (F.col("n") - 1 - (dot(F.col("v"), F.col("s")) - 1)) / (F.col("n") - 1))).otherwise(1 - dot(F.col("v"), F.col("s")) / F.col("n"))
-    g = d.withColumn("m", mean).groupBy("node", "own").agg(F.max(F.when(same, F.col("m"))).alias("a"), F.min(F.when(~same, F.col("m"))).alias("b"))
+    sums = stored(sums, "sums")
+    if sums.count() > MOST_CLASSES:
+        raise ValueError(f"over {MOST_CLASSES} classes")
+    d = rows.crossJoin(F.broadcast(sums.agg(F.collect_list(F.struct("other", "n", "s")).alias("all"))))
+
+    def mean(c: Column, same: Column) -> Column:
+        to_own = F.when(c["n"] > 1, (c["n"] - 1 - (dot(F.col("v"), c["s"]) - 1)) / (c["n"] - 1))
+        return F.when(same, to_own).otherwise(1 - dot(F.col("v"), c["s"]) / c["n"])
+
+    each = d.withColumn("m", F.transform("all", lambda c: F.struct((c["other"] == F.col("own")).alias("same"), mean(c, c["other"] == F.col("own")).alias("m"))))
+    g = each.select("node", "own", F.array_max(F.transform(F.filter("m", lambda x: x["same"]), lambda x: x["m"])).alias("a"), F.array_min(F.transform(F.filter("m", lambda x: ~x["same"]), lambda x: x["m"])).alias("b"))
     s = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
     return g.select("node", F.col("own").alias(by), s.alias("silhouette"))
 

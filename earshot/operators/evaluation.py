@@ -98,15 +98,24 @@ def bootstrap(df: DataFrame, true: str, pred: str, labels: list, stratum: str |
     return _replicates(df.sparkSession, replicates).mapInPandas(run, "replicate long, accuracy double, macro_f1 double, kappa double")
 
 
+#: The chance that a Poisson(1) draw is at most 0, 1, ... 8.
+POISSON = [float(x) for x in np.cumsum([math.exp(-1) / math.factorial(i) for i in range(9)])]
+
+
+def multiplicity(seed: int, *key: str) -> Column:
+    """A Poisson(1) draw for a key, by 32 bits of its MD5."""
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *key).cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    return sum(((u >= x).cast("long") for x in POISSON[1:]), (u >= POISSON[0]).cast("long"))
+
+
 def cluster_bootstrap(df: DataFrame, unit: str, true: str, pred: str, labels: list, replicates: int = 1000, seed: int = C.SEED) -> DataFrame:
-    """(replicate, accuracy, macro_f1) of resampled units. Each unit's multiplicity in a replicate is drawn by hash as
-    Poisson(1), the limit of resampling with replacement, so units need not meet anywhere."""
+    """(replicate, accuracy, macro_f1) of resampled units. Each unit's multiplicity in a replicate is drawn by MD5 of seed,
+    unit and replicate as Poisson(1), the limit of resampling with replacement, so units need not meet anywhere. A unit's
+    confusion cells meet in one row, its draws are made once, and tasks add up their replicates before they shuffle."""
     cells = df.groupBy(F.col(unit).alias("u"), F.col(true).alias("t"), F.col(pred).alias("p")).agg(F.count("*").alias("n"))
-    u = F.pmod(F.xxhash64("u", "replicate", F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-    steps = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(9)])
-    times = sum(((u >= float(x)).cast("int") for x in steps[1:]), (u >= float(steps[0])).cast("int"))
-    drawn = cells.crossJoin(F.broadcast(_replicates(df.sparkSession, replicates).select(F.col("id").alias("replicate")))).withColumn("w", times * F.col("n"))
-    per = drawn.groupBy("replicate", "t", "p").agg(F.sum("w").alias("w"))
+    units = cells.groupBy("u").agg(F.collect_list(F.struct("t", "p", "n")).alias("own"))  # labels squared
+    drawn = units.select("own", F.col("u"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")).withColumn("w", multiplicity(seed, "u", "replicate")).filter("w > 0")
+    per = drawn.select("replicate", "w", F.explode("own").alias("c")).groupBy("replicate", "c.t", "c.p").agg(F.sum(F.col("w") * F.col("c.n")).alias("w"))
     e = F.explode(F.array(*[F.struct(F.lit(x).alias("label"), F.when((F.col("t") == x) & (F.col("p") == x), F.col("w")).otherwise(0).alias("tp"), (F.when(F.col("t") == x, F.col("w")).otherwise(0) + F.when(F.col("p") == x, F.col("w")).otherwise(0)).alias("both")) for x in labels]))
     f1 = per.select("replicate", e.alias("e")).groupBy("replicate", "e.label").agg((2 * F.sum("e.tp") / F.greatest(F.sum("e.both"), F.lit(1))).alias("f1")).groupBy("replicate").agg(F.avg("f1").alias("macro_f1"))
     acc = per.groupBy("replicate").agg((F.sum(F.when(F.col("t") == F.col("p"), F.col("w")).otherwise(0)) / F.greatest(F.sum("w"), F.lit(1))).alias("accuracy"))

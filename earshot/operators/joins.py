@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from earshot.functions.text import blank, normalize_title, stem, title_similarity
@@ -153,12 +153,12 @@ def match_titles(local: DataFrame, remote: DataFrame, tolerance: float = 2.0) ->
     """(local, remote, status): equal titles, narrowed by duration; without a title match, duration alone. One candidate: matched; several: ambiguous; none."""
     a = local.withColumn("_t", normalize_title(F.col("l_title")))
     b = remote.withColumn("_t", normalize_title(F.col("r_title")))
-    close = F.coalesce(F.round(F.abs(F.col("l_dur") - F.col("r_dur")), 9) <= tolerance, F.lit(False))
-    titled = a.join(b, "_t").select("local", "remote", close.alias("close"))
-    best = F.max(F.col("close").cast("int")).over(Window.partitionBy("local"))
-    titled = titled.withColumn("_best", best).filter(F.col("close").cast("int") == F.col("_best")).select("local", "remote")
-    rest = near_durations(a.join(titled.select("local").distinct(), "local", "left_anti").drop("_t"), b.drop("_t"), tolerance).select("local", "remote")
-    n = titled.unionByName(rest).groupBy("local").agg(F.countDistinct("remote").alias("n"), F.min("remote").alias("remote"))
+    found = [F.countDistinct("remote").alias("n"), F.min("remote").alias("remote")]
+    close = near_durations(a, b, tolerance, ["_t"]).groupBy("local").agg(*found)
+    titled = a.join(b.groupBy("_t").agg(*found), "_t")  # a row for each title: recordings of a common title do not all meet
+    far = titled.join(close.select("local"), "local", "left_anti").select("local", "n", "remote")
+    rest = near_durations(a.join(titled.select("local"), "local", "left_anti").drop("_t"), b.drop("_t"), tolerance).groupBy("local").agg(*found)
+    n = close.unionByName(far).unionByName(rest)
     status = F.when(F.col("n") == 1, "matched").when(F.col("n") > 1, "ambiguous").otherwise("none")
     return local.select("local").join(n, "local", "left").select("local", F.when(F.col("n") == 1, F.col("remote")).alias("remote"), status.alias("status"))
 

@@ -1,6 +1,6 @@
 """Group-disjoint splits, capped and stratified samples.
 
-Draws are by hash of the seed and the key, so they repeat on any partitioning. Greedy plans run per class over
+Draws are by MD5 of the seed and the key, so they repeat on any partitioning and in any SQL engine. Greedy plans run per class over
 aggregated groups in applyInPandas; rows never go through Python.
 """
 
@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 
 from earshot import config as C
 from earshot.operators.summary import dominant
+from earshot.session import stored
 
 SPLITS = tuple(C.SPLIT_TARGETS)
 
 
 def draw(seed, *key: str) -> Column:
-    """A repeatable random order."""
-    return F.xxhash64(F.lit(seed), *key)
+    """A repeatable random order: the MD5 of the seed and the key, parted by colons."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *key).cast("binary"))
 
 
 def _greedy(groups: pd.DataFrame, targets: dict[str, float], assigned: dict[str, float] | None = None) -> list[str]:
@@ -95,10 +96,22 @@ def stratified(df: DataFrame, cells: list[str], n: int, key: str, seed=C.SEED) -
     return served(r, key, seed)
 
 
+def numbered(df: DataFrame, name: str, *order, offset: int = 0) -> DataFrame:
+    """df with its rows numbered from offset + 1 in this order (which should leave no ties).
+
+    Rows are dealt to ranges of the order and numbered inside each; only one count for each range meets in one task.
+    """
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    dealt = stored(dealt.withColumn("_place", F.monotonically_increasing_id() - F.shiftleft(F.col("_part").cast("long"), 33)), "numbered")
+    counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return dealt.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_place") + 1 + offset).drop("_part", "_place", "_before")  # a row for each range
+
+
 def served(df: DataFrame, key: str, seed=C.SEED, offset: int = 0) -> DataFrame:
-    """A sample with serve_order and item_id. The sample, not the population, is ordered in one window."""
-    place = F.row_number().over(Window.orderBy(draw(f"serve{seed}", key), key)) + offset
-    return df.withColumn("serve_order", place).withColumn("item_id", F.format_string("S%02d", "serve_order"))
+    """df with serve_order, a random order that continues from offset, and item_id."""
+    out = numbered(df.withColumn("_draw", draw(f"serve{seed}", key)), "serve_order", F.col("_draw"), F.col(key), offset=offset)
+    return out.drop("_draw").withColumn("item_id", F.format_string("S%02d", "serve_order"))
 
 
 def extension(df: DataFrame, sample: DataFrame, key: str, seed=C.SEED) -> DataFrame:
@@ -130,7 +143,7 @@ def capped_stratified(df: DataFrame, cells: list[str], n: int, caps: dict[str, i
             now = now.join(taken.groupBy(*cells).agg(F.count("*").alias("_t")), cells, "left")
             room = room - F.coalesce("_t", F.lit(0))
         now = now.withColumn("_r", F.row_number().over(Window.partitionBy(*cells).orderBy("_o", key))).filter(F.col("_r") <= room).drop("_r", "_t")
-        now = now.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else now.cache()
+        now = stored(now, "drawn")
         added = now.count()
         taken = now if taken is None else taken.unionByName(now)
         full = taken.groupBy(*cells).count().filter(F.col("count") >= n)

@@ -58,7 +58,9 @@ def counts_with_share(df: DataFrame, column: str) -> DataFrame:
 
 def corpus_totals(df: DataFrame, by: str, distinct: dict[str, str]) -> DataFrame:
     """Counts and minutes for each class, and in a row with a null class for the whole corpus."""
-    return df.rollup(by).agg(F.count("*").alias("segments"), (F.sum("duration") / 60).alias("minutes"), *[F.countDistinct(c).alias(n) for n, c in distinct.items()])
+    # rows are first counted for each combination of the distinct columns, as the rollup repeats its input for each of them
+    each = df.groupBy(by, *dict.fromkeys(distinct.values())).agg(F.count("*").alias("_n"), F.sum("duration").alias("_d"))
+    return each.rollup(by).agg(F.sum("_n").alias("segments"), (F.sum("_d") / 60).alias("minutes"), *[F.countDistinct(c).alias(n) for n, c in distinct.items()])
 
 
 def temporal_coverage(df: DataFrame, date: str) -> tuple[DataFrame, DataFrame]:

@@ -54,33 +54,51 @@ def e04(spark, sf):
     return E.majority_vote(predictions(spark, sf).withColumn("g", c("l_linenumber") % 3), ["speaker", "g"], "t", "a")
 
 
-@query("e05_bootstrap", f"WITH {PRED} SELECT true AS covers, true AS narrow, true AS kappa_covers FROM p LIMIT 1")
+#: n, accuracy, macro F1 and kappa of the rows themselves.
+REAL = ONE.format(p="a", src="p") + ", o AS (SELECT count(*)::DOUBLE AS n, avg((t = a)::INT) AS acc FROM p), h AS (SELECT sum((SELECT count(*) FROM p WHERE t = label) * (SELECT count(*) FROM p WHERE a = label)) AS e FROM l), q AS (SELECT n, acc, e / (n * n) AS e FROM o, h)"
+
+
+@query("e05_bootstrap", f"WITH {PRED}, {REAL} SELECT n::BIGINT AS n, 400 AS replicates, round(acc, 6) AS accuracy, round((SELECT avg(f1) FROM f), 6) AS macro_f1, round((acc - e) / (1 - e), 6) AS kappa, 'accuracy kappa macro_f1' AS covered, true AS width FROM q")
 def e05(spark, sf):
+    """The scores, whether the intervals cover them, and whether that of accuracy is as wide as its standard error says, give or take a fifth."""
+    from earshot.operators.labels import kappa
+
     p = predictions(spark, sf).withColumn("s", c("speaker") % 3)
     r = E.bootstrap(p, "t", "a", LABELS, "s", 400)
-    real = E.scores(p, "t", "a", LABELS)
-    i, k = E.interval(r, "macro_f1"), E.interval(r, "kappa").select(c("low").alias("kl"), c("high").alias("kh"))
-    from earshot.operators.labels import kappa
+    names = ["accuracy", "kappa", "macro_f1"]
+    both = E.scores(p, "t", "a", LABELS).crossJoin(kappa(p, "t", "a").select("kappa")).crossJoin(r.agg(F.countDistinct("replicate").cast("int").alias("replicates")))
+    for n in names:
+        both = both.crossJoin(E.interval(r, n).select(c("low").alias(f"low_{n}"), c("high").alias(f"high_{n}")))
+    covered = F.array_join(F.filter(F.array(*[F.when(c(n).between(c(f"low_{n}"), c(f"high_{n}")), n) for n in names]), lambda x: x.isNotNull()), " ")
+    width = (c("high_accuracy") - c("low_accuracy")) / (2 * 1.96 * F.sqrt(c("accuracy") * (1 - c("accuracy")) / c("n")))
+    return rounded(both.select("n", "replicates", "accuracy", "macro_f1", "kappa", covered.alias("covered"), width.between(0.8, 1.2).alias("width")), "accuracy", "macro_f1", "kappa")
 
-    both = i.crossJoin(real).crossJoin(k).crossJoin(kappa(p, "t", "a").select("kappa"))
-    return both.select(c("macro_f1").between(c("low"), c("high")).alias("covers"), (c("high") - c("low") < 0.02).alias("narrow"), c("kappa").between(c("kl"), c("kh")).alias("kappa_covers"))
 
+DRAWN = "d AS (SELECT u.speaker, r.i AS replicate, ('0x' || substr(md5('1337:' || u.speaker || ':' || r.i), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS x FROM (SELECT DISTINCT speaker FROM p) u, range(0, 300) r(i)), m AS (SELECT speaker, replicate, " + " + ".join(f"(x >= {x!r}::DOUBLE)::INT" for x in E.POISSON) + " AS w FROM d)"
 
-@query("e06_cluster_bootstrap", f"WITH {PRED} SELECT true AS covers, 300 AS replicates FROM p LIMIT 1")
+
+@query("u04_replicate_draws", f"WITH {PRED}, {DRAWN} SELECT replicate::INT AS replicate, speaker, w::BIGINT AS w FROM m")
+def u04(spark, sf):
+    """The multiplicities of the cluster bootstrap."""
+    units = predictions(spark, sf).select("speaker").distinct().withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(299))))
+    return units.select("replicate", "speaker", E.multiplicity(1337, "speaker", "replicate").alias("w"))
+
+
+@query("e06_cluster_bootstrap", f"""WITH {PRED}, {DRAWN}, k AS (SELECT replicate, t, a, sum(w)::DOUBLE AS w FROM p JOIN m USING (speaker) GROUP BY ALL), l AS (SELECT unnest([0, 1, 2, 3]) AS label),
+f AS (SELECT replicate, label, 2 * sum(CASE WHEN t = label AND a = label THEN w ELSE 0 END) / greatest(sum(CASE WHEN t = label THEN w ELSE 0 END) + sum(CASE WHEN a = label THEN w ELSE 0 END), 1) AS f1 FROM k, l GROUP BY ALL),
+c AS (SELECT replicate, sum(CASE WHEN t = a THEN w ELSE 0 END) / sum(w) AS accuracy FROM k GROUP BY replicate) SELECT f.replicate::INT AS replicate, round(accuracy, 6) AS accuracy, round(avg(f1), 6) AS macro_f1 FROM f JOIN c USING (replicate) GROUP BY f.replicate, accuracy""")
 def e06(spark, sf):
-    p = predictions(spark, sf)
-    r = E.cluster_bootstrap(p, "speaker", "t", "a", LABELS, 300)
-    both = E.interval(r, "macro_f1").crossJoin(E.scores(p, "t", "a", LABELS)).crossJoin(r.agg(F.countDistinct("replicate").alias("replicates")))
-    return both.select(c("macro_f1").between(c("low"), c("high")).alias("covers"), "replicates")
+    return rounded(E.cluster_bootstrap(predictions(spark, sf), "speaker", "t", "a", LABELS, 300), "accuracy", "macro_f1")
 
 
-@query("e07_paired_bootstrap", f"WITH {PRED}, {ONE.format(p='a', src='p')}, k2 AS (SELECT label, 2 * count(*) FILTER (WHERE t = label AND b = label) / (count(*) FILTER (WHERE t = label) + count(*) FILTER (WHERE b = label)) AS f2 FROM p, l GROUP BY label) SELECT round((SELECT avg(f2) FROM k2) - avg(f1), 2) > 0 AS better, true AS covers FROM f")
+@query("e07_paired_bootstrap", f"WITH {PRED}, {ONE.format(p='a', src='p')}, k2 AS (SELECT label, 2 * count(*) FILTER (WHERE t = label AND b = label) / (count(*) FILTER (WHERE t = label) + count(*) FILTER (WHERE b = label)) AS f2 FROM p, l GROUP BY label), g AS (SELECT (SELECT avg(f2) FROM k2) - avg(f1) AS delta FROM f) SELECT 500 AS replicates, round(delta, 6) AS delta, delta > 0 AS better, true AS covers FROM g")
 def e07(spark, sf):
     p = predictions(spark, sf)
     r = E.paired_bootstrap(p, "t", "a", "b", LABELS, 500)
     real = E.scores(p, "t", "b", LABELS).select(c("macro_f1").alias("y")).crossJoin(E.scores(p, "t", "a", LABELS).select(c("macro_f1").alias("x")))
-    one_sided = r.agg(F.avg((c("delta") <= 0).cast("double")).alias("p"))
-    return E.interval(r, "delta").crossJoin(real).crossJoin(one_sided).select((c("p") < 0.5).alias("better"), (c("y") - c("x")).between(c("low"), c("high")).alias("covers"))
+    one_sided = r.agg(F.avg((c("delta") <= 0).cast("double")).alias("p"), F.countDistinct("replicate").cast("int").alias("replicates"))
+    both = E.interval(r, "delta").crossJoin(real).crossJoin(one_sided).withColumn("delta", c("y") - c("x"))
+    return rounded(both.select("replicates", "delta", (c("p") < 0.5).alias("better"), c("delta").between(c("low"), c("high")).alias("covers")), "delta")
 
 
 @query("e08_mcnemar", """WITH p AS (SELECT vec_id % 3 AS t, CASE WHEN vec_id % 7 = 0 THEN -1 ELSE vec_id % 3 END AS a, CASE WHEN vec_id % 11 = 0 THEN -1 ELSE vec_id % 3 END AS b FROM embeddings), n AS (SELECT count(*) FILTER (WHERE a <> t AND b = t) AS b01, count(*) FILTER (WHERE a = t AND b <> t) AS b10 FROM p)

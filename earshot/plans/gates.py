@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -207,12 +208,32 @@ def p28(spark, sf):
     return G.readiness(table(spark, sf, "orders").select(F.col("o_custkey").alias("playlist"), (F.col("o_orderstatus") != "O").alias("has_turns")))
 
 
-@query("x01_sanitize", """SELECT page_id, trim(regexp_replace(translate(substr(html, 1, 400), '|' || chr(10) || chr(13) || chr(9), '/   '), '"{2,}', '"', 'g')) AS clean FROM pages""")
+@query("u01_segment_scorer", "SELECT l_orderkey AS file_id, l_linenumber AS seg_no, round(1 / (1 + exp(-(l_quantity - 25) / 10)), 6) AS score FROM lineitem")
+def u01(spark, sf):
+    """A scalar scorer of several columns, given as a pandas function."""
+
+    def scorer(q, middle):
+        return 1 / (1 + (-(q - middle) / 10).pipe(np.exp))
+
+    scorer.__annotations__ = {"q": pd.Series, "middle": pd.Series, "return": pd.Series}
+    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("file_id"), F.col("l_linenumber").alias("seg_no"), "l_quantity", F.lit(25.0).alias("middle"))
+    return G.with_score(rows, "score", scorer, "l_quantity", "middle").select("file_id", "seg_no", F.round("score", 6).alias("score"))
+
+
+@query("u02_vector_helpers", """WITH x AS (SELECT label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT label, i, avg(x) AS m FROM x GROUP BY ALL), k AS (SELECT label, list(m ORDER BY i) AS m FROM m GROUP BY label)
+SELECT vec_id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm, round(list_dot_product(embedding::DOUBLE[], m), 6) AS dot FROM embeddings JOIN k USING (label)""")
+def u02(spark, sf):
+    e = table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
+    both = e.join(V.mean_vectors(e, ["label"], "embedding", normalise=False).select("label", "centroid"), "label")
+    return both.select("vec_id", F.round(V.norm(F.col("embedding")), 6).alias("norm"), F.round(V.dot(F.col("embedding"), F.col("centroid")), 6).alias("dot"))
+
+
+@query("x01_sanitize", """SELECT page_id, trim(regexp_replace(translate(html, '|' || chr(10) || chr(13) || chr(9), '/   '), '"{2,}', '"', 'g')) AS clean FROM pages""")
 def x01(spark, sf):
     return table(spark, sf, "pages").select("page_id", T.sanitize(F.col("html")).alias("clean"))
 
 
-@query("x02_normalize_name", "SELECT doc_id, trim(regexp_replace(lower(substr(text, 1, 200)), '[^0-9a-z؀-ۿ]+', ' ', 'g')) AS name FROM documents")
+@query("x02_normalize_name", "SELECT doc_id, trim(regexp_replace(lower(text), '[^0-9a-z؀-ۿ]+', ' ', 'g')) AS name FROM documents")
 def x02(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.normalize_name(F.col("text")).alias("name"))
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from earshot.operators import joins as J
+from earshot.operators.splits import numbered
 from earshot.plans.aggregates import rounded
 from earshot.plans.registry import query, segments
-from earshot.session import table
+from earshot.session import stored, table
 
 c = F.col
 
@@ -117,7 +117,7 @@ def j15(spark, sf):
 @query("j16_aligned", "SELECT vec_id, label, label % 3 AS pred FROM embeddings")
 def j16(spark, sf):
     e = table(spark, sf, "embeddings").select("vec_id", "label")
-    rows = e.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("vec_id")))
+    rows = stored(numbered(e, "place", c("vec_id")), "places")
     frozen = rows.select("label", (c("label") % 3).alias("pred"), c("place").alias("row"))
     return J.aligned(rows, frozen, "place", "row", ["label"]).select("vec_id", "label", "pred")
 

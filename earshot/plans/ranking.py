@@ -79,12 +79,11 @@ def w11(spark, sf):
 
 @query("w13_review_queue", "SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey)::INT AS place FROM customer WHERE c_acctbal >= 5000 AND c_nationkey < 12")
 def w13(spark, sf):
-    from pyspark.sql import Window
+    from earshot.operators.splits import numbered
 
     c = table(spark, sf, "customer").filter("c_acctbal >= 5000 AND c_nationkey < 12")
     ranked = c.groupBy("c_custkey").agg(F.max("c_acctbal").alias("risk"))
-    return ranked.select("c_custkey", F.row_number().over(Window.orderBy(F.desc("risk"), "c_custkey")).alias("place"))
-
+    return numbered(ranked, "place", F.desc("risk"), F.col("c_custkey")).select("c_custkey", F.col("place").cast("int").alias("place"))
 
 
 @query("w14_pair_queue", """WITH p AS (SELECT vec_id AS a, vec_id + 1 AS b, label / 10 AS sim, label % 2 = 0 AS "cross" FROM embeddings)

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from earshot.operators import checks as V
 from earshot.operators import splits
 from earshot.plans.registry import query, segments
-from earshot.plans.splitting import keyed
+from earshot.operators.summary import union_all
+from earshot.plans.splitting import SAMPLE, keyed, sampled
 from earshot.session import shared_dir, table
 from earshot.sources import files as S
 from earshot.sources import registry as R
@@ -21,7 +22,7 @@ def place(spark, name):
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-@query("s01_read_resources", "WITH {seg} SELECT region, playlist, file_id::VARCHAR AS file_id, round(sum(duration), 4) AS seconds FROM seg WHERE seg_no = 1 GROUP BY ALL")
+@query("s01_read_resources", "WITH {seg} SELECT region, playlist, file_id::VARCHAR AS file_id, round(sum(duration), 4) AS seconds FROM seg GROUP BY ALL")
 def s01(spark, sf):
     path = place(spark, "resources")
     rows = segments(spark, sf).withColumns({"_a": c("region"), "_b": c("playlist")})
@@ -41,7 +42,7 @@ def s02(spark, sf):
     return R.read_registry(spark, path).select("source", "show", "url", "extra")
 
 
-@query("s03_write_registry", """SELECT doc_id::VARCHAR AS doc_id, trim(translate(replace(substr(text, 1, 80), '"', ''), '|' || chr(10) || chr(13) || chr(9), '/   ')) AS title FROM documents""")
+@query("s03_write_registry", """SELECT doc_id::VARCHAR AS doc_id, coalesce(trim(translate(replace(text, '"', ''), '|' || chr(10) || chr(13) || chr(9), '/   ')), '') AS title FROM documents""")
 def s03(spark, sf):
     path = place(spark, "written")
     d = table(spark, sf, "documents").select("doc_id", F.regexp_replace("text", '"', "").alias("title"))
@@ -58,7 +59,7 @@ def s05(spark, sf):
     return S.read_rttm(spark, f"{path}/*.txt").select("speaker_id", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"))
 
 
-@query("s06_read_sidecars", "SELECT p_name AS title, p_retailprice AS duration FROM part WHERE p_partkey <= 50")
+@query("s06_read_sidecars", "SELECT p_name AS title, p_retailprice AS duration FROM part")
 def s06(spark, sf):
     path = place(spark, "sidecars")
     p = table(spark, sf, "part").select(c("p_name").alias("title"), c("p_retailprice").alias("duration"), "p_brand")
@@ -86,10 +87,9 @@ def episode_tree(spark, sf):
     return path
 
 
-@query("s07_list_episodes", "SELECT o_custkey % 20 AS k, true AS has_turns, o_custkey % 20 < 10 AS has_sidecar FROM orders GROUP BY ALL")
+@query("s07_list_episodes", "SELECT replace(p_brand, '#', '-') AS folder, p_partkey::VARCHAR AS stem, true AS has_turns, p_partkey % 20 < 10 AS has_sidecar FROM part")
 def s07(spark, sf):
-    k = F.try_to_number("stem", F.lit("999999999999")).cast("long") % 20
-    return S.list_episodes(spark, episode_tree(spark, sf)).select(k.alias("k"), "has_turns", "has_sidecar").distinct()
+    return S.list_episodes(spark, episode_tree(spark, sf)).withColumn("folder", F.element_at(F.split("folder", "/"), -1))
 
 
 @query("s09_keyword_bank", "SELECT DISTINCT event_type AS region, 'k' || (user_id % 7) AS keyword FROM events")
@@ -144,11 +144,11 @@ def s16(spark, sf):
     return S.upsert(e, e.filter("vec_id % 3 = 0").withColumn("label", c("label") + 100), ["vec_id"])
 
 
-@query("s17_fingerprint", "SELECT count(*) AS n, true AS same, false AS changed FROM embeddings")
+@query("s17_fingerprint", "WITH f AS (SELECT 'as is' AS form, label, vec_id FROM embeddings UNION ALL SELECT 'next label', label + 1, vec_id FROM embeddings) SELECT form, count(*) AS n, sum(('0x' || substr(md5(label || chr(31) || vec_id), 1, 15))::BIGINT)::VARCHAR AS hash FROM f GROUP BY form")
 def s17(spark, sf):
     e = table(spark, sf, "embeddings").select("vec_id", "label")
-    a, b, d = (S.fingerprint(x).select("n", c("hash").alias(h)) for x, h in ((e, "a"), (e.repartition(3, "label"), "b"), (e.withColumn("label", c("label") + 1), "d")))
-    return a.crossJoin(b.select("b")).crossJoin(d.select("d")).select("n", (c("a") == c("b")).alias("same"), (c("a") == c("d")).alias("changed"))
+    forms = {"as is": e.repartition(3, "label"), "next label": e.withColumn("label", c("label") + 1)}
+    return union_all(*[S.fingerprint(x).select(F.lit(n).alias("form"), "n", c("hash").cast("string").alias("hash")) for n, x in forms.items()])
 
 
 @query("s18_release", "WITH {seg} SELECT split, region, count(*) AS n FROM seg WHERE split <> 'train' GROUP BY ALL")
@@ -195,10 +195,9 @@ def v04(spark, sf):
     return V.apply_ids(rows, found).groupBy("status").agg(F.count("*").alias("n"), F.count_if(c("url") == "a").alias("from_a"))
 
 
-@query("v05_sample_design", "WITH o AS (SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders) SELECT count(*) * 5 AS rows, count(*) * 5 AS keys, 5 AS least_cell, 5 AS most_cell, true AS contiguous, count(DISTINCT o_orderpriority) * 5 AS most_o_orderstatus FROM o")
+@query("v05_sample_design", f"WITH {SAMPLE}, n AS (SELECT count(*) AS n FROM s GROUP BY o_orderpriority, tercile), m AS (SELECT count(*) AS n FROM s GROUP BY o_orderpriority) SELECT count(*) AS rows, count(DISTINCT o_orderkey) AS keys, (SELECT min(n) FROM n) AS least_cell, (SELECT max(n) FROM n) AS most_cell, max(serve_order) - min(serve_order) + 1 = count(*) AND min(serve_order) = 1 AS contiguous, (SELECT max(n) FROM m) AS most_o_orderpriority FROM s")
 def v05(spark, sf):
-    s = splits.stratified(table(spark, sf, "orders"), ["o_orderstatus", "o_orderpriority"], 5, "o_orderkey")
-    return V.sample_design(s, "o_orderkey", ["o_orderstatus", "o_orderpriority"], ["o_orderstatus"], "serve_order")
+    return V.sample_design(sampled(spark, sf), "o_orderkey", ["o_orderpriority", "tercile"], ["o_orderpriority"], "serve_order")
 
 
 @query("v07_enum_and_counts", "SELECT (SELECT count(*) FROM embeddings WHERE label > 8) AS outside, (SELECT count(*) FROM embeddings) AS \"left\", (SELECT count(*) FROM labels) AS \"right\", (SELECT count(*) FROM embeddings) = (SELECT count(*) FROM labels) AS equal")

@@ -1,4 +1,4 @@
-"""Queries of the T operators. Hash draws have no SQL twin; these return invariants that SQL states as values."""
+"""Queries of the T operators. SQL repeats the draws by MD5 and, in a recursion, the greedy splits."""
 
 from __future__ import annotations
 
@@ -16,23 +16,35 @@ def keyed(spark, sf):
     return segments(spark, sf).withColumn("key", F.col("file_id") * 100 + F.col("seg_no"))
 
 
-def split_facts(df, by, group):
-    """Per class: groups, groups in several splits, and rows."""
-    per = df.groupBy(by, group).agg(F.countDistinct("split").alias("s"), F.count("*").alias("n"))
-    return per.groupBy(by).agg(F.count("*").alias("groups"), F.count_if(F.col("s") > 1).alias("leaks"), F.sum("n").alias("rows"))
+def split_rows(df, *group):
+    """A row for each group and split: more than one if a group leaks."""
+    return df.groupBy(*group, "split").agg(F.count("*").alias("n"))
 
 
-FACTS = "WITH {seg} SELECT region, count(DISTINCT %s) AS groups, 0 AS leaks, count(*) AS rows FROM seg GROUP BY region"
+#: Largest group first, into the split with most room; ties train, dev, test. g: (cls, grp, mass, n).
+GREEDY = """r AS (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY round(mass, 6) DESC, grp) AS i, sum(mass) OVER (PARTITION BY cls) AS total FROM g),
+w AS (SELECT cls, 0::BIGINT AS i, NULL::BIGINT AS grp, '' AS split, 0::DOUBLE AS tr, 0::DOUBLE AS de, 0::DOUBLE AS te FROM r GROUP BY cls
+UNION ALL SELECT cls, i, grp, split, tr + CASE WHEN split = 'train' THEN mass ELSE 0 END, de + CASE WHEN split = 'dev' THEN mass ELSE 0 END, te + CASE WHEN split = 'test' THEN mass ELSE 0 END
+FROM (SELECT r.cls, r.i, r.grp, r.mass, w.tr, w.de, w.te, CASE WHEN round(0.8 * total - tr, 9) >= greatest(round(0.1 * total - de, 9), round(0.1 * total - te, 9)) THEN 'train' WHEN round(0.1 * total - de, 9) >= round(0.1 * total - te, 9) THEN 'dev' ELSE 'test' END AS split
+FROM w JOIN r ON r.cls = w.cls AND r.i = w.i + 1))"""
 
 
-@query("t01_disjoint_splits", FACTS % "speaker")
+@query("t01_disjoint_splits", "WITH RECURSIVE {seg}, g AS (SELECT region AS cls, speaker AS grp, count(*)::DOUBLE AS mass, count(*) AS n FROM seg GROUP BY ALL), " + GREEDY + " SELECT w.cls AS region, w.grp AS speaker, split, n FROM w JOIN g ON g.cls = w.cls AND g.grp = w.grp")
 def t01(spark, sf):
-    return split_facts(T.disjoint_splits(segments(spark, sf).drop("split"), "region", "speaker"), "region", "speaker")
+    return split_rows(T.disjoint_splits(segments(spark, sf).drop("split"), "region", "speaker"), "region", "speaker")
 
 
-@query("t02_balanced_splits", "WITH {seg}, c AS (SELECT region, speaker, least(count(*), 20) AS n FROM seg GROUP BY ALL) SELECT region, count(*) AS groups, 0 AS leaks, sum(n)::BIGINT AS rows FROM c GROUP BY region")
+@query("u03_sequential_steps", "WITH RECURSIVE g AS (SELECT r_name AS cls, c_custkey AS grp, round(c_acctbal + 2000)::DOUBLE AS mass, 1 AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey), " + GREEDY + " SELECT cls AS region, grp AS customer, split FROM w WHERE split <> ''")
+def u03(spark, sf):
+    """Steps that depend on the ones before, over groups that are aggregated already."""
+    c = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = c.select(F.col("r_name").alias("region"), F.col("c_custkey").alias("customer"), F.round(F.col("c_acctbal") + 2000).cast("double").alias("m"))
+    return T.disjoint_splits(rows, "region", "customer", F.col("m")).select("region", "customer", "split")
+
+
+@query("t02_balanced_splits", "WITH RECURSIVE {seg}, c AS (SELECT *, row_number() OVER (PARTITION BY speaker ORDER BY md5(concat_ws(':', 1, file_id * 100 + seg_no)), duration) AS k FROM seg), g AS (SELECT region AS cls, speaker AS grp, sum(duration) AS mass, count(*) AS n FROM c WHERE k <= 20 GROUP BY ALL), " + GREEDY + " SELECT w.cls AS region, w.grp AS speaker, split, n FROM w JOIN g ON g.cls = w.cls AND g.grp = w.grp")
 def t02(spark, sf):
-    return split_facts(T.balanced_splits(keyed(spark, sf).drop("split"), "region", "speaker", cap=20, order=T.draw(1, "key")), "region", "speaker")
+    return split_rows(T.balanced_splits(keyed(spark, sf).drop("split"), "region", "speaker", cap=20, order=F.struct(T.draw(1, "key"), "duration")), "region", "speaker")  # keys may repeat
 
 
 @query("t03_channel_splits", """WITH {seg}, c AS (SELECT region, count(DISTINCT playlist) AS n FROM seg GROUP BY region) SELECT region, least(n, 3) AS splits, CASE WHEN n = 2 THEN 'test|train' WHEN n = 1 THEN 'test' ELSE 'dev|test|train' END AS names FROM c""")
@@ -41,40 +53,36 @@ def t03(spark, sf):
     return out.groupBy("region").agg(F.countDistinct("split").alias("splits"), F.array_join(F.sort_array(F.collect_set("split")), "|").alias("names"))
 
 
-@query("t04_channel_greedy", "WITH {seg} SELECT count(DISTINCT playlist) AS channels, 0 AS leaks, count(*) AS rows FROM seg")
+@query("t04_channel_greedy", "WITH RECURSIVE {seg}, d AS (SELECT playlist, region, sum(duration) AS mass FROM seg GROUP BY ALL), h AS (SELECT playlist, region, row_number() OVER (PARTITION BY playlist ORDER BY mass DESC, region) AS k FROM d), o AS (SELECT playlist, sum(duration) AS mass, count(*) AS n FROM seg GROUP BY playlist), p AS (SELECT *, row_number() OVER (ORDER BY playlist) AS id FROM o), g AS (SELECT region AS cls, id AS grp, mass, n FROM p JOIN h ON h.playlist = p.playlist AND k = 1), " + GREEDY + " SELECT playlist, split, n FROM w JOIN p ON p.id = w.grp")
 def t04(spark, sf):
-    out = T.channel_splits(segments(spark, sf).drop("split"), "region", "playlist", repair=False)
-    return out.groupBy("playlist").agg(F.countDistinct("split").alias("s"), F.count("*").alias("n")).agg(F.count("*").alias("channels"), F.count_if(F.col("s") > 1).alias("leaks"), F.sum("n").alias("rows"))
+    return split_rows(T.channel_splits(segments(spark, sf).drop("split"), "region", "playlist", repair=False), "playlist")
 
 
-@query("t05_cap", "WITH {seg} SELECT speaker, least(count(*), 12) AS n FROM seg GROUP BY speaker")
+@query("t05_cap", "WITH {seg}, k AS (SELECT speaker, file_id * 100 + seg_no AS key, row_number() OVER (PARTITION BY speaker ORDER BY md5(concat_ws(':', 1, file_id * 100 + seg_no))) AS r FROM seg) SELECT speaker, key FROM k WHERE r <= 12")
 def t05(spark, sf):
-    return T.cap_per_group(keyed(spark, sf), "speaker", 12, T.draw(1, "key")).groupBy("speaker").agg(F.count("*").alias("n"))
+    return T.cap_per_group(keyed(spark, sf), "speaker", 12, T.draw(1, "key")).select("speaker", "key")
 
 
-CELLS = """WITH c AS (SELECT o_orderstatus, o_orderpriority FROM orders GROUP BY ALL) """
+SAMPLE = """c AS (SELECT *, o_orderkey % 3 AS tercile FROM orders), k AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority, tercile ORDER BY md5(concat_ws(':', 1337, o_orderkey)), o_orderkey) AS r FROM c),
+s AS (SELECT o_orderkey, o_orderpriority, tercile, row_number() OVER (ORDER BY md5(concat_ws(':', 'serve1337', o_orderkey)), o_orderkey) AS serve_order FROM k WHERE r <= 10)"""
 
 
 def sampled(spark, sf):
-    return T.stratified(table(spark, sf, "orders"), ["o_orderstatus", "o_orderpriority"], 5, "o_orderkey")
+    """Ten orders of each priority and third of the keys."""
+    return T.stratified(table(spark, sf, "orders").withColumn("tercile", F.col("o_orderkey") % 3), ["o_orderpriority", "tercile"], 10, "o_orderkey")
 
 
-@query("t06_stratified", CELLS + "SELECT o_orderstatus, o_orderpriority, 5 AS n, (SELECT count(*) * 5 FROM c) AS all_n, true AS in_order FROM c")
+@query("t06_stratified", f"WITH {SAMPLE} SELECT *, printf('S%02d', serve_order) AS item_id FROM s")
 def t06(spark, sf):
-    s = sampled(spark, sf)
-    facts = s.agg(F.max("serve_order").cast("long").alias("all_n"), (F.countDistinct("item_id") == F.max("serve_order")).alias("in_order"))
-    return s.groupBy("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n")).crossJoin(F.broadcast(facts))
+    return sampled(spark, sf).select("o_orderkey", "o_orderpriority", "tercile", "serve_order", "item_id")
 
 
-@query("t07_extension", CELLS + "SELECT (SELECT count(*) FROM orders) - (SELECT count(*) * 5 FROM c) AS n, (SELECT count(*) * 5 + 1 FROM c) AS first, (SELECT count(*) FROM orders) AS last, 0 AS again")
+@query("t07_extension", f"WITH {SAMPLE} SELECT o_orderkey, (SELECT count(*) FROM s) + row_number() OVER (ORDER BY md5(concat_ws(':', 'serve1337', o_orderkey)), o_orderkey) AS serve_order FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM s)")
 def t07(spark, sf):
-    s = sampled(spark, sf)
-    e = T.extension(table(spark, sf, "orders"), s, "o_orderkey")
-    again = e.join(s.select("o_orderkey"), "o_orderkey", "left_semi").agg(F.count("*").alias("again"))
-    return e.agg(F.count("*").alias("n"), F.min("serve_order").alias("first"), F.max("serve_order").alias("last")).crossJoin(again)
+    return T.extension(table(spark, sf, "orders"), sampled(spark, sf), "o_orderkey").select("o_orderkey", "serve_order")
 
 
-@query("t08_capped_stratified", "WITH {seg}, c AS (SELECT DISTINCT region, tier FROM seg) SELECT region, tier, 5 AS n, true AS speaker_ok, true AS channel_ok FROM c")
+@query("t08_capped_stratified", "WITH {seg}, c AS (SELECT DISTINCT region, tier FROM seg) SELECT region, tier, 23 AS n, true AS speaker_ok, true AS channel_ok FROM c")
 def t08(spark, sf):
     k = keyed(spark, sf).withColumn("speaker", F.col("file_id"))  # a speaker for each recording, so that small tables fill every cell
     s = T.capped_stratified(k, ["region", "tier"], 23, {"speaker": 3, "playlist": 60}, "key")
@@ -82,27 +90,26 @@ def t08(spark, sf):
     return s.groupBy("region", "tier").agg(F.count("*").alias("n")).crossJoin(F.broadcast(ok))
 
 
-@query("t09_not_shown", "WITH {seg}, c AS (SELECT speaker, count(*) FILTER (WHERE seg_no > 2) AS n FROM seg GROUP BY speaker) SELECT speaker, least(n, 4) AS n FROM c WHERE n > 0")
+@query("t09_not_shown", "WITH {seg}, k AS (SELECT speaker, file_id * 100 + seg_no AS key FROM seg WHERE seg_no > 2), r AS (SELECT *, row_number() OVER (PARTITION BY speaker ORDER BY md5(concat_ws(':', 1337, key)), key) AS r FROM k) SELECT speaker, key FROM r WHERE r <= 4")
 def t09(spark, sf):
     k = keyed(spark, sf)
-    return T.sample_not_shown(k, k.filter("seg_no <= 2"), "key", ["speaker"], 4).groupBy("speaker").agg(F.count("*").alias("n"))
+    return T.sample_not_shown(k, k.filter("seg_no <= 2"), "key", ["speaker"], 4).select("speaker", "key")
 
 
-@query("t10_clean_first_pool", """WITH {seg}, r AS (SELECT region, snr_db >= 15 AS clean, duration, row_number() OVER (PARTITION BY region ORDER BY snr_db >= 15 DESC, duration DESC, file_id * 100 + seg_no) AS k FROM seg WHERE duration >= 2)
-SELECT region, 50 AS n, bool_and(clean) AS clean, round(min(duration), 3) <= 10 AS bounded FROM r WHERE k <= 150 GROUP BY region""")
+@query("t10_clean_first_pool", """WITH {seg}, r AS (SELECT region, file_id * 100 + seg_no AS key, row_number() OVER (PARTITION BY region ORDER BY snr_db >= 15 DESC, duration DESC, file_id * 100 + seg_no) AS k FROM seg WHERE duration >= 2),
+d AS (SELECT region, key, row_number() OVER (PARTITION BY region ORDER BY md5(concat_ws(':', 1337, key)), key) AS j FROM r WHERE k <= 150) SELECT region, key FROM d WHERE j <= 50""")
 def t10(spark, sf):
-    p = T.clean_first_pool(keyed(spark, sf), "region", 50, "key", F.col("snr_db") >= 15)
-    return p.groupBy("region").agg(F.count("*").alias("n"), F.bool_and(F.col("snr_db") >= 15).alias("clean"), (F.min("duration") <= 10).alias("bounded"))
+    return T.clean_first_pool(keyed(spark, sf), "region", 50, "key", F.col("snr_db") >= 15).select("region", "key")
 
 
-@query("t11_hold_out", "SELECT label, floor(0.2 * count(*))::BIGINT AS held, count(*) AS n FROM embeddings GROUP BY label")
+@query("t11_hold_out", "SELECT vec_id, row_number() OVER (PARTITION BY label ORDER BY md5(concat_ws(':', 1337, vec_id)), vec_id) <= floor(0.2 * count(*) OVER (PARTITION BY label)) AS held_out FROM embeddings")
 def t11(spark, sf):
-    return T.hold_out(table(spark, sf, "embeddings"), "label", 0.2, "vec_id").groupBy("label").agg(F.count_if(F.col("held_out")).alias("held"), F.count("*").alias("n"))
+    return T.hold_out(table(spark, sf, "embeddings"), "label", 0.2, "vec_id").select("vec_id", "held_out")
 
 
-@query("t12_smoke_sample", "WITH {seg} SELECT split, least(count(*), 120) AS n FROM seg GROUP BY split")
+@query("t12_smoke_sample", "WITH {seg}, k AS (SELECT split, file_id * 100 + seg_no AS key, row_number() OVER (PARTITION BY split ORDER BY md5(concat_ws(':', 3, file_id * 100 + seg_no))) AS r FROM seg) SELECT split, key FROM k WHERE r <= 120")
 def t12(spark, sf):
-    return T.cap_per_group(keyed(spark, sf), "split", 120, T.draw(3, "key")).groupBy("split").agg(F.count("*").alias("n"))
+    return T.cap_per_group(keyed(spark, sf), "split", 120, T.draw(3, "key")).select("split", "key")
 
 
 @query("t13_class_weights", """WITH c AS (SELECT label, count(*)::DOUBLE AS n FROM embeddings GROUP BY label), w AS (SELECT 'inverse' AS mode, label, 1 / n AS w FROM c UNION ALL SELECT 'sqrt', label, 1 / sqrt(n) FROM c UNION ALL SELECT 'effective', label, 0.001 / (1 - pow(0.999, n)) FROM c UNION ALL SELECT 'none', label, 1 FROM c)

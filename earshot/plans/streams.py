@@ -70,20 +70,19 @@ def r04(spark, sf):
     return out.withColumn("total", F.sum("n").over(Window.orderBy("hour").rowsBetween(Window.unboundedPreceding, 0))).withColumn("hour", F.date_format("hour", "yyyy-MM-dd HH"))
 
 
-@query("r05_stage_stream", "SELECT user_id AS key, count(*) > 0 AS seen FROM events GROUP BY user_id")
+@query("r05_stage_stream", "SELECT user_id AS key, max_by(event_type, event_id) AS stage FROM events GROUP BY user_id")
 def r05(spark, sf):
     e = table(spark, sf, "events").select(c("user_id").alias("key"), c("event_id").alias("order"), c("event_type").alias("stage"))
     path = place(spark, "stages")
     q = stream(spark, e, "stages-in").writeStream.foreachBatch(R.merge_into(path, "key")).option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(f"{path}/v1").select("key", c("stage").isNotNull().alias("seen"))
+    return R.merged_state(spark, path, "key")
 
 
-@query("r06_new_recordings", "SELECT count(DISTINCT user_id) AS ids, true AS unique_hashes FROM events")
+@query("r06_new_recordings", "SELECT DISTINCT user_id AS id, user_id * 7 AS hash FROM events")
 def r06(spark, sf):
     e = table(spark, sf, "events").select(c("ts").cast("timestamp").alias("ts"), c("user_id").alias("id"), (c("user_id") * 7).alias("hash"))
-    out = finished(spark, R.new_recordings(stream(spark, e, "recordings"), "40 days"), "new")
-    return out.agg(F.count("*").alias("ids"), (F.countDistinct("hash") == F.count("*")).alias("unique_hashes"))
+    return finished(spark, R.new_recordings(stream(spark, e, "recordings"), "40 days"), "new").select("id", "hash")
 
 
 @query("r07_speech_runs", """WITH t AS (SELECT event_type AS file_id, user_id % 5 AS speaker_id, floor(epoch(ts))::BIGINT AS a, floor(epoch(ts))::BIGINT + floor(value)::BIGINT AS b FROM events),

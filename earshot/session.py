@@ -18,6 +18,18 @@ def let_workers_import(spark: SparkSession) -> None:
         env["PYTHONPATH"] = ":".join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
 
 
+#: Bytes of rows that go to a Python worker at once.
+BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": "2m", "spark.sql.execution.arrow.maxRecordsPerBatch": "4096"}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound what Python workers are given at once by bytes too, as rows may hold long texts; settings of the application stay."""
+    own = spark.sparkContext.getConf()
+    for key, value in BATCH.items():
+        if not own.contains(key):
+            spark.conf.set(key, value)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
     sc = spark.sparkContext

@@ -10,6 +10,7 @@ from earshot.functions.text import blank, playlist_url, sanitize
 
 #: The registry's columns and enumerations.
 COLUMNS = ("region", "source", "show", "url", "url_type", "lang_flag", "status", "channel_id", "playlist_id", "n_playlists", "n_videos", "added", "score", "keywords", "notes")
+BACKUP = ".bak"
 ENUMS = {"status": ("pending", "approved", "rejected", "done"), "url_type": ("channel", "playlist", "video")}
 
 
@@ -36,8 +37,17 @@ def sanitized(df: DataFrame) -> DataFrame:
 
 
 def write_registry(df: DataFrame, path: str, sep: str = "|") -> None:
-    """Sanitised cells in a new delimited folder; an older version is another path."""
-    sanitized(df).write.option("sep", sep).option("header", True).csv(path)
+    """Sanitised cells in a delimited folder. What was there before the first overwriting is kept in path + BACKUP, once."""
+    spark = df.sparkSession
+    old, backup = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, path + BACKUP))
+    files = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(old) and not files.exists(backup):
+        spark.read.text(path).write.text(path + BACKUP)
+    # df may come from the old version, so it is written apart and moved
+    new = spark._jvm.org.apache.hadoop.fs.Path(path + ".new")
+    sanitized(df).write.mode("overwrite").option("sep", sep).option("header", True).csv(path + ".new")
+    files.delete(old, True)
+    files.rename(new, old)
 
 
 def picked_rows(df: DataFrame) -> DataFrame:

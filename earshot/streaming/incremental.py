@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from earshot import config as C
@@ -77,12 +77,23 @@ def speech_runs(stream: DataFrame, gap: float = C.GAP_TOLERANCE, delay: str = "1
 
 
 def merge_into(path: str, key: str):
-    """foreachBatch function that overlays each batch on a stored state: versions are folders, the newest is read."""
+    """foreachBatch function that merges each batch (key, order, values) into a stored state: versions are folders, merged_state() reads the newest.
+
+    A value that is not blank counts until one with a larger order comes, in whatever batch: late rows do not undo newer ones.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        latest = batch.groupBy(key).agg(F.max(F.struct("order", *[c for c in batch.columns if c not in (key, "order")])).alias("r")).select(key, "r.*").drop("order")
-        out = latest if number == 0 else overlay(spark.read.parquet(f"{path}/v{number - 1}"), latest, key)
-        out.write.mode("overwrite").parquet(f"{path}/v{number}")
+        spark, values = batch.sparkSession, [c for c in batch.columns if c not in (key, "order")]
+        rows = batch.select(key, *[F.when(F.trim(F.col(c).cast("string")) != "", F.struct("order", F.col(c).alias("value"))).alias(c) for c in values])
+        if number:
+            rows = rows.unionByName(spark.read.schema(rows.schema).parquet(f"{path}/v{number - 1}"))
+        rows.groupBy(key).agg(*[F.max(c).alias(c) for c in values]).write.mode("overwrite").parquet(f"{path}/v{number}")
+        spark.range(1).select(F.lit(number).alias("n")).coalesce(1).write.mode("overwrite").parquet(f"{path}/last")
 
     return write
+
+
+def merged_state(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """(key, values) of the newest version that merge_into() wrote."""
+    rows = spark.read.parquet(f"{path}/v{spark.read.parquet(f'{path}/last').first()[0]}")
+    return rows.select(key, *[F.col(f"{c}.value").alias(c) for c in rows.columns if c != key])

@@ -107,3 +107,46 @@ def test_missing_scores_never_exclude(spark):
     df = spark.createDataFrame([(None, None, None, None, False, None)], "music_prob double, panns_speech_prob double, speech_ratio double, snr_db double, is_excluded boolean, exclude_reason string")
     r = gates.content_gates(df).first()
     assert (r.is_excluded, r.exclude_reason) == (False, "")
+
+
+def test_registry_keeps_what_was_there_first(spark, tmp_path):
+    from earshot.sources import registry
+
+    path = str(tmp_path / "registry")
+    for shows in (["a"], ["b", 'c|"" d'], ["e"]):
+        registry.write_registry(spark.createDataFrame([(x,) for x in shows], "show string"), path)
+    assert {r["show"] for r in registry.read_registry(spark, path).collect()} == {"e"}
+    assert {r["show"] for r in registry.read_registry(spark, path + registry.BACKUP).collect()} == {"a"}
+    registry.write_registry(registry.read_registry(spark, path), path)  # a table written over itself
+    assert {r["show"] for r in registry.read_registry(spark, path).collect()} == {"e"}
+
+
+def test_numbers_follow_the_order_over_partitions(spark):
+    from earshot.operators.splits import numbered
+
+    df = spark.range(1000).selectExpr("id", "id % 7 AS k").repartition(6)
+    got = [(r.k, r.id) for r in numbered(df, "n", F.col("k"), F.desc("id"), offset=5).orderBy("n").collect()]
+    assert got == sorted(((i % 7, i) for i in range(1000)), key=lambda x: (x[0], -x[1]))
+    assert sorted(r.n for r in numbered(df, "n", F.col("id"), offset=5).collect()) == list(range(6, 1006))
+    assert numbered(df.limit(0), "n", F.col("id")).count() == 0
+
+
+def test_splits_come_near_their_targets(spark, sf):
+    from earshot import config
+    from earshot.operators import splits
+    from earshot.plans.registry import segments
+
+    rows = segments(spark, sf).drop("split")
+    for out, mass in ((splits.disjoint_splits(rows, "region", "speaker"), F.lit(1)), (splits.balanced_splits(rows, "region", "speaker"), F.col("duration"))):
+        for r in out.groupBy("region").agg(F.sum(mass).alias("all"), *[F.sum(F.when(F.col("split") == s, mass).otherwise(0)).alias(s) for s in config.SPLIT_TARGETS]).collect():
+            assert all(abs(r[s] / r["all"] - share) < 0.02 for s, share in config.SPLIT_TARGETS.items())
+
+
+def test_late_rows_do_not_undo_newer_ones(spark, tmp_path):
+    from earshot.streaming import incremental
+
+    merge = incremental.merge_into(str(tmp_path / "state"), "key")
+    merge(spark.createDataFrame([("a", 5, "done", ""), ("b", 1, "new", "x")], "key string, order int, stage string, note string"), 0)
+    merge(spark.createDataFrame([("a", 3, "late", "kept"), ("b", 2, " ", "y"), ("c", 1, None, None)], "key string, order int, stage string, note string"), 1)
+    got = {tuple(r) for r in incremental.merged_state(spark, str(tmp_path / "state"), "key").collect()}
+    assert got == {("a", "done", "kept"), ("b", "new", "y"), ("c", None, None)}
