@@ -77,11 +77,6 @@ def c05(spark, sf):
     return K.assign_actors(v, clusters, "label", "vec_id").select("label", "vec_id", "global_actor")
 
 
-@query("c06_merge_actors")
-def c06(spark, sf):
-    return K.merge_actors(actors(spark, sf), "label", "actor", "centroid", 0.3)
-
-
 CENTROIDS = UNIT + """, x AS (SELECT label, actor, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM u), m AS (SELECT label, actor, i, avg(x) AS m, count(*) AS n FROM x GROUP BY ALL), k AS (SELECT label, label * 1000 + actor AS node, max(n) AS n, list(m ORDER BY i) AS m FROM m GROUP BY label, actor),
 q AS (SELECT label, node, n, list_transform(m, lambda y: y / sqrt(list_dot_product(m, m))) AS m FROM k), p AS (SELECT a.label, a.node AS a, b.node AS b, list_dot_product(a.m, b.m) AS sim, a.n AS n_a, b.n AS n_b FROM q a JOIN q b ON a.label = b.label AND a.node < b.node)"""
 
@@ -104,7 +99,19 @@ def c08(spark, sf):
     return rounded(linked(spark, sf).select("a", "b", "sim", "link"), "sim")
 
 
-@query("c09_canonical_speakers")
+#: Components of the edges s (a, b), both ways, by reaching.
+REACH = "reach AS (SELECT DISTINCT a AS node, a AS r FROM s UNION SELECT reach.node, s.b FROM reach JOIN s ON s.a = reach.r), comp AS (SELECT node, min(r) AS root FROM reach GROUP BY node)"
+
+
+@query("c06_merge_actors", f"""WITH RECURSIVE {CENTROIDS}, s AS (SELECT a, b FROM p WHERE sim >= 0.3 UNION SELECT b, a FROM p WHERE sim >= 0.3), {REACH}, g AS (SELECT label, node % 1000 AS actor, coalesce(root, node) AS root FROM q LEFT JOIN comp USING (node))
+SELECT label, actor, dense_rank() OVER (PARTITION BY label ORDER BY root) - 1 AS merged FROM g""")
+def c06(spark, sf):
+    return K.merge_actors(actors(spark, sf), "label", "actor", "centroid", 0.3)
+
+
+@query("c09_canonical_speakers", f"""WITH RECURSIVE {LINKED}, s AS (SELECT a, b FROM l WHERE link = 'auto' UNION SELECT b, a FROM l WHERE link = 'auto'), {REACH}, g AS (SELECT node AS actor, n, coalesce(root, node) AS root FROM q LEFT JOIN comp USING (node)),
+t AS (SELECT root, round(sum(n), 6) AS m FROM g GROUP BY root), o AS (SELECT root, row_number() OVER (ORDER BY m DESC, root) AS k FROM t), w AS (SELECT a, string_agg(DISTINCT b::VARCHAR, '; ' ORDER BY b::VARCHAR) AS partners FROM s GROUP BY a)
+SELECT actor, printf('spk_%05d', k) AS speaker_global, coalesce(partners, '') AS partners FROM g JOIN o USING (root) LEFT JOIN w ON w.a = actor""")
 def c09(spark, sf):
     a = actors(spark, sf).select((c("label") * 1000 + c("actor")).alias("actor"), c("n").cast("double").alias("minutes"))
     return K.canonical_speakers(a, stored(linked(spark, sf), "links"))
@@ -117,7 +124,13 @@ def c10(spark, sf):
     return connected_components(o.select(c("o_custkey").alias("a"), (c("o_custkey") % 97 + 100000).alias("b")))
 
 
-@query("c11_knee_tiers")
+@query("c11_knee_tiers", """WITH s AS (SELECT l_suppkey % 5 AS playlist, (l_partkey % 60) * (l_partkey % 7) AS actor, count(*) AS n FROM lineitem GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY playlist ORDER BY n DESC, actor) AS rank, count(*) OVER (PARTITION BY playlist) AS c, max(n) OVER (PARTITION BY playlist) AS hi, min(n) OVER (PARTITION BY playlist) AS lo FROM s),
+d AS (SELECT *, round(1 - (n - lo) / greatest(hi - lo, 1) - (rank - 1) / greatest(c - 1, 1), 9) AS d FROM r),
+w AS (SELECT *, d >= coalesce(lag(d) OVER o, -2) AND d > coalesce(lead(d) OVER o, 2) AS top FROM d WINDOW o AS (PARTITION BY playlist ORDER BY rank)),
+t AS (SELECT *, last_value(CASE WHEN top THEN d - 1 / greatest(c - 1, 1) END IGNORE NULLS) OVER o AS thr, last_value(CASE WHEN top THEN rank END IGNORE NULLS) OVER o AS peak FROM w WINDOW o AS (PARTITION BY playlist ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+k AS (SELECT playlist, arg_min(peak, rank) AS knee FROM t WHERE d < thr GROUP BY playlist), z AS (SELECT r.playlist, r.actor, rank, c, coalesce(knee, greatest(1, c // 3)) AS c1 FROM r LEFT JOIN k USING (playlist))
+SELECT playlist, actor, rank, CASE WHEN rank <= c1 THEN 'Tier1' WHEN rank <= c1 + greatest(1, (c - c1) // 2) THEN 'Tier2' ELSE 'Tier3' END AS tier FROM z""")
 def c11(spark, sf):
     sizes = table(spark, sf, "lineitem").groupBy((c("l_suppkey") % 5).alias("playlist"), (c("l_partkey") % 60 * (c("l_partkey") % 7)).alias("actor")).agg(F.count("*").alias("n"))
     return K.knee_tiers(sizes, "playlist", "actor")
