@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from earshot.llm import blooms, trie
 from earshot.operators.components import connected_components, forest
-from earshot.session import stored
+from earshot.session import bound_batches, stored
 
 CELLS = 1 << 20
 SLICE = 1 << 14
@@ -269,6 +269,7 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, k
     Rows that repeat a key are one document with several texts, linked with each other. Rows with a null key link with nothing and have a
     null component_id. An empty table gives no rows; other columns are ignored.
     """
+    bound_batches(docs.sparkSession)
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     levels = rarity_levels(docs, "text")
     signed = stored(_signatures(docs, levels, n, num, den), "signatures")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from earshot.llm import pfor, tokens, words
-from earshot.session import shared_dir
+from earshot.session import bound_batches, shared_dir
 
 SHARD_TOKENS = 1 << 20
 SHARDS = "part int, shard int, start long, n_tokens long, keys array<long>, lengths array<long>, ids binary"
@@ -50,6 +50,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, text: str = "
         if keys:
             yield flush()
 
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long"), F.col(text)).repartitionByRange(F.col(key).asc_nulls_first()).sortWithinPartitions(F.col(key).asc_nulls_first())
     rows.mapInArrow(shards, SHARDS).write.parquet(path)
 

@@ -15,27 +15,27 @@ from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from earshot.llm import chain, samples
-from earshot.llm.words import text_batches
+from earshot.llm import chain, samples, words
+from earshot.session import bound_batches
 
 PER_LABEL = 1000
 MAX_CHARS = 20_000
 BUCKETS = 1 << 18
 ROUNDS = 40
-MAX_KNOWN = 400_000
-LONG = 64
+SLOTS = 1 << 18
 WORD = re.compile(r"\w+")
+#: Bytes of tokens: ASCII letters, digits and underscores, and all of other scripts, which WORD cuts further.
+WORD_BYTES = np.array([chr(b).isalnum() or b == 95 or b >= 128 for b in range(256)]).astype(np.uint8)
 SCORED = "doc_id long, held_out boolean, score double, predicted int, spans array<struct<start:int,end:int,score:double>>"
 
 
 def spellings(token: str) -> list[str]:
     """The features of a token: itself, its first four to nine letters and its last three."""
-    w = token.lower()[:LONG]
+    w = token.lower()
     return [f"w{w}", *(f"{n}{w[:n]}" for n in range(4, 10) if len(w) > n), f"s{w[-3:]}"]
 
 
@@ -48,8 +48,8 @@ def one_of_copies(documents: list[list[str]], hashes: int = 4, n: int = 3) -> np
     seen, keep = set(), []
     rng = np.random.default_rng(11)
     a = rng.integers(1, 1 << 62, hashes).astype(np.uint64) | np.uint64(1)
-    for i, words in enumerate(documents):
-        x = np.array([zlib.crc32(" ".join(words[k : k + n]).lower().encode("utf-8", "surrogatepass")) for k in range(max(1, len(words) - n + 1))], np.uint64)
+    for i, tokens in enumerate(documents):
+        x = np.array([zlib.crc32(" ".join(tokens[k : k + n]).lower().encode("utf-8", "surrogatepass")) for k in range(max(1, len(tokens) - n + 1))], np.uint64)
         least = {(k, int((x * m).min())) for k, m in enumerate(a)}
         if seen.isdisjoint(least):
             keep.append(i)
@@ -60,12 +60,12 @@ def one_of_copies(documents: list[list[str]], hashes: int = 4, n: int = 3) -> np
 def weak_labels(documents: list[list[str]], toxic: np.ndarray, odds: float = 3.0) -> set[str]:
     """Tokens to be labelled toxic in toxic documents: the log odds of one of their features are over `odds`."""
     found = {True: Counter(), False: Counter()}
-    for words, t in zip(documents, toxic.tolist(), strict=True):
-        found[t].update({x for w in set(words) for x in spellings(w)[:-1]})
+    for tokens, t in zip(documents, toxic.tolist(), strict=True):
+        found[t].update({x for w in set(tokens) for x in spellings(w)[:-1]})
     yes, no = int(toxic.sum()), int((~toxic).sum())
     least = min(8, max(2, 0.05 * yes))
     marked = {x for x, c in found[True].items() if c >= least and np.log((c + 0.5) / (yes + 1)) - np.log((found[False][x] + 0.5) / (no + 1)) >= odds}
-    return {w for words, t in zip(documents, toxic.tolist(), strict=True) if t for w in set(words) if not marked.isdisjoint(spellings(w)[:-1])}
+    return {w for tokens, t in zip(documents, toxic.tolist(), strict=True) if t for w in set(tokens) if not marked.isdisjoint(spellings(w)[:-1])}
 
 
 @dataclass
@@ -75,35 +75,34 @@ class Model:
     start: np.ndarray
     step: np.ndarray
     document: np.ndarray  # of (1, logit of the largest marginal, log of the mean one)
-    known: dict = field(default_factory=dict)
+    pieces: words.Pieces | None = field(default=None, repr=False)
 
     def __getstate__(self):
-        return self.__dict__ | {"known": {}}
-
-    def odds(self, words: list[str]) -> np.ndarray:
-        known = self.known
-        new = set(words).difference(known)
-        for w in new:
-            known[w] = float(np.exp(np.clip(self.weights[hashed(w)].sum() + self.bias, -30, 30)))
-        out = np.fromiter(map(known.__getitem__, words), float, len(words))
-        if len(known) > MAX_KNOWN:
-            known.clear()
-        else:
-            for w in new:
-                if len(w) > LONG:
-                    del known[w]
-        return out
+        return self.__dict__ | {"pieces": None}
+
+    def odds(self, tokens: list[str]) -> np.ndarray:
+        """exp(score of toxic - score of not) of tokens, by themselves."""
+        found = [hashed(t) for t in tokens]
+        sizes = np.array([len(x) for x in found], np.int64)
+        flat = self.weights[np.array([i for x in found for i in x], np.int64)].astype(float)
+        sums = np.add.reduceat(flat, np.cumsum(sizes) - sizes) if len(flat) else flat
+        return np.exp(np.clip(sums + self.bias, -30, 30)).astype(np.float32)
+
+    def _learn(self, pieces: list[str], one_class: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found = [WORD.findall(p) for p in pieces]
+        return self.odds([t for ts in found for t in ts]).view(np.uint32), np.array([len(ts) for ts in found], np.int64)
 
     def tag(self, texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray]:
         """Token marginals of each text, and the texts' scores."""
-        found = [WORD.findall(t or "") for t in texts]
-        sizes = np.array([len(w) for w in found], np.int64)
-        words = [w for ws in found for w in ws]
-        first = np.zeros(len(words), bool)
-        ends = np.cumsum(sizes)
-        first[(ends - sizes)[sizes > 0]] = True
-        p = np.split(chain.marginals(self.odds(words), first, self.start, self.step), ends[:-1]) if len(texts) else []
-        return p, 1 / (1 + np.exp(-features(p) @ self.document)) if len(texts) else np.zeros(0)
+        if not len(texts):
+            return [], np.zeros(0)
+        if self.pieces is None:
+            self.pieces = words.Pieces(WORD_BYTES, lambda a, b: False, self._learn, SLOTS)
+        odds, at = self.pieces.values([t or "" for t in texts])
+        first = np.zeros(len(odds), bool)
+        first[at[:-1][at[1:] > at[:-1]]] = True
+        p = np.split(chain.marginals(odds.view(np.float32).astype(float), first, self.start, self.step), at[1:-1])
+        return p, 1 / (1 + np.exp(-features(p) @ self.document))
 
 
 def features(p: list[np.ndarray]) -> np.ndarray:
@@ -153,7 +152,7 @@ def train(rows: list[tuple[str, int]], rounds: int = ROUNDS) -> Model | None:
         q = 1 / (1 + np.exp(-x @ model.document))
         h = (x * (q * (1 - q))[:, None]).T @ x + 0.1 * np.eye(3)
         model.document = model.document + np.clip(np.linalg.solve(h, x.T @ (toxic - q) - 0.1 * model.document), -2, 2)
-    model.known.clear()
+    model.pieces = None
     return model
 
 
@@ -183,8 +182,10 @@ def score(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str =
     Rows that repeat a key are scored each for itself; other columns are ignored.
     """
 
+    bound_batches(docs.sparkSession)
+
     def run(batches):
-        for part, texts in text_batches(batches, text_at=2):
+        for part, texts in words.text_batches(batches, text_at=2):
             p, s = model.tag(texts) if model else ([np.zeros(0)] * len(texts), np.zeros(len(texts)))
             spans = [spans_of(t, x) if len(x) and x.max() >= 0.5 else [] for t, x in zip(texts, p, strict=True)]
             yield pa.RecordBatch.from_arrays(
@@ -196,15 +197,16 @@ def score(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str =
 
 
 def keep_clean(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """The rows of docs whose text scores below 0.5, with all their columns; null and empty texts stay."""
+    """The rows of docs whose text scores below 0.5, with all their columns; null and empty texts stay.
+
+    Rows that repeat a key are judged each for itself; an empty table gives no rows. Without a model all rows stay.
+    """
     if model is None:
         return docs
+    bound_batches(docs.sparkSession)
 
-    @F.pandas_udf("boolean")
-    def clean(texts: pd.Series) -> pd.Series:
-        out = []
-        for at in range(0, len(texts), 256):
-            out.append(model.tag(texts.iloc[at : at + 256].tolist())[1] < 0.5)
-        return pd.Series(np.concatenate(out) if out else np.zeros(0, bool))
+    @F.arrow_udf("boolean")
+    def clean(texts: pa.Array) -> pa.Array:
+        return pa.array(np.concatenate([np.zeros(0, bool), *(model.tag(some)[1] < 0.5 for _, _, some in words.slices(texts))]))
 
     return docs.filter(clean(F.col(text)))

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow.compute as pc
 
 KEY = 32  # bytes of a key: a piece, zeros, and its length in the last one
-MOST = 8  # values of a piece in the table
+MOST = 8  # values of a piece in the table, unless said otherwise
 NONE = np.uint32(0xFFFFFFFF)  # no value (no id, and as a float not a number)
 SLICE_BYTES = 1 << 20
 LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
@@ -32,13 +32,13 @@ class Pieces:
     a piece share, or 0.
     """
 
-    def __init__(self, classes: np.ndarray, cuts, learn, slots: int):
+    def __init__(self, classes: np.ndarray, cuts, learn, slots: int, most: int = MOST):
         self.classes, self.learn = classes, learn
         self.n = n = int(classes.max()) + 1
         pairs = [(a, b, a != 0 and b != 0 and cuts(a, b)) for a in range(n) for b in range(n)]
         self.ends = np.array([a != 0 and (cut or b == 0) for a, b, cut in pairs])
         self.begins = np.array([b != 0 and (cut or a == 0) for a, b, cut in pairs])
-        self.table = np.zeros((slots, KEY // 4 + MOST), np.uint32)
+        self.most, self.table = most, np.zeros((slots, KEY // 4 + most), np.uint32)
 
     def values(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(the values of all pieces of the texts in turn, where each text's begin and the last one's end)."""
@@ -78,10 +78,10 @@ class Pieces:
             one_class = np.where(short[new] & (((c == c[:, :1]) | (WITHIN[np.where(short[new], n[new], 0), : KEY - 1] == 0)).all(axis=1)), c[:, 0], 0)
             flat, sizes = self.learn(pieces, one_class)
             starts = np.cumsum(sizes) - sizes
-            fits = np.flatnonzero(short[new] & (sizes <= MOST))
-            row = np.full((len(fits), KEY // 4 + MOST), NONE, np.uint32)
+            fits = np.flatnonzero(short[new] & (sizes <= self.most))
+            row = np.full((len(fits), KEY // 4 + self.most), NONE, np.uint32)
             row[:, : KEY // 4] = keys[new[fits]].view(np.uint32)
-            row[:, KEY // 4 :][np.arange(MOST) < sizes[fits, None]] = flat[ragged(starts[fits], sizes[fits])]
+            row[:, KEY // 4 :][np.arange(self.most) < sizes[fits, None]] = flat[ragged(starts[fits], sizes[fits])]
             self.table[slot[new[fits]]] = row
             counts[miss] = sizes[where]
             out = np.empty(int(counts.sum()), np.uint32)
