@@ -2,9 +2,9 @@
 
 Documents are aggregated by membership pattern (the set of sources they belong to). A flow routes each
 pattern's words to its sources' quotas; the k-th repetition of a pattern costs more than the one before it,
-so repetition is spread as evenly as the targets allow. The plan has one row per pattern (at most
-MAX_PATTERNS), and documents are then selected by a seeded hash: whole bands of hashes are taken or left, and
-only the band in which a pattern's words run out is ordered, so that no source's rows meet in one task.
+so repetition is spread as evenly as the targets allow. A source that shares no document with another one needs
+no flow. The plan has one row per pattern, and documents are then selected by a seeded hash: whole bands of hashes are
+taken or left, and only the band in which a pattern's words run out is ordered, so that no source's rows meet in one task.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from earshot.operators.splits import numbered
 from earshot.session import stored
 
 WEIGHTS = (1, 2, 3)
@@ -124,27 +125,56 @@ def route(patterns: dict[tuple, int], targets: dict, most: int = MOST) -> dict[t
     return out
 
 
+def targets(sources: DataFrame, total: float, most: int) -> DataFrame:
+    """sources (s, size, weight) with target: water_fill() by aggregation. Each round sums up what the full sources take; only sums leave Spark."""
+    level, n_full = 0.0, -1
+    while True:
+        full = F.lit(most) * F.col("size") <= F.lit(level) * F.col("weight")
+        r = sources.agg(F.count_if(full), F.coalesce(F.sum(F.when(full, most * F.col("size"))), F.lit(0)), F.coalesce(F.sum(F.when(~full, F.col("weight"))), F.lit(0.0))).first()
+        if r[0] == n_full or not r[2] or total <= r[1]:
+            return sources.withColumn("target", F.when(full, (most * F.col("size")).cast("double")).otherwise(F.lit(level) * F.col("weight")))
+        n_full, level = r[0], (total - r[1]) / r[2]
+
+
+def _sources(narrow: DataFrame, weights, most: int) -> DataFrame:
+    """(s, size, weight, target) of each source; weights go round by code point, null last."""
+    sizes = narrow.select(F.explode("_m_sources").alias("s"), "_m_size").groupBy("s").agg(F.sum("_m_size").alias("size"))
+    placed = numbered(sizes, "_k", F.col("s").asc_nulls_last())
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("_k") - 1) % len(weights) + 1).cast("int"))
+    total = float(narrow.agg(F.coalesce(F.sum("_m_size"), F.lit(0))).first()[0])
+    return stored(targets(stored(placed.select("s", "size", weight.alias("weight")), "sources"), total, most), "targets")
+
+
 def _plan(narrow: DataFrame, weights, most: int) -> DataFrame:
-    """A row for each pattern (MAX_PATTERNS at most): full repeats, and the words still missing after them."""
-    sizes = narrow.groupBy("_m_p").agg(F.first("_m_sources").alias("s"), F.sum("_m_size").alias("n"), F.count("*").alias("rows")).limit(MAX_PATTERNS + 1).collect()
-    if len(sizes) > MAX_PATTERNS:
-        raise ValueError(f"over {MAX_PATTERNS} membership patterns")
-    by_source = defaultdict(int)
-    for r in sizes:
-        for s in r.s:
-            by_source[s] += r.n
-    names = sorted(by_source, key=lambda s: (s is None, s or ""))
-    total = sum(r.n for r in sizes)
-    shares = water_fill([by_source[s] for s in names], [weights[i % len(weights)] for i in range(len(names))], most, total)
-    target = dict(zip(names, shares, strict=True))
-    taken = route({tuple(r.s): r.n for r in sizes}, target, most)
-    plan = []
-    for r in sizes:
-        f = min(most * r.n, round(taken[tuple(r.s)]))
-        base = f // r.n if r.n else 0
-        plan.append((r["_m_p"], sum(by_source[s] for s in r.s), float(sum(target[s] for s in r.s)), base, f - base * r.n, max(1, min(1 << 20, r.rows // BAND_ROWS))))
-    schema = "_m_p string, _m_source_size long, _m_target double, _m_base long, _m_rest long, _m_bands long"
-    return F.broadcast(narrow.sparkSession.createDataFrame(plan, schema))
+    """A row for each pattern: full repeats, and the words still missing after them.
+
+    A source that no document shares with another one takes its target from its own documents. The other patterns go
+    through the flow, in the driver; there may be MAX_PATTERNS of them.
+    """
+    spark = narrow.sparkSession
+    sources = _sources(narrow, weights, most)
+    patterns = stored(narrow.groupBy("_m_p").agg(F.first("_m_sources").alias("s"), F.sum("_m_size").alias("n"), F.count("*").alias("rows")), "patterns")
+    each = patterns.select("_m_p", F.explode("s").alias("s"))
+    shared = patterns.filter(F.size("s") > 1).select(F.explode("s").alias("s")).distinct()
+    mixed_up = each.join(shared, each["s"].eqNullSafe(shared["s"]), "left_semi").select("_m_p").distinct()
+    some = patterns.join(mixed_up, "_m_p").limit(MAX_PATTERNS + 1).collect()
+    if len(some) > MAX_PATTERNS:
+        raise ValueError(f"over {MAX_PATTERNS} membership patterns of shared sources")
+    own = {r.s: r for r in sources.join(shared, sources["s"].eqNullSafe(shared["s"]), "left_semi").collect()} if some else {}
+    taken = route({tuple(r.s): r.n for r in some}, {k: r.target for k, r in own.items()}, most)
+    flowed = [(r["_m_p"], sum(own[s].size for s in r.s), float(sum(own[s].target for s in r.s)), r.n, r.rows, min(most * r.n, round(taken[tuple(r.s)]))) for r in some]
+    flowed = spark.createDataFrame(flowed, "_m_p string, _m_source_size long, _m_target double, n long, rows long, f long")
+    alone = patterns.join(mixed_up, "_m_p", "left_anti").withColumn("_s", F.get("s", F.lit(0)))
+    alone = alone.join(sources, alone["_s"].eqNullSafe(sources["s"])).select("_m_p", sources["size"].alias("_m_source_size"), F.col("target").alias("_m_target"), "n", "rows", F.least(most * F.col("n"), F.round("target").cast("long")).alias("f"))
+    plan = alone.unionByName(flowed)
+    base = F.when(F.col("n") > 0, F.floor(F.col("f") / F.col("n"))).otherwise(F.lit(0))
+    bands = F.greatest(F.lit(1), F.least(F.lit(1 << 20), F.floor(F.col("rows") / BAND_ROWS)))
+    return stored(plan.select("_m_p", "_m_source_size", "_m_target", base.alias("_m_base"), (F.col("f") - base * F.col("n")).alias("_m_rest"), bands.alias("_m_bands")), "plan")
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """df, broadcast if it has few rows; a larger one is joined by a shuffle."""
+    return F.broadcast(df) if df.count() <= MAX_PATTERNS else df
 
 
 def taken_words(docs: DataFrame, weights=WEIGHTS, most: int = MOST, key: str = "doc_id", text: str = "text", source: str = "source", cut: bool = True) -> DataFrame:
@@ -156,13 +186,13 @@ def taken_words(docs: DataFrame, weights=WEIGHTS, most: int = MOST, key: str = "
     spread = F.pmod(F.xxhash64(key, F.lit(SEED)), F.lit(1 << 40))
     rows = docs.withColumns({"_m_size": n_words(F.col(text)), "_m_p": name, "_m_at": spread})
     narrow = stored(rows.select("_m_size", "_m_p", "_m_at", pattern.alias("_m_sources")), "sizes")
-    plan = _plan(narrow, weights, most)
+    plan = _small(_plan(narrow, weights, most))
     band = F.floor(F.col("_m_at") * F.col("_m_bands") / float(1 << 40))
     bands = narrow.join(plan, "_m_p").filter("_m_rest > 0").groupBy("_m_p", band.alias("_m_band"), "_m_rest").agg(F.sum("_m_size").alias("n"))
     upto = F.sum("n").over(Window.partitionBy("_m_p").orderBy("_m_band"))
     edge = bands.withColumn("upto", upto).filter("upto >= _m_rest AND upto - n < _m_rest").select("_m_p", F.col("_m_band").alias("_m_edge"), (F.col("_m_rest") - F.col("upto") + F.col("n")).alias("_m_need"))
     edge = stored(edge, "edges")
-    rows = rows.join(plan, "_m_p").withColumn("_m_band", band).join(F.broadcast(edge), "_m_p", "left")  # a row for each pattern at most
+    rows = rows.join(plan, "_m_p").withColumn("_m_band", band).join(_small(edge), "_m_p", "left")
     outside = rows.filter("_m_edge IS NULL OR _m_band <> _m_edge").withColumn("_m_more", F.when(F.col("_m_band") < F.col("_m_edge"), F.col("_m_size")).otherwise(F.lit(0)))
     order = Window.partitionBy("_m_p").orderBy("_m_at", key, "_m_size").rowsBetween(Window.unboundedPreceding, -1)
     room = F.greatest(F.lit(0), F.col("_m_need") - F.coalesce(F.sum("_m_size").over(order), F.lit(0)))
@@ -187,7 +217,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, key: str = "doc_id",
 
 
 def mixed(docs: DataFrame, weights=WEIGHTS, most: int = MOST, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The mix itself: each document as often as it is taken, whole, with all columns of docs."""
+    """The mix itself: each document as often as it is taken, whole, with all columns of docs.
+
+    Rows that repeat a key are taken each for itself; documents without words are left out; an empty table gives no rows.
+    """
     out = taken_words(docs, weights, most, key, text, source, cut=False).filter("_m_size > 0")
     times = F.sequence(F.lit(1).cast("long"), (F.col("_m_taken") / F.col("_m_size")).cast("long"))
     return out.filter(F.col("_m_taken") >= F.col("_m_size")).withColumn("_m_copy", F.explode(times)).select(*docs.columns)
