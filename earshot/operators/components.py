@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from earshot.session import stored
+from earshot.session import forget, stored
 
 SALTS = 8
 EDGES_PER_TASK = 2_000_000
@@ -64,14 +64,17 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
     """
     x, y = F.col(a).cast("long"), F.col(b).cast("long")
     now = edges.select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).filter(x.isNotNull() & y.isNotNull() & (x != y)).distinct()
-    now, tasks = _contracted(stored(now, "edges"))
+    first = stored(now, "edges")
+    now, tasks = _contracted(first)
+    forget(first)
     before = None
     for _ in range(most_rounds if tasks > 1 else 0):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _least(both).filter("v > u AND v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = _least(large)
         pairs = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        now = stored(pairs.filter("u <> v").distinct(), "edges")
+        last, now = now, stored(pairs.filter("u <> v").distinct(), "edges")
+        forget(last)
         state = tuple(now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0))).first())
         if state == before:
             break

@@ -31,11 +31,13 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset one in the warehouse, or in a
+    temporary folder if all tasks run in the driver's own process."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-earshot-")
+        alone = sc.master == "local" or sc.master.startswith("local[")
+        folder = tempfile.mkdtemp(prefix="spark-earshot-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/earshot-{uuid.uuid4().hex[:12]}"
         sc.setCheckpointDir(folder)
     return folder.rstrip("/")
 
@@ -45,7 +47,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables of stored() that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
