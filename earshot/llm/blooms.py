@@ -43,9 +43,22 @@ def flag_repeated(df: DataFrame, h: str, bitmaps: DataFrame, blocks: int, flag:
     return out.withColumn(flag, F.coalesce(hit, F.lit(False))).drop("_bloom_block", "_bloom_bits")
 
 
+def flag_keys(df: DataFrame, key: str, keys: DataFrame, name: str, flag: str) -> DataFrame:
+    """df with a boolean column: may this row's key be in column `name` of keys? keys should be a stored table."""
+    return _flagged(df, F.xxhash64(key), keys.select(F.xxhash64(name).alias("_bloom_h")), flag)
+
+
+def with_key(df: DataFrame, key: str, hashes: DataFrame, name: str) -> DataFrame:
+    """The rows of df the xxhash64 of whose key may be in column `name` of hashes, a stored table."""
+    return _flagged(df, F.xxhash64(key), hashes.select(F.col(name).alias("_bloom_h")), "_bloom_maybe").filter("_bloom_maybe").drop("_bloom_maybe")
+
+
+def _flagged(df: DataFrame, h: Column, hashes: DataFrame, flag: str) -> DataFrame:
+    blocks = n_blocks(hashes.count())
+    return flag_repeated(df.withColumn("_bloom_h", h), "_bloom_h", repeated_bits(hashes, "_bloom_h", blocks, least=1), blocks, flag).drop("_bloom_h")
+
+
 def drop_rows(df: DataFrame, key: str, gone: DataFrame) -> DataFrame:
     """df without the rows whose key is in gone (column `key`). Only rows that may be in it are shuffled; null keys stay."""
-    blocks = n_blocks(df.count())
-    marks = repeated_bits(gone.select(F.xxhash64(key).alias("_bloom_h")), "_bloom_h", blocks, least=1)
-    rows = flag_repeated(df.withColumn("_bloom_h", F.xxhash64(key)), "_bloom_h", marks, blocks, "_bloom_maybe").drop("_bloom_h")
+    rows = flag_keys(df, key, gone, key, "_bloom_maybe")
     return rows.filter("not _bloom_maybe").unionByName(rows.filter("_bloom_maybe").join(gone.select(key).distinct(), key, "left_anti").select(*rows.columns)).drop("_bloom_maybe")

@@ -23,7 +23,7 @@ def op3_token_files(spark, sf_dir):
 
 def op4_line_dedup(spark, sf_dir):
     out = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "n_chunks", "removed_chunks", "removed_lines")
+    return out.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "removed_chunks", "removed_lines")
 
 
 def op5_language(spark, sf_dir):
