@@ -47,13 +47,23 @@ def t02(spark, sf):
     return split_rows(T.balanced_splits(keyed(spark, sf).drop("split"), "region", "speaker", cap=20, order=F.struct(T.draw(1, "key"), "duration")), "region", "speaker")  # keys may repeat
 
 
-@query("t03_channel_splits", """WITH {seg}, c AS (SELECT region, count(DISTINCT playlist) AS n FROM seg GROUP BY region) SELECT region, least(n, 3) AS splits, CASE WHEN n = 2 THEN 'test|train' WHEN n = 1 THEN 'test' ELSE 'dev|test|train' END AS names FROM c""")
+#: Channels with their class of most duration, as groups of GREEDY.
+CHANNELS = "d AS (SELECT playlist, region, sum(duration) AS mass FROM seg GROUP BY ALL), h AS (SELECT playlist, region, row_number() OVER (PARTITION BY playlist ORDER BY mass DESC, region) AS k FROM d), o AS (SELECT playlist, sum(duration) AS mass, count(*) AS n FROM seg GROUP BY playlist), p AS (SELECT *, row_number() OVER (ORDER BY playlist) AS id FROM o), g AS (SELECT region AS cls, id AS grp, mass, n FROM p JOIN h ON h.playlist = p.playlist AND k = 1), "
+
+
+def repaired(split, before, after):
+    """SQL: where a class has no group in the split, the smallest group of the split with most groups (ties train, dev, test) moves there."""
+    n = {x: f"count(*) FILTER (WHERE split = '{x}') OVER (PARTITION BY cls)" for x in ("train", "dev", "test")}
+    donor = f"CASE WHEN {n[split]} > 0 THEN NULL WHEN {n['train']} >= greatest({n['dev']}, {n['test']}) THEN 'train' WHEN {n['dev']} >= {n['test']} THEN 'dev' ELSE 'test' END"
+    return f"{after}_d AS (SELECT *, {donor} AS donor FROM {before}), {after} AS (SELECT cls, i, grp, CASE WHEN i = max(CASE WHEN split = donor THEN i END) OVER (PARTITION BY cls) THEN '{split}' ELSE split END AS split FROM {after}_d)"
+
+
+@query("t03_channel_splits", "WITH RECURSIVE {seg}, " + CHANNELS + GREEDY + f", w0 AS (SELECT * FROM w WHERE i > 0), {repaired('dev', 'w0', 'w1')}, {repaired('test', 'w1', 'w2')}, z AS (SELECT *, count(*) OVER (PARTITION BY cls) AS c FROM w2)" + " SELECT playlist, CASE WHEN c = 1 THEN 'test' WHEN c = 2 THEN CASE WHEN i = 1 THEN 'train' ELSE 'test' END ELSE split END AS split, n FROM z JOIN p ON p.id = z.grp")
 def t03(spark, sf):
-    out = T.channel_splits(segments(spark, sf).drop("split"), "region", "playlist")
-    return out.groupBy("region").agg(F.countDistinct("split").alias("splits"), F.array_join(F.sort_array(F.collect_set("split")), "|").alias("names"))
+    return split_rows(T.channel_splits(segments(spark, sf).drop("split"), "region", "playlist"), "playlist")
 
 
-@query("t04_channel_greedy", "WITH RECURSIVE {seg}, d AS (SELECT playlist, region, sum(duration) AS mass FROM seg GROUP BY ALL), h AS (SELECT playlist, region, row_number() OVER (PARTITION BY playlist ORDER BY mass DESC, region) AS k FROM d), o AS (SELECT playlist, sum(duration) AS mass, count(*) AS n FROM seg GROUP BY playlist), p AS (SELECT *, row_number() OVER (ORDER BY playlist) AS id FROM o), g AS (SELECT region AS cls, id AS grp, mass, n FROM p JOIN h ON h.playlist = p.playlist AND k = 1), " + GREEDY + " SELECT playlist, split, n FROM w JOIN p ON p.id = w.grp")
+@query("t04_channel_greedy", "WITH RECURSIVE {seg}, " + CHANNELS + GREEDY + " SELECT playlist, split, n FROM w JOIN p ON p.id = w.grp")
 def t04(spark, sf):
     return split_rows(T.channel_splits(segments(spark, sf).drop("split"), "region", "playlist", repair=False), "playlist")
 
