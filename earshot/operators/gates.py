@@ -85,8 +85,9 @@ def canonical(name: Column, aliases: dict[str, str], known: list[str], special:
     return out
 
 
-def macro_class(name: Column) -> Column:
-    return F.when(F.lower(F.regexp_replace(name, "[^A-Za-z]", "")).isin("controls", "control", "nontarget"), "Control").otherwise("Target")
+def macro_class(name: Column, spellings: tuple[str, ...] = ("controls", "control", "nontarget"), inside: str = "Control", outside: str = "Target") -> Column:
+    """`inside` if the letters of a folder's name are one of the spellings in any case, else `outside`."""
+    return F.when(F.lower(F.regexp_replace(name, "[^A-Za-z]", "")).isin(*[x.lower() for x in spellings]), inside).otherwise(outside)
 
 
 def registry_rows(df: DataFrame, region: str | None = None, only_approved: bool = False) -> DataFrame:

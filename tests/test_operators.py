@@ -150,3 +150,9 @@ def test_late_rows_do_not_undo_newer_ones(spark, tmp_path):
     merge(spark.createDataFrame([("a", 3, "late", "kept"), ("b", 2, " ", "y"), ("c", 1, None, None)], "key string, order int, stage string, note string"), 1)
     got = {tuple(r) for r in incremental.merged_state(spark, str(tmp_path / "state"), "key").collect()}
     assert got == {("a", "done", "kept"), ("b", "new", "y"), ("c", None, None)}
+
+
+def test_macro_class_labels_and_spellings_are_parameters(spark):
+    df = spark.createDataFrame([("Con_trols",), ("other lang",), ("OTHER-LANG",), (None,)], "n string")
+    got = df.select(gates.macro_class(F.col("n"), ("otherlang",), "Away", "Home").alias("own"), gates.macro_class(F.col("n")).alias("usual")).collect()
+    assert [tuple(r) for r in got] == [("Home", "Control"), ("Away", "Target"), ("Away", "Target"), ("Home", "Target")]
