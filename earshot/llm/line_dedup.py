@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from earshot.llm import blooms
-from earshot.session import stored
+from earshot.session import forget, stored
 
 EVERY = 3
 LONG = 50
@@ -142,7 +142,9 @@ def _repeated(docs: DataFrame, key: str, text: str, every: int, long: int, least
     here = runs.filter("_key IS NOT NULL").groupBy("d", "_key").agg(F.min("start").alias("s0"), F.collect_set(one).alias("at"))
     beyond = F.filter("at", lambda x: x["start"] * 2 - x["end"] > F.col("s0"))
     gone = gone.unionByName(here.join(first, ["d", "_key"], "left").select("_key", F.explode(F.when(F.col("first"), beyond).otherwise(F.col("at"))).alias("s")))
-    return stored(gone.groupBy("_key").agg(F.collect_set("s").alias("_l_spans")).withColumnRenamed("_key", "_l_key"), "removed")
+    removed = stored(gone.groupBy("_key").agg(F.collect_set("s").alias("_l_spans")).withColumnRenamed("_key", "_l_key"), "removed")
+    forget(spans, again, bits, keys, some, maybe)
+    return removed
 
 
 def _cut(docs: DataFrame, key: str, text: str, every: int, long: int, least_words: int) -> DataFrame:

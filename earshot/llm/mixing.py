@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from earshot.operators.splits import numbered
-from earshot.session import stored
+from earshot.session import forget, stored
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
@@ -169,7 +169,9 @@ def _plan(narrow: DataFrame, weights, most: int) -> DataFrame:
     plan = alone.unionByName(flowed)
     base = F.when(F.col("n") > 0, F.floor(F.col("f") / F.col("n"))).otherwise(F.lit(0))
     bands = F.greatest(F.lit(1), F.least(F.lit(1 << 20), F.floor(F.col("rows") / BAND_ROWS)))
-    return stored(plan.select("_m_p", "_m_source_size", "_m_target", base.alias("_m_base"), (F.col("f") - base * F.col("n")).alias("_m_rest"), bands.alias("_m_bands")), "plan")
+    plan = stored(plan.select("_m_p", "_m_source_size", "_m_target", base.alias("_m_base"), (F.col("f") - base * F.col("n")).alias("_m_rest"), bands.alias("_m_bands")), "plan")
+    forget(patterns, sources)
+    return plan
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -192,6 +194,7 @@ def taken_words(docs: DataFrame, weights=WEIGHTS, most: int = MOST, key: str = "
     upto = F.sum("n").over(Window.partitionBy("_m_p").orderBy("_m_band"))
     edge = bands.withColumn("upto", upto).filter("upto >= _m_rest AND upto - n < _m_rest").select("_m_p", F.col("_m_band").alias("_m_edge"), (F.col("_m_rest") - F.col("upto") + F.col("n")).alias("_m_need"))
     edge = stored(edge, "edges")
+    forget(narrow)
     rows = rows.join(plan, "_m_p").withColumn("_m_band", band).join(_small(edge), "_m_p", "left")
     outside = rows.filter("_m_edge IS NULL OR _m_band <> _m_edge").withColumn("_m_more", F.when(F.col("_m_band") < F.col("_m_edge"), F.col("_m_size")).otherwise(F.lit(0)))
     order = Window.partitionBy("_m_p").orderBy("_m_at", key, "_m_size").rowsBetween(Window.unboundedPreceding, -1)

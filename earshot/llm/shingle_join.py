@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from earshot.llm import blooms, trie
 from earshot.operators.components import connected_components, forest
-from earshot.session import bound_batches, stored
+from earshot.session import bound_batches, forget, stored
 
 CELLS = 1 << 20
 SLICE = 1 << 14
@@ -299,12 +299,17 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, k
         links = links.unionByName(first).unionByName(second)
     final = connected_components(links.unionByName(_repeats(signed, reps)))
     whole = reps.select("key", "rep").join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "key").join(stored(whole, "whole"), "key", "left")
+    whole = stored(whole, "whole")
+    forget(reps, nodes)
+    out = signed.select("doc_id", "n_shingles", "key").join(whole, "key", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component_id")), F.col("doc_id"))).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without all but the smallest key of each group of linked documents."""
+    """docs without all but the smallest key of each group of linked documents.
+
+    Rows with a null key stay, and so do all rows that repeat a key that stays; an empty table gives no rows; other columns stay as they are.
+    """
     groups = jaccard_groups(docs, n, num, den, key, text)
     gone = stored(groups.filter("component_id <> doc_id").select(F.col("doc_id").alias(key)).distinct(), "gone")
     return blooms.drop_rows(docs, key, gone)

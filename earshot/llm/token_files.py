@@ -26,7 +26,8 @@ SHARDS = "part int, shard int, start long, n_tokens long, keys array<long>, leng
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, text: str = "text", key: str = "doc_id", piecewise: bool = True) -> None:
     """Write every text's ids and end_id to path. Null text counts as empty (only end_id); null keys come first.
 
-    Rows that repeat a key each keep their own ids. A document is never cut across shards.
+    Rows that repeat a key each keep their own ids. A document is never cut across shards, so a very long one makes a
+    large shard. An empty table gives a folder without shards; other columns are ignored.
     """
 
     def shards(batches):
@@ -56,7 +57,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, text: str = "
 
 
 def read(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
-    """(key, start, n_tokens, ids_crc32) of each document in the files."""
+    """(key, start, n_tokens, ids_crc32) of each document in the files; none if they hold no shard."""
     files = spark.read.schema(SHARDS).parquet(path)
     totals = files.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = totals.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
@@ -73,7 +74,7 @@ def read(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
 
 
 def token_files(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2) -> DataFrame:
-    """Write documents as token files in the shared folder, and read them back."""
+    """Write documents as token files in the shared folder, and read them back; see write() for nulls, repeated keys and empty tables."""
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex[:12]}"
     write(docs, path, tokenizer or tokens.tokenizer_path(), end_id)

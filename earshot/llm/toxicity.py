@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -39,17 +38,23 @@ def spellings(token: str) -> list[str]:
     return [f"w{w}", *(f"{n}{w[:n]}" for n in range(4, 10) if len(w) > n), f"s{w[-3:]}"]
 
 
-def hashed(token: str) -> list[int]:
-    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % BUCKETS for x in spellings(token)]
+def codes(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(32-bit codes of the spellings of all tokens in turn, how many of each token)."""
+    found = [[zlib.crc32(x.encode("utf-8", "surrogatepass")) for x in spellings(t)] for t in tokens]
+    return np.array([c for x in found for c in x], np.uint32), np.array([len(x) for x in found], np.int64)
 
 
-def one_of_copies(documents: list[list[str]], hashes: int = 4, n: int = 3) -> np.ndarray:
-    """Places of documents that share no minimum hash of their n-word shingles with one before: copies must not vote again."""
+def one_of_copies(documents: list[np.ndarray], hashes: int = 4, n: int = 3) -> np.ndarray:
+    """Places of documents (word numbers) that share no minimum hash of their n-word shingles with one before: copies must not vote again."""
     seen, keep = set(), []
     rng = np.random.default_rng(11)
     a = rng.integers(1, 1 << 62, hashes).astype(np.uint64) | np.uint64(1)
-    for i, tokens in enumerate(documents):
-        x = np.array([zlib.crc32(" ".join(tokens[k : k + n]).lower().encode("utf-8", "surrogatepass")) for k in range(max(1, len(tokens) - n + 1))], np.uint64)
+    for i, ids in enumerate(documents):
+        size = max(1, len(ids) - n + 1)
+        x = np.zeros(size, np.uint64)
+        for k in range(min(n, len(ids))):
+            x = (x ^ (ids[k : k + size].astype(np.uint64) + np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15)
+            x ^= x >> np.uint64(29)
         least = {(k, int((x * m).min())) for k, m in enumerate(a)}
         if seen.isdisjoint(least):
             keep.append(i)
@@ -57,15 +62,21 @@ def one_of_copies(documents: list[list[str]], hashes: int = 4, n: int = 3) -> np
     return np.array(keep, np.int64)
 
 
-def weak_labels(documents: list[list[str]], toxic: np.ndarray, odds: float = 3.0) -> set[str]:
-    """Tokens to be labelled toxic in toxic documents: the log odds of one of their features are over `odds`."""
-    found = {True: Counter(), False: Counter()}
-    for tokens, t in zip(documents, toxic.tolist(), strict=True):
-        found[t].update({x for w in set(tokens) for x in spellings(w)[:-1]})
+def weak_labels(documents: list[np.ndarray], toxic: np.ndarray, code: np.ndarray, sizes: np.ndarray, odds: float = 3.0) -> np.ndarray:
+    """For each word: is it to be labelled toxic in toxic documents, as the log odds of one of its spellings (but the last) are over `odds`?"""
+    starts = np.cumsum(sizes) - sizes
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    use = np.ones(len(code), bool)
+    use[starts + sizes - 1] = False
+    distinct, code = np.unique(code, return_inverse=True)
+    found = np.zeros((2, len(distinct)), np.int64)
+    for ids, t in zip(documents, toxic.tolist(), strict=True):
+        some = np.unique(ids)
+        at = words.ragged(starts[some], sizes[some])
+        found[int(t), np.unique(code[at[use[at]]])] += 1
     yes, no = int(toxic.sum()), int((~toxic).sum())
-    least = min(8, max(2, 0.05 * yes))
-    marked = {x for x, c in found[True].items() if c >= least and np.log((c + 0.5) / (yes + 1)) - np.log((found[False][x] + 0.5) / (no + 1)) >= odds}
-    return {w for tokens, t in zip(documents, toxic.tolist(), strict=True) if t for w in set(tokens) if not marked.isdisjoint(spellings(w)[:-1])}
+    marked = (found[1] >= min(8, max(2, 0.05 * yes))) & (np.log((found[1] + 0.5) / (yes + 1)) - np.log((found[0] + 0.5) / (no + 1)) >= odds)
+    return np.bincount(owner, marked[code] & use, len(sizes)) > 0
 
 
 @dataclass
@@ -82,9 +93,8 @@ class Model:
 
     def odds(self, tokens: list[str]) -> np.ndarray:
         """exp(score of toxic - score of not) of tokens, by themselves."""
-        found = [hashed(t) for t in tokens]
-        sizes = np.array([len(x) for x in found], np.int64)
-        flat = self.weights[np.array([i for x in found for i in x], np.int64)].astype(float)
+        code, sizes = codes(tokens)
+        flat = self.weights[code % BUCKETS].astype(float)
         sums = np.add.reduceat(flat, np.cumsum(sizes) - sizes) if len(flat) else flat
         return np.exp(np.clip(sums + self.bias, -30, 30)).astype(np.float32)
 
@@ -116,30 +126,29 @@ def train(rows: list[tuple[str, int]], rounds: int = ROUNDS) -> Model | None:
     toxic = np.array([bool(y) for _, y in rows], bool)
     if not toxic.any() or toxic.all():
         return None
-    documents = [WORD.findall(t or "") for t, _ in rows]
+    vocabulary: dict[str, int] = {}
+    documents = [np.array([vocabulary.setdefault(w.lower(), len(vocabulary)) for w in WORD.findall(t or "")], np.int64) for t, _ in rows]
     keep = one_of_copies(documents)
     rows, documents, toxic = [rows[i] for i in keep], [documents[i] for i in keep], toxic[keep]
     if not toxic.any() or toxic.all():
         return None
-    marked = weak_labels(documents, toxic)
-    vocabulary: dict[str, int] = {}
-    ids = np.array([vocabulary.setdefault(w, len(vocabulary)) for ws in documents for w in ws], np.int64)
-    in_toxic = np.repeat(toxic, [len(ws) for ws in documents])
-    y = np.array([w in marked for w in vocabulary], bool)[ids] & in_toxic
-    sizes = np.array([len(ws) for ws in documents])
+    code, n_code = codes(list(vocabulary))
+    per_word = len(vocabulary)
+    del vocabulary
+    ids, sizes = np.concatenate(documents), np.array([len(x) for x in documents])
+    y = weak_labels(documents, toxic, code, n_code)[ids] & np.repeat(toxic, sizes)
     first = np.zeros(len(ids), bool)
     first[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
-    per_word = [hashed(w) for w in vocabulary]
-    owner, feature = np.repeat(np.arange(len(per_word)), [len(x) for x in per_word]), np.array([x for xs in per_word for x in xs], np.int64)
+    owner, feature = np.repeat(np.arange(per_word), n_code), (code % BUCKETS).astype(np.int64)
     theta, grads = np.zeros(BUCKETS), np.full(BUCKETS, 1e-2)
     small, small_grads = np.array([-4.0, 0.0, 0.0, 0.0, 0.0]), np.full(5, 1e-2)  # bias, start of 1, steps 01, 10, 11
     inner = np.flatnonzero(~first[1:]) + 1
     seen = np.array([(y[first]).sum(), (~y[inner - 1] & y[inner]).sum(), (y[inner - 1] & ~y[inner]).sum(), (y[inner - 1] & y[inner]).sum()], float)
     for _ in range(rounds):
-        word = np.bincount(owner, theta[feature], len(per_word)) + small[0]
+        word = np.bincount(owner, theta[feature], per_word) + small[0]
         step = np.exp(np.array([[0, small[2]], [small[3], small[4]]]))
         p, pairs, starts = chain.marginals(np.exp(np.clip(word[ids], -30, 30)), first, np.exp([0, small[1]]), step, pairs=True)
-        by_word = np.bincount(ids, y - p, len(per_word))
+        by_word = np.bincount(ids, y - p, per_word)
         g = np.bincount(feature, by_word[owner], BUCKETS) - 0.02 * theta
         grads += g * g
         theta += 0.7 * g / np.sqrt(grads)
@@ -147,7 +156,7 @@ def train(rows: list[tuple[str, int]], rounds: int = ROUNDS) -> Model | None:
         small_grads += g * g
         small = np.clip(small + 0.3 * g / np.sqrt(small_grads), -12, 12)
     model = Model(theta.astype(np.float32), float(small[0]), np.exp([0, small[1]]), np.exp(np.array([[0, small[2]], [small[3], small[4]]])), np.zeros(3))
-    x = features(model.tag([t for t, _ in rows])[0])
+    x = np.concatenate([features(model.tag([t for t, _ in rows[at : at + 100]])[0]) for at in range(0, len(rows), 100)])
     for _ in range(25):  # Newton steps of a ridge logistic fit
         q = 1 / (1 + np.exp(-x @ model.document))
         h = (x * (q * (1 - q))[:, None]).T @ x + 0.1 * np.eye(3)

@@ -40,3 +40,29 @@ def test_run_is_registered():
     import __spark_entry__
 
     assert "pipeline" in __spark_entry__.queries() and len(corpus_pipeline.STAGES) == 5
+
+
+ODD = [(1, None, "en", "a", 0), (None, "some words of a row without a key", None, None, 0), (2, "", "en", "a", 0), (3, "w " * 30_000, "en", None, 0), (4, "the same text again", "de", "b", 0), (4, "the same text again", "de", "b", 0), (5, "the same text again", None, "b", 0), (6, " \n\t ", "en", "c", 0)]
+
+
+def test_stages_take_odd_rows_and_other_columns(spark, sf):
+    docs = spark.createDataFrame([(*r, f"x{i}", i) for i, r in enumerate(ODD)], "doc_id long, text string, lang string, source string, n_chars long, _key string, size int")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf), name)
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "_key", "size"]
+        rows = docs.collect()
+        if name in ("toxicity", "line_dedup"):
+            assert len(rows) == len(ODD)
+        if name == "shingle_join":
+            assert sorted(str(r.doc_id) for r in rows if r.text == "the same text again") == ["4", "4"]
+            assert any(r.doc_id is None for r in rows)
+    packed = [r.asDict() for r in corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()]
+    check_packed(packed)
+    assert {r["doc_id"] for r in packed} == {r.doc_id for r in docs.collect()}
+
+
+def test_stages_take_an_empty_table(spark, sf):
+    docs = table(spark, sf, "documents").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stored(stage(spark, docs, sf), name)
+        assert docs.count() == 0
