@@ -1,35 +1,38 @@
 """Language of a text by unigram piece models, summed over all segmentations.
 
 The pieces come from a fixed public vocabulary. Expectation-maximisation on a bounded sample of labelled
-documents (PER_LANGUAGE of each, texts up to MAX_CHARS) gives each language its piece probabilities. A word's
-probability is the sum over all its segmentations into pieces (forward algorithm), a text's the product over
-its words; the language of the largest one is predicted.
+documents (PER_LANGUAGE of each, texts up to MAX_CHARS, words up to MAX_LETTERS) gives each language its piece
+probabilities. A word's probability is the sum over all its segmentations into pieces (forward algorithm), however
+long the word is; a text's is the product over its words; the language of the largest one is predicted.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from earshot.llm import samples, tokens, words
+from earshot.session import bound_batches
 
 PIECES = "piece_bpe_32k.model"
 PER_LANGUAGE = 400
 MAX_CHARS = 20_000
-LONGEST_PIECE = 12
-CHUNK = 32  # letters of a word that are summed over together; longer words are cut
+MAX_LETTERS = 64
 ROUNDS = 4
 UNKNOWN = 1e-7  # probability of a letter outside the vocabulary
-MAX_KNOWN = 300_000
+SLOTS = 1 << 18
 SURE_AFTER = 20  # words that count in full towards the score
-BASE = np.uint64(0x9E3779B97F4A7C15)
-LETTERS = re.compile(r"[^\W\d_]+")
+SCALED, BLOCK = 8, 1 << 15  # letters after which forward sums of long words are scaled, and of which tables are made at once
+BASE = 0x9E3779B97F4A7C15
+WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+#: Bytes of words: ASCII letters, and all of other scripts, which WORD cuts further.
+WORD_BYTES = np.array([chr(b).isalpha() or b >= 128 for b in range(256)]).astype(np.uint8)
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
@@ -37,18 +40,18 @@ def vocabulary(path: str) -> list[str]:
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    return sorted({p for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i)) and 0 < len(p := model.id_to_piece(i)) <= LONGEST_PIECE})
+    return sorted({p for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i)) and (p := model.id_to_piece(i))})
 
 
-def codes(words: list[str]) -> np.ndarray:
+def codes(some: list[str]) -> np.ndarray:
     """Words of one length as a (words, length) array of code points."""
-    return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(words), -1).astype(np.uint64)
+    return np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(some), -1).astype(np.uint64)
 
 
 def prefix_hashes(c: np.ndarray) -> np.ndarray:
     h = np.zeros((c.shape[0], c.shape[1] + 1), np.uint64)
     for i in range(c.shape[1]):
-        h[:, i + 1] = h[:, i] * BASE + c[:, i] + np.uint64(1)
+        h[:, i + 1] = h[:, i] * np.uint64(BASE) + c[:, i] + np.uint64(1)
     return h
 
 
@@ -59,6 +62,7 @@ class Pieces:
     hashes: np.ndarray
     ids: np.ndarray
     size: int
+    powers: list  # of the base, up to the longest piece
 
     @staticmethod
     def of(pieces: list[str]) -> Pieces:
@@ -68,45 +72,74 @@ class Pieces:
         h = np.concatenate([prefix_hashes(codes([p for p, _ in x]))[:, -1] for x in by.values()])
         i = np.concatenate([[i for _, i in x] for x in by.values()])
         order = np.argsort(h)
-        return Pieces(h[order], i[order], len(pieces))
-
-    def spans(self, words: list[str]):
-        """(start, end, piece id of each word's span or `size`) for words of one length."""
-        h = prefix_hashes(codes(words))
-        n = h.shape[1] - 1
-        for j in range(1, n + 1):
-            for i in range(max(0, j - LONGEST_PIECE), j):
-                power = np.uint64(1)
-                with np.errstate(over="ignore"):
-                    for _ in range(j - i):
-                        power = power * BASE
-                x = h[:, j] - h[:, i] * power
-                at = np.minimum(np.searchsorted(self.hashes, x), len(self.hashes) - 1)
-                yield i, j, np.where(self.hashes[at] == x, self.ids[at], self.size)
-
-
-def by_length(words: list[str]) -> dict[int, list[int]]:
+        return Pieces(h[order], i[order], len(pieces), [np.uint64(pow(BASE, n, 1 << 64)) for n in range(max(by) + 1)])
+
+    def spans(self, some: list[str]):
+        """(start, end, piece id of each word's span or `size`) for words of one length, by end."""
+        h = prefix_hashes(codes(some))
+        for j in range(1, h.shape[1]):
+            for i in range(max(0, j - len(self.powers) + 1), j):
+                yield i, j, self.find(h[:, j] - h[:, i] * self.powers[j - i])
+
+    def find(self, x: np.ndarray) -> np.ndarray:
+        """Piece ids of hashes, `size` where there is none."""
+        at = np.minimum(np.searchsorted(self.hashes, x), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == x, self.ids[at], self.size)
+
+
+def by_length(some: list[str]) -> dict[int, list[int]]:
     out: dict[int, list[int]] = {}
-    for k, w in enumerate(words):
+    for k, w in enumerate(some):
         out.setdefault(len(w), []).append(k)
     return out
 
 
+def chances(p: np.ndarray, i: int, j: int, piece: np.ndarray) -> np.ndarray:
+    """(words, languages) probabilities of the pieces of spans i to j; a letter that is no piece has UNKNOWN."""
+    x = p[piece]
+    return np.where((piece == len(p) - 1)[:, None], UNKNOWN, x) if j == i + 1 else x
+
+
 def forward(spans, p: np.ndarray, rows: int, n: int) -> np.ndarray:
     """(n + 1, rows, languages): the summed probability of all segmentations of each prefix."""
     f = np.zeros((n + 1, rows, p.shape[1]))
     f[0] = 1
     for i, j, piece in spans:
-        x = p[piece]
-        if j == i + 1:
-            x = np.where((piece == len(p) - 1)[:, None], UNKNOWN, x)
-        f[j] += f[i] * x
+        f[j] += f[i] * chances(p, i, j, piece)
     return f
 
 
-def chunks(word: str) -> list[str]:
-    w = "▁" + word
-    return [w[i : i + CHUNK] for i in range(0, len(w), CHUNK)]
+def long_forward(pieces: Pieces, p: np.ndarray, word: str) -> np.ndarray:
+    """(languages,) log probabilities, summed over all segmentations of a word of any length.
+
+    Letter by letter over a window of the longest piece, in blocks of BLOCK letters; sums are scaled every SCALED letters.
+    """
+    k, q = len(pieces.powers) - 1, np.vstack([p, np.full((1, p.shape[1]), UNKNOWN)])
+    f, logs = np.zeros((k + BLOCK, p.shape[1])), np.zeros(p.shape[1])
+    f[k - 1] = 1
+    h = [0]
+    for at in range(0, len(word), BLOCK):
+        own = word[at : at + BLOCK]
+        for c in codes([own])[0].tolist():
+            h.append((h[-1] * BASE + c + 1) & 0xFFFFFFFFFFFFFFFF)
+        own_h = np.array(h, np.uint64)
+        before = len(h) - len(own) - 1  # letters of earlier blocks that are still needed
+        ids = np.full((len(own), k), pieces.size)
+        for n in range(1, k + 1):
+            start = max(0, n - before - 1)  # the first letter of the block at which n letters end
+            if start < len(own):
+                ends = np.arange(start, len(own)) + before + 1
+                ids[start:, n - 1] = pieces.find(own_h[ends] - own_h[ends - n] * pieces.powers[n])
+        ids[:, 0][ids[:, 0] == pieces.size] = pieces.size + 1
+        for t in range(len(own)):
+            f[k + t] = (f[t : k + t][::-1] * q[ids[t]]).sum(axis=0)
+            if t % SCALED == 0:
+                scale = f[k + t].copy()
+                f[t + 1 : k + t + 1] /= scale
+                logs += np.log(scale)
+        f[:k] = f[len(own) : k + len(own)].copy()
+        h = h[-k - 1 :]
+    return logs + np.log(f[k - 1])
 
 
 @dataclass
@@ -114,45 +147,40 @@ class Model:
     languages: list[str]
     pieces: Pieces
     p: np.ndarray  # (pieces + 1, languages), the last row 0
-    known: dict = field(default_factory=dict)
-    rows: list = field(default_factory=list)
+    known: words.Pieces | None = field(default=None, repr=False)
 
     def __getstate__(self):
-        return self.__dict__ | {"known": {}, "rows": []}
+        return self.__dict__ | {"known": None}
 
-    def logs(self, words: list[str]) -> np.ndarray:
+    def logs(self, some: list[str]) -> np.ndarray:
         """(words, languages) log probabilities."""
-        parts = [chunks(w) for w in words]
-        flat, owner = [c for cs in parts for c in cs], np.repeat(np.arange(len(words)), [len(cs) for cs in parts])
-        out = np.zeros((len(words), len(self.languages)))
-        for n, at in by_length(flat).items():
+        some = ["▁" + w for w in some]
+        out = np.zeros((len(some), len(self.languages)))
+        for n, at in by_length(some).items():
+            if n > MAX_LETTERS:
+                for i in at:
+                    out[i] = long_forward(self.pieces, self.p, some[i])
+                continue
             for k in range(0, len(at), 4096):
-                some = at[k : k + 4096]
-                own = [flat[i] for i in some]
-                f = forward(self.pieces.spans(own), self.p, len(own), n)
-                np.add.at(out, owner[some], np.log(f[n] + 1e-300))
+                own = [some[i] for i in at[k : k + 4096]]
+                out[at[k : k + 4096]] = np.log(forward(self.pieces.spans(own), self.p, len(own), n)[n])
         return out
 
+    def _learn(self, pieces: list[str], one_class: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found = [WORD.findall(p.lower()) for p in pieces]
+        logs = self.logs([w for ws in found for w in ws]).astype(np.float32)
+        return logs.reshape(-1).view(np.uint32), np.array([len(ws) for ws in found], np.int64) * len(self.languages)
+
     def totals(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(texts, languages) summed log probabilities, and word counts."""
-        found = [LETTERS.findall((t or "").lower()) for t in texts]
-        sizes = np.array([len(w) for w in found], np.int64)
-        words = [w for ws in found for w in ws]
-        new = list(set(words).difference(self.known))
-        if new:
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-            self.rows.append(self.logs(new))
-            if len(self.rows) > 64:
-                self.rows = [np.concatenate(self.rows)]
-        out = np.zeros((len(texts), len(self.languages)))
-        if words:
-            table = self.rows[0] if len(self.rows) == 1 else np.concatenate(self.rows)
-            self.rows = [table]
-            ids = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-            some = np.flatnonzero(sizes)
-            out[some] = np.add.reduceat(table[ids], (np.cumsum(sizes) - sizes)[some], axis=0)
-        if len(self.known) > MAX_KNOWN:
-            self.known, self.rows = {}, []
+        if self.known is None:
+            self.known = words.Pieces(WORD_BYTES, lambda a, b: False, self._learn, SLOTS, len(self.languages))
+        logs, at = self.known.values([t or "" for t in texts])
+        logs, at = logs.view(np.float32).astype(float).reshape(-1, len(self.languages)), at // len(self.languages)
+        sizes, out = np.diff(at), np.zeros((len(texts), len(self.languages)))
+        some = np.flatnonzero(sizes)
+        if len(some):
+            out[some] = np.add.reduceat(logs, at[some], axis=0)
         return out, sizes
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -173,12 +201,12 @@ def train(rows: list[tuple[str, str]], pieces: list[str], rounds: int = ROUNDS)
         return None
     counts = [Counter() for _ in languages]
     for t, y in rows:
-        counts[languages.index(y)].update(c for w in LETTERS.findall((t or "").lower()) for c in chunks(w))
-    words = sorted(set().union(*counts))
-    weight = np.array([[c[w] for c in counts] for w in words], float).reshape(len(words), len(languages))
+        counts[languages.index(y)].update("▁" + w for w in WORD.findall((t or "").lower()) if len(w) < MAX_LETTERS)
+    found = sorted(set().union(*counts))
+    weight = np.array([[c[w] for c in counts] for w in found], float).reshape(len(found), len(languages))
     table = Pieces.of(pieces)
     p = np.vstack([np.full((table.size, len(languages)), 1 / table.size), np.zeros((1, len(languages)))])
-    groups = [([words[i] for i in at], weight[at], n) for n, all_at in by_length(words).items() for k in range(0, len(all_at), 8192) for at in [all_at[k : k + 8192]]]
+    groups = [([found[i] for i in at], weight[at], n) for n, all_at in by_length(found).items() for k in range(0, len(all_at), 8192) for at in [all_at[k : k + 8192]]]
     for _ in range(rounds):
         expected = np.full((table.size + 1, len(languages)), 0.02)
         for own, w, n in groups:
@@ -187,9 +215,7 @@ def train(rows: list[tuple[str, str]], pieces: list[str], rounds: int = ROUNDS)
             b = np.zeros_like(f)
             b[n] = 1
             for i, j, piece in reversed(spans):
-                x = p[piece]
-                if j == i + 1:
-                    x = np.where((piece == table.size)[:, None], UNKNOWN, x)
+                x = chances(p, i, j, piece)
                 share = f[i] * x * b[j] * w / (f[n] + 1e-300)
                 for k in range(len(languages)):
                     expected[:, k] += np.bincount(piece, share[:, k], table.size + 1)
@@ -210,6 +236,8 @@ def predict(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str
     Rows that repeat a key are judged each for itself; other columns are ignored.
     """
 
+    bound_batches(docs.sparkSession)
+
     def run(batches):
         for part, texts in words.text_batches(batches, text_at=2):
             languages, s = model.predict(texts) if model else (["und"] * len(texts), np.zeros(len(texts)))

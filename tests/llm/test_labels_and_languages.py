@@ -79,6 +79,44 @@ def test_forward_sums_all_segmentations():
 
     for w in ("ab", "ba", "abab", "b"):
         assert np.allclose(np.exp(model.logs([w])[0]), total("▁" + w))
+    for w in ("ab" * 31, "abba" * 40, "a" * 500, "abc" * 100):  # in exact steps of logarithms
+        text = "▁" + w
+        for k in range(2):
+            logs = [0.0]
+            for j in range(1, len(text) + 1):
+                x = [logs[i] + np.log(p[text[i:j]][k] if text[i:j] in p else language.UNKNOWN) for i in range(max(0, j - 2), j) if text[i:j] in p or j == i + 1]
+                logs.append(np.logaddexp.reduce(x))
+            assert np.isclose(model.logs([w])[0][k], logs[-1], rtol=1e-9)
+
+
+def test_words_are_letters_with_their_marks(spark):
+    assert language.WORD.findall("½ ² ① Ⅷ _ 7 a½b") == ["a", "b"]
+    assert language.WORD.findall("e\u0301t\u0301a नमस्ते") == ["e\u0301t\u0301a", "नमस्ते"]
+    rows = [(k, t, g) for k, (t, g) in enumerate([("the cat", "en"), ("der hund", "de")] * 20)] + [(100, "½ ² ①", None), (101, "\u0301 42", None), (102, "d" * 70 + "er", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in language.predict(docs, language.fit(docs, language.vocabulary(tokens.tokenizer_path(language.PIECES)))).collect()}
+    assert got[100] == got[101] == "und" and got[102] in ("en", "de")
+
+
+def test_pieces_give_the_values_of_all_texts():
+    from earshot.llm import words
+
+    rng = random.Random(4)
+    calls = []
+
+    def learn(pieces, one_class):
+        calls.extend(pieces)
+        found = [[len(p), sum(map(ord, p)) % 1000][: 1 + len(p) % 2] * (9 if p == "nine" else 1) for p in pieces]
+        return np.array([x for v in found for x in v], np.uint32), np.array([len(v) for v in found], np.int64)
+
+    table = words.Pieces(np.array([b > 32 for b in range(256)]).astype(np.uint8), lambda a, b: False, learn, 64)
+    for _ in range(20):
+        texts = ["", "nine " * 3, " ".join("".join(rng.choice("abдé") for _ in range(rng.choice([1, 2, 3, 31, 32, 40]))) for _ in range(rng.randint(0, 60)))]
+        values, at = table.values(texts)
+        for k, t in enumerate(texts):
+            flat, _ = learn(t.split(), None) if t.split() else (np.zeros(0), 0)
+            assert values[at[k] : at[k + 1]].tolist() == flat.tolist()
+    assert calls
 
 
 def test_language(spark):
