@@ -2,8 +2,8 @@
 
 Documents are tokenized once and cut into full windows and one tail. The histogram of tail lengths (fewer
 entries than the window has tokens, whatever the input) goes to the driver, which enumerates two to
-four lengths that fill a window, solves for their repeat counts, and rounds them down. Every tail has a
-rank among the tails of its length, so its sequence follows from the plan by arithmetic: no group of tails
+four lengths that fill a window, solves for their repeat counts, rounds them, and solves again for what is left
+while that places more; a greedy pass takes what remains of the combinations. Every tail has a rank among the tails of its length, so its sequence follows from the plan by arithmetic: no group of tails
 meets in one task. Tails beyond the rounded counts are laid end to end in one stream that is cut at window
 boundaries; what is left of it at the end goes to sequences whose sizes are powers of two, which need no padding.
 """
@@ -20,11 +20,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from earshot.llm import tokens, words
-from earshot.session import stored
+from earshot.session import bound_batches, stored
 
 WINDOW = 2048
 SPREAD = (12, 5)
 SWEEPS = 12
+SOLVES = 10
 PIECES = "part int, doc_id long, start long, length long, crc long, doc_tokens long, rank long, ids binary"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -77,6 +78,16 @@ def least_squares(combos: np.ndarray, histogram: np.ndarray, sweeps: int = SWEEP
     return np.array(x)
 
 
+def rounded(combos: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Whole repeats near x: running sums in the order of the combinations' longest lengths are rounded, so that what one loses its neighbours gain."""
+    longest_first = -np.sort(-combos, axis=1)
+    order = np.lexsort(longest_first.T[::-1])
+    sums = np.floor(np.concatenate([[0.0], np.cumsum(x[order])]) + 0.5).astype(np.int64)
+    out = np.zeros(len(x), np.int64)
+    out[order] = np.diff(sums)
+    return out
+
+
 @dataclass
 class Plan:
     """Where the r-th piece of each length goes."""
@@ -85,6 +96,7 @@ class Plan:
     low: dict  # length -> first ranks of its slots
     slots: dict  # length -> (first sequence, offset) of each slot
     planned: np.ndarray  # pieces of each length that have a slot
+    solved: np.ndarray  # those of them that full windows and the least-squares solutions place
     stream: np.ndarray  # where the other pieces of each length begin in the stream
     first: int  # sequence at which the stream begins
     full: int  # full windows of the stream
@@ -134,21 +146,31 @@ def plan(histogram: dict[int, int], window: int = WINDOW) -> Plan:
     if left[window]:
         use((window,), int(left[window]))
     lengths = np.flatnonzero(left)
-    if len(lengths):
-        combos = combinations(lengths, window)
-        x = np.floor(least_squares(combos, left) + 1e-6).astype(np.int64) if len(combos) else np.zeros(0, np.int64)
-        for greedy in (False, True):
-            order = np.flatnonzero(x > 0)[np.argsort(-x[x > 0], kind="stable")] if not greedy else np.arange(len(combos))
-            for k in order:
-                combo = [int(v) for v in combos[k] if v]
-                n = min(int(left[v]) // combo.count(v) for v in combo)
-                n = n if greedy else min(n, int(x[k]))
-                if n > 0:
-                    use(combo, n)
+    combos = combinations(lengths, window) if len(lengths) else np.zeros((0, 1), np.int64)
+    for _ in range(SOLVES):
+        there = left.copy()
+        there[0] = 1
+        combos = combos[(there[combos] > 0).all(axis=1)]
+        if not len(combos):
+            break
+        n, before = rounded(combos, least_squares(combos, left)), int(left.sum())
+        for k in np.argsort(-n, kind="stable")[: int((n > 0).sum())]:
+            combo = [int(v) for v in combos[k] if v]
+            most = min(int(n[k]), *(int(left[v]) // combo.count(v) for v in combo))
+            if most:
+                use(combo, most)
+        if 20 * (before - int(left.sum())) < before:
+            break
+    solved = total - left
+    for c in combos:  # what the solutions leave, greedily
+        combo = [int(v) for v in c if v]
+        most = min(int(left[v]) // combo.count(v) for v in combo)
+        if most > 0:
+            use(combo, most)
     stream = np.concatenate([[0], np.cumsum(left * np.arange(window + 1))])
     full, rest = divmod(int(stream[-1]), window)
     sizes = [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
-    return Plan(window, {k: np.array(v) for k, v in low.items()}, slots, total - left, stream[:-1], sequence, full, np.cumsum(sizes, dtype=np.int64) if sizes else np.zeros(0, np.int64))
+    return Plan(window, {k: np.array(v) for k, v in low.items()}, slots, total - left, solved, stream[:-1], sequence, full, np.cumsum(sizes, dtype=np.int64) if sizes else np.zeros(0, np.int64))
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, window: int = WINDOW, text: str = "text", key: str = "doc_id", piecewise: bool = True) -> DataFrame:
@@ -158,6 +180,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, window:
     each for itself. An empty table gives no rows. Other columns are ignored.
     """
     tokenizer = tokenizer or tokens.tokenizer_path()
+    bound_batches(docs.sparkSession)
 
     def cut(batches):
         encoder, part = tokens.encoder(tokenizer, piecewise), TaskContext.get().partitionId()
