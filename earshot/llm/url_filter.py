@@ -20,19 +20,25 @@ RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/
 TRAIN_ROWS = 20_000
 #: So many suffixes are broadcast at most; rarer ones are joined by a shuffle.
 SUFFIXES = 10_000
-TREES, DEPTH = 10, 3
+TREES, DEPTH, FOLDS = 10, 3, 5
 FEATURES = ["length", "host_length", "path_length", "depth", "labels", "digits", "host_digits", "hyphens", "entropy", "parameters", "fragment", "secure", "suffix1", "suffix2", "suffix3"]
 
 
+def _after_scheme(url: Column) -> Column:
+    """What follows the first `://`; empty without one or for null."""
+    url = F.coalesce(url, F.lit(""))
+    at = F.locate("://", url)
+    return F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise(F.lit(""))
+
+
 def host_of(url: Column) -> Column:
     """After the first `://` up to `/`, `?`, `#` or the end, A-Z lower-cased; empty without `://` or for null."""
-    host = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)\A.*?://([^/?#]*)", 1)
-    return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.translate(F.regexp_extract(_after_scheme(url), r"\A[^/?#]*", 0), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def path_of(url: Column) -> Column:
     """After the host up to `?`, `#` or the end; empty without `://` or for null."""
-    return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)\A.*?://[^/?#]*(/[^?#]*)", 1)
+    return F.regexp_extract(_after_scheme(url), r"\A[^/?#]*(/[^?#]*)", 1)
 
 
 def rule_of(host: Column, path: Column, rules=None) -> Column:
@@ -53,10 +59,9 @@ def lexical(df: DataFrame) -> DataFrame:
     """df with the lexical features of its url, host and path columns."""
     url, host, path = F.coalesce(F.col("url"), F.lit("")), F.col("host"), F.col("path")
     query = F.regexp_extract(url, r"(?s)\?([^#]*)", 1)
-    each = F.split(url, "")
-    spread = F.map_values(F.aggregate(each, F.create_map().cast("map<string,int>"), lambda m, c: F.map_concat(F.map_filter(m, lambda k, _: k != c), F.create_map(c, F.coalesce(F.element_at(m, c), F.lit(0)) + 1))))
     n = F.greatest(F.length(url), F.lit(1))
-    entropy = F.aggregate(spread, F.lit(0.0), lambda a, k: a - k / n * F.log2(k / n))
+    each = F.transform(F.array_distinct(F.split(url, "")), lambda c: (F.length(url) - F.length(F.replace(url, c, F.lit("")))) / n)
+    entropy = F.aggregate(each, F.lit(0.0), lambda a, x: a - F.when(x > 0, x * F.log2(x)).otherwise(F.lit(0.0)))
 
     def share(text: Column, pattern: str) -> Column:
         return F.length(F.regexp_replace(text, f"[^{pattern}]", "")) / F.greatest(F.length(text), F.lit(1))
@@ -70,12 +75,27 @@ def lexical(df: DataFrame) -> DataFrame:
     )
 
 
-def _rates(labelled: DataFrame, n: int) -> DataFrame:
+def _counts(labelled: DataFrame, n: int) -> DataFrame:
+    """Rows and blocked rows of each host suffix of n labels in each fold."""
+    grouped = labelled.groupBy(_suffix(F.col("host"), n).alias(f"_s{n}"), "_fold").agg(F.sum("label").alias("_b"), F.count("*").alias("_n"))
+    return stored(grouped, "counts")
+
+
+def _rates(counts: DataFrame, n: int) -> DataFrame:
     """Smoothed block rates of all host suffixes of n labels."""
-    grouped = labelled.groupBy(_suffix(F.col("host"), n).alias(f"_s{n}")).agg(F.sum("label").alias("_b"), F.count("*").alias("_n"))
+    grouped = counts.groupBy(f"_s{n}").agg(F.sum("_b").alias("_b"), F.sum("_n").alias("_n"))
     return stored(grouped.select(f"_s{n}", "_n", ((F.col("_b") + 1) / (F.col("_n") + 2)).alias(f"suffix{n}")), "rates")
 
 
+def _with_other_folds(sample: DataFrame, n: int, counts: DataFrame) -> DataFrame:
+    """The sample with the block rates of the other folds, so that the trees do not learn from a row's own label."""
+    sample = sample.withColumn(f"_s{n}", _suffix(F.col("host"), n))
+    own = stored(counts.join(F.broadcast(sample.select(f"_s{n}").distinct()), f"_s{n}"), "folds")  # at most the sample's suffixes
+    total = own.groupBy(f"_s{n}").agg(F.sum("_b").alias("_all_b"), F.sum("_n").alias("_all_n"))
+    rate = ((F.col("_all_b") - F.col("_b") + 1) / (F.col("_all_n") - F.col("_n") + 2)).alias(f"suffix{n}")
+    return sample.join(own.join(total, f"_s{n}").select(f"_s{n}", "_fold", rate), [f"_s{n}", "_fold"], "left")
+
+
 def _parted(rates: DataFrame, n: int) -> tuple[DataFrame, DataFrame | None]:
     """The commonest SUFFIXES rates, and the rarer ones if there are any."""
     common = rates.orderBy(F.desc("_n"), f"_s{n}").limit(SUFFIXES)
@@ -94,12 +114,33 @@ def _with_rate(df: DataFrame, n: int, common: DataFrame, rare: DataFrame | None)
     return df.withColumn(f"suffix{n}", F.coalesce(f"suffix{n}", "_rate")).drop("_rare", "_rate")
 
 
+def _assembled(df: DataFrame) -> DataFrame:
+    return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(lexical(df).fillna(0.5, [f"suffix{n}" for n in (1, 2, 3)]))
+
+
+def fit(labelled: DataFrame, decided: int):
+    """Trees, and the suffix rates (common, rare) for 1 to 3 labels, of rows (page_id, url, host, path, label); `decided` is their number.
+
+    All rows count in the rates. The trees learn from a sample of TRAIN_ROWS distinct rows by hash, in which a row has
+    the rates of the folds it is not in.
+    """
+    labelled = labelled.withColumn("_fold", F.pmod(F.xxhash64("page_id", "url", F.lit("fold")), F.lit(FOLDS)))
+    counts = {n: _counts(labelled, n) for n in (1, 2, 3)}
+    share = min(1.0, TRAIN_ROWS / decided)
+    sample = stored(labelled.filter(F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 30)) < share * (1 << 30)).dropDuplicates(["page_id", "url"]), "sample")
+    for n in (1, 2, 3):
+        sample = _with_other_folds(sample, n, counts[n])
+    trees = GBTClassifier(featuresCol="features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=7, cacheNodeIds=False)
+    return trees.fit(stored(_assembled(sample).select("features", "label"), "features")), [_parted(_rates(counts[n], n), n) for n in (1, 2, 3)]
+
+
 def judge(pages: DataFrame, rules=None, key: str = "page_id", url: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict and the trees' block probability of every row.
 
     A rule's verdict stands; elsewhere the trees decide (block at 0.5 or more). If the rules do not decide both
     ways on some rows, there is nothing to learn: the probability is the smoothed block rate of the decided rows.
-    Rows that repeat a key are judged each for itself.
+    Rows that repeat a key are judged each for itself; an empty table gives no rows; a null url has empty parts and no
+    rule; other columns are ignored.
     """
     rules = RULES if rules is None else rules
     blocks = [r for v, r in rules if v == "block"]
@@ -109,18 +150,10 @@ def judge(pages: DataFrame, rules=None, key: str = "page_id", url: str = "url")
     labelled = rows.filter("rule IS NOT NULL").withColumn("label", F.col("rule").isin(blocks).cast("double"))
     decided, blocked = labelled.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     if 0 < blocked < decided:
-        rates = [_parted(_rates(labelled, n), n) for n in (1, 2, 3)]
-
-        def ready(df: DataFrame) -> DataFrame:
-            df = lexical(df)
-            for n, r in enumerate(rates, 1):
-                df = _with_rate(df, n, *r)
-            return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(df.fillna(0.5, [f"suffix{n}" for n in (1, 2, 3)]))
-
-        share = min(1.0, TRAIN_ROWS / decided)
-        sample = labelled.filter(F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 30)) < share * (1 << 30))
-        model = GBTClassifier(featuresCol="features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=7, cacheNodeIds=False).fit(ready(sample).select("features", "label"))
-        rows = model.transform(ready(rows)).withColumn("block_probability", vector_to_array("probability")[1])
+        model, rates = fit(labelled, decided)
+        for n, r in enumerate(rates, 1):
+            rows = _with_rate(rows, n, *r)
+        rows = model.transform(_assembled(rows)).withColumn("block_probability", vector_to_array("probability")[1])
     else:
         rows = rows.withColumn("block_probability", F.lit((blocked + 1.0) / (decided + 2.0)))
     by_rule = F.when(F.col("rule").isin(blocks), "block").otherwise("allow")
