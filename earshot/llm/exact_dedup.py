@@ -1,8 +1,8 @@
 """Exact dedup by two-pass Bloom filtering (DataFrame functions only).
 
-Pass one (blooms.repeated_bits) shuffles bit numbers, no texts. Pass two tests every row against the
-broadcast bitmaps: rows whose hash occurs once pass straight through; only the others are grouped by
-digest and byte length. No text is ever shuffled. The join of a group's survivor to its rows is salted
+Texts are read and hashed once, into a narrow table of keys and digests. Pass one (blooms.repeated_bits) shuffles
+bit numbers. Pass two tests every row against the broadcast bitmaps: rows whose hash occurs once pass straight
+through; only the others are grouped by digest and byte length. No text is ever shuffled. The join of a group's survivor to its rows is salted
 on both sides, so that a group holding a third of all rows is spread over SALTS tasks or more.
 """
 
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from earshot.llm import blooms
+from earshot.session import stored
 
 SALTS = 16
 
@@ -24,9 +25,11 @@ def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     text carry the same decision. An empty table gives an empty result; other columns are ignored.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(key).alias(key), F.sha2(body, 256).alias("text_sha256"), F.octet_length(body).alias("_len")).withColumn("_h", F.xxhash64("text_sha256", "_len"))
-    blocks = blooms.n_blocks(docs.count())
-    rows = blooms.flag_repeated(rows, "_h", blooms.repeated_bits(rows, "_h", blocks), blocks, "_again")
+    rows = stored(docs.select(F.col(key).alias(key), F.unhex(F.sha2(body, 256)).alias("_sha"), F.octet_length(body).alias("_len")), "digests")
+    rows = rows.withColumn("_h", F.xxhash64("_sha", "_len"))
+    blocks = blooms.n_blocks(rows.count())
+    rows = blooms.flag_repeated(rows, "_h", stored(blooms.repeated_bits(rows, "_h", blocks), "bits"), blocks, "_again")
+    rows = rows.withColumn("text_sha256", F.lower(F.hex("_sha"))).drop("_sha")
     once = rows.filter("not _again").select(key, F.col(key).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     maybe = rows.filter("_again").drop("_again", "_h")
     groups = maybe.groupBy("text_sha256", "_len").agg(F.max(key).alias("keep_id"), F.count("*").alias("group_size"))
