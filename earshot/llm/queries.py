@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from earshot.llm import exact_dedup, language, line_dedup, media, mixing, packing, shingle_join, token_files, toxicity, url_filter
+from earshot.llm import exact_dedup, language, lexical_search, line_dedup, media, mixing, packing, periodic_runs, pivot_search, shingle_join, token_files, toxicity, url_filter
 from earshot.session import table
 
 
@@ -50,6 +50,18 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark, sf_dir):
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+
+
+def op12_pivot_search(spark, sf_dir):
+    return pivot_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+def op13_periodic_runs(spark, sf_dir):
+    return periodic_runs.digest(periodic_runs.find_runs(table(spark, sf_dir, "documents"), words=periodic_runs.with_repeated_tail))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_exact_dedup": op2_exact_dedup,
@@ -61,8 +73,13 @@ QUERIES = {
     "op8_media": op8_media,
     "op9_shingle_join": op9_shingle_join,
     "op10_mixing": op10_mixing,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_pivot_search": op12_pivot_search,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLE_SQL = {
     "op2_exact_dedup": exact_dedup.ORACLE_SQL,
     "op4_line_dedup": line_dedup.ORACLE_SQL,
+    "op11_lexical_search": lexical_search.ORACLE_SQL,
+    "op12_pivot_search": pivot_search.ORACLE_SQL,
 }
