@@ -10,27 +10,33 @@ from pyspark.sql import functions as F
 from earshot import config as C
 from earshot.functions.vectors import dot, mean_vectors, unit
 from earshot.operators.components import connected_components
+from earshot.operators.quantiles import FEW, exact_percentiles, spread_join
+from earshot.operators.similarity import BLOCK, pair_quantiles, similar_pairs
 from earshot.operators.splits import numbered
-from earshot.session import stored
+from earshot.session import forget, stored
 
 
 MOST_CLASSES = 10_000
 
 
-def mad_outliers(df: DataFrame, keys: list[str], row: str, vec: str, mult: float = C.MAD_MULTIPLIER) -> DataFrame:
+def mad_outliers(df: DataFrame, keys: list[str], row: str, vec: str, mult: float = C.MAD_MULTIPLIER, few: int = FEW) -> DataFrame:
     """(keys, row, distance, inlier): distance from the group's coordinate-wise median direction, and whether its robust z is at most mult.
 
-    Groups of up to two rows are all inliers; a MAD of 0 counts as 1e-9.
+    Groups of up to two rows are all inliers; a MAD of 0 counts as 1e-9. All medians are exact, and those of groups of over
+    `few` rows come from refined histograms, so no task holds a group. A null key is a group; null vectors have no row in the result.
     """
+    df = df.filter(F.col(vec).isNotNull())
     dims = df.select(*keys, F.posexplode(vec).alias("_i", "_x"))
-    med = dims.groupBy(*keys, "_i").agg(F.median(F.col("_x").cast("double")).alias("_m"))
-    centre = med.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_m"))), lambda e: e["_m"]).alias("_c"))
-    d = df.join(centre.withColumn("_c", unit(F.col("_c"))), keys).select(*keys, row, (1 - dot(unit(F.col(vec)), F.col("_c"))).alias("distance"))
-    mid = d.groupBy(*keys).agg(F.median("distance").alias("_md"), F.count("*").alias("_n"))
-    e = d.join(mid, keys)
-    mad = e.withColumn("_a", F.abs(F.col("distance") - F.col("_md"))).groupBy(*keys).agg(F.median("_a").alias("_mad"))
+    med = exact_percentiles(dims, [*keys, "_i"], F.col("_x"), [0.5], few)
+    centre = med.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "q"))), lambda e: e["q"][0]).alias("_c"))
+    centre = stored(centre.withColumn("_c", unit(F.col("_c"))), "centres")
+    d = stored(spread_join(df.select(*keys, row, vec), centre, keys).select(*keys, row, (1 - dot(unit(F.col(vec)), F.col("_c"))).alias("distance")), "distances")
+    mid = stored(exact_percentiles(d, keys, F.col("distance"), [0.5], few).select(*keys, F.col("n").alias("_n"), F.col("q")[0].alias("_md")), "medians")
+    e = spread_join(d, mid, keys)
+    mad = stored(exact_percentiles(e, keys, F.abs(F.col("distance") - F.col("_md")), [0.5], few).select(*keys, F.col("q")[0].alias("_mad")), "deviations")
+    forget(centre)
     z = (F.col("distance") - F.col("_md")) / (1.4826 * F.greatest("_mad", F.lit(1e-9)))
-    return e.join(mad, keys).select(*keys, row, "distance", ((F.col("_n") <= 2) | (z <= mult)).alias("inlier"))
+    return spread_join(e, mad, keys).select(*keys, row, "distance", ((F.col("_n") <= 2) | (z <= mult)).alias("inlier"))
 
 
 def audit_speakers(df: DataFrame, keys: list[str], row: str, vec: str, mult: float = C.MAD_MULTIPLIER) -> DataFrame:
@@ -40,43 +46,6 @@ def audit_speakers(df: DataFrame, keys: list[str], row: str, vec: str, mult: flo
     return df.join(out, row, "left").withColumns({"exclude_reason": F.when(bad, "mad_outlier").otherwise(F.coalesce("exclude_reason", F.lit(""))), "is_excluded": F.col("is_excluded") | bad}).drop("_out")
 
 
-def similar_pairs(df: DataFrame, within: str | None, node: str, vec: str, least: float, block: int = 4096) -> DataFrame:
-    """(within, a, b, sim), a < b: pairs of unit vectors with cosine of at least `least`, inside a key or over all rows.
-
-    Rows are dealt to blocks by hash, each pair of blocks of a key meets in one task and is multiplied as matrices;
-    a task holds two blocks, whatever the size of a key. Only pairs over the threshold leave it. The join is exact, so
-    every row meets every other one of its key, and is sent to as many tasks as its key has blocks.
-    """
-    key = F.lit(0) if within is None else F.col(within)
-    n = df.groupBy(key.alias("_k")).agg(F.greatest(F.ceil(F.count("*") / block), F.lit(1)).cast("int").alias("_b"))
-    rows = df.select(key.alias("_k"), F.col(node).alias("node"), F.col(vec).alias("vec")).join(F.broadcast(n) if within is None else n, "_k")
-    rows = rows.withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_b")).cast("int")).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)))
-    rows = rows.select("_k", F.least("_own", "_j").alias("_x"), F.greatest("_own", "_j").alias("_y"), "_own", "node", "vec")
-    kinds = dict(rows.dtypes)
-
-    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node")
-        v = np.array(pdf["vec"].tolist(), np.float64)
-        size = np.sqrt((v * v).sum(axis=1))
-        v /= np.where(size == 0, 1, size)[:, None]
-        ids, own = pdf["node"].to_numpy(), pdf["_own"].to_numpy()
-        x, y = pdf["_x"].iloc[0], pdf["_y"].iloc[0]
-        i, j = np.flatnonzero(own == x), np.flatnonzero(own == y)
-        found = []
-        for at in range(0, len(i), 512):
-            s = v[i[at : at + 512]] @ v[j].T
-            r, t = np.nonzero(s >= least - 1e-12)
-            found.append((i[r + at], j[t], s[r, t]))
-        a, b, s = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (i, i, np.zeros(0))
-        a, b = ids[a], ids[b]
-        keep = a < b if x == y else a != b
-        a, b, s = a[keep], b[keep], s[keep]
-        return pd.DataFrame({"_k": [pdf["_k"].iloc[0]] * len(a), "a": np.minimum(a, b), "b": np.maximum(a, b), "sim": s})
-
-    out = rows.groupBy("_k", "_x", "_y").applyInPandas(pairs, f"_k {kinds['_k']}, a {kinds['node']}, b {kinds['node']}, sim double")
-    return out.drop("_k") if within is None else out.withColumnRenamed("_k", within)
-
-
 def average_linkage(df: DataFrame, within: str, node: str, vec: str, threshold: float = C.AHC_THRESHOLD, block: int = 4096) -> DataFrame:
     """(within, node, cluster): average linkage by cosine distance, cut at the threshold; a cluster is named by its least node.
 
@@ -151,16 +120,24 @@ def merge_actors(actors: DataFrame, within: str, actor: str, vec: str, auto: flo
     return named.withColumn("_root", root).select(within, actor, (F.dense_rank().over(Window.partitionBy(within).orderBy("_root")) - 1).alias("merged"))
 
 
-def grey_zone(pairs: DataFrame, within: str, auto: float = C.MERGE_AUTO_SIM, review: float = C.MERGE_REVIEW_SIM, z: float = C.MERGE_REVIEW_Z, least: int = C.MERGE_MIN_SEGMENTS) -> DataFrame:
-    """Candidates for review among all pairs (within, a, b, sim, n_a, n_b) of a key: between an adaptive floor and auto.
+def grey_floors(actors: DataFrame, within: str, actor: str, vec: str, review: float = C.MERGE_REVIEW_SIM, z: float = C.MERGE_REVIEW_Z, block: int = BLOCK, few: int = FEW) -> DataFrame:
+    """(within, floor): the larger of `review` and median + z robust deviations of the similarities of all pairs of a key, if it has ten pairs.
 
-    The floor is the larger of `review` and median + z robust deviations of the key's similarities, if it has ten pairs.
+    The quantiles are counted inside pairs of blocks; no pair leaves a task.
     """
-    mid = pairs.groupBy(within).agg(F.median("sim").alias("_m"), F.count("*").alias("_n"))
-    mad = pairs.join(mid, within).groupBy(within).agg(F.median(F.abs(F.col("sim") - F.col("_m"))).alias("_mad"))
-    floor = F.when(F.col("_n") >= 10, F.greatest(F.lit(review), F.col("_m") + z * 1.4826 * F.col("_mad"))).otherwise(F.lit(review))
-    out = pairs.join(mid, within).join(mad, within).withColumn("_f", floor)
-    return out.filter((F.col("sim") >= F.col("_f")) & (F.col("sim") < auto) & (F.least("n_a", "n_b") >= least)).select(*pairs.columns)
+    mid = stored(pair_quantiles(actors, within, actor, vec, [0.5], block=block, few=few).select("_k", "n", F.col("q")[0].alias("mid")), "mid")
+    mad = pair_quantiles(actors, within, actor, vec, [0.5], centre=mid.select("_k", "mid"), block=block, few=few).select("_k", F.col("q")[0].alias("mad"))
+    floor = F.when(F.col("n") >= 10, F.greatest(F.lit(review), F.col("mid") + z * 1.4826 * F.col("mad"))).otherwise(F.lit(review))
+    return stored(spread_join(mid, mad, ["_k"]).select(F.col("_k").alias(within), floor.alias("floor")), "floors")
+
+
+def grey_zone(pairs: DataFrame, floors: DataFrame, within: str, auto: float = C.MERGE_AUTO_SIM, least: int = C.MERGE_MIN_SEGMENTS) -> DataFrame:
+    """Candidates for review among the pairs (within, a, b, sim, n_a, n_b) of a key: from its adaptive floor up to auto.
+
+    pairs: those of at least the review similarity are enough, as no floor (grey_floors) lies below it.
+    """
+    out = spread_join(pairs, floors, [within])
+    return out.filter((F.col("sim") >= F.col("floor")) & (F.col("sim") < auto) & (F.least("n_a", "n_b") >= least)).select(*pairs.columns)
 
 
 def link_pairs(pairs: DataFrame, auto: float = C.LINK_AUTO_SIM, review: float = C.LINK_REVIEW_SIM, cross: float = C.LINK_CROSS_SIM, least: int = C.MERGE_MIN_SEGMENTS) -> DataFrame:
@@ -238,9 +215,14 @@ def silhouette(df: DataFrame, by: str, node: str, vec: str) -> DataFrame:
     return g.select("node", F.col("own").alias(by), s.alias("silhouette"))
 
 
-def calibration(pairs: DataFrame, kind: Column, marks: list[float]) -> DataFrame:
-    """(kind, n, percentiles, over_<mark> ...) of pair similarities by kind."""
-    return pairs.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.percentile("sim", F.array(*[F.lit(p) for p in (0.5, 0.9, 0.99)])).alias("percentiles"), *[F.count_if(F.col("sim") >= m).alias(f"over_{int(round(100 * m))}") for m in marks])
+def calibration(df: DataFrame, node: str, vec: str, label: str, kind, kinds: list[str], marks: list[float], shares: list[float] = (0.5, 0.9, 0.99), block: int = BLOCK, few: int = FEW) -> DataFrame:
+    """(kind, n, percentiles, over_<mark> ...) of the similarities of all pairs by kind, for calibrating thresholds.
+
+    kind(labels, labels) numbers the kinds of pairs. Labels travel with the vectors and pairs are counted where they are made.
+    """
+    q = pair_quantiles(df, None, node, vec, list(shares), label, kind, marks, block=block, few=few)
+    name = F.element_at(F.array(*map(F.lit, kinds)), (F.col("kind") + 1).cast("int"))
+    return q.select(name.alias("kind"), "n", F.col("q").alias("percentiles"), *[F.col("over")[i].alias(f"over_{int(round(100 * m))}") for i, m in enumerate(marks)])
 
 
 def discriminant_axes(df: DataFrame, by: str, vec: str, dims: int, axes: int = 2) -> np.ndarray:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from earshot import config as C
+from earshot.operators.quantiles import FEW, exact_percentiles
 
 TOUCH = 1e-6
 
@@ -117,11 +118,14 @@ def speech_ratio(segments: DataFrame, spans: DataFrame, keys: list[str], file: s
     return segments.select(*keys, "start_time", "end_time").join(covered, keys, "left").select(*keys, F.when(length > 0, F.coalesce("_s", F.lit(0.0)) / length).otherwise(0.0).alias("speech_ratio"))
 
 
-def snr_proxy(frames: DataFrame, keys: list[str], energy: str = "energy") -> DataFrame:
-    """(keys, snr_db): 90th less 10th percentile of frame levels in dB; 0 with fewer than two frames."""
+def snr_proxy(frames: DataFrame, keys: list[str], energy: str = "energy", few: int = FEW) -> DataFrame:
+    """(keys, snr_db): exact 90th less 10th percentile of frame levels in dB; 0 with fewer than two frames. Frames without energy count as silent.
+
+    Recordings of over `few` frames are not sorted in one task (quantiles.exact_percentiles).
+    """
     db = 20 * F.log10(F.greatest(F.col(energy), F.lit(1e-10)))
-    g = frames.groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile(db, F.array(F.lit(0.1), F.lit(0.9))).alias("_p"))
-    return g.select(*keys, F.when(F.col("_n") < 2, 0.0).otherwise(F.col("_p")[1] - F.col("_p")[0]).alias("snr_db"))
+    g = exact_percentiles(frames, keys, db, [0.1, 0.9], few)
+    return g.select(*keys, F.when(F.col("n") < 2, 0.0).otherwise(F.col("q")[1] - F.col("q")[0]).alias("snr_db"))
 
 
 def guarded(score: Column, length: Column, least: float = 0.1) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from earshot import config as C
 from earshot.functions.text import blank
 from earshot.operators.components import connected_components
+from earshot.operators.quantiles import exact_percentiles, spread_join
 from earshot.operators.summary import dominant, evidence
 from earshot.operators.summary import keep_first
 
@@ -149,5 +150,6 @@ def decision_records(verdicts: DataFrame, actors: DataFrame) -> DataFrame:
 
 def design_record(df: DataFrame, by: str, column: str, **facts) -> DataFrame:
     """(by, low cut, high cut, n) of a sample design with given facts as constant columns."""
-    cuts = df.groupBy(by).agg(F.count("*").alias("n"), F.percentile(column, F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("_c"))
-    return cuts.select(by, "n", F.col("_c")[0].alias("low_cut"), F.col("_c")[1].alias("high_cut"), *[F.lit(v).alias(k) for k, v in facts.items()])
+    cuts = exact_percentiles(df, [by], F.col(column), [1 / 3, 2 / 3]).select(by, F.col("q").alias("_c"))
+    rows = df.groupBy(by).agg(F.count("*").alias("n"))
+    return spread_join(rows, cuts, [by]).select(by, "n", F.col("_c")[0].alias("low_cut"), F.col("_c")[1].alias("high_cut"), *[F.lit(v).alias(k) for k, v in facts.items()])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 def sample_vectors(df: DataFrame, key: str, vec: str, most: int) -> np.ndarray:
     """(rows, dims) doubles of at most `most` rows, those with the least hashes of their key; null vectors are left out."""
     rows = df.filter(F.col(vec).isNotNull()).select(F.col(key).alias("_k"), F.col(vec).alias("_v")).orderBy(F.xxhash64("_k"), "_k").limit(most).collect()
-    return np.array([r["_v"] for r in rows], np.float64).reshape(len(rows), -1)
+    return np.array([r["_v"] for r in rows], np.float64) if rows else np.zeros((0, 0))
 
 
 def farthest(points: np.ndarray, n: int) -> np.ndarray:

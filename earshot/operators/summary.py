@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from earshot import config as C
+from earshot.operators.quantiles import FEW, exact_percentiles, spread_join
+from earshot.session import stored
 
 HOURS = 3600.0
 
@@ -276,11 +278,11 @@ def terciles(df: DataFrame, by: str, order: list[str]) -> DataFrame:
     return df.withColumn("tercile", F.when(r <= F.floor((n + 1) / 3), "low").when(r <= F.floor(2 * n / 3), "mid").otherwise("high"))
 
 
-def quantile_bands(df: DataFrame, by: str, column: str) -> DataFrame:
-    """Bands by each group's exact thirds, right-closed."""
-    cuts = df.groupBy(by).agg(F.percentile(column, F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("_cuts"))
+def quantile_bands(df: DataFrame, by: str, column: str, few: int = FEW) -> DataFrame:
+    """Bands by each group's exact thirds, right-closed; a null group is one too. Groups of over `few` rows are not sorted in one task."""
+    cuts = stored(exact_percentiles(df, [by], F.col(column), [1 / 3, 2 / 3], few).select(by, F.col("q").alias("_cuts")), "cuts")
     x = F.round(column, 9)
-    return df.join(F.broadcast(cuts), by).withColumn("band", F.when(x <= F.round(F.col("_cuts")[0], 9), "short").when(x <= F.round(F.col("_cuts")[1], 9), "medium").otherwise("long")).drop("_cuts")
+    return spread_join(df, cuts, [by]).withColumn("band", F.when(x <= F.round(F.col("_cuts")[0], 9), "short").when(x <= F.round(F.col("_cuts")[1], 9), "medium").otherwise("long")).drop("_cuts")
 
 
 def timeline_spread(df: DataFrame, key: str, k: int, order: list[str], best: list[Column]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from earshot.functions.vectors import mean_vectors, unit
@@ -83,14 +84,15 @@ q AS (SELECT label, node, n, list_transform(m, lambda y: y / sqrt(list_dot_produ
 
 @query("c07_grey_zone", f"WITH {CENTROIDS}, f AS (SELECT label, median(sim) AS m, count(*) AS n FROM p GROUP BY label), d AS (SELECT label, median(abs(sim - m)) AS mad FROM p JOIN f USING (label) GROUP BY label) SELECT label, a, b, round(sim, 6) AS sim, n_a, n_b FROM p JOIN f USING (label) JOIN d USING (label) WHERE sim >= CASE WHEN n >= 10 THEN greatest(0.1, m + 1.0 * 1.4826 * mad) ELSE 0.1 END AND sim < 0.6 AND least(n_a, n_b) >= 1")
 def c07(spark, sf):
-    return rounded(K.grey_zone(actor_pairs(spark, sf), "label", 0.6, 0.1, 1.0, 1), "sim")
+    floors = K.grey_floors(actors(spark, sf).withColumn("node", c("label") * 1000 + c("actor")), "label", "node", "centroid", 0.1, 1.0)
+    return rounded(K.grey_zone(actor_pairs(spark, sf, 0.1), floors, "label", 0.6, 1), "sim")
 
 
 LINKED = CENTROIDS + """, r AS (SELECT a, b, sim, a % 3 AS region_a, b % 3 AS region_b, n_a, n_b FROM p), l AS (SELECT *, CASE WHEN region_a = region_b AND sim >= 0.5 THEN 'auto' WHEN least(n_a, n_b) >= 2 AND region_a = region_b AND sim >= 0.2 THEN 'review' WHEN region_a <> region_b AND sim >= 0.3 AND NOT (sim < 0.5 AND least(n_a, n_b) < 2) THEN 'cross' END AS link FROM r)"""
 
 
 def linked(spark, sf):
-    p = actor_pairs(spark, sf).withColumns({"region_a": c("a") % 3, "region_b": c("b") % 3})
+    p = actor_pairs(spark, sf, 0.2).withColumns({"region_a": c("a") % 3, "region_b": c("b") % 3})
     return K.link_pairs(p, 0.5, 0.2, 0.3, 2)
 
 
@@ -157,10 +159,9 @@ def c13(spark, sf):
 @query("c14_calibration", f"WITH {PAIRS.format(on='')} SELECT CASE WHEN a.label = b.label THEN 'within' WHEN a.label % 3 = b.label % 3 THEN 'region' ELSE 'cross' END AS kind, count(*) AS n, count(*) FILTER (WHERE sim >= 0.1) AS over_10, count(*) FILTER (WHERE sim >= 0.3) AS over_30, round(quantile_cont(sim, 0.9), 6) AS p90 FROM p JOIN v a ON p.a = a.vec_id JOIN v b ON p.b = b.vec_id GROUP BY 1")
 def c14(spark, sf):
     v = vectors(spark, sf)
-    p = K.similar_pairs(v, None, "vec_id", "vec", -2.0, 128)
-    p = p.join(v.select(c("vec_id").alias("a"), c("label").alias("la")), "a").join(v.select(c("vec_id").alias("b"), c("label").alias("lb")), "b")
-    kind = F.when(c("la") == c("lb"), "within").when(c("la") % 3 == c("lb") % 3, "region").otherwise("cross")
-    return K.calibration(p, kind, [0.1, 0.3]).select("kind", "n", "over_10", "over_30", F.round(c("percentiles")[1], 6).alias("p90"))
+    kind = lambda a, b: np.where(a == b, 0, np.where(a % 3 == b % 3, 1, 2))
+    out = K.calibration(v, "vec_id", "vec", "label", kind, ["within", "region", "cross"], [0.1, 0.3], block=512)
+    return out.select("kind", "n", "over_10", "over_30", F.round(c("percentiles")[1], 6).alias("p90"))
 
 
 PROTO = UNIT + ", x AS (SELECT label, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM u), m AS (SELECT label, i, avg(x) AS m FROM x GROUP BY ALL), k AS (SELECT label, list(m ORDER BY i) AS m FROM m GROUP BY label)"
