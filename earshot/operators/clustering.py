@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from earshot import config as C
 from earshot.functions.vectors import dot, mean_vectors, unit
 from earshot.operators.components import connected_components
-from earshot.operators.quantiles import FEW, exact_percentiles, spread_join
+from earshot.operators.quantiles import FEW, exact_percentiles, group_sizes, spread_join
 from earshot.operators.similarity import BLOCK, pair_quantiles, similar_pairs
 from earshot.operators.splits import numbered
-from earshot.session import forget, stored
+from earshot.session import stored
 
 
 MOST_CLASSES = 10_000
@@ -26,17 +26,21 @@ def mad_outliers(df: DataFrame, keys: list[str], row: str, vec: str, mult: float
     `few` rows come from refined histograms, so no task holds a group. A null key is a group; null vectors have no row in the result.
     """
     df = df.filter(F.col(vec).isNotNull())
-    dims = df.select(*keys, F.posexplode(vec).alias("_i", "_x"))
-    med = exact_percentiles(dims, [*keys, "_i"], F.col("_x"), [0.5], few)
+    groups, largest = group_sizes(df, keys)
+    keep = stored if largest > few else lambda t, name: t  # what several passes over large groups read
+
+    def median(t: DataFrame, by: list[str], x: Column) -> DataFrame:
+        return exact_percentiles(t, by, x, [0.5], few, largest=largest)
+
+    med = median(df.select(*keys, F.posexplode(vec).alias("_i", "_x")), [*keys, "_i"], F.col("_x"))
     centre = med.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "q"))), lambda e: e["q"][0]).alias("_c"))
-    centre = stored(centre.withColumn("_c", unit(F.col("_c"))), "centres")
-    d = stored(spread_join(df.select(*keys, row, vec), centre, keys).select(*keys, row, (1 - dot(unit(F.col(vec)), F.col("_c"))).alias("distance")), "distances")
-    mid = stored(exact_percentiles(d, keys, F.col("distance"), [0.5], few).select(*keys, F.col("n").alias("_n"), F.col("q")[0].alias("_md")), "medians")
-    e = spread_join(d, mid, keys)
-    mad = stored(exact_percentiles(e, keys, F.abs(F.col("distance") - F.col("_md")), [0.5], few).select(*keys, F.col("q")[0].alias("_mad")), "deviations")
-    forget(centre)
+    centre = centre.withColumn("_c", unit(F.col("_c")))
+    d = keep(spread_join(df.select(*keys, row, vec), centre, keys, rows=groups).select(*keys, row, (1 - dot(unit(F.col(vec)), F.col("_c"))).alias("distance")), "distances")
+    mid = keep(median(d, keys, F.col("distance")).select(*keys, F.col("n").alias("_n"), F.col("q")[0].alias("_md")), "medians")
+    e = spread_join(d, mid, keys, rows=groups)
+    mad = median(e, keys, F.abs(F.col("distance") - F.col("_md"))).select(*keys, F.col("q")[0].alias("_mad"))
     z = (F.col("distance") - F.col("_md")) / (1.4826 * F.greatest("_mad", F.lit(1e-9)))
-    return spread_join(e, mad, keys).select(*keys, row, "distance", ((F.col("_n") <= 2) | (z <= mult)).alias("inlier"))
+    return spread_join(e, mad, keys, rows=groups).select(*keys, row, "distance", ((F.col("_n") <= 2) | (z <= mult)).alias("inlier"))
 
 
 def audit_speakers(df: DataFrame, keys: list[str], row: str, vec: str, mult: float = C.MAD_MULTIPLIER) -> DataFrame:

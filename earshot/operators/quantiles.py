@@ -21,13 +21,14 @@ BROADCAST_ROWS = 100_000
 SALTS = 16
 
 
-def spread_join(df: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+def spread_join(df: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", rows: int | None = None) -> DataFrame:
     """df joined to a stored or cheap table of one row for each key (null is a key): broadcast if it has BROADCAST_ROWS at
-    most, else with SALTS copies of it, so that a hot key's rows are dealt over as many tasks at least. how: inner or left."""
+    most, else with SALTS copies of it, so that a hot key's rows are dealt over as many tasks at least. how: inner or left.
+    rows: how many it has, where that is known."""
     names = [c for c in small.columns if c not in keys]
     other = small.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *names)
     on = [df[k].eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if (small.limit(BROADCAST_ROWS + 1).count() if rows is None else rows) <= BROADCAST_ROWS:
         out = df.join(F.broadcast(other), on, how) if on else df.crossJoin(F.broadcast(other))
         return out.select(*df.columns, *names)
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int"))
@@ -36,6 +37,12 @@ def spread_join(df: DataFrame, small: DataFrame, keys: list[str], how: str = "in
     return salted.join(copies, [*on, F.col("_salt") == F.col("_other")], how).select(*df.columns, *names)
 
 
+def group_sizes(df: DataFrame, keys: list[str]) -> tuple[int, int]:
+    """(number of groups, rows of the largest one)."""
+    r = df.groupBy(*keys).agg(F.count("*").alias("_n")).agg(F.count("*").alias("groups"), F.max("_n").alias("most")).first()
+    return r.groups, r.most or 0
+
+
 def bin_of(x: Column, lo: Column, hi: Column, bins: int) -> Column:
     """Bin of a value between lo and hi, in the order of the values; infinities and NaN have bins of their own.
 
@@ -95,19 +102,22 @@ def refined(first: DataFrame, keys: list[str], shares: list[float], histogram: C
     return by.select(*keys, "n", q.alias("q"))
 
 
-def exact_percentiles(df: DataFrame, keys: list[str], value: Column, shares: list[float], few: int = FEW, bins: int = BINS) -> DataFrame:
+def exact_percentiles(df: DataFrame, keys: list[str], value: Column, shares: list[float], few: int = FEW, bins: int = BINS, largest: int | None = None) -> DataFrame:
     """(keys, n, q): count and exact quantiles of each group's values (nulls are left out; a group of nulls has q null).
 
     Equal to percentile() with these shares, NaN is the greatest value. df is read several times when a group has over `few` values.
+    largest: rows of the largest group, where that is known.
     """
     rows = df.select(*keys, value.cast("double").alias("_x"))
-    finite = F.when(F.abs("_x") < float("inf"), F.col("_x"))
-    sizes = stored(rows.groupBy(*keys).agg(F.count("_x").alias("_n"), F.min(finite).alias("_lo"), F.max(finite).alias("_hi")), "sizes")
-    large = sizes.filter(F.col("_n") > few)
 
     def sorted_whole(r: DataFrame) -> DataFrame:
         return r.groupBy(*keys).agg(F.count("_x").alias("n"), F.percentile("_x", F.array(*[F.lit(float(p)) for p in shares])).alias("q"))
 
+    if largest is not None and largest <= few:
+        return sorted_whole(rows)
+    finite = F.when(F.abs("_x") < float("inf"), F.col("_x"))
+    sizes = stored(rows.groupBy(*keys).agg(F.count("_x").alias("_n"), F.min(finite).alias("_lo"), F.max(finite).alias("_hi")), "sizes")
+    large = sizes.filter(F.col("_n") > few)
     if not large.limit(1).count():
         return sorted_whole(rows)
     split = spread_join(rows, large, keys, "left")

@@ -58,11 +58,16 @@ def counts_with_share(df: DataFrame, column: str) -> DataFrame:
     return n.crossJoin(F.broadcast(df.agg(F.count("*").alias("_all")))).select(column, "n", (F.col("n") / F.col("_all")).alias("share"))
 
 
+def leveled(df: DataFrame) -> DataFrame:
+    """level: group or total, from grouping_id, of an aggregate by rollup that has it as `_gid`."""
+    return df.withColumn("level", F.when(F.col("_gid") == 0, "group").otherwise("total")).drop("_gid")
+
+
 def corpus_totals(df: DataFrame, by: str, distinct: dict[str, str]) -> DataFrame:
-    """Counts and minutes for each class, and in a row with a null class for the whole corpus."""
+    """Counts and minutes for each class (level: group) and for the whole corpus (level: total, class null); a null class is a group."""
     # rows are first counted for each combination of the distinct columns, as the rollup repeats its input for each of them
     each = df.groupBy(by, *dict.fromkeys(distinct.values())).agg(F.count("*").alias("_n"), F.sum("duration").alias("_d"))
-    return each.rollup(by).agg(F.sum("_n").alias("segments"), (F.sum("_d") / 60).alias("minutes"), *[F.countDistinct(c).alias(n) for n, c in distinct.items()])
+    return leveled(each.rollup(by).agg(F.grouping_id().alias("_gid"), F.sum("_n").alias("segments"), (F.sum("_d") / 60).alias("minutes"), *[F.countDistinct(c).alias(n) for n, c in distinct.items()]))
 
 
 def temporal_coverage(df: DataFrame, date: str) -> tuple[DataFrame, DataFrame]:
@@ -146,9 +151,11 @@ def distinct_speakers(df: DataFrame, by: str, speaker: str, approximate: bool =
 
 
 def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
-    """(a, b, n) with margins: 'All' stands for every value."""
-    out = df.groupBy(F.coalesce(F.col(a).cast("string"), F.lit("")).alias(a), F.coalesce(F.col(b).cast("string"), F.lit("")).alias(b)).agg(F.count("*").alias("_n"))
-    return out.cube(a, b).agg(F.sum("_n").alias("n")).select(F.coalesce(a, F.lit("All")).alias(a), F.coalesce(b, F.lit("All")).alias(b), "n")
+    """(a, b, n, level) with margins: level is cell, by_<a>, by_<b> (the other column is then 'All') or total. Null, '' and 'All' are values of their own."""
+    of = F.grouping_id()
+    out = df.groupBy(F.col(a).cast("string").alias(a), F.col(b).cast("string").alias(b)).agg(F.count("*").alias("_n")).cube(a, b).agg(of.alias("_gid"), F.sum("_n").alias("n"))
+    level = F.element_at(F.array(*map(F.lit, ("cell", f"by_{a}", f"by_{b}", "total"))), F.col("_gid").cast("int") + 1)
+    return out.select(F.when(F.col("_gid") >= 2, "All").otherwise(F.col(a)).alias(a), F.when(F.col("_gid") % 2 == 1, "All").otherwise(F.col(b)).alias(b), "n", level.alias("level"))
 
 
 def funnel(df: DataFrame, gates: dict[str, Column]) -> DataFrame:
@@ -203,8 +210,8 @@ def stage_summary(df: DataFrame, show: str, stages: list[str]) -> DataFrame:
 
 
 def coverage(df: DataFrame, by: str, good: dict[str, Column]) -> DataFrame:
-    """Valid counts and percentages for each group, and in a row with a null group over all."""
-    return df.rollup(by).agg(F.count("*").alias("n"), *[F.count_if(c).alias(k) for k, c in good.items()], *[(100.0 * F.count_if(c) / F.count("*")).alias(f"{k}_percent") for k, c in good.items()])
+    """Valid counts and percentages for each group (level: group; a null is one) and over all (level: total)."""
+    return leveled(df.rollup(by).agg(F.grouping_id().alias("_gid"), F.count("*").alias("n"), *[F.count_if(c).alias(k) for k, c in good.items()], *[(100.0 * F.count_if(c) / F.count("*")).alias(f"{k}_percent") for k, c in good.items()]))
 
 
 def keyword_rollup(df: DataFrame, key: str) -> DataFrame:
@@ -226,8 +233,8 @@ def capped(n: Column, cap: int = 500) -> Column:
 
 
 def run_totals(df: DataFrame, source: str, measures: list[str]) -> DataFrame:
-    """Sums for each source, and in a row with a null source over all."""
-    return df.rollup(source).agg(*[F.sum(m).alias(m) for m in measures])
+    """Sums for each source (level: group; a null is one) and over all (level: total)."""
+    return leveled(df.rollup(source).agg(F.grouping_id().alias("_gid"), *[F.sum(m).alias(m) for m in measures]))
 
 
 def reviewed_report(df: DataFrame, by: str, speaker: str, kept: Column, floor: Column) -> DataFrame:

@@ -59,7 +59,7 @@ def a06(spark, sf):
     return S.union_all(*both)
 
 
-@query("a07_corpus_totals", """WITH {seg} SELECT region, count(*) AS segments, round(sum(duration) / 60, 4) AS minutes, count(DISTINCT playlist) AS playlists, count(DISTINCT file_id) AS episodes, count(DISTINCT speaker) AS speakers FROM seg GROUP BY ROLLUP (region)""")
+@query("a07_corpus_totals", """WITH {seg} SELECT CASE grouping(region) WHEN 0 THEN 'group' ELSE 'total' END AS level, region, count(*) AS segments, round(sum(duration) / 60, 4) AS minutes, count(DISTINCT playlist) AS playlists, count(DISTINCT file_id) AS episodes, count(DISTINCT speaker) AS speakers FROM seg GROUP BY ROLLUP (region)""")
 def a07(spark, sf):
     return rounded(S.corpus_totals(segments(spark, sf), "region", {"playlists": "playlist", "episodes": "file_id", "speakers": "speaker"}), "minutes", digits=4)
 
@@ -163,7 +163,7 @@ def a20(spark, sf):
     return S.distinct_speakers(segments(spark, sf), "region", "speaker")
 
 
-@query("a21_crosstab", "SELECT coalesce(o_orderstatus, 'All') AS o_orderstatus, coalesce(o_orderpriority, 'All') AS o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
+@query("a21_crosstab", "SELECT CASE WHEN grouping(o_orderstatus) = 1 THEN 'All' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN grouping(o_orderpriority) = 1 THEN 'All' ELSE o_orderpriority END AS o_orderpriority, count(*) AS n, CASE grouping(o_orderstatus, o_orderpriority) WHEN 0 THEN 'cell' WHEN 1 THEN 'by_o_orderstatus' WHEN 2 THEN 'by_o_orderpriority' ELSE 'total' END AS level FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
 def a21(spark, sf):
     return S.crosstab(table(spark, sf, "orders"), "o_orderstatus", "o_orderpriority")
 
@@ -213,7 +213,7 @@ def a28(spark, sf):
     return S.stage_summary(e, "show", ["picked", "downloaded"])
 
 
-@query("a29_coverage", """SELECT o_orderpriority, count(*) AS n, count(*) FILTER (WHERE o_custkey % 3 = 0) AS ids, round(100.0 * count(*) FILTER (WHERE o_custkey % 3 = 0) / count(*), 6) AS ids_percent FROM orders GROUP BY ROLLUP (o_orderpriority)""")
+@query("a29_coverage", """SELECT CASE grouping(o_orderpriority) WHEN 0 THEN 'group' ELSE 'total' END AS level, o_orderpriority, count(*) AS n, count(*) FILTER (WHERE o_custkey % 3 = 0) AS ids, round(100.0 * count(*) FILTER (WHERE o_custkey % 3 = 0) / count(*), 6) AS ids_percent FROM orders GROUP BY ROLLUP (o_orderpriority)""")
 def a29(spark, sf):
     return rounded(S.coverage(table(spark, sf, "orders"), "o_orderpriority", {"ids": F.col("o_custkey") % 3 == 0}), "ids_percent")
 
@@ -240,7 +240,7 @@ def a32(spark, sf):
     return table(spark, sf, "part").select("p_partkey", S.capped(F.col("p_size") - 1, 40).alias("shown"))
 
 
-@query("a33_run_totals", "SELECT l_returnflag, round(sum(l_quantity), 3) AS l_quantity, round(sum(l_extendedprice), 1) AS l_extendedprice FROM lineitem GROUP BY ROLLUP (l_returnflag)")
+@query("a33_run_totals", "SELECT CASE grouping(l_returnflag) WHEN 0 THEN 'group' ELSE 'total' END AS level, l_returnflag, round(sum(l_quantity), 3) AS l_quantity, round(sum(l_extendedprice), 1) AS l_extendedprice FROM lineitem GROUP BY ROLLUP (l_returnflag)")
 def a33(spark, sf):
     return rounded(rounded(S.run_totals(table(spark, sf, "lineitem"), "l_returnflag", ["l_quantity", "l_extendedprice"]), "l_quantity", digits=3), "l_extendedprice", digits=1)
 
