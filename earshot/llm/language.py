@@ -28,7 +28,7 @@ ROUNDS = 4
 UNKNOWN = 1e-7  # probability of a letter outside the vocabulary
 SLOTS = 1 << 18
 SURE_AFTER = 20  # words that count in full towards the score
-SCALED, BLOCK = 8, 1 << 15  # letters after which forward sums of long words are scaled, and of which tables are made at once
+SCALED, BLOCK = 8, 1 << 15  # letters after which forward sums are scaled, and of which tables are made at once for long words
 BASE = 0x9E3779B97F4A7C15
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 #: Bytes of words: ASCII letters, and all of other scripts, which WORD cuts further.
@@ -109,6 +109,24 @@ def forward(spans, p: np.ndarray, rows: int, n: int) -> np.ndarray:
     return f
 
 
+def log_forward(spans, p: np.ndarray, rows: int, n: int, window: int) -> np.ndarray:
+    """(rows, languages) logs of the summed probability of all segmentations of whole words, without underflow.
+
+    Sums are divided by the newest one every SCALED letters; only those of the last `window` letters, the longest piece, are needed again.
+    """
+    f, logs = np.zeros((n + 1, rows, p.shape[1])), np.zeros((rows, p.shape[1]))
+    f[0], done = 1, 0
+    for i, j, piece in spans:
+        if j > done + 1:
+            done = j - 1
+            if done % SCALED == 0:
+                scale = f[done].copy()
+                f[max(0, done - window) : done + 1] /= scale
+                logs += np.log(scale)
+        f[j] += f[i] * chances(p, i, j, piece)
+    return logs + np.log(f[n])
+
+
 def long_forward(pieces: Pieces, p: np.ndarray, word: str) -> np.ndarray:
     """(languages,) log probabilities, summed over all segmentations of a word of any length.
 
@@ -163,7 +181,7 @@ class Model:
                 continue
             for k in range(0, len(at), 4096):
                 own = [some[i] for i in at[k : k + 4096]]
-                out[at[k : k + 4096]] = np.log(forward(self.pieces.spans(own), self.p, len(own), n)[n])
+                out[at[k : k + 4096]] = log_forward(self.pieces.spans(own), self.p, len(own), n, len(self.pieces.powers) - 1)
         return out
 
     def _learn(self, pieces: list[str], one_class: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -233,7 +251,8 @@ def fit(docs: DataFrame, pieces: list[str], key: str = "doc_id", text: str = "te
 def predict(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row; `und` with score 0 for null texts, texts without a letter, or without a model.
 
-    Rows that repeat a key are judged each for itself; other columns are ignored.
+    Rows that repeat a key are judged each for itself; other columns are ignored; an empty table gives no rows. Words and texts may be
+    of any length: sums are scaled, so scores are finite.
     """
 
     bound_batches(docs.sparkSession)

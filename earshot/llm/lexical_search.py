@@ -32,7 +32,7 @@ SLOTS = 1 << 18
 SEEDS = 64
 SLICE, ENTRIES = 1 << 14, 1 << 21  # documents, and their terms, ordered by length at once (or one batch)
 BUCKET = 1024
-FOCUS = 0.75  # share of an item's squared norm that its heaviest coordinates hold
+FOCUS = 0.98  # share of an item's squared norm that its heaviest coordinates hold
 VECTORS = "doc_id long, n long, terms array<int>, counts array<int>, seed boolean"
 FOUND = "item int, doc_id long, score long"
 

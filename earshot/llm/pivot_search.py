@@ -164,7 +164,7 @@ def top_k(df: DataFrame, asked: Column, k: int, key: str = "vec_id", vec: str =
     spans = sorted(_spans(table, len(pivots)).collect(), key=lambda r: r.cell)  # at most PIVOTS rows
     subs = df.sparkSession.createDataFrame([(r.cell, -(-r.n // block)) for r in spans], "cell int, subs int")
     cells, largest = np.array([r.cell for r in spans], np.int64), np.array([r.size2 for r in spans])
-    low, high = (np.array([r[f] for r in spans], np.float64).reshape(len(spans), -1) for f in ("low", "high"))
+    low, high = (np.array([r[f] for r in spans], np.float64).reshape(len(spans), len(pivots)) for f in ("low", "high"))
     parts = max(1, -(-queries.count() // block))
     part = F.pmod(F.xxhash64("qid", F.lit(1)), F.lit(parts)).cast("int")
     queries = queries.withColumn("part", part)
