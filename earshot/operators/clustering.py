@@ -13,7 +13,7 @@ from earshot.operators.components import connected_components
 from earshot.operators.quantiles import FEW, exact_percentiles, group_sizes, spread_join
 from earshot.operators.similarity import BLOCK, pair_quantiles, similar_pairs
 from earshot.operators.splits import numbered
-from earshot.session import stored
+from earshot.session import forget, stored
 
 
 MOST_CLASSES = 10_000
@@ -50,54 +50,82 @@ def audit_speakers(df: DataFrame, keys: list[str], row: str, vec: str, mult: flo
     return df.join(out, row, "left").withColumns({"exclude_reason": F.when(bad, "mad_outlier").otherwise(F.coalesce("exclude_reason", F.lit(""))), "is_excluded": F.col("is_excluded") | bad}).drop("_out")
 
 
-def average_linkage(df: DataFrame, within: str, node: str, vec: str, threshold: float = C.AHC_THRESHOLD, block: int = 4096) -> DataFrame:
+def average_linkage(df: DataFrame, within: str, node: str, vec: str, threshold: float = C.AHC_THRESHOLD, block: int = BLOCK, report: list | None = None) -> DataFrame:
     """(within, node, cluster): average linkage by cosine distance, cut at the threshold; a cluster is named by its least node.
 
     For unit vectors the mean distance of two clusters follows from their sums and sizes. Average linkage is
-    reducible, so all mutual nearest neighbours merge in each round (ties: smallest name) and give the same tree. Each
-    round merges at least one pair of every key that is not done.
+    reducible: all mutual nearest neighbours merge in each round (ties: smallest name) and give the same tree, and a merged cluster is no nearer
+    to a third one than its parts were. So each cluster's nearest neighbour is kept in a table, and only clusters that merged, or whose
+    neighbour did, look again. Tables of finished rounds are deleted. report: gets (clusters that looked, comparisons) of each round.
     """
     members = stored(df.select(within, F.col(node).alias("node"), F.col(node).alias("cluster")), "members")
     now = stored(df.select(within, F.col(node).alias("cluster"), unit(F.col(vec)).alias("sum"), F.lit(1).cast("long").alias("n")), "clusters")
+    asking, near, all_looked = now, None, True
     while True:
-        near = stored(_nearest(now, within, threshold, block), "near")
+        if report is not None:
+            counts = asking.groupBy(within).agg(F.count("*").alias("a")).join(now.groupBy(within).agg(F.count("*").alias("b")), within)
+            report.append(tuple(counts.agg(F.coalesce(F.sum("a"), F.lit(0)), F.coalesce(F.sum(F.col("a") * F.col("b")), F.lit(0))).first()))
+        found = _nearest(asking, now, within, threshold, block)
+        old, near = near, stored(found if near is None else near.unionByName(found), "near")
         both = near.alias("x").join(near.alias("y"), (F.col(f"x.{within}") == F.col(f"y.{within}")) & (F.col("x.cluster") == F.col("y.near")) & (F.col("x.near") == F.col("y.cluster")))
         merge = stored(both.filter("x.cluster > y.cluster").select(F.col(f"x.{within}").alias(within), F.col("x.cluster").alias("cluster"), F.col("y.cluster").alias("into")), "merge")
+        if old is not None:
+            forget(*old.parts)
         if not merge.limit(1).count():
-            return members
+            forget(near, merge)
+            if all_looked:
+                forget(now)
+                return members
+            # equal distances can leave a circle of choices that are older than a name: all look again
+            asking, near, all_looked = now, None, True
+            continue
         to = F.coalesce("into", "cluster")
-        members = stored(members.join(merge, [within, "cluster"], "left").select(within, "node", to.alias("cluster")), "members")
+        new_members = stored(members.join(merge, [within, "cluster"], "left").select(within, "node", to.alias("cluster")), "members")
         moved = now.join(merge, [within, "cluster"], "left").select(within, to.alias("cluster"), "sum", "n")
         added = moved.groupBy(within, "cluster").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list("sum")).alias("s"))
         total = F.aggregate(F.slice("s", 2, 10), F.col("s")[0], lambda a, b: F.zip_with(a, b, lambda p, q: p + q))
-        now = stored(added.select(within, "cluster", total.alias("sum"), "n"), "clusters")
+        new = stored(added.select(within, "cluster", total.alias("sum"), "n"), "clusters")
+        forget(members, now)
+        members, now = new_members, new
+        touched = merge.select(within, F.explode(F.array("cluster", "into")).alias("near"))
+        rest = near.join(touched.withColumnRenamed("near", "cluster"), [within, "cluster"], "left_anti")
+        names = rest.join(touched, [within, "near"], "left_semi").select(within, "cluster").unionByName(merge.select(within, F.col("into").alias("cluster")))
+        asking = now.join(names, [within, "cluster"], "left_semi")
+        kept = rest.join(touched, [within, "near"], "left_anti").select(within, "cluster", "near")
+        kept.parts, near, all_looked = (near, merge), kept, False
 
 
-def _nearest(clusters: DataFrame, within: str, threshold: float, block: int) -> DataFrame:
-    """(within, cluster, near): each cluster's nearest other one within the threshold (ties: smallest name).
+def _nearest(asking: DataFrame, clusters: DataFrame, within: str, threshold: float, block: int) -> DataFrame:
+    """(within, cluster, near): the nearest other cluster within the threshold (ties: smallest name) of each one that asks.
 
-    As in similar_pairs(), a task holds two blocks of a key's clusters; each gives its best partners, and the best of these counts.
+    A task holds a block of a key's asking clusters and a block of all of its clusters; each gives its best partners, and the best of these counts.
     """
-    n = clusters.groupBy(within).agg(F.greatest(F.ceil(F.count("*") / block), F.lit(1)).cast("int").alias("_b"))
-    rows = clusters.join(n, within).withColumn("_own", F.pmod(F.xxhash64("cluster"), F.col("_b")).cast("int")).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)))
-    rows = rows.select(within, F.least("_own", "_j").alias("_x"), F.greatest("_own", "_j").alias("_y"), "_own", "cluster", "sum", "n")
+    def blocks(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(within).agg(F.greatest(F.ceil(F.count("*") / block), F.lit(1)).cast("int").alias(name))
+
+    n = blocks(asking, "_a").join(blocks(clusters, "_c"), within)
+
+    def dealt(df: DataFrame, own: str, other: str, asks: bool) -> DataFrame:
+        mine, all_of = F.pmod(F.xxhash64("cluster"), F.col(own)).cast("int"), F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+        rows = df.join(n, within).withColumn("_own", mine).withColumn("_all", all_of)
+        return rows.select(within, F.col("_own" if asks else "_all").alias("_x"), F.col("_all" if asks else "_own").alias("_y"), F.lit(asks).alias("asks"), "cluster", "sum", "n")
+
+    rows = dealt(asking, "_a", "_c", True).unionByName(dealt(clusters, "_c", "_a", False))
     kinds = dict(clusters.dtypes)
 
     def near(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("cluster")
-        s, n, ids, own = np.array(pdf["sum"].tolist(), np.float64), pdf["n"].to_numpy(), pdf["cluster"].to_numpy(), pdf["_own"].to_numpy()
-        x, y = pdf["_x"].iloc[0], pdf["_y"].iloc[0]
+        s, n, ids, asks = np.array(pdf["sum"].tolist(), np.float64), pdf["n"].to_numpy(), pdf["cluster"].to_numpy(), pdf["asks"].to_numpy()
+        i, j = np.flatnonzero(asks), np.flatnonzero(~asks)
         out = []
-        for a, b in {(x, y), (y, x)}:
-            i, j = np.flatnonzero(own == a), np.flatnonzero(own == b)
-            for at in range(0, len(i) if len(j) else 0, 512):
-                k = i[at : at + 512]
-                d = np.round(1 - (s[k] @ s[j].T) / np.outer(n[k], n[j]), 9)
-                d[k[:, None] == j] = np.inf
-                best = d.argmin(axis=1)
-                least = d[np.arange(len(k)), best]
-                good = least <= threshold
-                out.append(pd.DataFrame({within: pdf[within].iloc[0], "cluster": ids[k[good]], "near": ids[j[best[good]]], "d": least[good]}))
+        for at in range(0, len(i) if len(j) else 0, 512):
+            k = i[at : at + 512]
+            d = np.round(1 - (s[k] @ s[j].T) / np.outer(n[k], n[j]), 9)
+            d[ids[k][:, None] == ids[j]] = np.inf
+            best = d.argmin(axis=1)
+            least = d[np.arange(len(k)), best]
+            good = least <= threshold
+            out.append(pd.DataFrame({within: pdf[within].iloc[0], "cluster": ids[k[good]], "near": ids[j[best[good]]], "d": least[good]}))
         return pd.concat(out) if out else pd.DataFrame({within: [], "cluster": [], "near": [], "d": []})
 
     found = rows.groupBy(within, "_x", "_y").applyInPandas(near, f"`{within}` {kinds[within]}, cluster {kinds['cluster']}, near {kinds['cluster']}, d double")

@@ -5,10 +5,12 @@ from __future__ import annotations
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from earshot.functions.text import blank, normalize_title, stem, title_similarity
+from earshot.operators.quantiles import spread_join
+from earshot.session import stored
 
 
 def lookup(df: DataFrame, mapping: DataFrame, key: str, value: str, fallback: Column | None = None) -> DataFrame:
@@ -128,6 +130,36 @@ def near_durations(local: DataFrame, remote: DataFrame, tolerance: float, by: li
     return cells.join(other, [*by, "_c"]).filter(F.round(F.abs(F.col("l_dur") - F.col("r_dur")), 9) <= tolerance).drop("_c")
 
 
+def within_tolerance(local: DataFrame, remote: DataFrame, tolerance: float) -> DataFrame:
+    """(local, n, remote): how many remotes have a duration (whole nanoseconds) within the tolerance of a local's, and the smallest of them; locals without one have no row.
+
+    local: (local, l_dur), remote: (remote, r_dur), one row for each remote. No pair is made. All windows have one width, so a window is the end
+    of one cell of that width and the beginning of the next. Distinct durations are sorted over ranges; running counts and minima
+    inside a range, and what other ranges of a cell add, answer both ends, so a cell that holds most rows is dealt over many tasks.
+    """
+    t = round(tolerance * 1e9)
+    width = 2 * t + 1
+    nano = lambda c: F.round(F.col(c) * 1e9).cast("long")
+    points = remote.filter("r_dur is not null").groupBy(nano("r_dur").alias("_x")).agg(F.count("*").alias("n"), F.min("remote").alias("m"))
+    asked = local.filter("l_dur is not null").select(nano("l_dur").alias("_d")).distinct()
+    ends = asked.select("_d", F.explode(F.array(F.struct((F.col("_d") - t).alias("_x"), F.lit(1).alias("_k")), F.struct((F.col("_d") + t).alias("_x"), F.lit(2).alias("_k")))).alias("e")).select("_d", "e.*")
+    rows = points.withColumn("_k", F.lit(0)).unionByName(ends, allowMissingColumns=True)
+    rows = stored(rows.repartitionByRange("_x").withColumns({"_part": F.spark_partition_id(), "_cell": F.expr(f"(_x - pmod(_x, {width})) div {width}")}), "sweep")
+    here = Window.partitionBy("_part", "_cell")
+    up, down = (here.orderBy(x, "_k").rowsBetween(Window.unboundedPreceding, 0) for x in (F.col("_x"), F.desc("_x")))
+    sums = rows.groupBy("_part", "_cell").agg(F.sum("n").alias("_n"), F.min("m").alias("_m"))  # at most a row for each range and each cell
+    parts = Window.partitionBy("_cell").orderBy("_part")
+    before, after = parts.rowsBetween(Window.unboundedPreceding, -1), parts.rowsBetween(1, Window.unboundedFollowing)
+    others = sums.select("_part", "_cell", *[f(c).over(w).alias(c + name) for name, w in (("_before", before), ("_after", after)) for f, c in ((F.sum, "_n"), (F.min, "_m"))])
+    r = rows.withColumns({"_up_n": F.sum("n").over(up), "_up_m": F.min("m").over(up), "_down_n": F.sum("n").over(down), "_down_m": F.min("m").over(down)})
+    r = r.filter("_k > 0").join(others, ["_part", "_cell"])
+    whole = F.pmod(F.col("_x"), F.lit(width)) == 0  # a window that is one cell: its upper end counts all
+    n = F.when(F.col("_k") == 2, F.coalesce("_up_n", F.lit(0)) + F.coalesce("_n_before", F.lit(0))).when(~whole, F.coalesce("_down_n", F.lit(0)) + F.coalesce("_n_after", F.lit(0))).otherwise(0)
+    m = F.when(F.col("_k") == 2, F.least("_up_m", "_m_before")).when(~whole, F.least("_down_m", "_m_after"))
+    found = r.select("_d", n.alias("n"), m.alias("m")).groupBy("_d").agg(F.sum("n").alias("n"), F.min("m").alias("remote")).filter("n > 0")
+    return spread_join(local.withColumn("_d", nano("l_dur")), stored(found, "found"), ["_d"]).select("local", "n", "remote")
+
+
 def assign_within(local: DataFrame, remote: DataFrame, group: str, tolerance: float = 1.0) -> DataFrame:
     """Greedy one-to-one match of a group's recordings by duration, ties by title: (group, local, remote).
 
@@ -150,14 +182,14 @@ def assign_within(local: DataFrame, remote: DataFrame, group: str, tolerance: fl
 
 
 def match_titles(local: DataFrame, remote: DataFrame, tolerance: float = 2.0) -> DataFrame:
-    """(local, remote, status): equal titles, narrowed by duration; without a title match, duration alone. One candidate: matched; several: ambiguous; none."""
+    """(local, remote, status): equal titles, narrowed by duration; without a title match, duration alone (counted by a sweep, no pairs). One candidate: matched; several: ambiguous; none."""
     a = local.withColumn("_t", normalize_title(F.col("l_title")))
     b = remote.withColumn("_t", normalize_title(F.col("r_title")))
     found = [F.countDistinct("remote").alias("n"), F.min("remote").alias("remote")]
     close = near_durations(a, b, tolerance, ["_t"]).groupBy("local").agg(*found)
     titled = a.join(b.groupBy("_t").agg(*found), "_t")  # a row for each title: recordings of a common title do not all meet
     far = titled.join(close.select("local"), "local", "left_anti").select("local", "n", "remote")
-    rest = near_durations(a.join(titled.select("local"), "local", "left_anti").drop("_t"), b.drop("_t"), tolerance).groupBy("local").agg(*found)
+    rest = within_tolerance(local.join(titled.select("local"), "local", "left_anti").select("local", "l_dur"), remote.select("remote", "r_dur"), tolerance)
     n = close.unionByName(far).unionByName(rest)
     status = F.when(F.col("n") == 1, "matched").when(F.col("n") > 1, "ambiguous").otherwise("none")
     return local.select("local").join(n, "local", "left").select("local", F.when(F.col("n") == 1, F.col("remote")).alias("remote"), status.alias("status"))

@@ -33,6 +33,21 @@ def test_average_linkage(spark, seed):
     assert got == linkage(points, 0.3)
 
 
+def test_average_linkage_of_a_chain_asks_few_clusters_again(spark):
+    angles = np.cumsum(0.01 * 1.3 ** np.arange(12))  # each point's nearest one is the one before it: a merge a round
+    chain = np.stack([np.cos(angles), np.sin(angles)], axis=1)
+    points = dict(enumerate(chain))
+    far = {100 + i: np.array([-np.cos(a), -np.sin(a)]) for i, a in enumerate(np.linspace(0, 2e-6, 10))}  # copies, but for rounding
+    df = spark.createDataFrame([("k", i, v.tolist()) for i, v in (points | far).items()] + [("other", 1, [1.0, 0.0]), (None, 2, [1.0, 0.0])], "k string, node long, vec array<double>")
+    report = []
+    got = {(r.k, r.node): r.cluster for r in clustering.average_linkage(df, "k", "node", "vec", 0.05, block=5, report=report).collect()}
+    want = linkage(chain, 0.05)
+    assert {i: got["k", i] for i in points} == want and len(set(want.values())) < len(points)
+    assert {got["k", i] for i in far} == {100} and got["other", 1] == 1 and got[None, 2] == 2
+    assert len(report) > 5 and report[0] == (23, 22 * 22 + 1)
+    assert sum(n for _, n in report[1:-1]) < (len(report) - 2) * report[0][1] / 3, report
+
+
 def test_assign_within(spark):
     local = spark.createDataFrame([("g", 1, 600.4, "T1"), ("g", 2, 600.6, "T2"), ("g", 3, 60.0, "T1")], "g string, local long, l_dur double, l_title string")
     remote = spark.createDataFrame([("g", "aaa", 600.0, "T1"), ("g", "bbb", 601.0, "T2"), ("g", "ccc", 9999.0, "T1")], "g string, remote string, r_dur double, r_title string")
@@ -156,3 +171,18 @@ def test_macro_class_labels_and_spellings_are_parameters(spark):
     df = spark.createDataFrame([("Con_trols",), ("other lang",), ("OTHER-LANG",), (None,)], "n string")
     got = df.select(gates.macro_class(F.col("n"), ("otherlang",), "Away", "Home").alias("own"), gates.macro_class(F.col("n")).alias("usual")).collect()
     assert [tuple(r) for r in got] == [("Home", "Control"), ("Away", "Target"), ("Away", "Target"), ("Home", "Target")]
+
+
+@pytest.mark.parametrize("tolerance", [2.0, 0.5])
+def test_counts_within_a_tolerance(spark, tolerance):
+    rng = np.random.default_rng(7)
+    near = [float(x) for x in np.round(rng.normal(100, 1.5, 400), 1)] + [50.0] * 60  # a hot cell and a hot value
+    local = [(i, d) for i, d in enumerate(near)] + [(900, None), (901, 0.0), (902, 1e5)]
+    remote = [(i, float(d)) for i, d in enumerate(np.round(rng.normal(100, 4, 300), 1))] + [(800 + i, 50.0 + tolerance) for i in range(30)] + [(850, None), (851, 100.123456)]
+    a = spark.createDataFrame(local, "local long, l_dur double").repartition(6)
+    b = spark.createDataFrame(remote, "remote long, r_dur double").repartition(5)
+    got = {r.local: (r.n, r.remote) for r in joins.within_tolerance(a, b, tolerance).collect()}
+    for i, d in local:
+        found = [] if d is None else [r for r, x in remote if x is not None and round(abs(d - x), 9) <= tolerance]
+        assert got.get(i, (0, None)) == (len(found), min(found, default=None))
+    assert joins.within_tolerance(a, b.limit(0), tolerance).count() == 0
