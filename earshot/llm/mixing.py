@@ -2,16 +2,12 @@
 
 Documents are aggregated by membership pattern (the set of sources they belong to). A flow routes each
 pattern's words to its sources' quotas; the k-th repetition of a pattern costs more than the one before it,
-so repetition is spread as evenly as the targets allow. A source that shares no document with another one needs
-no flow. The plan has one row per pattern, and documents are then selected by a seeded hash: whole bands of hashes are
+so repetition is spread as evenly as the targets allow. The plan has one row per pattern, and documents are then selected by a seeded hash: whole bands of hashes are
 taken or left, and only the band in which a pattern's words run out is ordered, so that no source's rows meet in one task.
 """
 
 from __future__ import annotations
 
-import heapq
-from collections import defaultdict
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,77 +48,84 @@ def water_fill(sizes: list[int], weights: list[float], most: float = MOST, total
 
 
 class Flow:
-    """Successive shortest paths with potentials; capacities and costs are numbers."""
-
-    def __init__(self):
-        self.edges, self.out = [], defaultdict(list)
-
-    def add(self, a, b, capacity, cost) -> int:
-        self.edges += [[b, capacity, cost], [a, 0, -cost]]
-        self.out[a].append(len(self.edges) - 2)
-        self.out[b].append(len(self.edges) - 1)
-        return len(self.edges) - 2
-
-    def run(self, source, sink, tiny=1e-6) -> None:
-        height = defaultdict(float)
-        while True:
-            far, via, heap = {source: 0.0}, {}, [(0.0, str(source), source)]
-            while heap:
-                d, _, a = heapq.heappop(heap)
-                if d > far[a] + 1e-12:
-                    continue
+    """A flow network whose capacities may grow; augment() adds what a maximum flow still can, by blocking flows over shortest paths."""
+
+    def __init__(self, nodes: int):
+        self.to, self.left, self.out = [], [], [[] for _ in range(nodes)]
+
+    def add(self, a: int, b: int, capacity: float) -> int:
+        """The edge's number; number + 1 is its reverse, whose capacity is the flow."""
+        self.to += [b, a]
+        self.left += [capacity, 0.0]
+        self.out[a].append(len(self.to) - 2)
+        self.out[b].append(len(self.to) - 1)
+        return len(self.to) - 2
+
+    def _levels(self, source: int, sink: int, tiny: float) -> list[int] | None:
+        level, now = [-1] * len(self.out), [source]
+        level[source] = 0
+        while now and level[sink] < 0:
+            after = []
+            for a in now:
                 for e in self.out[a]:
-                    b, capacity, cost = self.edges[e]
-                    if capacity > tiny and (new := d + cost + height[a] - height[b]) < far.get(b, float("inf")) - 1e-12:
-                        far[b], via[b] = new, e
-                        heapq.heappush(heap, (new, str(b), b))
-            if sink not in far:
-                return
-            for a, d in far.items():
-                height[a] += d
-            path, a = [], sink
-            while a != source:
-                path.append(via[a])
-                a = self.edges[via[a] ^ 1][0]
-            push = min(self.edges[e][1] for e in path)
-            for e in path:
-                self.edges[e][1] -= push
-                self.edges[e ^ 1][1] += push
+                    b = self.to[e]
+                    if self.left[e] > tiny and level[b] < 0:
+                        level[b] = level[a] + 1
+                        after.append(b)
+            now = after
+        return level if level[sink] >= 0 else None
+
+    def augment(self, source: int, sink: int, tiny: float = 1e-6) -> None:
+        to, left, out = self.to, self.left, self.out
+        while (level := self._levels(source, sink, tiny)) is not None:
+            tried, path, a = [0] * len(out), [], source
+            while True:
+                if a == sink:
+                    push = min(left[e] for e in path)
+                    for e in path:
+                        left[e] -= push
+                        left[e ^ 1] += push
+                    k = next(k for k, e in enumerate(path) if left[e] <= tiny)
+                    a = to[path[k] ^ 1]
+                    del path[k:]
+                    continue
+                edges = out[a]
+                while tried[a] < len(edges):
+                    e = edges[tried[a]]
+                    if left[e] > tiny and level[to[e]] == level[a] + 1:
+                        break
+                    tried[a] += 1
+                if tried[a] < len(edges):
+                    path.append(e)
+                    a = to[e]
+                elif a == source:
+                    break
+                else:
+                    level[a] = -1
+                    a = to[path.pop() ^ 1]
 
 
 def route(patterns: dict[tuple, int], targets: dict, most: int = MOST) -> dict[tuple, float]:
     """Words to take of each pattern: min-cost flow from patterns (most copies, the k-th at cost 2**k) to quotas.
 
-    Patterns and sources that share nothing are solved apart.
+    Only copies cost something, so every augmenting path costs what its first edge costs. Successive shortest paths therefore are
+    maximum flows: with first copies alone, then with the capacity of second ones added, and so on.
     """
-    parent = {}
-
-    def root(x):
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for p in patterns:
-        for s in p[1:]:
-            parent[root(s)] = root(p[0])
-    groups = defaultdict(list)
-    for p in patterns:
-        if p:
-            groups[root(p[0])].append(p)
-    out = {p: 0.0 for p in patterns}
-    for some in groups.values():
-        flow, copies = Flow(), {}
-        for p in some:
-            copies[p] = [flow.add(("from",), ("p", p), patterns[p], float(2**k)) for k in range(most)]
-            for s in p:
-                flow.add(("p", p), ("s", s), float("inf"), 0.0)
-        for s in sorted({s for p in some for s in p}, key=str):
-            flow.add(("s", s), ("to",), targets[s], 0.0)
-        flow.run(("from",), ("to",))
-        for p, es in copies.items():
-            out[p] = float(sum(flow.edges[e ^ 1][1] for e in es))
-    return out
+    some = sorted((p for p in patterns if p), key=str)
+    sources = sorted({s for p in some for s in p}, key=lambda s: (s is None, str(s)))
+    at = {s: 2 + len(some) + i for i, s in enumerate(sources)}
+    flow = Flow(2 + len(some) + len(sources))
+    copies = [flow.add(0, 2 + i, 0.0) for i in range(len(some))]
+    for i, p in enumerate(some):
+        for s in p:
+            flow.add(2 + i, at[s], float("inf"))
+    for s in sources:
+        flow.add(at[s], 1, targets[s])
+    for _ in range(most):
+        for e, p in zip(copies, some, strict=True):
+            flow.left[e] += patterns[p]
+        flow.augment(0, 1)
+    return {p: 0.0 for p in patterns} | {p: float(flow.left[e ^ 1]) for e, p in zip(copies, some, strict=True)}
 
 
 def targets(sources: DataFrame, total: float, most: int) -> DataFrame:
@@ -148,14 +151,16 @@ def _sources(narrow: DataFrame, weights, most: int) -> DataFrame:
 def _plan(narrow: DataFrame, weights, most: int) -> DataFrame:
     """A row for each pattern: full repeats, and the words still missing after them.
 
-    A source that no document shares with another one takes its target from its own documents. The other patterns go
-    through the flow, in the driver; there may be MAX_PATTERNS of them.
+    All patterns go through the flow, in the driver, if there are MAX_PATTERNS of them at most. Beyond that only those of sources that
+    documents share do (more than MAX_PATTERNS of these are an error); another source takes its target from its own documents, which is the same.
     """
     spark = narrow.sparkSession
     sources = _sources(narrow, weights, most)
     patterns = stored(narrow.groupBy("_m_p").agg(F.first("_m_sources").alias("s"), F.sum("_m_size").alias("n"), F.count("*").alias("rows")), "patterns")
     each = patterns.select("_m_p", F.explode("s").alias("s"))
-    shared = patterns.filter(F.size("s") > 1).select(F.explode("s").alias("s")).distinct()
+    shared = each.select("s").distinct()
+    if patterns.count() > MAX_PATTERNS:
+        shared = patterns.filter(F.size("s") > 1).select(F.explode("s").alias("s")).distinct()
     mixed_up = each.join(shared, each["s"].eqNullSafe(shared["s"]), "left_semi").select("_m_p").distinct()
     some = patterns.join(mixed_up, "_m_p").limit(MAX_PATTERNS + 1).collect()
     if len(some) > MAX_PATTERNS:
