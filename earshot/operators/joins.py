@@ -160,14 +160,34 @@ def within_tolerance(local: DataFrame, remote: DataFrame, tolerance: float) -> D
     return spread_join(local.withColumn("_d", nano("l_dur")), stored(found, "found"), ["_d"]).select("local", "n", "remote")
 
 
+def independent_runs(durations: DataFrame, group: str, tolerance: float) -> DataFrame:
+    """(group, _cell, run): runs of durations (group, dur) in a group, numbered from 0, that a gap wider than the tolerance parts.
+
+    Durations (whole nanoseconds) are first reduced to the ends of cells no wider than the tolerance, inside which there is no gap; only
+    these are put in order, so a group's rows do not meet.
+    """
+    t = round(tolerance * 1e9)
+    whole = durations.filter("dur is not null").withColumn("_x", F.round(F.col("dur") * 1e9).cast("long"))
+    ends = whole.groupBy(group, F.expr(f"(_x - pmod(_x, {t + 1})) div {t + 1}").alias("_cell")).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+    order = Window.partitionBy(group).orderBy("_cell")
+    cut = F.coalesce(F.col("_lo") - F.lag("_hi").over(order) > t, F.lit(False)).cast("long")
+    return ends.withColumn("_cut", cut).select(group, "_cell", F.sum("_cut").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("run"))
+
+
 def assign_within(local: DataFrame, remote: DataFrame, group: str, tolerance: float = 1.0) -> DataFrame:
     """Greedy one-to-one match of a group's recordings by duration, ties by title: (group, local, remote).
 
     local: (group, local, l_dur, l_title), remote: (group, remote, r_dur, r_title). Recordings are taken in order of
-    duration; each takes the unused remote of most similar title within the tolerance.
+    duration; each takes the unused remote of most similar title within the tolerance. Recordings on either side of a gap wider than the
+    tolerance never compete, so each run between gaps is matched for itself.
     """
     pairs = near_durations(local, remote, tolerance, [group]).withColumn("_s", title_similarity(normalize_title(F.col("l_title")), normalize_title(F.col("r_title"))))
     kinds = dict(pairs.dtypes)
+    every = local.select(group, F.col("l_dur").alias("dur")).unionByName(remote.select(group, F.col("r_dur").alias("dur")))
+    runs = stored(independent_runs(every, group, tolerance), "runs")
+    width = round(tolerance * 1e9) + 1
+    pairs = pairs.withColumn("_x", F.round(F.col("l_dur") * 1e9).cast("long")).withColumn("_cell", F.expr(f"(_x - pmod(_x, {width})) div {width}"))
+    pairs = spread_join(pairs.select(group, "_cell", "local", "remote", "l_dur", "r_dur", "_s"), runs, [group, "_cell"])
 
     def take(pdf: pd.DataFrame) -> pd.DataFrame:
         used, out = set(), []
@@ -178,7 +198,7 @@ def assign_within(local: DataFrame, remote: DataFrame, group: str, tolerance: fl
                 out.append((own[group].iloc[0], k, free["remote"].iloc[0]))
         return pd.DataFrame(out, columns=[group, "local", "remote"])
 
-    return pairs.select(group, "local", "remote", "l_dur", "r_dur", "_s").groupBy(group).applyInPandas(take, f"`{group}` {kinds[group]}, local {kinds['local']}, remote {kinds['remote']}")
+    return pairs.groupBy(group, "run").applyInPandas(take, f"`{group}` {kinds[group]}, local {kinds['local']}, remote {kinds['remote']}")
 
 
 def match_titles(local: DataFrame, remote: DataFrame, tolerance: float = 2.0) -> DataFrame:

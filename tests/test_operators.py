@@ -186,3 +186,21 @@ def test_counts_within_a_tolerance(spark, tolerance):
         found = [] if d is None else [r for r, x in remote if x is not None and round(abs(d - x), 9) <= tolerance]
         assert got.get(i, (0, None)) == (len(found), min(found, default=None))
     assert joins.within_tolerance(a, b.limit(0), tolerance).count() == 0
+
+
+def test_matches_of_runs_are_those_of_whole_groups(spark):
+    rng = np.random.default_rng(9)
+    local = [(int(g), i, float(d), f"T {i % 7}") for i, (g, d) in enumerate(zip(rng.choice([0, 0, 1, 2], 250), np.round(rng.uniform(0, 400, 250), 1), strict=True))] + [(0, 900, None, "x"), (0, 901, 7.0, None)]
+    remote = [(int(g), i, float(d), f"t_{i % 7}") for i, (g, d) in enumerate(zip(rng.choice([0, 0, 1, 2], 250), np.round(rng.uniform(0, 400, 250), 1), strict=True))]
+    a = spark.createDataFrame(local, "g int, local long, l_dur double, l_title string")
+    b = spark.createDataFrame(remote, "g int, remote long, r_dur double, r_title string")
+    sides = joins.near_durations(a, b, 0.7, ["g"]).withColumn("s", joins.title_similarity(joins.normalize_title(F.col("l_title")), joins.normalize_title(F.col("r_title")))).collect()
+    want, used = set(), set()
+    for r in sorted({(r.g, r.l_dur, r.local) for r in sides}):
+        free = sorted((-p.s if p.s is not None else 1, round(abs(p.l_dur - p.r_dur), 9), p.remote) for p in sides if (p.g, p.local) == (r[0], r[2]) and (p.g, p.remote) not in used)
+        if free:
+            used.add((r[0], free[0][2]))
+            want.add((r[0], r[2], free[0][2]))
+    assert set(map(tuple, joins.assign_within(a, b, "g", 0.7).collect())) == want
+    runs = joins.independent_runs(a.select("g", F.col("l_dur").alias("dur")), "g", 0.7)
+    assert runs.groupBy("g").agg(F.max("run").alias("n")).filter("g = 0 and n > 20").count() == 1
