@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from earshot import config as C
 from earshot.operators.joins import overlay
+from earshot.session import delete, exists
 
 
 def work_plan(items: DataFrame, ledger: DataFrame, signature: str, key: str = "id") -> DataFrame:
@@ -76,24 +77,67 @@ def speech_runs(stream: DataFrame, gap: float = C.GAP_TOLERANCE, delay: str = "1
     return g.groupBy("file_id", "speaker_id", F.session_window("ts", micros).alias("w")).agg(F.min("ts").alias("start"), F.max("_end").alias("end"), F.count("*").alias("turns")).drop("w")
 
 
-def merge_into(path: str, key: str):
-    """foreachBatch function that merges each batch (key, order, values) into a stored state: versions are folders, merged_state() reads the newest.
+def _manifests(spark: SparkSession, path: str) -> dict[int, dict]:
+    """By version: which batch wrote each bucket, and the number of buckets. There are two versions at most, each a row for each bucket."""
+    out: dict[int, dict] = {}
+    if exists(spark, f"{path}/manifests"):
+        for r in spark.read.schema("bucket int, batch long, buckets int, n long").parquet(f"{path}/manifests").collect():
+            m = out.setdefault(r.n, {"at": {}, "buckets": r.buckets})
+            if r.bucket >= 0:
+                m["at"][r.bucket] = r.batch
+    return out
 
-    A value that is not blank counts until one with a larger order comes, in whatever batch: late rows do not undo newer ones.
+
+def _bucket_paths(path: str, at: dict[int, int]) -> list[str]:
+    return [f"{path}/data/batch={n}/bucket={b}" for b, n in sorted(at.items())]
+
+
+def merge_into(path: str, key: str, buckets: int = 64):
+    """foreachBatch function that merges each batch (key, order, values) into a stored state, which merged_state() reads.
+
+    A value that is not blank counts until one with a larger order comes, in whatever batch: late rows do not undo newer ones. Keys are hashed to
+    buckets; a batch reads and writes only those it touches, so its cost follows the batch and not the state. The version (a small
+    manifest of buckets) moves after they are written, and a batch that comes again after that changes nothing. Buckets that neither the
+    newest nor the version before it uses are deleted. The number of buckets cannot change later.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark, values = batch.sparkSession, [c for c in batch.columns if c not in (key, "order")]
+        versions = _manifests(spark, path)
+        last = max(versions, default=-1)
+        if number <= last:
+            return
+        now = versions.get(last, {"at": {}, "buckets": buckets})
+        if now["buckets"] != buckets:
+            raise ValueError(f"the state has {now['buckets']} buckets")
         rows = batch.select(key, *[F.when(F.trim(F.col(c).cast("string")) != "", F.struct("order", F.col(c).alias("value"))).alias(c) for c in values])
-        if number:
-            rows = rows.unionByName(spark.read.schema(rows.schema).parquet(f"{path}/v{number - 1}"))
-        rows.groupBy(key).agg(*[F.max(c).alias(c) for c in values]).write.mode("overwrite").parquet(f"{path}/v{number}")
-        spark.range(1).select(F.lit(number).alias("n")).coalesce(1).write.mode("overwrite").parquet(f"{path}/last")
+        kinds = rows.schema
+        rows = rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        touched = [r.bucket for r in rows.select("bucket").distinct().collect()]
+        before = {b: now["at"][b] for b in touched if b in now["at"]}
+        if before:
+            old = spark.read.schema(kinds).parquet(*_bucket_paths(path, before))
+            rows = rows.unionByName(old.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")))
+        merged = rows.groupBy(key, "bucket").agg(*[F.max(c).alias(c) for c in values])
+        merged.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/data/batch={number}")
+        at = now["at"] | dict.fromkeys(touched, number)
+        manifest = spark.createDataFrame([(b, n, buckets) for b, n in sorted(at.items())] or [(-1, -1, buckets)], "bucket int, batch long, buckets int")
+        manifest.coalesce(1).write.mode("overwrite").parquet(f"{path}/manifests/n={number}")
+        used = {*_bucket_paths(path, at), *_bucket_paths(path, now["at"])}
+        for n, m in versions.items():
+            if n < last:
+                for p in {*_bucket_paths(path, m["at"])} - used:
+                    delete(spark, p)
+                delete(spark, f"{path}/manifests/n={n}")
 
     return write
 
 
 def merged_state(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """(key, values) of the newest version that merge_into() wrote."""
-    rows = spark.read.parquet(f"{path}/v{spark.read.parquet(f'{path}/last').first()[0]}")
+    """(key, values) of the newest version that merge_into() wrote; the batch and bucket folders are not columns."""
+    versions = _manifests(spark, path)
+    paths = _bucket_paths(path, versions[max(versions)]["at"]) if versions else []
+    if not paths:
+        raise ValueError(f"no state in {path}")
+    rows = spark.read.parquet(*paths)
     return rows.select(key, *[F.col(f"{c}.value").alias(c) for c in rows.columns if c != key])

@@ -204,3 +204,33 @@ def test_matches_of_runs_are_those_of_whole_groups(spark):
     assert set(map(tuple, joins.assign_within(a, b, "g", 0.7).collect())) == want
     runs = joins.independent_runs(a.select("g", F.col("l_dur").alias("dur")), "g", 0.7)
     assert runs.groupBy("g").agg(F.max("run").alias("n")).filter("g = 0 and n > 20").count() == 1
+
+
+def test_merged_state_writes_what_a_batch_touches(spark, tmp_path):
+    from earshot.streaming import incremental
+
+    path, kind = str(tmp_path / "state"), "key string, order int, stage string"
+    merge = incremental.merge_into(path, "key", 8)
+    merge(spark.createDataFrame([(f"k{i}", 1, "new") for i in range(500)], kind), 0)
+
+    def files():
+        return {str(p.relative_to(path)): p.stat().st_size for p in (tmp_path / "state" / "data").rglob("*.parquet")}
+
+    first = files()
+    small = spark.createDataFrame([("k7", 2, "done")], kind)
+    merge(small, 1)
+    added = {p: n for p, n in files().items() if p not in first}
+    assert len({p.split("/")[2] for p in added}) == 1 and sum(added.values()) < sum(first.values()) / 3
+    state = sorted(map(tuple, incremental.merged_state(spark, path, "key").collect()))
+    assert len(state) == 500 and ("k7", "done") in state
+    merge(spark.createDataFrame([("k7", 9, "again")], kind), 1)  # a replayed batch
+    assert sorted(map(tuple, incremental.merged_state(spark, path, "key").collect())) == state
+    merge(spark.createDataFrame([("k7", 1, "late"), ("x", 1, "new")], kind), 2)
+    merge(spark.createDataFrame([], kind), 3)
+    merge(spark.createDataFrame([("k7", 3, "last")], kind), 4)
+    got = {r.key: r.stage for r in incremental.merged_state(spark, path, "key").collect()}
+    assert len(got) == 501 and got["k7"] == "last" and got["x"] == "new"
+    assert len(list((tmp_path / "state" / "manifests").glob("n=*"))) == 2
+    assert f"data/batch=1/{next(iter(added)).split('/')[2]}" not in {"/".join(p.split("/")[:3]) for p in files()}
+    with pytest.raises(ValueError, match="8 buckets"):
+        incremental.merge_into(path, "key", 4)(small, 5)
