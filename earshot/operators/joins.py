@@ -219,7 +219,8 @@ def contained_match(left: DataFrame, right: DataFrame, floor: int = 5) -> DataFr
     """(left, right): equal normalised names first, else one contains the other (shorter one of `floor` letters); the smallest right name of the best kind.
 
     left, right: (name). Names are joined by their letter n-grams of length floor: of a contained name all of them
-    are in the other, so its first is enough.
+    are in the other, so one is enough. Each name looks up the one that the fewest names of the other side hold (ties: the least one);
+    a name with a gram that none of them holds is contained in none.
     """
     a, b = left.select(F.col("name").alias("left")), right.select(F.col("name").alias("right"))
     exact = a.join(b, F.col("left") == F.col("right")).select("left", "right", F.lit(0).alias("k"))
@@ -229,10 +230,13 @@ def contained_match(left: DataFrame, right: DataFrame, floor: int = 5) -> DataFr
         at = F.explode(F.sequence(F.lit(1), F.length(c) - floor + 1))
         return x.withColumn("_i", at).select(c, F.substr(F.col(c), F.col("_i"), F.lit(floor)).alias("_g")).distinct()
 
-    def heads(df: DataFrame, c: str) -> DataFrame:
-        return df.filter(F.length(c) >= floor).select(c, F.substring(c, 1, floor).alias("_g")).distinct()
+    def rarest(own: DataFrame, c: str, others: DataFrame) -> DataFrame:
+        held = others.groupBy("_g").agg(F.count("*").alias("_n"))
+        best = F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_g"))
+        return own.join(held, "_g", "left").groupBy(c).agg(best.alias("_b")).filter("_b.n > 0").select(c, F.col("_b._g").alias("_g"))
 
-    in_right = heads(a, "left").join(grams(b, "right"), "_g").filter(F.col("right").contains(F.col("left")))
-    in_left = heads(b, "right").join(grams(a, "left"), "_g").filter(F.col("left").contains(F.col("right")))
+    of_left, of_right = grams(a, "left"), grams(b, "right")
+    in_right = rarest(of_left, "left", of_right).join(of_right, "_g").filter(F.col("right").contains(F.col("left")))
+    in_left = rarest(of_right, "right", of_left).join(of_left, "_g").filter(F.col("left").contains(F.col("right")))
     part = in_right.select("left", "right").unionByName(in_left.select("left", "right")).select("left", "right", F.lit(1).alias("k"))
     return exact.unionByName(part).groupBy("left").agg(F.min(F.struct("k", "right"))["right"].alias("right"))

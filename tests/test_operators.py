@@ -234,3 +234,14 @@ def test_merged_state_writes_what_a_batch_touches(spark, tmp_path):
     assert f"data/batch=1/{next(iter(added)).split('/')[2]}" not in {"/".join(p.split("/")[:3]) for p in files()}
     with pytest.raises(ValueError, match="8 buckets"):
         incremental.merge_into(path, "key", 4)(small, 5)
+
+
+def test_contained_names_by_their_rarest_gram(spark):
+    rng = np.random.default_rng(11)
+    stem_ = "common beginning "
+    left = sorted({stem_ + "".join(rng.choice(list("abcd"), rng.integers(0, 6))) for _ in range(120)} | {"abcde", "abc", "", "xyzzy"})
+    right = sorted({stem_ + "".join(rng.choice(list("abcd"), rng.integers(0, 6))) for _ in range(120)} | {"zabcdez", "beginning", "abc", "n "})
+    got = {r.left: r.right for r in joins.contained_match(spark.createDataFrame([(x,) for x in left], "name string"), spark.createDataFrame([(x,) for x in right], "name string")).collect()}
+    for x in left:
+        found = [(0, y) for y in right if x == y] + [(1, y) for y in right if min(len(x), len(y)) >= 5 and (x in y or y in x)]
+        assert got.get(x) == (min(found)[1] if found else None)
