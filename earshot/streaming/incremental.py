@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import itertools
+import math
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from earshot import config as C
 from earshot.operators.joins import overlay
@@ -67,14 +71,79 @@ def new_recordings(stream: DataFrame, delay: str = "30 days") -> DataFrame:
     return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["id"]).dropDuplicatesWithinWatermark(["hash"])
 
 
+ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+RUNS = "start long, end long, turns long"
+
+
+class RunMerger(StatefulProcessor):
+    """Open runs of one (file, speaker) in list state; a run leaves when the watermark has passed its end and the gap."""
+
+    def __init__(self, gap: float):
+        self.gap = gap
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.runs = handle.getListState("runs", RUNS)
+
+    def _open(self) -> list[tuple[int, int, int]]:
+        return [tuple(r) for r in self.runs.get()] if self.runs.exists() else []
+
+    def _merged(self, runs: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        out: list[tuple[int, int, int]] = []
+        for start, end, turns in sorted(runs):
+            if out and round((start - out[-1][1]) / 1e6, 9) <= self.gap:
+                first, last, n = out[-1]
+                out[-1] = (first, max(last, end), n + turns)
+            else:
+                out.append((start, end, turns))
+        return out
+
+    def handleInputRows(self, key, rows, timerValues):
+        runs = self._open()
+        while some := [(r["start"], r["end"], 1) for r in itertools.islice(rows, 10_000)]:
+            runs = self._merged(runs + some)
+        self.runs.put(runs)
+        for _, end, _ in runs:
+            self.handle.registerTimer(math.floor(end / 1e3 + self.gap * 1e3) + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        now = timerValues.getCurrentWatermarkInMs()
+        done = lambda r: math.floor(r[1] / 1e3 + self.gap * 1e3) + 1 <= now
+        runs = self._open()
+        if left := [r for r in runs if not done(r)]:
+            self.runs.put(left)
+        else:
+            self.runs.clear()
+        for start, end, turns in filter(done, runs):
+            yield Row(file_id=key[0], speaker_id=key[1], start=start, end=end, turns=turns)
+
+    def close(self) -> None:
+        pass
+
+
+def _as_runs(df: DataFrame) -> DataFrame:
+    return df.select("file_id", "speaker_id", F.timestamp_micros("start").alias("start"), F.timestamp_micros("end").alias("end"), "turns")
+
+
 def speech_runs(stream: DataFrame, gap: float = C.GAP_TOLERANCE, delay: str = "1 hour") -> DataFrame:
-    """Turns (ts, seconds, file_id, speaker_id) merged to runs by session windows: a turn keeps its session open for its own length and the gap.
+    """(file_id, speaker_id, start, end, turns): turns (ts, seconds, file_id, speaker_id) merged to runs by the rule of merge_turns(), in append mode.
 
-    Equals the batch merge for turns that do not lie inside one another's end by less than a microsecond.
+    Turns may come in any order within the delay and lie inside others; Spark drops those that come later. A run is put out once no
+    turn that is still awaited can reach it; those that wait at the end are open_runs(). State is kept in RocksDB.
     """
-    g = stream.withWatermark("ts", delay).withColumn("_end", F.col("ts") + F.make_dt_interval(secs=F.col("seconds").cast("decimal(18,6)")))
-    micros = F.concat(((F.col("seconds") + gap) * 1_000_000).cast("long").cast("string"), F.lit(" microseconds"))
-    return g.groupBy("file_id", "speaker_id", F.session_window("ts", micros).alias("w")).agg(F.min("ts").alias("start"), F.max("_end").alias("end"), F.count("*").alias("turns")).drop("w")
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS_DB)
+    start = F.unix_micros("ts")
+    rows = stream.withWatermark("ts", delay).select("file_id", "speaker_id", "ts", start.alias("start"), (start + F.round(F.col("seconds") * 1_000_000).cast("long")).alias("end"))
+    kinds = dict(stream.dtypes)
+    out = rows.groupBy("file_id", "speaker_id").transformWithState(RunMerger(gap), f"file_id {kinds['file_id']}, speaker_id {kinds['speaker_id']}, {RUNS}", "Append", "EventTime")
+    return _as_runs(out)
+
+
+def open_runs(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The runs that speech_runs() still holds, from its checkpoint."""
+    state = spark.read.format("statestore").option("stateVarName", "runs").load(checkpoint)
+    return _as_runs(state.select("key.file_id", "key.speaker_id", "list_element.*"))
 
 
 def _manifests(spark: SparkSession, path: str) -> dict[int, dict]:
