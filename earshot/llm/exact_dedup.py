@@ -22,7 +22,8 @@ def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
 
     Texts are equal when identical; null counts as empty. The largest key of a group stays. A group
     whose keys are all null has keep_id null, and its rows are kept. Rows that repeat both key and
-    text carry the same decision. An empty table gives an empty result; other columns are ignored.
+    text carry the same decision. An empty table gives an empty result; other columns are ignored. Long texts are hashed
+    whole and never shuffled.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     rows = stored(docs.select(F.col(key).alias(key), F.unhex(F.sha2(body, 256)).alias("_sha"), F.octet_length(body).alias("_len")), "digests")

@@ -175,7 +175,7 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", every:
     A chunk counts if it has least_words words and two lines, or `long` words; a run of whole lines if it has `long`
     words. removed_chunks counts repeated chunks, removed_lines all lines that go, with repeated chunks or runs. Null
     text stays null. Rows with a null key keep their text; rows that repeat both key and text are cut alike. A text
-    of which every line goes becomes empty. An empty table gives no rows.
+    of which every line goes becomes empty. An empty table gives no rows. Long texts are taken whole; time grows faster than their lines.
     """
     out = _cut(docs, key, text, every, long, least_words).drop("removed_chunks", "removed_lines")
     return out.withColumnsRenamed({"_l_gone": "removed_chunks", "_l_lines": "removed_lines"})

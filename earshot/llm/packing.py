@@ -177,7 +177,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, window:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Null text counts as empty, and an empty text is one token (end_id). Rows that repeat a key are packed
-    each for itself. An empty table gives no rows. Other columns are ignored.
+    each for itself, also those with a null key. An empty table gives no rows. Other columns are ignored. Long texts are encoded whole
+    and cut into windows.
     """
     tokenizer = tokenizer or tokens.tokenizer_path()
     bound_batches(docs.sparkSession)

@@ -267,7 +267,7 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, k
     A document's set is its distinct n-word shingles; with fewer words, the whole sequence as one; without words or
     text it is empty and linked with nothing. component_id is the smallest key reachable by links, itself included.
     Rows that repeat a key are one document with several texts, linked with each other. Rows with a null key link with nothing and have a
-    null component_id. An empty table gives no rows; other columns are ignored.
+    null component_id. An empty table gives no rows; other columns are ignored. Long texts are taken whole.
     """
     bound_batches(docs.sparkSession)
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))

@@ -188,7 +188,8 @@ def score(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str =
     """doc_id, held_out, score, predicted and toxic spans of every row.
 
     Null and empty texts have no token and score low. Without a model (no labels of both kinds) every score is 0.
-    Rows that repeat a key are scored each for itself; other columns are ignored.
+    Rows that repeat a key are scored each for itself; other columns are ignored; an empty table gives no rows. Texts are scored
+    whole, in time and memory in proportion to their length.
     """
 
     bound_batches(docs.sparkSession)

@@ -140,7 +140,7 @@ def judge(pages: DataFrame, rules=None, key: str = "page_id", url: str = "url")
     A rule's verdict stands; elsewhere the trees decide (block at 0.5 or more). If the rules do not decide both
     ways on some rows, there is nothing to learn: the probability is the smoothed block rate of the decided rows.
     Rows that repeat a key are judged each for itself; an empty table gives no rows; a null url has empty parts and no
-    rule; other columns are ignored.
+    rule; other columns are ignored. Urls of any length are taken whole.
     """
     rules = RULES if rules is None else rules
     blocks = [r for v, r in rules if v == "block"]
