@@ -35,10 +35,11 @@ def s01(spark, sf):
 @query("s02_read_registry", """SELECT p_name AS source, p_brand AS show, '' AS url, p_size::VARCHAR AS extra FROM part WHERE p_size % 10 <> 0""")
 def s02(spark, sf):
     path = place(spark, "registry")
-    p = table(spark, sf, "part").coalesce(1).orderBy("p_partkey")
+    p = table(spark, sf, "part").withColumn("file", (c("p_partkey") % 4).cast("int"))
     line = F.concat(F.when(c("p_size") % 10 == 0, "# ").otherwise(" "), F.lit('"'), c("p_name"), F.lit('" | '), c("p_brand"), F.lit(" |"), c("p_size").cast("string"))
-    head = spark.range(1).select(F.lit("source|show|extra").alias("value"), F.lit(0).cast("long").alias("o")).unionByName(spark.range(1).select(F.lit("  ").alias("value"), F.lit(1).cast("long").alias("o")))
-    head.unionByName(p.select(line.alias("value"), (c("p_partkey") + 1).alias("o"))).coalesce(1).sortWithinPartitions("o").select("value").write.text(path)
+    head = spark.range(4).select(c("id").cast("int").alias("file"), F.explode(F.array(F.struct(F.lit("source|show|extra").alias("value"), F.lit(-2).cast("long").alias("o")), F.struct(F.lit("  ").alias("value"), F.lit(-1).cast("long").alias("o")))).alias("e")).select("file", "e.*")
+    lines = head.unionByName(p.select("file", line.alias("value"), c("p_partkey").alias("o")))
+    lines.repartition("file").sortWithinPartitions("file", "o").select("file", "value").write.partitionBy("file").text(path)
     return R.read_registry(spark, path).select("source", "show", "url", "extra")
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from earshot.functions.text import blank, playlist_url, sanitize
+from earshot.operators.quantiles import spread_join
 
 #: The registry's columns and enumerations.
 COLUMNS = ("region", "source", "show", "url", "url_type", "lang_flag", "status", "channel_id", "playlist_id", "n_playlists", "n_videos", "added", "score", "keywords", "notes")
@@ -14,22 +17,50 @@ BACKUP = ".bak"
 ENUMS = {"status": ("pending", "approved", "rejected", "done"), "url_type": ("channel", "playlist", "video")}
 
 
+MOST_HEADERS = 1_000
+
+
+def _marked_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, file, header): lines that count, and whether they are the first such line of their file."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+    lines = lines.filter((F.trim("value") != "") & ~F.ltrim(F.col("value")).startswith("#"))
+
+    def run(batches):
+        last = (None, None)  # file and block of the line before; a task reads blocks one after another, in their order
+        for b in batches:
+            file, at = np.array(b.column(1).to_pylist(), object), b.column(2).to_numpy()
+            if len(at):
+                first = np.concatenate([[(file[0], at[0]) != last], (file[1:] != file[:-1]) | (at[1:] != at[:-1])])
+                last = (file[-1], at[-1])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(first.astype(bool) & (at == 0))], names=["value", "file", "header"])
+
+    return lines.mapInArrow(run, "value string, file string, header boolean")
+
+
 def read_registry(spark: SparkSession, path: str, columns=COLUMNS, sep: str = "|") -> DataFrame:
-    """Rows of a delimited file with quotes: blank lines and full-line # comments are dropped, cells trimmed.
+    """Rows of delimited files with quotes: blank lines and full-line # comments are dropped, cells trimmed.
 
-    Canonical columns that are missing come as '', other columns of the header stay last. All columns are text.
+    Each file's header is its first line that counts (in its first block); later lines that equal it are rows. Files may have different headers, at most MOST_HEADERS of them.
+    Canonical columns that are missing come as '', other columns of the headers stay last. All columns are text. A cell ends with its line.
     """
-    lines = spark.read.text(path).filter((F.trim("value") != "") & ~F.ltrim(F.col("value")).startswith("#"))
-    first = lines.first()
-    header = [c.strip().strip('"') for c in first[0].split(sep)] if first else list(columns)
-    body = lines.filter(F.col("value") != (first[0] if first else ""))
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-    rows = body.select(F.from_csv("value", schema.simpleString()[7:-1].replace(":", " "), {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}).alias("r")).select("r.*")
-    rows = rows.select(*[F.coalesce(F.trim(F.col(c)), F.lit("")).alias(c) for c in header])
-    for c in columns:
-        if c not in header:
-            rows = rows.withColumn(c, F.lit(""))
-    return rows.select(*columns, *[c for c in header if c not in columns])
+    lines = _marked_lines(spark, path)
+    heads = lines.filter("header").select("file", F.col("value").alias("_head"))
+    kinds = sorted(r[0] for r in heads.select("_head").distinct().limit(MOST_HEADERS + 1).collect())
+    if len(kinds) > MOST_HEADERS:
+        raise ValueError(f"over {MOST_HEADERS} headers")
+    body = lines.filter("not header").select("file", "value")
+    if len(kinds) > 1:
+        body = spread_join(body, heads, ["file"])
+    names = [[c.strip().strip('"') for c in k.split(sep)] for k in kinds] or [list(columns)]
+    extra = list(dict.fromkeys(c for header in names for c in header if c not in columns))
+    out = None
+    for k, header in zip(kinds or [None], names, strict=True):
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
+        own = body.filter(F.col("_head") == k) if len(kinds) > 1 else body
+        rows = own.select(F.from_csv("value", schema.simpleString()[7:-1].replace(":", " "), {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}).alias("r")).select("r.*")
+        rows = rows.select(*[F.coalesce(F.trim(F.col(c)), F.lit("")).alias(c) if c in header else F.lit("").alias(c) for c in [*columns, *extra]])
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def sanitized(df: DataFrame) -> DataFrame:

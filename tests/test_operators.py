@@ -245,3 +245,19 @@ def test_contained_names_by_their_rarest_gram(spark):
     for x in left:
         found = [(0, y) for y in right if x == y] + [(1, y) for y in right if min(len(x), len(y)) >= 5 and (x in y or y in x)]
         assert got.get(x) == (min(found)[1] if found else None)
+
+
+def test_each_registry_file_has_its_own_header(spark, tmp_path):
+    from earshot.sources import registry
+
+    path = tmp_path / "registries"
+    path.mkdir()
+    (path / "a.psv").write_text('# made by hand\n\nshow|source|more\n"A | B"| x |1\nshow|source|more\n  # gone\n')
+    (path / "b.psv").write_text("source|show\n y |C\n")
+    (path / "c.psv").write_text("source|show\nz|D\n")
+    (path / "d.psv").write_text("# nothing\n")
+    got = registry.read_registry(spark, str(path))
+    assert got.columns == [*registry.COLUMNS, "more"]
+    assert {(r["source"], r["show"], r["more"], r["url"]) for r in got.collect()} == {("x", "A | B", "1", ""), ("source", "show", "more", ""), ("y", "C", "", ""), ("z", "D", "", "")}
+    only = registry.read_registry(spark, str(path / "d.psv"))
+    assert only.count() == 0 and only.columns == list(registry.COLUMNS)
