@@ -184,10 +184,11 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, window:
     bound_batches(docs.sparkSession)
 
     def cut(batches):
+        words.give_back()
         encoder, part = tokens.encoder(tokenizer, piecewise), TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
         seen = [0] * (window + 1)
-        for batch, texts in words.text_batches(batches):
+        for batch, texts in words.text_batches(batches, most=words.SMALL_SLICE):
             rows = []
             for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts), strict=True):
                 ids += end
@@ -205,6 +206,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, window:
     before = counts.select("part", "length", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
 
     def placed(batches):
+        words.give_back()
         for batch in batches:
             rows = []
             for r in batch.to_pylist():

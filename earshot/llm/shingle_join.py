@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from earshot.llm import blooms, trie
+from earshot.llm import blooms, trie, words
 from earshot.operators.components import connected_components, forest
 from earshot.session import bound_batches, forget, stored
 
@@ -28,6 +28,7 @@ CELLS = 1 << 20
 SLICE = 1 << 14
 SALTS = 4
 SEGMENT = 1 << 20
+HASHED = 1 << 18
 CHUNK = 1_000_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -52,7 +53,7 @@ def _power(kind: str, n: int) -> np.ndarray:
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words (cut at ASCII white space, A-Z lower-cased) of the texts in turn, and word counts.
 
-    A polynomial hash over random byte values, from differences of one running sum per SEGMENT of bytes.
+    A polynomial hash over random byte values, from differences of one running sum per HASHED bytes.
     """
     parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     data = np.frombuffer(b" ".join([b"", *parts, b""]), np.uint8)
@@ -63,7 +64,7 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     at = 0
     while at < len(begin):
         first = begin[at]
-        upto = max(at + 1, int(np.searchsorted(end, first + SEGMENT, "right")))
+        upto = max(at + 1, int(np.searchsorted(end, first + HASHED, "right")))
         own = data[first : end[upto - 1]]
         sums = np.zeros(len(own) + 1, np.uint64)
         np.cumsum(_VALUE[own] * _power("up", len(own)), out=sums[1:])
@@ -216,6 +217,7 @@ def _linked(rows: DataFrame, levels: np.ndarray, n: int, num: int, den: int) ->
         return [(ids[i], ids[r]) for i, r in enumerate(own) if ids[i] != ids[r]]
 
     def run(batches):
+        words.give_back()
         at, group, found = None, [], []
         for batch in batches:
             for block, chunk, rep, label, text in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
@@ -229,6 +231,8 @@ def _linked(rows: DataFrame, levels: np.ndarray, n: int, num: int, den: int) ->
         found += solve(group) if len(group) > 1 else []
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
+        group = found = None
+        words.give_back()
 
     ordered = rows.select("block", "chunk", "rep", "label", "text").repartition("block", "chunk").sortWithinPartitions("block", "chunk")
     return ordered.mapInArrow(run, "a long, b long")

@@ -63,8 +63,7 @@ class Encoder:
         self.ends = word_ends(self.tokenizer)
         if piecewise and self.ends is not None:
             # the same model for words in their normal form, without the normaliser and the pattern that cuts words
-            self.plain = Tokenizer.from_file(path)
-            self.plain.normalizer = None
+            self.plain = Tokenizer(self.tokenizer.model)
             self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
             self.pieces = words.Pieces(_classes(), lambda a, b: a != b and _OTHER not in (a, b), self._learn, SLOTS)
             if self._by_pieces(TRIAL) != self._whole(TRIAL):

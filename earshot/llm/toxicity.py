@@ -217,6 +217,6 @@ def keep_clean(docs: DataFrame, model: Model | None, text: str = "text") -> Data
 
     @F.arrow_udf("boolean")
     def clean(texts: pa.Array) -> pa.Array:
-        return pa.array(np.concatenate([np.zeros(0, bool), *(model.tag(some)[1] < 0.5 for _, _, some in words.slices(texts))]))
+        return pa.array(np.concatenate([np.zeros(0, bool), *(model.tag(some)[1] < 0.5 for _, _, some in words.slices(texts, words.SMALL_SLICE))]))
 
     return docs.filter(clean(F.col(text)))

@@ -7,18 +7,30 @@ row of an older one. ASCII capitals count as small letters.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 
 KEY = 32  # bytes of a key: a piece, zeros, and its length in the last one
 MOST = 8  # values of a piece in the table, unless said otherwise
 NONE = np.uint32(0xFFFFFFFF)  # no value (no id, and as a float not a number)
 SLICE_BYTES = 1 << 20
+SMALL_SLICE = 1 << 18  # where other tables share the worker
 LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
 WITHIN = np.where(np.arange(KEY) < np.arange(KEY)[:, None], 255, 0).astype(np.uint8)  # row n keeps n bytes
 _MIX = np.random.default_rng(20240301).integers(0, 1 << 63, KEY // 8, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def give_back() -> None:
+    """Return what this worker has freed to the machine: workers serve later stages too, whose own tables come on top."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library, where it has one
+    if trim:
+        trim(0)
+
+
 def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """starts[0], starts[0] + 1, ... (counts[0] numbers), then starts[1] and so on."""
     before = np.cumsum(counts) - counts
