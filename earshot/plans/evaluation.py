@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from earshot.functions import tables
 from earshot.functions.vectors import fuse, unit
 from earshot.operators import evaluation as E
 from earshot.operators.labels import wilson
@@ -77,13 +78,24 @@ def e05(spark, sf):
 DRAWN = "d AS (SELECT u.speaker, r.i AS replicate, ('0x' || substr(md5('1337:' || u.speaker || ':' || r.i), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS x FROM (SELECT DISTINCT speaker FROM p) u, range(0, 300) r(i)), m AS (SELECT speaker, replicate, " + " + ".join(f"(x >= {x!r}::DOUBLE)::INT" for x in E.POISSON) + " AS w FROM d)"
 
 
-@query("u04_replicate_draws", f"WITH {PRED}, {DRAWN} SELECT replicate::INT AS replicate, speaker, w::BIGINT AS w FROM m")
+DRAWS = f"WITH {PRED}, {DRAWN} SELECT replicate::INT AS replicate, speaker, w::BIGINT AS w FROM m"
+
+
+@query("u04_replicate_draws", DRAWS)
 def u04(spark, sf):
     """The multiplicities of the cluster bootstrap."""
     units = predictions(spark, sf).select("speaker").distinct().withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(299))))
     return units.select("replicate", "speaker", E.multiplicity(1337, "speaker", "replicate").alias("w"))
 
 
+@query("u04_replicates_in_sql", DRAWS)
+def u04_sql(spark, sf):
+    """The same multiplicities by a table function."""
+    tables.register(spark)
+    predictions(spark, sf).select("speaker").distinct().createOrReplaceTempView("units")
+    return spark.sql("SELECT replicate, speaker, w FROM replicates(TABLE(units), 300, 1337)")
+
+
 @query("e06_cluster_bootstrap", f"""WITH {PRED}, {DRAWN}, k AS (SELECT replicate, t, a, sum(w)::DOUBLE AS w FROM p JOIN m USING (speaker) GROUP BY ALL), l AS (SELECT unnest([0, 1, 2, 3]) AS label),
 f AS (SELECT replicate, label, 2 * sum(CASE WHEN t = label AND a = label THEN w ELSE 0 END) / greatest(sum(CASE WHEN t = label THEN w ELSE 0 END) + sum(CASE WHEN a = label THEN w ELSE 0 END), 1) AS f1 FROM k, l GROUP BY ALL),
 c AS (SELECT replicate, sum(CASE WHEN t = a THEN w ELSE 0 END) / sum(w) AS accuracy FROM k GROUP BY replicate) SELECT f.replicate::INT AS replicate, round(accuracy, 6) AS accuracy, round(avg(f1), 6) AS macro_f1 FROM f JOIN c USING (replicate) GROUP BY f.replicate, accuracy""")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from earshot.functions import tables
 from earshot.operators import splits as T
 from earshot.plans.aggregates import rounded
-from earshot.plans.registry import query, segments
+from earshot.plans.registry import query, segments, views
 from earshot.session import table
 
 KEY = ("file_id", "seg_no")
@@ -34,7 +35,10 @@ def t01(spark, sf):
     return split_rows(T.disjoint_splits(segments(spark, sf).drop("split"), "region", "speaker"), "region", "speaker")
 
 
-@query("u03_sequential_steps", "WITH RECURSIVE g AS (SELECT r_name AS cls, c_custkey AS grp, round(c_acctbal + 2000)::DOUBLE AS mass, 1 AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey), " + GREEDY + " SELECT cls AS region, grp AS customer, split FROM w WHERE split <> ''")
+STEPS = "WITH RECURSIVE g AS (SELECT r_name AS cls, c_custkey AS grp, round(c_acctbal + 2000)::DOUBLE AS mass, 1 AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey), " + GREEDY + " SELECT cls AS region, grp AS customer, split FROM w WHERE split <> ''"
+
+
+@query("u03_sequential_steps", STEPS)
 def u03(spark, sf):
     """Steps that depend on the ones before, over groups that are aggregated already."""
     c = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -42,6 +46,15 @@ def u03(spark, sf):
     return T.disjoint_splits(rows, "region", "customer", F.col("m")).select("region", "customer", "split")
 
 
+@query("u03_steps_in_sql", STEPS)
+def u03_sql(spark, sf):
+    """The same steps by a table function: its rows come by class, largest first, and only the filled masses are kept."""
+    tables.register(spark)
+    views(spark, sf, "customer", "nation", "region")
+    spark.sql("SELECT r_name AS region, c_custkey AS customer, sum(CAST(round(c_acctbal + 2000) AS DOUBLE)) AS mass FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL").createOrReplaceTempView("step_groups")
+    return spark.sql("SELECT * FROM greedy_splits(TABLE(SELECT *, sum(mass) OVER (PARTITION BY region) AS total FROM step_groups), 'region', 'customer', 'mass', 'total')")
+
+
 @query("t02_balanced_splits", "WITH RECURSIVE {seg}, c AS (SELECT *, row_number() OVER (PARTITION BY speaker ORDER BY md5(concat_ws(':', 1, file_id * 100 + seg_no)), duration) AS k FROM seg), g AS (SELECT region AS cls, speaker AS grp, sum(duration) AS mass, count(*) AS n FROM c WHERE k <= 20 GROUP BY ALL), " + GREEDY + " SELECT w.cls AS region, w.grp AS speaker, split, n FROM w JOIN g ON g.cls = w.cls AND g.grp = w.grp")
 def t02(spark, sf):
     return split_rows(T.balanced_splits(keyed(spark, sf).drop("split"), "region", "speaker", cap=20, order=F.struct(T.draw(1, "key"), "duration")), "region", "speaker")  # keys may repeat
