@@ -13,6 +13,7 @@ from earshot.operators.summary import union_all
 from earshot.plans.splitting import SAMPLE, keyed, sampled
 from earshot.session import shared_dir, table
 from earshot.sources import files as S
+from earshot.sources import formats
 from earshot.sources import registry as R
 
 c = F.col
@@ -43,6 +44,16 @@ def s02(spark, sf):
     return R.read_registry(spark, path).select("source", "show", "url", "extra")
 
 
+@query("s02_registry_format", """SELECT doc_id::VARCHAR AS source, '<' || coalesce(text, '') || '>' AS show, '' AS url FROM documents""")
+def s02_format(spark, sf):
+    """Cells that hold whole texts with their line breaks, read as a data source."""
+    formats.register(spark)
+    path = place(spark, "registry")
+    d = table(spark, sf, "documents").select(c("doc_id").cast("string").alias("source"), F.concat(F.lit("<"), F.coalesce("text", F.lit("")), F.lit(">")).alias("show"))
+    d.write.options(header=True, sep="|", quoteAll=True, escape='"').csv(path)
+    return spark.read.format("registry").load(path).select("source", "show", "url")
+
+
 @query("s03_write_registry", """SELECT doc_id::VARCHAR AS doc_id, coalesce(trim(translate(replace(text, '"', ''), '|' || chr(10) || chr(13) || chr(9), '/   ')), '') AS title FROM documents""")
 def s03(spark, sf):
     path = place(spark, "written")
@@ -51,15 +62,32 @@ def s03(spark, sf):
     return spark.read.option("header", True).option("sep", "|").schema("doc_id string, title string").csv(path).select("doc_id", F.coalesce("title", F.lit("")).alias("title"))
 
 
-@query("s05_read_rttm", """SELECT 's' || (user_id % 5) AS speaker_id, round(epoch_s + 0.5, 3) AS start, round(epoch_s + 0.5 + value, 3) AS "end" FROM (SELECT *, floor(epoch(ts))::BIGINT % 20000 AS epoch_s FROM events) WHERE event_id % 10 <> 0""")
-def s05(spark, sf):
+TURNS = """SELECT 's' || (user_id % 5) AS speaker_id, round(epoch_s + 0.5, 3) AS start, round(epoch_s + 0.5 + value, 3) AS "end" FROM (SELECT *, floor(epoch(ts))::BIGINT % 20000 AS epoch_s FROM events) WHERE event_id % 10 <> 0"""
+
+
+def turn_files(spark, sf):
+    """A folder of turn files with a line for each event."""
     path = place(spark, "rttm")
     e = table(spark, sf, "events")
     line = F.format_string("%s %s 1 %s %s <NA>  <NA> s%d <NA>", F.when(c("event_id") % 10 == 0, "SPKR-INFO").otherwise("SPEAKER"), "event_type", ((F.unix_timestamp("ts") % 20000) + 0.5).cast("string"), c("value").cast("string"), (c("user_id") % 5).cast("int"))
     e.select(line.alias("value")).write.text(path)
+    return path
+
+
+@query("s05_read_rttm", TURNS)
+def s05(spark, sf):
+    path = turn_files(spark, sf)
     return S.read_rttm(spark, f"{path}/*.txt").select("speaker_id", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"))
 
 
+@query("s05_rttm_format", TURNS)
+def s05_format(spark, sf):
+    """The same files as a data source."""
+    formats.register(spark)
+    rows = spark.read.format("rttm").load(turn_files(spark, sf))
+    return rows.select("speaker_id", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"))
+
+
 @query("s06_read_sidecars", "SELECT p_name AS title, p_retailprice AS duration FROM part")
 def s06(spark, sf):
     path = place(spark, "sidecars")
