@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -175,30 +176,80 @@ def independent_runs(durations: DataFrame, group: str, tolerance: float) -> Data
 
 
 def assign_within(local: DataFrame, remote: DataFrame, group: str, tolerance: float = 1.0) -> DataFrame:
-    """Greedy one-to-one match of a group's recordings by duration, ties by title: (group, local, remote).
+    """Greedy one-to-one match of a group's recordings by duration (whole nanoseconds), ties by title: (group, local, remote).
 
-    local: (group, local, l_dur, l_title), remote: (group, remote, r_dur, r_title). Recordings are taken in order of
-    duration; each takes the unused remote of most similar title within the tolerance. Recordings on either side of a gap wider than the
-    tolerance never compete, so each run between gaps is matched for itself.
+    local: (group, local, l_dur, l_title), remote: (group, remote, r_dur, r_title), one row for each recording. Recordings are taken
+    in order of duration; each takes the unused remote of most similar title within the tolerance. Recordings on either side of a gap wider
+    than the tolerance never compete, so each run between gaps is matched for itself, in one pass over its sorted rows: no pairs of
+    recordings are made, only pairs of the distinct titles of neighbouring cells, and a task holds the remotes of one window.
     """
-    pairs = near_durations(local, remote, tolerance, [group]).withColumn("_s", title_similarity(normalize_title(F.col("l_title")), normalize_title(F.col("r_title"))))
-    kinds = dict(pairs.dtypes)
+    t = round(tolerance * 1e9)
+    nano = lambda c: F.round(F.col(c) * 1e9).cast("long")
+    cell = F.expr(f"(_x - pmod(_x, {t + 1})) div {t + 1}").alias("_cell")
+    kind = dict(local.dtypes) | dict(remote.dtypes)
+    a = local.select(group, "local", nano("l_dur").alias("_x"), normalize_title(F.col("l_title")).alias("_t")).dropna(subset=[group, "local", "_x"]).select("*", cell)
+    b = remote.select(group, "remote", nano("r_dur").alias("_x"), normalize_title(F.col("r_title")).alias("_t")).dropna(subset=[group, "remote", "_x"]).select("*", cell)
     every = local.select(group, F.col("l_dur").alias("dur")).unionByName(remote.select(group, F.col("r_dur").alias("dur")))
-    runs = stored(independent_runs(every, group, tolerance), "runs")
-    width = round(tolerance * 1e9) + 1
-    pairs = pairs.withColumn("_x", F.round(F.col("l_dur") * 1e9).cast("long")).withColumn("_cell", F.expr(f"(_x - pmod(_x, {width})) div {width}"))
-    pairs = spread_join(pairs.select(group, "_cell", "local", "remote", "l_dur", "r_dur", "_s"), runs, [group, "_cell"])
-
-    def take(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        for k, own in pdf.sort_values(["l_dur", "local"]).groupby("local", sort=False):
-            free = own[~own["remote"].isin(used)].assign(_d=lambda x: (x["l_dur"] - x["r_dur"]).abs().round(9)).sort_values(["_s", "_d", "remote"], ascending=[False, True, True])
-            if len(free):
-                used.add(free["remote"].iloc[0])
-                out.append((own[group].iloc[0], k, free["remote"].iloc[0]))
-        return pd.DataFrame(out, columns=[group, "local", "remote"])
-
-    return pairs.groupBy(group, "run").applyInPandas(take, f"`{group}` {kinds[group]}, local {kinds['local']}, remote {kinds['remote']}")
+    runs = stored(independent_runs(every.dropna(), group, tolerance), "runs")
+    near = a.select(group, F.col("_t").alias("_l"), "_cell").distinct().withColumn("_c", F.explode(F.array(*[F.col("_cell") + d for d in (-1, 0, 1)])))
+    near = near.join(b.select(group, F.col("_t").alias("_r"), F.col("_cell").alias("_c")).distinct(), [group, "_c"]).select(group, "_cell", "_l", "_r").distinct()
+    alike = near.withColumn("_far", -F.coalesce(title_similarity(F.col("_l"), F.col("_r")), F.lit(-1.0)))
+    alike = alike.groupBy(group, "_cell", F.col("_l").alias("_t")).agg(F.sort_array(F.collect_list(F.struct("_far", "_r"))).alias("_a"))
+    alike = alike.select(group, "_cell", "_t", F.col("_a._far").alias("_far"), F.col("_a._r").alias("_r"), (F.col("_cell") * (t + 1)).alias("_at"), F.lit(0).alias("_k"))
+    # a remote comes when the first local that may take it can, so a local finds its whole window before it
+    rows = alike.unionByName(b.withColumns({"_at": F.col("_x") - t, "_k": F.lit(1)}), allowMissingColumns=True)
+    rows = rows.unionByName(a.withColumns({"_at": F.col("_x"), "_k": F.lit(2)}), allowMissingColumns=True)
+    rows = spread_join(rows, runs, [group, "_cell"]).select(group, "run", "_at", "_k", "local", "remote", "_x", "_t", "_far", "_r")
+    rows = rows.repartition(group, "run").sortWithinPartitions(group, "run", "_at", "_k", "local", "remote")
+
+    def take(batches):
+        at, free, alike = None, {}, {}
+        for batch in batches:
+            out = []
+            for g, run, now, k, own, other, x, title, far, titles in zip(*[c.to_pylist() for c in batch.columns]):
+                if (g, run) != at:
+                    at, cell, free, alike = (g, run), None, {}, {}
+                if k == 0:
+                    if now != cell:
+                        cell, alike = now, {}
+                    alike[title] = list(zip(far, titles))
+                elif k == 1:
+                    free.setdefault(title, []).append((x, other))
+                else:
+                    best = None
+                    for d, name in alike.get(title, ()):
+                        if best and d > best[0]:
+                            break
+                        found = nearest(free.get(name, []), x, x - t)
+                        if found and (best is None or found < best[1:3]):
+                            best = (d, *found, name)
+                    if best:
+                        _, away, mine, name = best
+                        rest = free[name]
+                        for y in (x - away, x + away):
+                            i = bisect_left(rest, (y, mine))
+                            if i < len(rest) and rest[i] == (y, mine):
+                                del rest[i]
+                                break
+                        out.append((g, own, mine))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], batch.schema.field(n).type) for i, n in enumerate((group, "local", "remote"))], [group, "local", "remote"])
+
+    return rows.mapInArrow(take, f"`{group}` {kind[group]}, local {kind['local']}, remote {kind['remote']}")
+
+
+def nearest(free: list[tuple], x: int, least: int) -> tuple | None:
+    """(distance, remote) of the sorted (place, remote) nearest to x, ties to the smaller remote; places below least are dropped."""
+    gone = bisect_left(free, (least,))
+    if gone > 32:
+        del free[:gone]
+        gone = 0
+    i = bisect_left(free, (x,))
+    after = (free[i][0] - x, free[i][1]) if i < len(free) else None
+    if i == gone:
+        return after
+    y = free[i - 1][0]
+    before = (x - y, free[bisect_left(free, (y,))][1])
+    return before if after is None else min(before, after)
 
 
 def match_titles(local: DataFrame, remote: DataFrame, tolerance: float = 2.0) -> DataFrame:

@@ -206,6 +206,19 @@ def test_matches_of_runs_are_those_of_whole_groups(spark):
     assert runs.groupBy("g").agg(F.max("run").alias("n")).filter("g = 0 and n > 20").count() == 1
 
 
+def test_matches_in_a_dense_run_make_no_pairs(spark, monkeypatch):
+    """3,000 recordings on each side within one tolerance: 9,000,000 pairs, of which none is made."""
+    monkeypatch.setattr(joins, "near_durations", lambda *_: pytest.fail("pairs of recordings"))
+    a = spark.range(3000).select(F.lit("g").alias("g"), F.col("id").alias("local"), (50 + F.col("id") % 7 / 10).alias("l_dur"), F.concat(F.lit("T "), F.col("id") % 3).alias("l_title"))
+    b = spark.range(3000).select(F.lit("g").alias("g"), F.col("id").alias("remote"), (50 + F.col("id") % 5 / 10).alias("r_dur"), F.concat(F.lit("t_"), F.col("id") % 3).alias("r_title"))
+    got = {r.local: r.remote for r in joins.assign_within(a, b, "g", 1.0).collect()}
+    want, free = {}, set(range(3000))
+    for i in sorted(range(3000), key=lambda i: (i % 7, i)):
+        want[i] = min(free, key=lambda j: (j % 3 != i % 3, abs(i % 7 - j % 5), j))
+        free.remove(want[i])
+    assert got == want
+
+
 def test_merged_state_writes_what_a_batch_touches(spark, tmp_path):
     from earshot.streaming import incremental
 
