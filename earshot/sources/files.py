@@ -1,10 +1,20 @@
-"""Readers and writers of the corpus's files. All paths are read and written by Spark."""
+"""Readers and writers of the corpus's files. All paths are read and written by Spark's tasks; trees of small files through pyarrow.fs."""
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+
+import pyarrow as pa
+from pyarrow.fs import FileSelector, FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from earshot.session import stored
+
+FILES_A_TASK = 4_000
+FOLDERS_A_TASK = 8
+
 #: The segment manifest's columns. file_id stays text: an id such as 55917924e225 is no number.
 MANIFEST = "file_id string, speaker_id string, start_time double, end_time double, duration double, macro_class string, sub_cat string, playlist string, source string, master_audio_path string, is_excluded string, dialect_strength double, quality string"
 SIDECAR = "id string, title string, channel string, channel_id string, playlist_id string, playlist_name string, upload_date string, duration double, webpage_url string"
@@ -26,8 +36,43 @@ def read_rttm(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_sidecars(spark: SparkSession, path: str, schema: str = SIDECAR) -> DataFrame:
-    """One JSON document per file, in any subfolder; a file that cannot be read gives nulls."""
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("recursiveFileLookup", True).json(path).withColumn("file", F.col("_metadata.file_path"))
+    """One JSON document per file, in any subfolder of the folder path; a file that cannot be read gives nulls. Files are listed and read by tasks."""
+    def read(batches):
+        system, base = FileSystem.from_uri(_uri(path))
+        for b in batches:
+            for some in _by_bytes(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                texts = []
+                for x in some:
+                    with system.open_input_stream(f"{base.rstrip('/')}/{x}") as f:
+                        raw = f.read()
+                    texts.append(raw.decode(json.detect_encoding(raw), "replace"))
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array(texts, pa.string())], ["file", "text"])
+
+    files = _listed(spark, path)
+    texts = in_tasks(files, FILES_A_TASK, "path").mapInArrow(read, "file string, text string")
+    rows = texts.select("file", F.explode_outer(F.from_json("text", f"array<struct<{schema}>>")).alias("r"))
+    return rows.select("r.*", F.concat(F.lit(path.rstrip("/") + "/"), "file").alias("file"))
+
+
+def in_tasks(rows: DataFrame, each: int, *by: str) -> DataFrame:
+    """rows dealt over tasks of about `each` rows: what a row costs is not its bytes, by which Spark would cut or join tasks."""
+    return rows.repartition(rows.count() // each + 1, *by)
+
+
+def _uri(path: str) -> str:
+    return path if ":" in path else f"file://{path}"
+
+
+def _by_bytes(names: list[str], sizes: list[int], most: int = 2 << 20):
+    out, held = [], 0
+    for name, size in zip(names, sizes, strict=True):
+        if out and held + size > most:
+            yield out
+            out, held = [], 0
+        out.append(name)
+        held += size
+    if out:
+        yield out
 
 
 def with_siblings(files: DataFrame, audio: str = "wav") -> DataFrame:
@@ -37,19 +82,44 @@ def with_siblings(files: DataFrame, audio: str = "wav") -> DataFrame:
 
 
 def _listed(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+    """(path, size) of all files under the folder path, named from there on. Tasks list the folders, a level of the tree in each round, so no list
+    of files meets in the driver; a folder's own list is one task's. As for Spark, names that begin with . or _ do not count."""
+    def walk(batches):
+        system, base = FileSystem.from_uri(_uri(path))
+        base = base.rstrip("/")
+        for b in batches:
+            for folder in b.column(0).to_pylist():
+                found = system.get_file_info(FileSelector(f"{base}/{folder}" if folder else base))
+                for at in range(0, len(found), 4096):
+                    some = [f for f in found[at : at + 4096] if f.base_name[0] not in "._"]
+                    names = [f.path[f.path.rindex("/") + 1 :] for f in some]
+                    out = [pa.array([f"{folder}/{n}" if folder else n for n in names], pa.string()), pa.array([f.size if f.is_file else -1 for f in some], pa.int64())]
+                    yield pa.RecordBatch.from_arrays(out, ["path", "size"])
+
+    level, files = spark.range(1, numPartitions=1).select(F.lit("").alias("path")), []
+    while True:
+        found = stored(level.mapInArrow(walk, "path string, size long"), "listed")
+        files.append(found.filter("size >= 0"))
+        level = found.filter("size < 0").select("path")
+        if not level.limit(1).count():
+            return reduce(DataFrame.unionByName, files)
+        level = in_tasks(level, FOLDERS_A_TASK, "path")
+
+
+def _whole(spark: SparkSession, path: str) -> DataFrame:
+    return _listed(spark, path).select(F.concat(F.lit(path.rstrip("/") + "/"), "path").alias("path"))
 
 
 def list_harvest(spark: SparkSession, path: str, exts: tuple[str, ...] = ("wav",)) -> DataFrame:
     """(macro, sub, playlist, file) of the files <macro>/<sub>/<playlist>/<file> under path with one of the extensions."""
     parts = F.split("path", "/")
-    files = _listed(spark, path).filter(F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1)).isin(*exts))
+    files = _whole(spark, path).filter(F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1)).isin(*exts))
     return files.select(*[F.element_at(parts, k).alias(n) for k, n in ((-4, "macro"), (-3, "sub"), (-2, "playlist"), (-1, "file"))])
 
 
 def list_episodes(spark: SparkSession, path: str, audio: str = "wav") -> DataFrame:
-    """with_siblings() of a tree's files; contents are not read. Spark lists no empty files."""
-    files = _listed(spark, path)
+    """with_siblings() of a tree's files; contents are not read."""
+    files = _whole(spark, path)
     return with_siblings(files.select(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("folder"), F.regexp_extract("path", r"([^/]*)\.([^./]*)$", 1).alias("stem"), F.regexp_extract("path", r"\.([^./]*)$", 1).alias("ext")), audio)
 
 

@@ -82,3 +82,21 @@ def test_episodes_of_all_parts_from_a_tree_on_disk(spark, sf, run, monkeypatch):
     calls, real = [], files.list_episodes
     monkeypatch.setattr(files, "list_episodes", lambda *a: calls.append(a) or real(*a))
     assert len(run("s07_list_episodes").collect()) == len(parts) and calls
+
+
+def test_trees_are_listed_and_read_by_tasks(spark, tmp_path, monkeypatch):
+    """Spark's own file index would hold every file in the driver, and it leaves out empty files."""
+    for name, text in {"a#1/x/1.json": '{"title": "one", "duration": 1.5}', "a#1/2.json": "\ufeff" + '{"title": "\u0634"}', "b%20/3.json": "{broken", "b%20/4.JSON": '[{"title": "l"}, {"title": "m"}]', "b%20/4.wav": "", "_hidden/5.json": "{}", "b%20/.6.json": "{}"}.items():
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(text)
+    (tmp_path / "empty").mkdir()
+    seen = files.list_episodes(spark, str(tmp_path)).collect()
+    assert [(r.folder, r.stem, r.has_turns, r.has_sidecar) for r in seen] == [(f"{tmp_path}/b%20", "4", False, True)]
+    (tmp_path / "b%20/4.wav").unlink()
+    monkeypatch.setattr(files, "FILES_A_TASK", 2)
+    got = files.read_sidecars(spark, str(tmp_path))
+    assert got.columns[0] == "id" and len(got.columns) == 10
+    want = [("1.json", "one", 1.5), ("2.json", "\u0634", None), ("3.json", None, None), ("4.JSON", "l", None), ("4.JSON", "m", None)]
+    assert sorted((r.file.rsplit("/", 1)[1], r.title, r.duration) for r in got.collect()) == want
+    assert len(got.inputFiles()) < 4
