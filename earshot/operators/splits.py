@@ -6,6 +6,8 @@ aggregated groups in applyInPandas; rows never go through Python.
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,9 +24,14 @@ def draw(seed, *key: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *key).cast("binary"))
 
 
+def exact_sum(c: Column) -> Column:
+    """Sum of seconds in whole nanoseconds, so that it does not depend on the order of the rows."""
+    return F.sum(c.cast("decimal(28,9)")).cast("double")
+
+
 def _greedy(groups: pd.DataFrame, targets: dict[str, float], assigned: dict[str, float] | None = None) -> list[str]:
     """Largest group first, into the split with most room; ties train, dev, test."""
-    total = groups["mass"].sum()
+    total = math.fsum(groups["mass"])  # the same in any order
     have = dict.fromkeys(targets, 0.0) | (assigned or {})
     out = []
     for m in groups["mass"]:
@@ -37,7 +44,7 @@ def _greedy(groups: pd.DataFrame, targets: dict[str, float], assigned: dict[str,
 def disjoint_splits(df: DataFrame, by: str, group: str, mass: Column | None = None, targets=None) -> DataFrame:
     """df with `split`: all rows of a (class, group) are in one split."""
     targets = dict(targets or C.SPLIT_TARGETS)
-    groups = df.groupBy(by, group).agg((F.count("*") if mass is None else F.sum(mass)).cast("double").alias("mass"))
+    groups = df.groupBy(by, group).agg((F.count("*") if mass is None else exact_sum(mass)).cast("double").alias("mass"))
     kinds = dict(groups.dtypes)
 
     def plan(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -59,7 +66,7 @@ def channel_splits(df: DataFrame, by: str, channel: str, repair: bool = True, ta
     goes to test, with two to train and test, with more to all (repair moves the smallest channel of the largest split)."""
     targets = dict(targets or C.SPLIT_TARGETS)
     home = dominant(df, [channel], by, F.col("duration")).withColumnRenamed(by, "_home")
-    groups = df.groupBy(channel).agg(F.sum("duration").alias("mass")).join(home, channel)
+    groups = df.groupBy(channel).agg(exact_sum(F.col("duration")).alias("mass")).join(home, channel)
     kinds = dict(groups.dtypes)
 
     def plan(pdf: pd.DataFrame) -> pd.DataFrame:
