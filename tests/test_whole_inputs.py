@@ -100,3 +100,16 @@ def test_trees_are_listed_and_read_by_tasks(spark, tmp_path, monkeypatch):
     want = [("1.json", "one", 1.5), ("2.json", "\u0634", None), ("3.json", None, None), ("4.JSON", "l", None), ("4.JSON", "m", None)]
     assert sorted((r.file.rsplit("/", 1)[1], r.title, r.duration) for r in got.collect()) == want
     assert len(got.inputFiles()) < 4
+
+
+def test_shuffles_grow_with_the_input(spark, tmp_path):
+    """With a fixed number of shuffle partitions each task's sorts would grow with the input."""
+    from earshot.session import INITIAL, scale_shuffles
+
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with open(tmp_path / "lineitem.parquet", "wb") as f:
+        f.truncate(1 << 30)
+    scale_shuffles(spark, str(tmp_path))
+    assert int(spark.conf.get(INITIAL)) == 128
+    list(entry.queries().values())[0](spark, "/root/testdata/sf0.001")
+    assert int(spark.conf.get(INITIAL)) == usual
