@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from earshot import config as C
-from earshot.operators.quantiles import FEW, exact_percentiles
+from earshot.operators.quantiles import FEW, exact_percentiles, spread_join
+from earshot.session import stored
 
+TURNS_A_TASK = 50_000
 TOUCH = 1e-6
 
 
@@ -64,21 +66,27 @@ def split_quietest(turns: DataFrame, frames: DataFrame, longest: float = C.MAX_D
     """Cut long turns at the quietest point between shortest and longest after the last cut.
 
     frames: (file, t, energy). Windows of `window` seconds step by half of it; the cut is the centre of the one with
-    the least mean energy. Cuts follow one another, so a file's turns and frames meet in one task.
+    the least mean energy. Cuts follow one another inside a turn only: a file's turns are dealt over tasks of about TURNS_A_TASK, each
+    with the file's frames, one for each distinct time.
     """
     kinds = dict(turns.dtypes)
+    turns = turns.select(file, "speaker_id", "start", "end")
+    shares = stored(turns.groupBy(file).agg((F.count("*") / TURNS_A_TASK).cast("int").alias("_parts")), "shares")
+    parts = spread_join(turns, shares, [file]).withColumn("_part", F.pmod(F.xxhash64("speaker_id", "start", "end"), F.col("_parts") + 1).cast("int")).drop("_parts")
+    times = frames.dropna(subset=[file, "t"]).groupBy(file, "t").agg(F.sum(F.coalesce("energy", F.lit(0.0))).alias("energy"), F.count("*").alias("n"))
+    copies = spread_join(times.join(shares.select(file), file, "left_semi"), shares, [file]).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts")))).drop("_parts")
 
     def cut(key, t: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("t")
         times, energy = f["t"].to_numpy(), f["energy"].to_numpy()
-        sums = np.concatenate([[0.0], np.cumsum(energy)])
+        sums, counts = np.concatenate([[0.0], np.cumsum(energy)]), np.concatenate([[0], np.cumsum(f["n"].to_numpy())])
         rows = []
         for speaker, a, b in zip(t["speaker_id"], t["start"], t["end"], strict=True):
             while round(b - a, 9) > longest:
                 low, high = a + shortest, min(a + longest, b)
                 begin = low + window / 2 * np.arange(max(1, math.floor(round((high - low - window) / (window / 2), 9)) + 1))
                 i, j = np.searchsorted(times, np.round(begin, 9)), np.searchsorted(times, np.round(begin + window, 9))
-                mean = np.where(j > i, (sums[j] - sums[i]) / np.maximum(j - i, 1), np.inf)
+                mean = np.where(j > i, (sums[j] - sums[i]) / np.maximum(counts[j] - counts[i], 1), np.inf)
                 at = float(begin[int(np.argmin(mean))] + window / 2) if np.isfinite(mean).any() else a + longest
                 rows.append((key[0], speaker, a, at))
                 a = at
@@ -87,7 +95,7 @@ def split_quietest(turns: DataFrame, frames: DataFrame, longest: float = C.MAX_D
         return pd.DataFrame(rows, columns=[file, "speaker_id", "start", "end"])
 
     schema = f"`{file}` {kinds[file]}, speaker_id {kinds['speaker_id']}, start double, end double"
-    return turns.select(file, "speaker_id", "start", "end").groupBy(file).cogroup(frames.select(file, "t", "energy").groupBy(file)).applyInPandas(cut, schema)
+    return parts.groupBy(file, "_part").cogroup(copies.groupBy(file, "_part")).applyInPandas(cut, schema)
 
 
 def segment_rows(turns: DataFrame, **constants) -> DataFrame:
