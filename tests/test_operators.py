@@ -227,6 +227,32 @@ def test_masses_of_splits_do_not_depend_on_the_order_of_rows(spark):
     assert got == {1: "train", 2: "dev"}
 
 
+def test_turns_of_a_file_are_cut_in_several_tasks(spark, monkeypatch):
+    """A file's turns once met in one task; the pieces are those of the rule turn by turn."""
+    r = np.random.default_rng(3)
+    frames = [("f", float(t), float(e)) for t, e in zip(r.integers(0, 400, 1500) / 4, r.uniform(0, 1, 1500), strict=True)]
+    turns = [("f", f"s{i % 3}", float(a), float(a + d)) for i, (a, d) in enumerate(zip(r.integers(0, 60, 90), r.integers(1, 40, 90), strict=True))]
+    e = spark.createDataFrame(frames, "file_id string, t double, energy double")
+    t = spark.createDataFrame(turns, "file_id string, speaker_id string, start double, end double")
+    want = []
+    for _, s, a, b in turns:
+        while b - a > 10:
+            begins, low = [], a + 2.0
+            while not begins or low + 1.0 <= min(a + 10.0, b):
+                begins.append(low)
+                low += 0.5
+            means = [[x for _, u, x in frames if at <= u < at + 1.0] for at in begins]
+            means = [sum(m) / len(m) if m else np.inf for m in means]
+            at = begins[int(np.argmin(means))] + 0.5 if min(means) < np.inf else a + 10.0
+            want.append((s, a, at))
+            a = at
+        if b - a >= 2.0:
+            want.append((s, a, b))
+    monkeypatch.setattr(intervals, "TURNS_A_TASK", 20)
+    got = intervals.split_quietest(t, e, 10.0, 2.0, 1.0)
+    assert sorted((x.speaker_id, x.start, x.end) for x in got.collect()) == sorted(want)
+
+
 def test_merged_state_writes_what_a_batch_touches(spark, tmp_path):
     from earshot.streaming import incremental
 
