@@ -134,8 +134,8 @@ def capped_stratified(df: DataFrame, cells: list[str], n: int, caps: dict[str, i
     is an error if a round adds nothing while a cell is short.
     """
     left = df.withColumn("_o", draw(seed, key))
-    small = df.groupBy(*cells).agg(F.count("*").alias("_size"))
-    left = left.join(F.broadcast(small), cells)
+    small = stored(df.groupBy(*cells).agg(F.count("*").alias("_size")), "small")
+    left = stored(left.join(F.broadcast(small), cells), "left")  # every round reads it
     taken = None
     for _ in range(most_rounds):
         now = left

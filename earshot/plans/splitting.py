@@ -108,6 +108,7 @@ def t07(spark, sf):
 @query("t08_capped_stratified", "WITH {seg}, c AS (SELECT DISTINCT region, tier FROM seg) SELECT region, tier, 23 AS n, true AS speaker_ok, true AS channel_ok FROM c")
 def t08(spark, sf):
     k = keyed(spark, sf).withColumn("speaker", F.col("file_id"))  # a speaker for each recording, so that small tables fill every cell
+    k = k.select("key", "region", "tier", "speaker", "playlist")
     s = T.capped_stratified(k, ["region", "tier"], 23, {"speaker": 3, "playlist": 60}, "key")
     ok = s.groupBy("speaker").count().agg((F.max("count") <= 3).alias("speaker_ok")).crossJoin(s.groupBy("playlist").count().agg((F.max("count") <= 60).alias("channel_ok")))
     return s.groupBy("region", "tier").agg(F.count("*").alias("n")).crossJoin(F.broadcast(ok))

@@ -253,6 +253,25 @@ def test_turns_of_a_file_are_cut_in_several_tasks(spark, monkeypatch):
     assert sorted((x.speaker_id, x.start, x.end) for x in got.collect()) == sorted(want)
 
 
+def test_rounds_of_a_capped_draw_do_not_read_their_input_again(spark):
+    """What leads to the rows (joins, draws) ran again in every round."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def same(x):
+        seen.add(1)
+        return x
+
+    rows = spark.range(300).select("id", same((F.col("id") >= 100).cast("long")).alias("cell"), (F.col("id") % 20).alias("cap"))
+    reads = []
+    for cap in (300, 5):  # one round; two, as the small cell takes all room of the first one
+        before = seen.value
+        got = splits.capped_stratified(rows, ["cell"], 30, {"cap": cap}, "id").groupBy("cell").count().collect()
+        assert [r["count"] for r in got] == [30] * 2
+        reads.append(seen.value - before)
+    assert reads[0] == reads[1]
+
+
 def test_merged_state_writes_what_a_batch_touches(spark, tmp_path):
     from earshot.streaming import incremental
 
