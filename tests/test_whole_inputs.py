@@ -113,3 +113,5 @@ def test_shuffles_grow_with_the_input(spark, tmp_path):
     assert int(spark.conf.get(INITIAL)) == 128
     list(entry.queries().values())[0](spark, "/root/testdata/sf0.001")
     assert int(spark.conf.get(INITIAL)) == usual
+    entry._ready(lambda *_: None, False)(spark, "")
+    assert spark.conf.get(INITIAL, None) is None
