@@ -56,7 +56,9 @@ def average_linkage(df: DataFrame, within: str, node: str, vec: str, threshold:
     For unit vectors the mean distance of two clusters follows from their sums and sizes. Average linkage is
     reducible: all mutual nearest neighbours merge in each round (ties: smallest name) and give the same tree, and a merged cluster is no nearer
     to a third one than its parts were. So each cluster's nearest neighbour is kept in a table, and only clusters that merged, or whose
-    neighbour did, look again. Tables of finished rounds are deleted. report: gets (clusters that looked, comparisons) of each round.
+    neighbour did, look again. A key that has come down to a block of clusters takes its other rounds in one task, as a block is one task's work
+    anyhow. No table that grows is broadcast. Tables of finished rounds are deleted. report: gets (clusters that looked, comparisons) of each
+    round over all tasks.
     """
     members = stored(df.select(within, F.col(node).alias("node"), F.col(node).alias("cluster")), "members")
     now = stored(df.select(within, F.col(node).alias("cluster"), unit(F.col(vec)).alias("sum"), F.lit(1).cast("long").alias("n")), "clusters")
@@ -67,7 +69,7 @@ def average_linkage(df: DataFrame, within: str, node: str, vec: str, threshold:
             report.append(tuple(counts.agg(F.coalesce(F.sum("a"), F.lit(0)), F.coalesce(F.sum(F.col("a") * F.col("b")), F.lit(0))).first()))
         found = _nearest(asking, now, within, threshold, block)
         old, near = near, stored(found if near is None else near.unionByName(found), "near")
-        both = near.alias("x").join(near.alias("y"), (F.col(f"x.{within}") == F.col(f"y.{within}")) & (F.col("x.cluster") == F.col("y.near")) & (F.col("x.near") == F.col("y.cluster")))
+        both = near.alias("x").join(near.hint("merge").alias("y"), (F.col(f"x.{within}") == F.col(f"y.{within}")) & (F.col("x.cluster") == F.col("y.near")) & (F.col("x.near") == F.col("y.cluster")))
         merge = stored(both.filter("x.cluster > y.cluster").select(F.col(f"x.{within}").alias(within), F.col("x.cluster").alias("cluster"), F.col("y.cluster").alias("into")), "merge")
         if old is not None:
             forget(*old.parts)
@@ -80,19 +82,72 @@ def average_linkage(df: DataFrame, within: str, node: str, vec: str, threshold:
             asking, near, all_looked = now, None, True
             continue
         to = F.coalesce("into", "cluster")
-        new_members = stored(members.join(merge, [within, "cluster"], "left").select(within, "node", to.alias("cluster")), "members")
-        moved = now.join(merge, [within, "cluster"], "left").select(within, to.alias("cluster"), "sum", "n")
+        new_members = stored(members.join(merge.hint("merge"), [within, "cluster"], "left").select(within, "node", to.alias("cluster")), "members")
+        moved = now.join(merge.hint("merge"), [within, "cluster"], "left").select(within, to.alias("cluster"), "sum", "n")
         added = moved.groupBy(within, "cluster").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list("sum")).alias("s"))
         total = F.aggregate(F.slice("s", 2, 10), F.col("s")[0], lambda a, b: F.zip_with(a, b, lambda p, q: p + q))
         new = stored(added.select(within, "cluster", total.alias("sum"), "n"), "clusters")
         forget(members, now)
         members, now = new_members, new
+        sizes = stored(now.filter(F.col(within).isNotNull()).groupBy(within).agg((F.count("*") <= block).alias("small")), "sizes")
+        small = sizes.filter("small").select(within)
+        some, more = sizes.agg(F.count_if("small") > 0, F.count_if(~F.col("small")) > 0).first()
+        if some:
+            ends = stored(_finished(now.join(small, within, "left_semi"), within, threshold), "ends")
+            new_members = stored(members.join(ends.hint("merge"), [within, "cluster"], "left").select(within, "node", to.alias("cluster")), "members")
+            forget(members, ends)
+            members = new_members
+            if not more:
+                forget(near, merge, sizes, now)
+                return members
+            left = stored(now.join(small, within, "left_anti"), "clusters")
+            forget(now)
+            now = left
         touched = merge.select(within, F.explode(F.array("cluster", "into")).alias("near"))
-        rest = near.join(touched.withColumnRenamed("near", "cluster"), [within, "cluster"], "left_anti")
-        names = rest.join(touched, [within, "near"], "left_semi").select(within, "cluster").unionByName(merge.select(within, F.col("into").alias("cluster")))
-        asking = now.join(names, [within, "cluster"], "left_semi")
-        kept = rest.join(touched, [within, "near"], "left_anti").select(within, "cluster", "near")
-        kept.parts, near, all_looked = (near, merge), kept, False
+        rest = near.join(small, within, "left_anti").join(touched.withColumnRenamed("near", "cluster").hint("merge"), [within, "cluster"], "left_anti")
+        names = rest.join(touched.hint("merge"), [within, "near"], "left_semi").select(within, "cluster").unionByName(merge.select(within, F.col("into").alias("cluster")))
+        asking = now.join(names.hint("merge"), [within, "cluster"], "left_semi")
+        kept = rest.join(touched.hint("merge"), [within, "near"], "left_anti").select(within, "cluster", "near")
+        kept.parts, near, all_looked = (near, merge, sizes), kept, False
+
+
+def _finished(clusters: DataFrame, within: str, threshold: float) -> DataFrame:
+    """(within, cluster, into): the cluster at the end of each one, by the same rounds, a key in a task."""
+    kinds = dict(clusters.dtypes)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("cluster")
+        s, n, ids = np.array(pdf["sum"].tolist(), np.float64), pdf["n"].to_numpy().copy(), pdf["cluster"].to_numpy()
+        near, into = np.full(len(n), -1), np.arange(len(n))
+        asking, all_looked = into.copy(), True
+        while True:
+            live = np.flatnonzero(into == np.arange(len(n)))
+            for at in range(0, len(asking), 512):
+                k = asking[at : at + 512]
+                d = np.round(1 - (s[k] @ s[live].T) / np.outer(n[k], n[live]), 9)
+                d[k[:, None] == live] = np.inf
+                best = d.argmin(axis=1)
+                near[k] = np.where(d[np.arange(len(k)), best] <= threshold, live[best], -1)
+            a = live[near[live] >= 0]
+            a = a[(near[near[a]] == a) & (a > near[a])]
+            b = near[a]
+            if not len(a):
+                if all_looked:
+                    break
+                asking, all_looked = live, True
+                continue
+            s[b] += s[a]
+            n[b] += n[a]
+            into[a] = b
+            near[a] = -1
+            again = np.isin(near, np.concatenate([a, b]))
+            again[b] = True
+            asking, all_looked = np.flatnonzero(again), False
+        for i in range(len(into)):  # a name only goes into a lesser one
+            into[i] = into[into[i]]
+        return pd.DataFrame({within: pdf[within].to_numpy(), "cluster": ids, "into": ids[into]})
+
+    return clusters.groupBy(within).applyInPandas(run, f"`{within}` {kinds[within]}, cluster {kinds['cluster']}, into {kinds['cluster']}")
 
 
 def _nearest(asking: DataFrame, clusters: DataFrame, within: str, threshold: float, block: int) -> DataFrame:
@@ -135,7 +190,7 @@ def _nearest(asking: DataFrame, clusters: DataFrame, within: str, threshold: flo
 def assign_actors(df: DataFrame, clusters: DataFrame, within: str, node: str) -> DataFrame:
     """df with global_actor: clusters numbered from 0 in each key by their least node; -1 where there is none."""
     dense = clusters.withColumn("global_actor", F.dense_rank().over(Window.partitionBy(within).orderBy("cluster")) - 1).select(within, F.col("node").alias(node), "global_actor")
-    return df.join(dense, [within, node], "left").withColumn("global_actor", F.coalesce("global_actor", F.lit(-1)))
+    return df.join(dense.hint("merge"), [within, node], "left").withColumn("global_actor", F.coalesce("global_actor", F.lit(-1)))
 
 
 def merge_actors(actors: DataFrame, within: str, actor: str, vec: str, auto: float = C.MERGE_AUTO_SIM) -> DataFrame:

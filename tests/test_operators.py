@@ -48,6 +48,16 @@ def test_average_linkage_of_a_chain_asks_few_clusters_again(spark):
     assert sum(n for _, n in report[1:-1]) < (len(report) - 2) * report[0][1] / 3, report
 
 
+def test_average_linkage_of_small_keys_takes_few_rounds(spark):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i % 2, i, rng.normal(size=6).tolist()) for i in range(300)], "k int, node long, vec array<double>")
+    report, rounds = [], []
+    got = {r.node: r.cluster for r in clustering.average_linkage(df, "k", "node", "vec", 0.7, report=report).collect()}
+    assert len(report) == 1
+    assert got == {r.node: r.cluster for r in clustering.average_linkage(df, "k", "node", "vec", 0.7, block=20, report=rounds).collect()}
+    assert len(rounds) > 3
+
+
 def test_assign_within(spark):
     local = spark.createDataFrame([("g", 1, 600.4, "T1"), ("g", 2, 600.6, "T2"), ("g", 3, 60.0, "T1")], "g string, local long, l_dur double, l_title string")
     remote = spark.createDataFrame([("g", "aaa", 600.0, "T1"), ("g", "bbb", 601.0, "T2"), ("g", "ccc", 9999.0, "T1")], "g string, remote string, r_dur double, r_title string")
