@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from earshot import config as C
 
+AT_ONCE = 16  # classifiers fitted side by side, each on its own stored copy of the vectors
+
 
 def majority_floor(df: DataFrame, split: str, label: str) -> DataFrame:
     """df's rows outside train with pred: the commonest label of train (ties: smallest)."""
@@ -182,10 +184,13 @@ def logistic_probe(df: DataFrame, vec: str, label: str, split: str = "split", c:
     return model.transform(rows).withColumn("pred", F.col("pred").cast("int")).drop("_v", "_y", "_raw", "_p")
 
 
-def svm_probe(df: DataFrame, vec: str, label: str, split: str = "split", max_iter: int = 30) -> DataFrame:
-    """df with pred from one-against-rest linear support vector machines."""
+def svm_probe(df: DataFrame, vec: str, label: str, split: str = "split", max_iter: int = 30, at_once: int = AT_ONCE) -> DataFrame:
+    """df with pred from one-against-rest linear support vector machines, of which at_once are fitted side by side.
+
+    A fit is a row of some hundred short jobs, most of whose time is waiting: side by side they take little more than one of them.
+    """
     rows = df.withColumn("_v", array_to_vector(F.transform(vec, lambda x: x.cast("double")))).withColumn("_y", F.col(label).cast("double"))
-    model = OneVsRest(classifier=LinearSVC(maxIter=max_iter, regParam=0.01), featuresCol="_v", labelCol="_y", predictionCol="pred", parallelism=2).fit(rows.filter(F.col(split) == "train"))
+    model = OneVsRest(classifier=LinearSVC(maxIter=max_iter, regParam=0.01), featuresCol="_v", labelCol="_y", predictionCol="pred", parallelism=at_once).fit(rows.filter(F.col(split) == "train"))
     return model.transform(rows).withColumn("pred", F.col("pred").cast("int")).drop("_v", "_y", "rawPrediction")
 
 
