@@ -13,7 +13,8 @@ from earshot import config as C
 from earshot.operators.quantiles import FEW, exact_percentiles, spread_join
 from earshot.session import stored
 
-TURNS_A_TASK = 50_000
+TURNS_A_TASK, MOST_TASKS = 50_000, 2_000
+TURNS_AT_ONCE = 2_048
 TOUCH = 1e-6
 
 
@@ -66,12 +67,13 @@ def split_quietest(turns: DataFrame, frames: DataFrame, longest: float = C.MAX_D
     """Cut long turns at the quietest point between shortest and longest after the last cut.
 
     frames: (file, t, energy). Windows of `window` seconds step by half of it; the cut is the centre of the one with
-    the least mean energy. Cuts follow one another inside a turn only: a file's turns are dealt over tasks of about TURNS_A_TASK, each
-    with the file's frames, one for each distinct time.
+    the least mean energy. Cuts follow one another inside a turn only: equal turns are cut once, and a file's distinct turns are dealt
+    over groups of about TURNS_A_TASK, each with the file's frames, one for each distinct time, and a task of its own.
     """
     kinds = dict(turns.dtypes)
-    turns = turns.select(file, "speaker_id", "start", "end")
+    turns = turns.groupBy(file, "speaker_id", "start", "end").agg(F.count("*").alias("_n"))
     shares = stored(turns.groupBy(file).agg((F.count("*") / TURNS_A_TASK).cast("int").alias("_parts")), "shares")
+    tasks = int(min(MOST_TASKS, 2 * (shares.agg(F.sum(F.col("_parts") + 1)).first()[0] or 1)))
     parts = spread_join(turns, shares, [file]).withColumn("_part", F.pmod(F.xxhash64("speaker_id", "start", "end"), F.col("_parts") + 1).cast("int")).drop("_parts")
     times = frames.dropna(subset=[file, "t"]).groupBy(file, "t").agg(F.sum(F.coalesce("energy", F.lit(0.0))).alias("energy"), F.count("*").alias("n"))
     copies = spread_join(times.join(shares.select(file), file, "left_semi"), shares, [file]).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts")))).drop("_parts")
@@ -80,22 +82,41 @@ def split_quietest(turns: DataFrame, frames: DataFrame, longest: float = C.MAX_D
         f = f.sort_values("t")
         times, energy = f["t"].to_numpy(), f["energy"].to_numpy()
         sums, counts = np.concatenate([[0.0], np.cumsum(energy)]), np.concatenate([[0], np.cumsum(f["n"].to_numpy())])
-        rows = []
-        for speaker, a, b in zip(t["speaker_id"], t["start"], t["end"], strict=True):
-            while round(b - a, 9) > longest:
-                low, high = a + shortest, min(a + longest, b)
-                begin = low + window / 2 * np.arange(max(1, math.floor(round((high - low - window) / (window / 2), 9)) + 1))
-                i, j = np.searchsorted(times, np.round(begin, 9)), np.searchsorted(times, np.round(begin + window, 9))
-                mean = np.where(j > i, (sums[j] - sums[i]) / np.maximum(counts[j] - counts[i], 1), np.inf)
-                at = float(begin[int(np.argmin(mean))] + window / 2) if np.isfinite(mean).any() else a + longest
-                rows.append((key[0], speaker, a, at))
-                a = at
-            if round(b - a, 9) >= shortest:
-                rows.append((key[0], speaker, a, b))
-        return pd.DataFrame(rows, columns=[file, "speaker_id", "start", "end"])
-
-    schema = f"`{file}` {kinds[file]}, speaker_id {kinds['speaker_id']}, start double, end double"
-    return parts.groupBy(file, "_part").cogroup(copies.groupBy(file, "_part")).applyInPandas(cut, schema)
+        a, b = t["start"].to_numpy(np.float64).copy(), t["end"].to_numpy(np.float64)
+        of, starts, ends = [], [], []
+
+        def piece(rows, until):
+            of.append(rows)
+            starts.append(a[rows])
+            ends.append(until)
+
+        left = np.flatnonzero(np.round(b - a, 9) > longest)
+        while len(left):
+            at = np.concatenate([quietest(times, sums, counts, a[x], b[x]) for x in np.array_split(left, len(left) // TURNS_AT_ONCE + 1)])
+            piece(left, at)
+            a[left] = at
+            left = left[np.round(b[left] - at, 9) > longest]
+        rest = np.flatnonzero(np.round(b - a, 9) >= shortest)
+        piece(rest, b[rest])
+        of = np.concatenate(of)
+        return pd.DataFrame({file: key[0], "speaker_id": t["speaker_id"].to_numpy()[of], "start": np.concatenate(starts), "end": np.concatenate(ends), "_n": t["_n"].to_numpy()[of]})
+
+    def quietest(times, sums, counts, a, b) -> np.ndarray:
+        """Where to cut the turns from a to b next."""
+        low, high = a + shortest, np.minimum(a + longest, b)
+        windows = np.maximum(1, np.floor(np.round((high - low - window) / (window / 2), 9)) + 1).astype(np.int64)
+        k = np.arange(windows.max())
+        begin = low[:, None] + window / 2 * k
+        i, j = np.searchsorted(times, np.round(begin, 9)), np.searchsorted(times, np.round(begin + window, 9))
+        mean = np.where((j > i) & (k < windows[:, None]), (sums[j] - sums[i]) / np.maximum(counts[j] - counts[i], 1), np.inf)
+        best = mean.argmin(axis=1)
+        row = np.arange(len(a))
+        return np.where(np.isfinite(mean).any(axis=1), begin[row, best] + window / 2, a + longest)
+
+    schema = f"`{file}` {kinds[file]}, speaker_id {kinds['speaker_id']}, start double, end double, _n long"
+    dealt = [x.repartition(tasks, file, "_part").groupBy(file, "_part") for x in (parts, copies)]
+    pieces = dealt[0].cogroup(dealt[1]).applyInPandas(cut, schema)
+    return pieces.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).drop("_n")
 
 
 def segment_rows(turns: DataFrame, **constants) -> DataFrame:
