@@ -10,7 +10,7 @@ from pyarrow.fs import FileSelector, FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from earshot.session import stored
+from earshot.session import in_tasks, stored
 
 FILES_A_TASK = 4_000
 FOLDERS_A_TASK = 8
@@ -54,11 +54,6 @@ def read_sidecars(spark: SparkSession, path: str, schema: str = SIDECAR) -> Data
     return rows.select("r.*", F.concat(F.lit(path.rstrip("/") + "/"), "file").alias("file"))
 
 
-def in_tasks(rows: DataFrame, each: int, *by: str) -> DataFrame:
-    """rows dealt over tasks of about `each` rows: what a row costs is not its bytes, by which Spark would cut or join tasks."""
-    return rows.repartition(rows.count() // each + 1, *by)
-
-
 def _uri(path: str) -> str:
     return path if ":" in path else f"file://{path}"
 
