@@ -3,8 +3,9 @@
 1. A count-min sketch of all words (two rows of 2**20 cells, merged by Spark) gives every shingle the rarity of its rarest word; shingles are ordered
    by rarity, then hash, in one 64-bit value, so that rare ones come first in every document alike.
 2. Equal sets become one representative. Each set's prefix, which every linked set must meet, is shuffled by
-   element; sets that share one and are linked by steps of fitting sizes are candidates, and the components of
-   candidates are blocks.
+   element. Sets that share one are compared by sketches (the parity of how many elements fall to each bit): where sketches
+   differ in more bits than the elements that linked sets of these sizes may differ in, there is no link. The other
+   pairs are candidates, and the components of candidates are blocks. A shared passage alone so joins no blocks.
 3. Each block's texts (smaller than their sets) meet once and are linked by tries (trie.py). A block over CHUNK elements is dealt into
    chunks that all hold the block's few pivots; documents that do not end up with the block's main component
    are then compared with every chunk. No pair list is made anywhere, and no task holds more than a chunk and
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from earshot.llm import blooms, trie, words
-from earshot.operators.components import connected_components, forest
+from earshot.operators.components import connected_components
 from earshot.session import bound_batches, forget, stored
 
 CELLS = 1 << 20
@@ -30,6 +31,9 @@ SALTS = 4
 SEGMENT = 1 << 20
 HASHED = 1 << 18
 CHUNK = 1_000_000
+LEAST_BITS, MOST_BITS = 64, 1 << 17  # of a sketch; it has up to twice as many as its set has elements
+TILE = 8_192  # sets with one element that are compared at once; an element's sets meet in at most TILES blocks by TILES
+TILES = 64
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -149,8 +153,61 @@ def rarity_levels(docs: DataFrame, text: str) -> np.ndarray:
     return np.minimum(np.round(8 * np.log2(np.maximum(total, 1))), 255).astype(np.uint8)
 
 
+def sketch(elements: np.ndarray) -> bytes:
+    """One bit for each of so many remainders of the elements: is it that of an odd number of them?
+
+    Sets differ in at least as many elements as their sketches in bits. Halves of a sketch, one XOR the other, are the sketch with half the bits.
+    """
+    bits = min(max(LEAST_BITS, 1 << max(len(elements) - 1, 1).bit_length()), MOST_BITS)
+    return np.packbits((np.bincount((elements & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def near_sets(sizes: np.ndarray, sketches: list[bytes], num: int, den: int, sides: np.ndarray | None = None) -> np.ndarray:
+    """For each set, in ascending order of size, the least place in its component of pairs that sizes and sketches allow to be linked.
+
+    sides: only pairs of different sides count.
+    """
+    n = len(sizes)
+    label = np.arange(n)
+    widths = np.array([len(x) for x in sketches])
+    tables: dict[tuple[int, int], np.ndarray] = {}
+    spans = {w: (int(np.searchsorted(widths, w)), int(np.searchsorted(widths, w, "right"))) for w in np.unique(widths).tolist()}  # widths grow with sizes
+
+    def table(width: int, folded: int) -> np.ndarray:
+        if (width, folded) not in tables:
+            if width == folded:
+                lo, hi = spans[width]
+                tables[width, folded] = np.frombuffer(b"".join(sketches[lo:hi]), np.uint64).reshape(hi - lo, -1)
+            else:
+                wide = table(width, 2 * folded)
+                tables[width, folded] = wide[:, : wide.shape[1] // 2] ^ wide[:, wide.shape[1] // 2 :]
+        return tables[width, folded]
+
+    upto = np.searchsorted(sizes * num, sizes * den, "right")
+    for i in range(n - 1):
+        w = int(widths[i])
+        own = table(w, w)[i - spans[w][0]]
+        for other, (lo, hi) in spans.items():
+            first, last = max(lo, i + 1), min(hi, int(upto[i]))
+            if other < w or first >= last:
+                continue
+            wanted = label[first:last] != label[i]
+            if sides is not None:
+                wanted &= sides[first:last] != sides[i]
+            j = np.flatnonzero(wanted) + first
+            if not len(j):
+                continue
+            differ = np.bitwise_count(table(other, w)[j - lo] ^ own).sum(axis=1, dtype=np.int64)
+            both = sizes[i] + sizes[j]
+            j = j[differ <= both - 2 * -(-num * both // (num + den))]
+            if len(j):
+                joined = np.unique(np.append(label[j], label[i]))
+                label[np.isin(label, joined)] = joined[0]
+    return label
+
+
 def _signatures(docs: DataFrame, levels: np.ndarray, n: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n_shingles, key, prefix) of each row of docs (doc_id, text)."""
+    """(doc_id, n_shingles, key, prefix, sketch) of each row of docs (doc_id, text)."""
 
     def run(batches):
         for part, texts in text_slices(batches):
@@ -158,47 +215,90 @@ def _signatures(docs: DataFrame, levels: np.ndarray, n: int, num: int, den: int)
             prefixes = [s[: trie.prefix_size(len(s), num, den)] if len(s) else s for s in sets]
             flat = np.concatenate(prefixes).view(np.int64) if prefixes else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), lists], names=["doc_id", "n_shingles", "key", "prefix"])
+            keys, sketches = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], [sketch(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), lists, pa.array(sketches, pa.binary())], names=["doc_id", "n_shingles", "key", "prefix", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, key binary, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, key binary, prefix array<long>, sketch binary")
 
 
-def _candidates(reps: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): edges that join representatives with a common prefix element; a forest for each task.
+def _meetings(reps: DataFrame, num: int, den: int) -> DataFrame:
+    """(meeting, reps array<long>): the representatives, by size, that share a prefix element; once for each such list.
 
-    An element's sets come by size; no link crosses a step between sizes whose ratio is below num / den.
+    No link crosses a step between sizes whose ratio is below num / den, so lists end there.
     """
 
+    def rows(found: dict[bytes, np.ndarray]):
+        at = np.cumsum([0, *(len(r) for r in found.values())]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(list(found.values()))))
+        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), lists], names=["meeting", "reps"])
+
     def run(batches):
-        a, b, held = [], [], 0
-        last, size, leader = None, 0, None
+        open_, last, size = [], None, 0  # the list that goes on
+        seen: set[bytes] = set()
         for batch in batches:
             e, s, r = (batch.column(i).to_numpy() for i in range(3))
             if not len(e):
                 continue
             new = np.concatenate([[e[0] != last or size * den < num * s[0]], (e[1:] != e[:-1]) | (s[:-1] * den < num * s[1:])])
-            if not new[0]:
-                lead = np.concatenate([[leader], r[new]])[np.cumsum(new)]
-            else:
-                lead = r[new][np.cumsum(new) - 1]
-            last, size, leader = e[-1], s[-1], lead[-1]
-            some = lead != r
-            if some.any():
-                pairs = np.unique(np.stack([r[some], lead[some]]), axis=1)
-                a.append(pairs[0])
-                b.append(pairs[1])
-                held += pairs.shape[1]
-            if held > 2_000_000:
-                x, y = forest(np.concatenate(a), np.concatenate(b))
-                a, b, held = [x], [y], 0
-                if len(x) > 1_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
-                    a, b = [], []
-        if a:
-            x, y = forest(np.concatenate(a), np.concatenate(b))
-            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
-
-    rows = reps.select(F.explode("prefix").alias("element"), "size", "rep").repartition("element").sortWithinPartitions("element", "size", "rep")
+            last, size = e[-1], s[-1]
+            start = np.flatnonzero(new)
+            if not len(start):
+                open_.append(r)
+                continue
+            lists = [np.concatenate([*open_, r[: start[0]]])]
+            several = np.flatnonzero(np.diff(start) > 1)
+            lists += [r[a:b] for a, b in zip(start[several].tolist(), start[several + 1].tolist(), strict=True)]
+            open_ = [r[start[-1] :]]
+            found = {xxhash.xxh3_128_digest(x.tobytes()): x for x in lists if len(x) > 1}
+            found = {k: x for k, x in found.items() if k not in seen}
+            if found:
+                yield rows(found)
+            if len(seen) > 200_000:
+                seen.clear()
+            seen.update(found)
+        whole = np.concatenate(open_) if open_ else ()
+        if len(whole) > 1:
+            yield rows({xxhash.xxh3_128_digest(whole.tobytes()): whole})
+
+    each = reps.select(F.explode("prefix").alias("element"), "size", "rep").repartition("element").sortWithinPartitions("element", "size", "rep")
+    return each.mapInArrow(run, "meeting binary, reps array<long>").groupBy("meeting").agg(F.first("reps").alias("reps"))
+
+
+def _candidates(reps: DataFrame, num: int, den: int, tile: int = TILE) -> DataFrame:
+    """(a, b): edges that join representatives with a common prefix element whose sizes and sketches allow a link; for each list a forest.
+
+    A list of over `tile` representatives is cut into blocks, and each pair of blocks is compared by itself.
+    """
+
+    def solve(sides, ids, sizes, sketches):
+        sides = np.array(sides)
+        label = near_sets(np.array(sizes, np.int64), sketches, num, den, sides if sides.any() else None)
+        return [(ids[i], ids[k]) for i, k in enumerate(label.tolist()) if i != k]
+
+    def edges(found):
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
+
+    def run(batches):
+        at, group, found = None, [], []
+        for batch in batches:
+            for m, x, y, second, rep, size, own in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                if (m, x, y) != at:
+                    found += solve(*zip(*group, strict=True)) if len(group) > 1 else []
+                    at, group = (m, x, y), []
+                group.append((second, rep, size, own))
+            if len(found) > 10_000:
+                yield edges(found)
+                found = []
+        found += solve(*zip(*group, strict=True)) if len(group) > 1 else []
+        if found:
+            yield edges(found)
+
+    size = F.greatest(F.lit(tile), F.ceil(F.size("reps") / TILES).cast("int"))
+    met = _meetings(reps, num, den).withColumn("_size", size).select("meeting", (F.ceil(F.size("reps") / F.col("_size")) - 1).cast("int").alias("_last"), "_size", F.posexplode("reps").alias("_i", "rep"))
+    met = met.withColumn("_own", F.floor(F.col("_i") / F.col("_size")).cast("int")).withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_last"))))
+    x, y = F.least("_own", "_with"), F.greatest("_own", "_with")
+    rows = met.select("meeting", x.alias("x"), y.alias("y"), (F.col("_own") > F.col("_with")).alias("second"), "rep").join(reps.select("rep", "size", "sketch"), "rep")
+    rows = rows.select("meeting", "x", "y", "second", "rep", "size", "sketch").repartition("meeting", "x", "y").sortWithinPartitions("meeting", "x", "y", "size", "rep")
     return rows.mapInArrow(run, "a long, b long")
 
 
@@ -276,9 +376,11 @@ def jaccard_groups(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, k
     bound_batches(docs.sparkSession)
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     levels = rarity_levels(docs, "text")
-    signed = stored(_signatures(docs, levels, n, num, den), "signatures")
-    reps = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min(F.struct("doc_id", "n_shingles", "prefix")).alias("r"))
-    reps = stored(reps.select("key", F.col("r.doc_id").alias("rep"), F.col("r.n_shingles").alias("size"), F.col("r.prefix").alias("prefix")), "reps")
+    whole_signed = stored(_signatures(docs, levels, n, num, den), "signatures")
+    reps = whole_signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min(F.struct("doc_id", "n_shingles", "prefix", "sketch")).alias("r"))
+    reps = stored(reps.select("key", F.col("r.doc_id").alias("rep"), F.col("r.n_shingles").alias("size"), F.col("r.prefix").alias("prefix"), F.col("r.sketch").alias("sketch")), "reps")
+    signed = stored(whole_signed.select("doc_id", "n_shingles", "key"), "signed")
+    forget(whole_signed)
     near = connected_components(_candidates(reps, num, den)).select(F.col("node").alias("rep"), F.col("component").alias("block"))
     nodes = near.join(reps.select("rep", "size"), "rep")
     blocks = nodes.groupBy("block").agg(F.ceil(F.sum("size") / chunk).alias("chunks"), F.array(F.min("rep"), F.max("rep"), F.min_by("rep", F.xxhash64("rep")), F.max_by("rep", F.xxhash64("rep"))).alias("pivots"))

@@ -98,3 +98,57 @@ def test_jaccard_groups(spark, chunk):
     size = {r.doc_id: r.n_shingles for r in got}
     assert (size[900], size[901], size[902], size[903], size[907]) == (0, 0, 0, 1, 1)
     assert shingle_join.jaccard_groups(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("similar", [(90, 100), (80, 100), (30, 100)])
+@pytest.mark.parametrize("most", [1 << 17, 128])
+def test_sketches_lose_no_link(monkeypatch, similar, most):
+    monkeypatch.setattr(shingle_join, "MOST_BITS", most)
+    num, den = similar
+    rng = np.random.default_rng(most)
+    sets = []
+    for size in rng.integers(1, 700, 60):
+        base = rng.integers(0, 1 << 63, size, np.uint64)
+        for gone in (0, 0.03, 0.06, 0.12, 0.3):
+            sets.append(np.unique(np.concatenate([base[rng.random(size) >= gone], rng.integers(0, 1 << 63, int(size * gone / 3), np.uint64)])))
+    sets = sorted((x for x in sets if len(x)), key=len)
+    sizes, sketches = np.array([len(x) for x in sets]), [shingle_join.sketch(x) for x in sets]
+    label = shingle_join.near_sets(sizes, sketches, num, den)
+    sides = np.arange(len(sets)) % 2
+    across = shingle_join.near_sets(sizes, sketches, num, den, sides)
+    for (i, x), (j, y) in itertools.combinations(enumerate(sets), 2):
+        if den * len(np.intersect1d(x, y)) >= num * len(np.union1d(x, y)):
+            assert label[i] == label[j]
+            assert sides[i] == sides[j] or across[i] == across[j]
+    assert most < 1 << 17 or num < 80 or len(set(label.tolist())) >= 55
+
+
+@pytest.fixture(scope="module")
+def sharing(spark):
+    """(representatives, their number of groups): documents of own words about a shared passage, one of three near copies."""
+    rng = random.Random(5)
+    passage = [f"p{i}" for i in range(40)]
+    texts = []
+    for k in range(40):
+        own = [f"d{k}x{i}" for i in range(rng.randint(60, 80))]
+        texts.append(" ".join(own[:30] + passage + own[30:]))
+        if k % 2:
+            texts += [texts[-1] + " more", "less " + texts[-1]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    levels = np.zeros(2 * shingle_join.CELLS, np.uint8)
+    signed = shingle_join._signatures(df, levels, 5, 80, 100)
+    return signed.selectExpr("doc_id AS rep", "n_shingles AS size", "prefix", "sketch"), 40
+
+
+@pytest.mark.parametrize("tile", [8_192, 7])
+def test_a_shared_passage_joins_no_blocks(sharing, tile):
+    from earshot.operators.components import connected_components
+
+    reps, groups = sharing
+    shared = [r.reps for r in shingle_join._meetings(reps, 80, 100).collect()]
+    assert max(map(len, shared)) > 20  # the passage's elements are in prefixes
+    found = connected_components(shingle_join._candidates(reps, 80, 100, tile=tile))
+    blocks = {}
+    for r in found.collect():
+        blocks.setdefault(r.component, []).append(r.node)
+    assert len(blocks) == groups // 2 and all(sorted(b) == list(range(min(b), min(b) + 3)) for b in blocks.values())
